@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quakespark.common import Scratch, table
 from quakespark.llm.components import connected_groups
+from quakespark.llm.leakage import find_leaks
 from quakespark.llm.nearest_time import match_nearest
 from quakespark.llm.percentiles import count_ladder, exact_percentiles, ladder_percentiles, merge_ladders
+from quakespark.llm.tokenizer import BYTE_BPE_50K, decode_texts, encode_texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -175,3 +177,42 @@ select event_id, min(other) as group_id from walk group by event_id
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "dt_cc").where(F.col("cc").between(MIN_CC, 1.0)).select(F.trim("event_a").alias("a"), F.trim("event_b").alias("b"))
     return connected_groups(links, "a", "b", id_column="event_id", group_column="group_id")
+
+
+# 7. Encoding
+
+
+@query()
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", path=BYTE_BPE_50K)
+
+
+@query(
+    """
+select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n_bytes, true as same from documents
+"""
+)
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding gives each text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = decode_texts(encode_texts(docs, "doc_id", "text"), "doc_id", "ids", text="decoded")
+    return docs.join(back, "doc_id").select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"), (F.col("text") == F.col("decoded")).alias("same"))
+
+
+# 8. Leaks
+
+MIN_WORDS = 12
+
+
+@query(
+    r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') as w from eval_items where item_text is not null),
+dg as (select doc_id, array_to_string(list_slice(w, k, k + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+ig as (select item_id, array_to_string(list_slice(w, k, k + 11), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i))
+select distinct doc_id, item_id from dg join ig using (g)
+"""
+)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text", min_words=MIN_WORDS)
+    return leaks.select("doc_id", "item_id")
