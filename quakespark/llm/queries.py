@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quakespark.common import Scratch, table
 from quakespark.llm.components import connected_groups
+from quakespark.llm.encodings import find_garbled
 from quakespark.llm.leakage import find_leaks
 from quakespark.llm.nearest_time import match_nearest
 from quakespark.llm.percentiles import count_ladder, exact_percentiles, ladder_percentiles, merge_ladders
@@ -216,3 +217,17 @@ select distinct doc_id, item_id from dg join ig using (g)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text", min_words=MIN_WORDS)
     return leaks.select("doc_id", "item_id")
+
+
+# 9. Garbled text
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+@query()
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restored texts, and the encodings that they were written in and read as."""
+    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
