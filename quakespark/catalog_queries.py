@@ -414,12 +414,12 @@ def a8_truncated_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "with " + _REJECT + """
-select station, round(avg(noise_s) filter (where phase = 'P' and not rejected), 6) as mean_p, count(*) filter (where phase = 'P' and not rejected) as n_p,
-  round(avg(noise_s) filter (where phase = 'S' and not rejected), 6) as mean_s, count(*) filter (where phase = 'S' and not rejected) as n_s from rj group by station
+select station, round(avg(noise_s) filter (where phase = 'P' and not rejected), 9) as mean_p, count(*) filter (where phase = 'P' and not rejected) as n_p,
+  round(avg(noise_s) filter (where phase = 'S' and not rejected), 9) as mean_s, count(*) filter (where phase = 'S' and not rejected) as n_s from rj group by station
 """
 )
 def a20_station_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cat.station_statistics(_rejected(spark, sf_dir), "noise_s"), "mean_p", "mean_s")
+    return rounded(cat.station_statistics(_rejected(spark, sf_dir), "noise_s"), "mean_p", "mean_s", digits=9)
 
 
 @query(
@@ -506,7 +506,7 @@ def w4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
     s = p.select(F.col("id_a").alias("event"), F.col("id_b").alias("other"), "distance_km").unionAll(p.select("id_b", "id_a", "distance_km"))
     w = Window.partitionBy("event").orderBy(F.round("distance_km", 9), "other")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("event", "other", "rank")
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("event", "other", "rank")
 
 
 @query(
