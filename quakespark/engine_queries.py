@@ -183,3 +183,73 @@ def n8_lsqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _ = linalg.solve_rows(rows, 150, damp=1.0, tolerance=1e-10)
     y, _ = linalg.solve_rows(rows, 150, damp=1.0, tolerance=1e-10, driver_entries=0)
     return spark.createDataFrame([(i, round(float(u), 4), bool(abs(u - v) < 1e-3)) for i, (u, v) in enumerate(zip(x, y))], "column int, value double, same boolean")
+
+
+@query("with z as (select event, depth_km from ev) select event, round(case when depth_km < 20 then 5.8 else 6.5 end, 6) as vp, round(case when depth_km < 20 then 3.46 else 3.85 end, 6) as vs from z")
+def j11_velocity_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocities of a one-dimensional model at the events' depths (all above 35 km)."""
+    from quakespark.functions.model1d import LIBRARY
+
+    m = LIBRARY["ak135"]
+    return fx.events(spark, sf_dir).select("event", F.round(m.velocity(F.col("depth_km"), "P"), 6).alias("vp"), F.round(m.velocity(F.col("depth_km"), "S"), 6).alias("vs"))
+
+
+@query()
+def n25_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mechanisms of all events with enough polarities, with quality."""
+    from quakespark.plans.source import mechanisms
+    from quakespark.source_queries import polarities
+
+    return mechanisms(polarities(spark, sf_dir), step=10.0)
+
+
+@query()
+def n26_stress_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress axes of 64 resampled sets of all mechanisms."""
+    from quakespark.plans.source import stress_bootstrap
+    from quakespark.source_queries import mechanisms
+
+    return stress_bootstrap(mechanisms(spark, sf_dir).select("strike", "dip", "rake", "weight"), realizations=64, friction=0.6)
+
+
+@query()
+def n27_stress_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quakespark.operators.source import weighted_neighbours
+    from quakespark.plans.source import stress_map
+    from quakespark.source_queries import mechanisms
+
+    k = F.col("id")
+    mec = mechanisms(spark, sf_dir).select("id", "strike", "dip", "rake", (((k * 7) % 1000).cast("double") / 10).alias("x"), (((k * 11) % 1000).cast("double") / 10).alias("y"), (((k * 3) % 200).cast("double") / 10).alias("z"))
+    nodes = spark.range(100).select(k.alias("node"), (k % 10 * 10).cast("double").alias("x"), (F.floor(k / 10) * 10).cast("double").alias("y"), F.lit(10.0).alias("z"))
+    return stress_map(weighted_neighbours(nodes, mec, radius_km=25.0, half_height_km=9.0), mec)
+
+
+@query()
+def n28_coulomb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coulomb stress change of one earthquake on receivers at all events' hypocentres."""
+    from quakespark.plans import source
+
+    p = source.tapered_source(42.8, 13.2, 8.0, 160.0, 50.0, -90.0, 6.0, 12.0, 8.0, 3, 2)
+    e = fx.events(spark, sf_dir).select(F.col("event").alias("id"), F.col("ev_lat").alias("lat"), F.col("ev_lon").alias("lon"), "depth_km", F.lit(160.0).alias("strike"), F.lit(50.0).alias("dip"), F.lit(-90.0).alias("rake"))
+    return source.coulomb(e, p, order=2)
+
+
+@query()
+def n12_octree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that follow the coverage of P rays: number of cells by size."""
+    from quakespark.plans import mesh
+
+    c = forward.coverage(usable_arrivals(spark, sf_dir).where("phase = 'P'"), GRID).toPandas()  # of the model's size
+    hits = np.zeros(GRID.nodes)
+    hits[c["node"]] = c["hits"]
+    return spark.createDataFrame(list(mesh.size_histogram(mesh.octree(GRID, hits, threshold=1000.0)).items()), "nodes int, cells int")
+
+
+@query()
+def g14_automatic_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automatic picks on synthetic waveforms of the stations that have P and S of an event."""
+    from quakespark.operators.traces import pick_stations
+    from quakespark.plans.synthetic import waveforms
+
+    a = usable_arrivals(spark, sf_dir).groupBy("event", "station", "phase").agg(F.min("predicted_s").alias("time_s"))
+    return pick_stations(waveforms(a))
