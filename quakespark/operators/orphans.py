@@ -110,7 +110,7 @@ def orphan_references(
         known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
 
         def probe_range(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-            return misses(arrays(p), b) if len(b) else pd.DataFrame({"record": [], "state": [], "at": []})
+            return misses(arrays(p), b) if len(b) else pd.DataFrame({"record": np.zeros(0, object), "state": np.zeros(0, object), "at": np.zeros(0, np.int64)})
 
         found = refs.groupBy("range", "salt").cogroup(known.groupBy("range", "salt")).applyInPandas(probe_range, out)
     # Only misses are shuffled. A later delivery can only lose lateness, so the first delivery of a record is among its misses.

@@ -109,12 +109,12 @@ def lsqr(a: Csr, b: np.ndarray, damp: float = 0.0, *, atol: float = 1e-6, btol:
         x_norm += z * z
         res2 += psi * psi
         r_norm = float(np.sqrt(phi**2 + res2))
-        ar_norm = alpha * abs(s * phi_k / c) if c else 0.0
+        ar_norm = alpha * abs(s * phi_k)
         cond = norm_a * float(np.sqrt(cond_sum))
         if r_norm / norm_b <= btol + atol * norm_a * float(np.sqrt(x_norm2)) / norm_b:
             reason = "residual"
             break
-        if norm_a * r_norm > 0 and ar_norm / (norm_a * r_norm) <= atol:
+        if rho == 0 or alpha == 0 or (norm_a * r_norm > 0 and ar_norm / (norm_a * r_norm) <= atol):
             reason = "least squares"
             break
         if cond >= conlim:

@@ -145,34 +145,40 @@ def instability(n: np.ndarray, axes: np.ndarray, ratio: float, friction: float)
 
 def invert_stress(m: pd.DataFrame, *, friction: float | None = None, turns: int = 20, frictions: np.ndarray | None = None) -> dict:
     """Stress and fault planes from mechanisms (strike, dip, rake, weight): each mechanism takes its more unstable nodal plane, repeated until
-    planes stay; friction is the value of greatest mean instability."""
+    planes stay, from several starts of which the least misfit counts; friction is the value of greatest mean instability."""
     n1, u1 = vectors(m["strike"], m["dip"], m["rake"])
     planes, slips = np.stack([n1, u1]), np.stack([u1, n1])
     w = m["weight"].to_numpy(float)
+    every, rng = np.arange(len(m)), np.random.default_rng(11)
+    # Both planes of all mechanisms, and some choices of one of each: the repeated choice may end in a turned stress.
+    starts = [fit_stress(np.concatenate([n1, u1]), np.concatenate([u1, n1]), np.concatenate([w, w]))]
+    for _ in range(6):
+        c = rng.integers(0, 2, len(m))
+        starts.append(fit_stress(planes[c, every], slips[c, every], w))
     best = None
     for mu in [friction] if friction is not None else (frictions if frictions is not None else np.arange(0.2, 1.2001, 0.05)):
-        pick = np.zeros(len(m), int)
-        stress = fit_stress(np.concatenate([n1, u1]), np.concatenate([u1, n1]), np.concatenate([w, w]))
-        seen = set()
-        for _ in range(turns):
-            _, axes, r = principal(stress)
-            i = np.stack([instability(p, axes, r, mu) for p in planes])
-            new = i.argmax(0)
-            stress = fit_stress(planes[new, np.arange(len(m))], slips[new, np.arange(len(m))], w)
-            key = new.tobytes()
-            if (new == pick).all() or key in seen:
+        tries = []
+        for start in starts:
+            stress, pick, seen = start, np.full(len(m), -1), set()
+            for _ in range(turns):
+                _, axes, r = principal(stress)
+                new = np.stack([instability(p, axes, r, mu) for p in planes]).argmax(0)
+                stress = fit_stress(planes[new, every], slips[new, every], w)
+                key = new.tobytes()
+                done = (new == pick).all() or key in seen
+                seen.add(key)
                 pick = new
-                break
-            seen.add(key)
-            pick = new
-        _, axes, r = principal(stress)
-        n, u = planes[pick, np.arange(len(m))], slips[pick, np.arange(len(m))]
-        score = float(np.average(instability(n, axes, r, mu), weights=w))
-        t = n @ stress
-        shear = -(t - (t * n).sum(-1, keepdims=True) * n)
-        angle = np.degrees(np.arccos(np.clip((shear * u).sum(-1) / np.maximum(1e-12, np.linalg.norm(shear, axis=-1)), -1, 1)))
-        if best is None or (score, -float(angle.mean())) > (best["instability"], -best["misfit_deg"]):
-            best = {"friction": float(mu), "instability": score, "ratio": r, "axes": axes, "misfit_deg": float(angle.mean()), "planes": pick}
+                if done:
+                    break
+            _, axes, r = principal(stress)
+            n, u = planes[pick, every], slips[pick, every]
+            t = n @ stress
+            shear = -(t - (t * n).sum(-1, keepdims=True) * n)
+            angle = np.degrees(np.arccos(np.clip((shear * u).sum(-1) / np.maximum(1e-12, np.linalg.norm(shear, axis=-1)), -1, 1)))
+            tries.append((float(np.average(angle, weights=w)), len(tries), axes, r, pick, float(np.average(instability(n, axes, r, mu), weights=w))))
+        misfit, _, axes, r, pick, score = min(tries, key=lambda x: x[:2])
+        if best is None or (score, -misfit) > (best["instability"], -best["misfit_deg"]):
+            best = {"friction": float(mu), "instability": score, "ratio": r, "axes": axes, "misfit_deg": misfit, "planes": pick}
     for k in range(3):
         v = best["axes"][:, k] * (-1 if best["axes"][2, k] < 0 else 1)
         best[f"azimuth{k + 1}"], best[f"plunge{k + 1}"] = float(np.degrees(np.arctan2(v[1], v[0])) % 360), float(np.degrees(np.arcsin(np.clip(v[2], 0, 1))))
