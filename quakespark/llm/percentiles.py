@@ -99,6 +99,8 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, percentiles: lis
     """
     if not by:
         return exact_percentiles(df.withColumn("__all", F.lit(1)), ["__all"], value, percentiles, scale=scale, steps=steps, cuts=cuts, max_passes=max_passes).drop("__all")
+    if {"percentile", "n", "value"} & set(by):
+        raise ValueError("rename groups called percentile, n or value: the result has these columns")
     scratch = Scratch(df.sparkSession, "percentiles")
     keys = [f"g{i}" for i in range(len(by))]
     rows = df.where(finite(value)).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], (F.col(value).cast("double") + F.lit(0.0)).alias("x"))
