@@ -92,6 +92,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by the keys of a following grouped Python function, into the session's number of partitions: few bytes may mean
+    much work there, which adaptive execution, that goes by bytes, would put into one task."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+
+
 def micros(c: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp with or without time zone (the session zone must be UTC for the latter)."""
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakespark.common import Scratch, finite, shuffle_partitions
+from quakespark.common import spread as spread_out
 
 EARTH_KM = 6371.0
 
@@ -157,7 +158,7 @@ def pairs_within(points: DataFrame, radius_km: float, *, id: str, lat: str, lon:
             yield pd.concat(out)
 
     fields = f"id {kind}, lat double, lon double, r double, strip int, s int"
-    spread = q.select("id", "lat", "lon", "r", "strip", "s", "angle").mapInPandas(sectors_of, fields + ", angle double, sector int, home_sector int").drop("angle") if cut else q.select("id", "lat", "lon", "r", "strip", "s", F.lit(0).alias("sector"), F.lit(0).alias("home_sector"))
+    copies = q.select("id", "lat", "lon", "r", "strip", "s", "angle").mapInPandas(sectors_of, fields + ", angle double, sector int, home_sector int").drop("angle") if cut else q.select("id", "lat", "lon", "r", "strip", "s", F.lit(0).alias("sector"), F.lit(0).alias("home_sector"))
     r_km = float(radius_km)
 
     def cell(g: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +178,7 @@ def pairs_within(points: DataFrame, radius_km: float, *, id: str, lat: str, lon:
             got.append(pd.DataFrame({"a": ids[owner], "b": ids[other], "distance_km": np.sqrt((d * d).sum(1))}))
         return pd.concat(got) if got else pd.DataFrame({"a": ids[:0], "b": ids[:0], "distance_km": np.zeros(0)})
 
-    found = spread.groupBy("s", "sector").applyInPandas(cell, f"a {kind}, b {kind}, distance_km double")
+    found = spread_out(copies, "s", "sector").groupBy("s", "sector").applyInPandas(cell, f"a {kind}, b {kind}, distance_km double")
 
     # Back from places to ids.
     shared = places.where("n > 1")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakespark.common import spread
 from quakespark.functions.geo import EARTH_KM
 from quakespark.functions.grid import Grid
 
@@ -246,7 +247,7 @@ def kernel_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarray]
         return pd.concat([g[["arrival", "event", "station", "phase"]].reset_index(drop=True), r], axis=1)
 
     per = arrivals.withColumn("chunk", F.floor(F.pmod(F.xxhash64("arrival"), F.lit(1 << 20)) / F.greatest(F.lit(1), F.ceil(F.lit(1 << 20) / F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(_by_station()) / chunk_rows))))))
-    return per.groupBy("station", "phase", "chunk").applyInPandas(run, out)
+    return spread(per, "station", "phase", "chunk").groupBy("station", "phase", "chunk").applyInPandas(run, out)
 
 
 def _by_station():

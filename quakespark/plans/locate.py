@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakespark.common import shuffle_partitions, spread
 from quakespark.functions.geo import EARTH_KM
 from quakespark.functions.grid import Grid
 from quakespark.functions.mechanism import tricube
@@ -28,7 +29,7 @@ def travel_time_tables(stations: DataFrame, grid: Grid, slowness: dict[str, np.n
                     out.append((r.station, p, eikonal(grid, s, (r.st_lon, r.st_lat, -r.elevation_m / 1000)).ravel().astype(np.float32)))
             yield pd.DataFrame(out, columns=["station", "phase", "t"])
 
-    return stations.select("station", "st_lon", "st_lat", "elevation_m").mapInPandas(make, "station long, phase string, t array<float>")
+    return spread(stations.select("station", "st_lon", "st_lat", "elevation_m"), "station").mapInPandas(make, "station long, phase string, t array<float>")
 
 
 def locate_event(times: np.ndarray, sigma: np.ndarray, tables: list[np.ndarray], grid: Grid, *, coarse: int = 8000, turns: int = 20, outlier_mads: float = 4.0, outlier_floor: float = 0.5, rounds: int = 3, fixed_depth: float | None = None) -> dict | None:
@@ -146,9 +147,9 @@ def locate(spark: SparkSession, arrivals: DataFrame, tables: DataFrame, grid: Gr
                 out.append({"event": e, **r})
         return pd.DataFrame(out, columns=[c.split()[0] for c in LOCATION.split(", ")])
 
-    groups = max(1, arrivals.select("event").distinct().count() // events_per_task)
+    groups = max(shuffle_partitions(spark), arrivals.select("event").distinct().count() // events_per_task)
     a = arrivals.select("event", "station", "phase", time, "sigma_s", F.pmod(F.xxhash64("event"), F.lit(groups)).alias("slot"))
-    return a.groupBy("slot").applyInPandas(run, LOCATION)
+    return spread(a, "slot").groupBy("slot").applyInPandas(run, LOCATION)
 
 
 def double_differences(pairs: DataFrame, readings: DataFrame, *, residual: str, max_separation_km: float, cutoff_s: float, weight_p: float = 1.0, weight_s: float = 0.5, least: float = 1e-3) -> DataFrame:

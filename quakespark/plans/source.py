@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakespark.common import spread
+
 # Geometry in numpy: north, east, down
 
 
@@ -110,7 +112,7 @@ def mechanisms(polarities: DataFrame, *, step: float = 5.0, error_fraction: floa
         second = plane(u[best], n[best])
         return pd.DataFrame([(g["event"].iloc[0], s[best], d[best], r[best], *second, len(g), bad, rms, prob, stdr, azg, tog, quality, len(ok))], columns=cols)
 
-    return polarities.groupBy("event").applyInPandas(run, MECHANISM)
+    return spread(polarities, "event").groupBy("event").applyInPandas(run, MECHANISM)
 
 
 # Stress
@@ -224,7 +226,7 @@ def stress_map(neighbours: DataFrame, mechanisms: DataFrame, *, least: int = 5,
         return pd.DataFrame([(g["node"].iloc[0], r["azimuth1"], r["plunge1"], r["azimuth3"], r["plunge3"], r["ratio"], len(g))], columns=[c.split()[0] for c in out.split(", ")])
 
     j = neighbours.join(mechanisms.select("id", "strike", "dip", "rake"), "id")
-    return j.groupBy("node").applyInPandas(run, out)
+    return spread(j, "node").groupBy("node").applyInPandas(run, out)
 
 
 # Coulomb stress
@@ -348,7 +350,7 @@ def coulomb(receivers: DataFrame, patches: pd.DataFrame, *, friction: float = 0.
             shear, open_ = (t * v).sum(-1), (t * n).sum(-1)
             yield pd.DataFrame({"id": b["id"], "shear_pa": shear, "unclamping_pa": open_, "coulomb_pa": shear + friction * open_})
 
-    return receivers.select("id", "lat", "lon", "depth_km", "strike", "dip", "rake").mapInPandas(run, f"id {kind}, shear_pa double, unclamping_pa double, coulomb_pa double")
+    return spread(receivers.select("id", "lat", "lon", "depth_km", "strike", "dip", "rake"), "id").mapInPandas(run, f"id {kind}, shear_pa double, unclamping_pa double, coulomb_pa double")
 
 
 def receiver_plane(spark, lat: float, lon: float, depth_km: float, half_km: float, n: int, strike: float, dip: float, rake: float) -> DataFrame:
