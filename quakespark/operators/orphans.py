@@ -66,9 +66,10 @@ def orphan_references(
     if not text:
         known, refs = known.withColumn("key", F.col("key").cast("long")), refs.withColumn("key", F.col("key").cast("long"))
     known = Scratch(spark, "parents").keep(known)
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("key") if text else F.lit(8)).alias("b")).first()
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("key") if text else F.lit(2)).alias("widest")).first()
     out = "record string, state string, at long"
-    n, total = size["n"], (size["b"] or 0) + 64 * size["n"]
+    n = size["n"]
+    total = n * (4 * (size["widest"] or 0) + 9)  # bytes of the arrays: keys, first deliveries, deletions
 
     def misses(ranges: _Ranges, b: pd.DataFrame) -> pd.DataFrame:
         keys = b["key"].to_numpy(dtype=object if text else np.int64)
