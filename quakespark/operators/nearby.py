@@ -35,6 +35,18 @@ def sweep(lat: np.ndarray, lon: np.ndarray, r: np.ndarray, radius: float, block:
     n = len(lat)
     if n < 2:
         return
+    # Near the sphere's centre the radius is a wide angle: points there (in real data none, or slips of a key) are swept on their own, with
+    # those above them that they can reach, so that they do not widen the bands of all others.
+    cut = 0.5 * float(r.max())
+    deep = r < cut
+    if deep.any() and not deep.all() and cut > 10 * radius:
+        for part, only in ((np.flatnonzero(~deep), False), (np.flatnonzero(r < cut + radius), True)):
+            for i, j in sweep(lat[part], lon[part], r[part], radius, block):
+                i, j = part[i], part[j]
+                keep = (deep[i] | deep[j]) if only else np.ones(len(i), bool)
+                if keep.any():
+                    yield i[keep], j[keep]
+        return
     # The angle between two points at most `radius` apart, for the shallower radii of this cell.
     low = max(float(r.min()), 1e-9)
     ratio = radius / (2 * low)
@@ -105,7 +117,9 @@ def pairs_within(points: DataFrame, radius_km: float, *, id: str, lat: str, lon:
     good = finite(lat) & finite(lon) & finite(depth_km) & F.col(id).isNotNull()
     p = points.where(good).select(F.col(id).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon0"), (EARTH_KM - F.col(depth_km).cast("double")).alias("r"))
     p = p.where((F.abs("lat") <= 90) & ~((F.col("lat") == 0) & (F.col("lon0") == 0)))
-    p = p.select("id", "lat", F.pmod("lon0", F.lit(360.0)).alias("lon"), F.abs("r").alias("r")).distinct()
+    # Below the sphere's centre a point lies on the other side.
+    over = F.col("r") < 0
+    p = p.select("id", F.when(over, -F.col("lat")).otherwise(F.col("lat")).alias("lat"), F.pmod(F.when(over, F.col("lon0") + 180).otherwise(F.col("lon0")), F.lit(360.0)).alias("lon"), F.abs("r").alias("r")).distinct()
     members = scratch.keep(p)
     places = scratch.keep(members.groupBy("lat", "lon", "r").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
 

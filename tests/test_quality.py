@@ -19,7 +19,7 @@ def brute(p, km):
     for i, la, lo, de in p:
         ok = all(v is not None and np.isfinite(v) for v in (la, lo, de)) and abs(la) <= 90 and not (la == 0 and lo == 0)
         if ok:
-            r = abs(6371 - de)
+            r = 6371 - de
             a, o = np.radians(la), np.radians(lo)
             x.append((i, r * np.cos(a) * np.cos(o), r * np.cos(a) * np.sin(o), r * np.sin(a)))
     x = sorted(set(x))
@@ -35,6 +35,7 @@ def test_pairs_within(spark, target):
         lon = base[1] + rng.normal(0, 0.5 if abs(base[0]) > 80 else 0.01)
         p.append((i, float(np.clip(base[0] + rng.normal(0, 0.01), -90, 90)), float(lon + 360 * rng.integers(-1, 2)), float(rng.uniform(0, 2))))
     p += [(i, 45.0, 7.0, 1.0) for i in range(1000, 1012)]  # one place
+    p += [(3000 + i, float(rng.uniform(-90, 90)), float(rng.uniform(0, 360)), float(6371 - rng.uniform(0, 1))) for i in range(12)] + [(3100, 45.001, 7.0, 7000.0), (3101, -45.001, 187.0, 12742 - 7000.0)]  # at the centre
     p += [(2000, None, 7.0, 1.0), (2001, float("nan"), 7.0, 1.0), (2002, 0.0, 0.0, 1.0), (2003, 95.0, 7.0, 1.0), (2004, 45.0, 7.0, None), (5, p[5][1], p[5][2], p[5][3])]
     d = spark.createDataFrame([(*q, "x") for q in p], "rid long, lat double, lon double, dep double, distance_km string")
     got = pairs_within(d, 1.0, id="rid", lat="lat", lon="lon", depth_km="dep", target_rows=target).toPandas()
