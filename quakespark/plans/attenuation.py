@@ -122,3 +122,27 @@ def events_by_magnitude(fits: DataFrame, events: DataFrame) -> DataFrame:
     w = Window.partitionBy("event").orderBy("fit")
     f = fits.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("event", "resolved")
     return f.join(events.where(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).select("event", "magnitude"), "event")
+
+
+def recommend_magnitude(events: DataFrame, *, share: float = 0.5, least: int = 20) -> dict:
+    """The lowest magnitude from which every window of events has most corners resolved; from Brune scaling of the resolved events where
+    there are too few events for that. `events`: (event, magnitude, resolved, corner_hz, f_max). Only single rows reach the driver."""
+    from quakespark.operators.source import magnitude_windows
+
+    n = events.count()
+    if n >= least:
+        w = magnitude_windows(events)
+        bad = w.where(F.col("fraction") < share).agg(F.max(F.struct("magnitude", "event")).alias("m")).first()["m"]
+        if bad is None:
+            return {"magnitude": None, "method": "per event", "events": n}
+        after = w.where((F.col("magnitude") > bad["magnitude"]) | ((F.col("magnitude") == bad["magnitude"]) & (F.col("event") > bad["event"]))).agg(F.min("magnitude")).first()[0]
+        if after is not None:
+            return {"magnitude": math.floor(after * 10 + 1e-6) / 10, "method": "per event", "events": n}
+    beta = 3500.0
+    s = F.log10(7.0 / 16 * F.pow(F.lit(10.0), 1.5 * F.col("magnitude") + 9.1) * F.pow(F.col("corner_hz") / (0.37 * beta), 3))
+    m = stats.upper_median(events.where("resolved").withColumn("_s", s), [], "_s").first()
+    band = stats.upper_median(events, [], "f_max").first()
+    if m is None or band is None:
+        return {"magnitude": None, "method": "none", "events": n}
+    m0 = 16 * 10 ** m["median"] / 7 * (0.37 * beta / (band["median"] / 3)) ** 3
+    return {"magnitude": math.ceil((math.log10(m0) - 9.1) / 1.5 * 10 - 1e-6) / 10, "method": "Brune scaling", "events": n}

@@ -165,3 +165,66 @@ def double_differences(pairs: DataFrame, readings: DataFrame, *, residual: str,
     prior = F.when(F.col("phase") == "P", weight_p).otherwise(weight_s) * tricube(F.col("km"), max_separation_km) * tricube(F.col("dd"), cutoff_s)
     j = j.withColumn("prior", prior).where(F.col("prior") >= least)
     return j.select("a", "b", "station", "phase", "dd", (F.col("prior") / F.sqrt(F.pow("sa", 2) + F.pow("sb", 2))).alias("weight"))
+
+
+def relocate_pairs(spark: SparkSession, arrivals: DataFrame, pairs: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], *, iterations: int = 3, max_separation_km: float = 10.0, cutoff_s: float = 1.0, damping: float = 1.0, straight: bool = False) -> pd.DataFrame:
+    """Relative hypocentres by double differences: (event, ev_lon, ev_lat, depth_km, t0) after some iterations.
+
+    Arrivals (event, station, phase, time_s, sigma_s and coordinates), pairs (a, b, km). Differences of residuals of common readings are fitted by
+    changes of both hypocentres, with the kernels' gradients; the centre of all moves stays. Rows are distributed; the driver holds one row an
+    event and the solution.
+    """
+    from quakespark.common import Scratch
+    from quakespark.plans.forward import kernel_rows
+    from quakespark.plans.linalg import solve_rows
+
+    scratch = Scratch(spark, "differences")
+    a = scratch.keep(arrivals.withColumn("arrival", F.monotonically_increasing_id()))
+    ev = a.groupBy("event").agg(F.first("ev_lon").alias("ev_lon"), F.first("ev_lat").alias("ev_lat"), F.first("depth_km").alias("depth_km")).toPandas().sort_values("event").reset_index(drop=True)
+    ev["t0"], ev["column"] = 0.0, np.arange(len(ev))
+    fixed = a.drop("ev_lon", "ev_lat", "depth_km")
+    for _ in range(iterations):
+        e = spark.createDataFrame(ev)
+        k = kernel_rows(fixed.join(e, "event"), grid, slowness, straight=straight).drop("nodes", "km")
+        r = scratch.keep(k.join(fixed.select("arrival", "time_s", "sigma_s"), "arrival").join(e.select("event", "t0", "column"), "event").withColumn("r", F.col("time_s") - F.col("t0") - F.col("t_calc")))
+        d = double_differences(pairs, r, residual="r", max_separation_km=max_separation_km, cutoff_s=cutoff_s)
+        g = r.select("event", "station", "phase", "ge", "gn", "gd", "column")
+        x = g.withColumnsRenamed({"event": "a", **{c: f"{c}_a" for c in ("ge", "gn", "gd", "column")}})
+        y = g.withColumnsRenamed({"event": "b", **{c: f"{c}_b" for c in ("ge", "gn", "gd", "column")}})
+        j = d.join(x, ["a", "station", "phase"]).join(y, ["b", "station", "phase"])
+        w = F.col("weight")
+        cols = F.array(*[(4 * F.col(f"column_{s}") + i).cast("int") for s in "ab" for i in range(4)])
+        vals = F.array(*[(1 if s == "a" else -1) * w * v for s in "ab" for v in (F.lit(1.0), F.col(f"ge_{s}"), F.col(f"gn_{s}"), F.col(f"gd_{s}"))])
+        rows = j.select(cols.alias("columns"), vals.alias("values"), (w * F.col("dd")).alias("rhs"))
+        damp = spark.range(4 * len(ev)).select(F.array(F.col("id").cast("int")).alias("columns"), F.array(F.lit(float(damping))).alias("values"), F.lit(0.0).alias("rhs"))
+        h = solve_rows(scratch.keep(rows.unionByName(damp)), 4 * len(ev))[0].reshape(-1, 4)
+        h -= h.mean(0)
+        rad = EARTH_KM - ev["depth_km"].to_numpy()
+        lat = ev["ev_lat"].to_numpy()
+        ev["t0"] += h[:, 0]
+        ev["ev_lon"] = np.clip(ev["ev_lon"] + np.degrees(h[:, 1] / (rad * np.cos(np.radians(lat)))), grid.min_lon, grid.max_lon)
+        ev["ev_lat"] = np.clip(lat + np.degrees(h[:, 2] / rad), grid.min_lat, grid.max_lat)
+        ev["depth_km"] = np.clip(ev["depth_km"] + h[:, 3], grid.min_depth, grid.max_depth)
+    return ev.drop(columns="column")
+
+
+def cached_tables(spark: SparkSession, folder: str, stations: DataFrame, grid: Grid, slowness: dict[str, np.ndarray]) -> DataFrame:
+    """Travel-time tables from a folder, made where they are missing: a table belongs to a model, a station and a phase, and the model's
+    key is a hash of its grid and slowness."""
+    import hashlib
+
+    h = hashlib.sha256(grid.to_json().encode())
+    for p in sorted(slowness):
+        h.update(p.encode() + np.ascontiguousarray(slowness[p], "<f8").tobytes())
+    path = f"{folder.rstrip('/')}/model={h.hexdigest()[:24]}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(conf).exists(there):
+        known = spark.read.parquet(path)
+        missing = stations.join(known.select("station").distinct(), "station", "left_anti")
+        if not missing.limit(1).count():
+            return known
+        travel_time_tables(missing, grid, slowness, tuple(slowness)).write.mode("append").parquet(path)
+    else:
+        travel_time_tables(stations, grid, slowness, tuple(slowness)).write.parquet(path)
+    return spark.read.parquet(path)

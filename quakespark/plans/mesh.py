@@ -140,3 +140,29 @@ def project(kernels: DataFrame, map_: DataFrame) -> DataFrame:
 def size_histogram(mesh: Mesh) -> dict[int, int]:
     size = np.bincount(mesh.of_node, minlength=mesh.n)
     return {int(k): int(v) for k, v in zip(*np.unique(size, return_counts=True))}
+
+
+def save(mesh: Mesh, grid: Grid, path: str) -> None:
+    import json
+    import os
+
+    with open(path + ".tmp", "w") as f:
+        json.dump({"grid": json.loads(grid.to_json()), "cells": mesh.cells.tolist()}, f)
+    os.replace(path + ".tmp", path)
+
+
+def load(path: str) -> tuple[Mesh, Grid]:
+    """Cells that cover the grid without overlap; anything else is an error."""
+    import json
+
+    with open(path) as f:
+        d = json.load(f)
+    g = Grid(**d["grid"])
+    count = np.zeros((g.nz, g.ny, g.nx), int)
+    of_node = np.full(count.shape, -1)
+    for n, (i0, i1, j0, j1, k0, k1) in enumerate(d["cells"]):
+        count[k0:k1, j0:j1, i0:i1] += 1
+        of_node[k0:k1, j0:j1, i0:i1] = n
+    if (count != 1).any():
+        raise ValueError(f"{path}: cells overlap or leave nodes out")
+    return Mesh(np.array(d["cells"]), of_node.ravel()), g

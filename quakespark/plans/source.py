@@ -360,3 +360,59 @@ def receiver_plane(spark, lat: float, lon: float, depth_km: float, half_km: floa
     at = lambda k: (k / (n - 1) * 2 - 1) * half_km
     d = spark.range(n * n)
     return d.select("id", (F.lit(lat) + F.degrees(at(j) / r)).alias("lat"), (F.lit(lon) + F.degrees(at(i) / (r * math.cos(math.radians(lat))))).alias("lon"), F.lit(float(depth_km)).alias("depth_km"), F.lit(float(strike)).alias("strike"), F.lit(float(dip)).alias("dip"), F.lit(float(rake)).alias("rake"))
+
+
+def damped_stress_map(neighbours: DataFrame, mechanisms: DataFrame, edges: list[tuple[int, int]], *, damping: float = 1.0, least: int = 5, friction: float = 0.6, turns: int = 500) -> pd.DataFrame:
+    """Stress at all nodes of a map at once: each node's normal equations (planes chosen by its own inversion), and differences of neighbours
+    (`edges`) damped, by conjugate gradients. Normal equations are made in parallel; the solve is of the map's size."""
+    out = "node long, n int, ata array<double>, atb array<double>"
+    cols = [c.split()[0] for c in out.split(", ")]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) < least:
+            return pd.DataFrame(columns=cols)
+        g = g.sort_values("id").reset_index(drop=True)
+        pick = invert_stress(g, friction=friction)["planes"]
+        n1, u1 = vectors(g["strike"], g["dip"], g["rake"])
+        n, u = np.where(pick[:, None] == 0, n1, u1), np.where(pick[:, None] == 0, u1, n1)
+        t = np.einsum("kij,mj->mki", _BASIS, n)
+        shear = t - np.einsum("mki,mi->mk", t, n)[..., None] * n[:, None, :]
+        w = g["weight"].to_numpy(float) / g["weight"].sum()
+        return pd.DataFrame([(g["node"].iloc[0], len(g), np.einsum("m,mki,mli->kl", w, shear, shear).ravel(), -np.einsum("m,mki,mi->k", w, shear, u))], columns=cols)
+
+    j = neighbours.join(mechanisms.select("id", "strike", "dip", "rake"), "id")
+    d = spread(j, "node").groupBy("node").applyInPandas(run, out).toPandas().sort_values("node").reset_index(drop=True)
+    if not len(d):
+        return pd.DataFrame(columns=["node", "azimuth1", "plunge1", "azimuth3", "plunge3", "ratio", "n"])
+    at = {int(v): k for k, v in enumerate(d["node"])}
+    e = np.array([(at[a], at[b]) for a, b in edges if a in at and b in at], int).reshape(-1, 2)
+    a, b = np.stack([np.reshape(v, (5, 5)) for v in d["ata"]]), np.stack(d["atb"])
+
+    def times(x: np.ndarray) -> np.ndarray:
+        y = np.einsum("nkl,nl->nk", a, x)
+        step = damping * (x[e[:, 0]] - x[e[:, 1]])
+        np.add.at(y, e[:, 0], step)
+        np.add.at(y, e[:, 1], -step)
+        return y + 1e-9 * x
+
+    x = np.zeros_like(b)
+    r = b - times(x)
+    p, rr = r.copy(), float((r * r).sum())
+    for _ in range(turns):
+        if rr <= 1e-20:
+            break
+        q = times(p)
+        s = rr / float((p * q).sum())
+        x += s * p
+        r = r - s * q
+        new = float((r * r).sum())
+        p, rr = r + new / rr * p, new
+    rows = []
+    for node, n, v in zip(d["node"], d["n"], x):
+        _, axes, ratio = principal(np.einsum("k,kij->ij", v, _BASIS))
+        ang = []
+        for k in (0, 2):
+            c = axes[:, k] * (-1 if axes[2, k] < 0 else 1)
+            ang += [float(np.degrees(np.arctan2(c[1], c[0])) % 360), float(np.degrees(np.arcsin(np.clip(c[2], 0, 1))))]
+        rows.append((int(node), *ang, ratio, int(n)))
+    return pd.DataFrame(rows, columns=["node", "azimuth1", "plunge1", "azimuth3", "plunge3", "ratio", "n"])

@@ -275,3 +275,63 @@ def test_mesh():
     assert (e[:, 0] < e[:, 1]).all() and e[:, 3].min() > 0
     c, w, n = mesh.lattice(GRID, 5.0, 4.0, 30.0)
     assert np.allclose(w.sum(1), 1) and c.max() == n - 1
+
+
+def test_double_differences_tighten_relative_places(spark):
+    from quakespark.operators.nearby import pairs_within
+
+    d, truth, _ = synthetic.dataset(spark, GRID, stations=10, events=25, percent=0.0, noise=(0.005, 0.01), location_error_km=1.0, straight=True, seed=3)
+    d = d.persist()
+    ev = d.select("event", "ev_lon", "ev_lat", "depth_km").distinct()
+    pairs = pairs_within(ev, 20.0, id="event", lat="ev_lat", lon="ev_lon", depth_km="depth_km").selectExpr("id_a as a", "id_b as b", "distance_km as km")
+    r = locate.relocate_pairs(spark, d, pairs, GRID, {p: 1 / v for p, v in truth.items()}, straight=True, max_separation_km=40.0, cutoff_s=3.0)
+    true = synthetic.geometry(spark, GRID, 10, 25, seed=3)[1].toPandas()
+    off = lambda x: (x.merge(true, on="event", suffixes=("", "_t")).pipe(lambda m: np.stack([(m["ev_lon"] - m["ev_lon_t"]) * 82, (m["ev_lat"] - m["ev_lat_t"]) * 111, m["depth_km"] - m["depth_km_t"]], 1)))
+    spread_ = lambda x: float(np.median(np.linalg.norm(off(x) - off(x).mean(0), axis=1)))
+    assert spread_(r) < 0.6 * spread_(ev.toPandas())
+    d.unpersist()
+
+
+def test_tables_are_kept(spark, tmp_path):
+    st, _ = synthetic.geometry(spark, GRID, 3, 1)
+    s = {"P": np.full(GRID.nodes, 0.2)}
+    f = f"file://{tmp_path}/tables"
+    assert locate.cached_tables(spark, f, st.where("station < 2"), GRID, s).count() == 2
+    assert locate.cached_tables(spark, f, st, GRID, s).count() == 3
+    assert locate.cached_tables(spark, f, st, GRID, {"P": np.full(GRID.nodes, 0.3)}).count() == 3
+    assert len(list((tmp_path / "tables").iterdir())) == 2
+
+
+def test_mesh_files(tmp_path):
+    m = mesh.octree(GRID, np.zeros(GRID.nodes))
+    mesh.save(m, GRID, str(tmp_path / "m.json"))
+    n, g = mesh.load(str(tmp_path / "m.json"))
+    assert g == GRID and (n.of_node == m.of_node).all()
+    mesh.save(mesh.Mesh(m.cells[1:], m.of_node), GRID, str(tmp_path / "m.json"))
+    with pytest.raises(ValueError):
+        mesh.load(str(tmp_path / "m.json"))
+
+
+def test_sql_functions(spark):
+    from quakespark.functions.registry import register
+
+    assert "qs_distance_km" in register(spark)
+    r = spark.sql("select qs_distance_km(0, 0, 0, 1) as d, qs_azimuth(0, 0, 1, 0) as a, qs_phase('Pn') as p, qs_pick_field(33297L, 8, 4) as o, qs_usable(0, 1, 0.1D) as u").first()
+    assert abs(r["d"] - 111.19) < 0.01 and abs(r["a"] - 90) < 1e-9 and r["p"] == "P" and r["o"] == 2 and r["u"]
+    assert spark.sql("select * from qs_grid_nodes(0, 1, 0, 1, 0, 2, 2, 2, 3)").count() == 12
+    assert abs(spark.sql("select sum(km) as s, count(*) as n from qs_ray_points(0, 0, 0, 3, 4, 0, 1)").first()["s"] - 5) < 1e-12
+
+
+def test_damped_stress_map(spark):
+    rng = np.random.default_rng(2)
+    m = pd.DataFrame({"id": np.arange(80), "strike": 160 + rng.normal(0, 15, 80), "dip": 55 + rng.normal(0, 5, 80), "rake": -90 + rng.normal(0, 10, 80)})
+    nb = pd.DataFrame({"node": np.arange(80) % 4, "id": np.arange(80), "weight": 1.0})
+    r = source.damped_stress_map(spark.createDataFrame(nb), spark.createDataFrame(m), [(0, 1), (1, 2), (2, 3)], damping=10.0)
+    assert len(r) == 4 and (r["plunge1"] > 60).all() and r["azimuth3"].mod(180).std() < 10  # normal faulting
+
+
+def test_magnitude_advice(spark):
+    e = spark.createDataFrame([(i, 1 + i / 20, i >= 25, 5.0, 30.0) for i in range(60)], "event long, magnitude double, resolved boolean, corner_hz double, f_max double")
+    r = attenuation.recommend_magnitude(e)
+    assert r["method"] == "per event" and 1.8 <= r["magnitude"] <= 2.3
+    assert attenuation.recommend_magnitude(e.where("event > 50"))["method"] == "Brune scaling"
