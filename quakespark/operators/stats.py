@@ -72,15 +72,15 @@ def truncated_percentile(df: DataFrame, by: list[str], value: str, p: float) ->
 
 
 def reject_outliers(rows: DataFrame, *, residual: str, floor_s: float, mads: float = 4.0, centre_by: list[str] = (), absolute_s: float | None = None, scale: float = 1.4826) -> DataFrame:
-    """Rows with `rejected`: further than max(floor, mads x scaled MAD) from the centre.
+    """Rows with `rejected`: further than max(floor, mads x scaled MAD) from the centre. The groups of `centre_by` are small, such as an event's
+    readings: their medians are made by a window.
 
     The centre is the averaging median of all rows, or of each group in `centre_by`; the MAD is that of all distances. With
     `absolute_s`, residuals beyond it are rejected as well. Unknown residuals (null, NaN) are rejected.
     """
     ok = F.col(residual).isNotNull() & ~F.isnan(residual)
     if centre_by:
-        c = median(rows.where(ok), list(centre_by), residual).select(*centre_by, F.col("median").alias("_c"))
-        r = rows.join(c, list(centre_by), "left")
+        r = rows.withColumn("_c", F.median(F.when(ok, F.col(residual))).over(Window.partitionBy(*centre_by)))
     else:
         c = median(rows.where(ok), [], residual).select(F.col("median").alias("_c"))
         r = rows.crossJoin(F.broadcast(c))  # one row

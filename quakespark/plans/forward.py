@@ -211,21 +211,24 @@ def coverage(arrivals: DataFrame, grid: Grid, *, piece_km: float = 1.0, rays_at_
     return part.groupBy("phase", "node").agg(F.sum("dws").alias("dws"), F.sum("hits").alias("hits"))
 
 
-def kernel_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], *, straight: bool = False, forward: Grid | None = None, chunk_rows: int = 20_000) -> DataFrame:
-    """(arrival, event, station, phase, t_calc, ge, gn, gd, nodes, km) of every arrival.
+def kernel_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], *, straight: bool = False, layered: bool = False, carry: list[str] = (), forward: Grid | None = None, chunk_rows: int = 20_000) -> DataFrame:
+    """(arrival, event, station, phase, t_calc, ge, gn, gd, nodes, km, and the columns in `carry`) of every arrival.
 
     One table a (station, phase), made where its arrivals are; a station with many arrivals is split into chunks that each make it. Slowness
-    (one value a node of `grid`, the model's size) travels with the function.
+    (one value a node of `grid`, the model's size) travels with the function. With `layered`, lengths are summed by layer and `nodes` are
+    layers: for models of one value a layer, rows are then as short as the grid is deep.
     """
+    plane = grid.nx * grid.ny
     fwd = forward or grid
     fields = {p: (grid.resample(s, fwd).reshape(fwd.nz, fwd.ny, fwd.nx) if fwd is not grid else s.reshape(grid.nz, grid.ny, grid.nx)) for p, s in slowness.items()}
-    out = "arrival long, event long, station long, phase string, t_calc double, ge double, gn double, gd double, nodes array<int>, km array<double>"
+    out = "arrival long, event long, station long, phase string, t_calc double, ge double, gn double, gd double, nodes array<int>, km array<double>" + "".join(f", {c} {arrivals.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         f, s = g.iloc[0], fields[g["phase"].iloc[0]]
         source = (float(f["st_lon"]), float(f["st_lat"]), -float(f["elevation_m"]) / 1000)
         lon, lat, dep = (g[c].to_numpy(float) for c in ("ev_lon", "ev_lat", "depth_km"))
         rows = []
+        slow = slowness[f["phase"]].ravel()[:: plane if layered else 1]
         if straight:
             a, b = cartesian(lon, lat, dep), cartesian(*source)
             here = grid.interpolate(slowness[f["phase"]].ravel(), lon, lat, dep)
@@ -233,20 +236,31 @@ def kernel_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarray]
             v = np.einsum("nij,nj->ni", local_axes(lon, lat), away) * here[:, None]
             for k in range(0, len(g), 1000):
                 ray, node, km = straight_kernels(grid, a[k : k + 1000], np.broadcast_to(b, a[k : k + 1000].shape), 0.5 * grid.min_spacing_km)
+                if layered:
+                    m = min(1000, len(g) - k)
+                    sums = np.bincount(ray * grid.nz + node // plane, km, m * grid.nz)
+                    at = np.flatnonzero(sums)
+                    ray, node, km = at // grid.nz, at % grid.nz, sums[at]
                 cut = np.searchsorted(ray, np.arange(min(1000, len(g) - k) + 1))
                 for i in range(len(cut) - 1):
                     nd, ln = node[cut[i] : cut[i + 1]], km[cut[i] : cut[i + 1]]
-                    rows.append((float(ln @ slowness[f["phase"]].ravel()[nd]), *v[k + i], nd, ln))
+                    rows.append((float(ln @ slow[nd]), *v[k + i], nd, ln))
         else:
             table = eikonal(fwd, s, source)
             t, v = time_and_gradient(fwd, table, lon, lat, dep)
             for i, path in enumerate(trace_rays(fwd, table, source, lon, lat, dep)):
                 nodes, km = kernel(grid, path)
+                if layered:
+                    km = np.bincount(nodes // plane, km, grid.nz)
+                    nodes = np.flatnonzero(km)
+                    km = km[nodes]
                 rows.append((t[i], *v[i], nodes, km))
         r = pd.DataFrame(rows, columns=["t_calc", "ge", "gn", "gd", "nodes", "km"])
-        return pd.concat([g[["arrival", "event", "station", "phase"]].reset_index(drop=True), r], axis=1)
+        g = g.reset_index(drop=True)
+        return pd.concat([g[["arrival", "event", "station", "phase"]], r, g[list(carry)]], axis=1)
 
-    per = arrivals.withColumn("chunk", F.floor(F.pmod(F.xxhash64("arrival"), F.lit(1 << 20)) / F.greatest(F.lit(1), F.ceil(F.lit(1 << 20) / F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(_by_station()) / chunk_rows))))))
+    needed = ["arrival", "event", "station", "phase", "ev_lon", "ev_lat", "depth_km", "st_lon", "st_lat", "elevation_m", *carry]
+    per = arrivals.select(*needed).withColumn("chunk", F.floor(F.pmod(F.xxhash64("arrival"), F.lit(1 << 20)) / F.greatest(F.lit(1), F.ceil(F.lit(1 << 20) / F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(_by_station()) / chunk_rows))))))
     return spread(per, "station", "phase", "chunk").groupBy("station", "phase", "chunk").applyInPandas(run, out)
 
 

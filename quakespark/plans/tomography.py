@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakespark.common import Scratch
+from quakespark.common import Scratch, spread
 from quakespark.functions.geo import EARTH_KM
 from quakespark.functions.grid import Grid
 from quakespark.operators import regular, stats
@@ -72,9 +72,9 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
     while True:
         e = spark.createDataFrame(ev)
         now = fixed.join(e, "event")
-        k = scratch.keep(kernel_rows(now, grid, {p: 1 / v[p] for p in phases}, straight=s.straight))
+        k = scratch.keep(kernel_rows(now, grid, {p: 1 / v[p] for p in phases}, straight=s.straight, layered=s.layered, carry=["time_s", "sigma_s", "t0", "column"]))
         t = spark.createDataFrame(st.rename(columns={"column": "st_column"}))
-        r = k.join(fixed.select("arrival", "time_s", "sigma_s"), "arrival").join(e.select("event", "t0", "column"), "event").join(t, ["station", "phase"])
+        r = k.join(t, ["station", "phase"])
         r = r.withColumn("residual", F.col("time_s") - F.col("t0") - F.col("t_calc") - F.col("term"))
         r = scratch.keep(stats.reject_outliers(r, residual="residual", floor_s=s.outlier_floor_s, mads=s.outlier_mads, centre_by=["event"], absolute_s=s.max_residual_s))
         ok = r.where(~F.col("rejected"))
@@ -103,6 +103,7 @@ def _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown) -> np.
     n = base_st + (len(st) if s.station_terms else 0)
     slow = {p: 1 / v[p] for p in phases}
     plane = grid.nx * grid.ny
+    short = {p: slow[p][:: plane if s.layered else 1] for p in phases}
     w = lambda sigma: 1 / np.maximum(0.01, sigma)
 
     def rows(batches):
@@ -110,11 +111,7 @@ def _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown) -> np.
             cols, vals, rhs = [], [], []
             for r in b.itertuples():
                 nodes, km = np.asarray(r.nodes, np.int64), np.asarray(r.km, float)
-                at = nodes // plane if s.layered else nodes
-                c, x = at + phases.index(r.phase) * unknown, km * slow[r.phase][nodes]
-                if s.layered:
-                    c, inv = np.unique(c, return_inverse=True)
-                    x = np.bincount(inv, x)
+                c, x = nodes + phases.index(r.phase) * unknown, km * short[r.phase][nodes]
                 if s.joint_hypocentres:
                     c, x = np.concatenate([c, base_ev + 4 * r.column + np.arange(4)]), np.concatenate([x, [1.0, r.ge, r.gn, r.gd]])
                 if s.station_terms:
@@ -126,6 +123,8 @@ def _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown) -> np.
     data = ok.select("phase", "nodes", "km", "ge", "gn", "gd", "column", "st_column", "sigma_s", "residual").mapInPandas(rows, "columns array<int>, values array<double>, rhs double")
     schema = data.schema
     extra = []
+    # A small model is solved after each event's hypocentre is eliminated where its readings are, so no system of all events is made.
+    small = s.layered and s.joint_hypocentres and m + (len(st) if s.station_terms else 0) <= SMALL
     scale = plane**0.5 if s.layered else 1.0
     for q, p in enumerate(phases):
         m_now = (slow[p] - start[p]) / slow[p]
@@ -144,18 +143,85 @@ def _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown) -> np.
             data = data.unionByName(lap.select("columns", "values", "rhs"))
             damp = spark.range(unknown).select(F.array((F.col("id") + q * unknown).cast("int")).alias("columns"), F.array(F.lit(float(s.damping))).alias("values"), F.lit(0.0).alias("rhs"))
             data = data.unionByName(damp)
-    if s.joint_hypocentres:
+    if s.joint_hypocentres and not small:
         data = data.unionByName(spark.range(4 * len(ev)).select(F.array((F.col("id") + base_ev).cast("int")).alias("columns"), F.array(F.lit(float(s.damping_hypocentre))).alias("values"), F.lit(0.0).alias("rhs")))
     if s.station_terms:
         extra += [([base_st + i], [float(s.damping_station)], 0.0) for i in range(len(st))]
         for p in phases:
             i = np.flatnonzero(st["phase"].to_numpy() == p)
             extra.append(((base_st + i).tolist(), [10.0] * len(i), float(-10.0 * st["term"].to_numpy()[i].sum())))
+    if small:
+        return _eliminated(ok, n, base_ev, base_st, phases, short, len(ev), extra, s)
     if extra:
         data = data.unionByName(spark.createDataFrame(extra, schema))
     return solve_rows(scratch.keep(data), n, tolerance=1e-6, max_turns=s.solver_turns)[0]
 
 
+#: Unknowns of a model whose normal equations are made in tasks.
+SMALL = 400
+
+
+def _eliminated(ok: DataFrame, n: int, base_ev: int, base_st: int, phases, short, events: int, extra, s: Settings) -> np.ndarray:
+    """The same solution as that of all rows: tasks eliminate each event's four unknowns and add up the normal equations of the model; the
+    driver solves those, and tasks solve the hypocentres for it."""
+    width = base_ev + n - base_st
+    unknown = len(short[phases[0]])
+
+    def blocks(d: pd.DataFrame):
+        """Event by event in pieces of bounded size: numbers, H (4 x 4), C (4 x model), g (4), A'A and A'r of the model."""
+        d = d.sort_values(["column", "station", "phase"])
+        cuts = np.flatnonzero(np.diff(d["column"].to_numpy(), prepend=-1))
+        for part in np.array_split(cuts, max(1, len(d) // 4000)) if len(cuts) else []:
+            if not len(part):
+                continue
+            after = np.searchsorted(cuts, part[-1], "right")
+            e = d.iloc[part[0] : cuts[after] if after < len(cuts) else len(d)]
+            a = np.zeros((len(e), width))
+            for i, r in enumerate(e.itertuples()):
+                a[i, np.asarray(r.nodes, np.int64) + phases.index(r.phase) * unknown] = np.asarray(r.km) * short[r.phase][np.asarray(r.nodes, np.int64)]
+                if s.station_terms:
+                    a[i, base_ev + r.st_column] = 1.0
+            w = 1 / np.maximum(0.01, e["sigma_s"].to_numpy(float))
+            a *= w[:, None]
+            h = np.column_stack([np.ones(len(e)), e[["ge", "gn", "gd"]].to_numpy(float)]) * w[:, None]
+            y = e["residual"].to_numpy(float) * w
+            at = part - part[0]
+            hh = np.add.reduceat(h[:, :, None] * h[:, None, :], at, 0) + s.damping_hypocentre**2 * np.eye(4)
+            yield e["column"].to_numpy()[at], hh, np.add.reduceat(h[:, :, None] * a[:, None, :], at, 0), np.add.reduceat(h * y[:, None], at, 0), a.T @ a, a.T @ y
+
+    def add_up(d: pd.DataFrame) -> pd.DataFrame:
+        big, right = np.zeros((width, width)), np.zeros(width)
+        for _, hh, c, g, aa, ay in blocks(d):
+            z = np.linalg.solve(hh, c)
+            big += aa - np.einsum("eik,eil->kl", c, z)
+            right += ay - np.einsum("eik,ei->k", z, g)
+        return pd.DataFrame({"big": [big.ravel()], "right": [right]})
+
+    slots = spread(ok.select("phase", "nodes", "km", "ge", "gn", "gd", "column", "st_column", "station", "sigma_s", "residual").withColumn("slot", F.pmod(F.xxhash64("column"), F.lit(64))), "slot")
+    sums = slots.groupBy("slot").applyInPandas(add_up, "big array<double>, right array<double>").collect()  # 64 rows of the model's size squared
+    big, right = sum(np.reshape(r["big"], (width, width)) for r in sums), sum(np.array(r["right"]) for r in sums)
+    place = lambda c: np.array([k if k < base_ev else base_ev + k - base_st for k in c])
+    for c, v, y in extra:
+        c, v = place(c), np.array(v)
+        big[np.ix_(c, c)] += np.outer(v, v)
+        right[c] += v * y
+    x = np.linalg.solve(big, right)
+
+    def back(d: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"column": k, "h": list(np.linalg.solve(hh, (g - c @ x)[..., None])[..., 0])}) for k, hh, c, g, _, _ in blocks(d)]
+        return pd.concat(out) if out else pd.DataFrame({"column": np.zeros(0, np.int64), "h": []})
+
+    got = slots.groupBy("slot").applyInPandas(back, "column long, h array<double>").toPandas()  # one row an event
+    full = np.zeros(n)
+    full[:base_ev] = x[:base_ev]
+    h = np.zeros((events, 4))
+    if len(got):
+        h[got["column"].to_numpy()] = np.stack(got["h"].to_numpy())
+    full[base_ev:base_st] = h.ravel()
+    full[base_st:] = x[base_ev:]
+    return full
+
+
 def _moved(old, x: np.ndarray, share: float, grid: Grid, phases, s: Settings, unknown: int):
     """The state after a share of a step: slowness changes are capped, velocities stay in their bounds, hypocentres in the grid."""
     v, ev, st = {p: old[0][p].copy() for p in phases}, old[1].copy(), old[2].copy()

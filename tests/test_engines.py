@@ -335,3 +335,17 @@ def test_magnitude_advice(spark):
     r = attenuation.recommend_magnitude(e)
     assert r["method"] == "per event" and 1.8 <= r["magnitude"] <= 2.3
     assert attenuation.recommend_magnitude(e.where("event > 50"))["method"] == "Brune scaling"
+
+
+def test_eliminated_hypocentres_give_the_same_model(spark, monkeypatch):
+    d, _, start = synthetic.dataset(spark, GRID, stations=8, events=12, percent=0.0, noise=(0.02, 0.04), location_error_km=0.5, straight=True, seed=4)
+    d = d.persist()
+    fast = {p: v * 1.04 for p, v in start.items()}
+    s = tomography.Settings(iterations=1, layered=True, straight=True, station_terms=True, damping=3.0, smoothing=3.0, solver_turns=2000)
+    a = tomography.invert(spark, d, GRID, fast, s)
+    monkeypatch.setattr(tomography, "SMALL", 0)
+    b = tomography.invert(spark, d, GRID, fast, s)
+    for p in "PS":
+        assert np.allclose(a.velocity[p], b.velocity[p], rtol=2e-3)
+    assert np.allclose(a.events["t0"], b.events["t0"], atol=5e-3) and np.allclose(a.stations["term"], b.stations["term"], atol=5e-3)
+    d.unpersist()
