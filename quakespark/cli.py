@@ -171,6 +171,91 @@ def relocate(a, c):
     out.toPandas().sort_values("id").to_csv(Path(a.out) / "locations.csv", index=False)
 
 
+def _waveforms(spark, a, c):
+    """Windows of all events from the miniSEED files of a data folder, with the folder's stations and events."""
+    from pyspark.sql import functions as F
+
+    from quakespark.sources import miniseed
+    from quakespark.sources import tables as t
+
+    d = Path(a.data)
+    st, ev = t.read_stations(spark, str(d / "stations.csv")), t.read_events(spark, str(d / "events.csv"))
+    w = miniseed.cut_events(miniseed.read_miniseed(spark, str(d / "waveforms")), ev, before_s=c["waveforms"]["before_s"], after_s=c["waveforms"]["after_s"])
+    return w.withColumn("station", F.concat_ws(".", "network", "station")), st, ev
+
+
+def _read_picks(spark, a, ev):
+    from pyspark.sql import functions as F
+
+    from quakespark.sources import tables as t
+
+    p, _ = t.read_picks(spark, str(Path(a.data) / "picks.csv"), ev)
+    return p.withColumn("time", F.unix_micros("time") / 1e6)
+
+
+def pick(a, c):
+    from pyspark.sql import functions as F
+
+    from quakespark.operators.traces import pick_stations
+    from quakespark.plans.forward import kernel_rows
+
+    spark, g = _spark(a), _grid(a)
+    w, st, ev = _waveforms(spark, a, c)
+    slow = {p: 1 / v for p, v in _model(g, a.model if a.model not in (None, "auto") else "ak135").items()}
+    e = ev.select(F.col("id").alias("event"), (F.unix_micros("origin_time") / 1e6).alias("origin"), F.col("lon").alias("ev_lon"), F.col("lat").alias("ev_lat"), "depth_km")
+    s = st.select(F.upper("id").alias("sid"), F.col("lon").alias("st_lon"), F.col("lat").alias("st_lat"), "elevation_m")
+    # Times are predicted for the (event, station) that have waveforms.
+    seen = w.select("event", F.upper("station").alias("sid")).distinct().join(e, "event").join(s, "sid")
+    rays = seen.select(F.xxhash64("event", "sid").alias("arrival"), F.xxhash64("event").alias("event"), F.xxhash64("sid").alias("station"), F.explode(F.array(F.lit("P"), F.lit("S"))).alias("phase"), "ev_lon", "ev_lat", "depth_km", "st_lon", "st_lat", "elevation_m")
+    t = kernel_rows(rays, g, slow, straight=True).groupBy("arrival").agg(F.max(F.when(F.col("phase") == "P", F.col("t_calc"))).alias("tp"), F.max(F.when(F.col("phase") == "S", F.col("t_calc"))).alias("ts"))
+    x = w.withColumn("arrival", F.xxhash64("event", F.upper("station"))).join(t, "arrival").join(e.select("event", "origin"), "event")
+    x = x.select("event", "station", "channel", "origin", "start", "rate", "samples", (F.col("origin") + F.col("tp")).alias("p_expected"), (F.col("origin") + F.col("ts")).alias("s_expected"))
+    out = pick_stations(x, **c["picker"]).withColumn("origin", F.lit("automatic")).withColumnRenamed("uncertainty", "sigma_s")
+    out.toPandas().sort_values(["event", "station", "phase"]).to_csv(a.out, index=False)
+
+
+def tstar(a, c):
+    from quakespark.plans.attenuation import corner_grid, fit_tstar, window_spectra
+
+    spark = _spark(a)
+    w, _, ev = _waveforms(spark, a, c)
+    r = fit_tstar(window_spectra(w, _read_picks(spark, a, ev)), corner_grid())
+    r.toPandas().rename(columns={"fit": "station", "tstar": "tstar_s"}).sort_values(["event", "station"]).to_csv(a.out, index=False)
+
+
+def crosscorr(a, c):
+    from pyspark.sql import functions as F
+
+    from quakespark.operators.nearby import pairs_within
+    from quakespark.plans.crosscorr import measure, windows
+
+    spark, k = _spark(a), c["crosscorr"]
+    w, _, ev = _waveforms(spark, a, c)
+    pairs = pairs_within(ev, k["max_separation_km"], id="id", lat="lat", lon="lon", depth_km="depth_km").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    r = measure(windows(w, _read_picks(spark, a, ev), low_hz=k["low_hz"], high_hz=k["high_hz"]), pairs)
+    r.toPandas().sort_values(["event_a", "event_b", "station", "phase"]).to_csv(a.out, index=False)
+
+
+def qtomo(a, c):
+    from pyspark.sql import functions as F
+
+    from quakespark.plans.attenuation import invert_q
+    from quakespark.sources import tables as t
+    from quakespark.sources.volume import write_volume
+
+    spark, g, d = _spark(a), _grid(a), Path(a.data)
+    st, ev = t.read_stations(spark, str(d / "stations.csv")), t.read_events(spark, str(d / "events.csv"))
+    s = st.select(F.upper("id").alias("sid"), F.xxhash64(F.upper("id")).alias("sn"), F.col("lon").alias("st_lon"), F.col("lat").alias("st_lat"), "elevation_m")
+    e = ev.select(F.col("id").alias("eid"), F.xxhash64("id").alias("en"), F.col("lon").alias("ev_lon"), F.col("lat").alias("ev_lat"), "depth_km")
+    r = t.read_tstar(spark, str(d / "tstar.csv")).where("phase = 'P' and not disabled and tstar_s is not null")
+    r = r.join(s, F.upper("station") == F.col("sid")).join(e, F.col("event") == F.col("eid"))
+    r = r.select(F.col("en").alias("event"), F.col("sn").alias("station"), F.col("tstar_s").alias("tstar"), "sigma_s", "st_lon", "st_lat", "elevation_m", "ev_lon", "ev_lat", "depth_km")
+    q = invert_q(spark, r, g, 1 / _model(g, a.model if a.model not in (None, "auto") else "ak135")["P"], **c["attenuation"])
+    write_volume(str(Path(a.out) / "qp.qvol"), g, q["q"], Quantity="Qp")
+    q["stations"].to_csv(Path(a.out) / "station_terms.csv", index=False)
+    print(json.dumps({"q0": q["q0"], "rms": q["rms"][-1]}))
+
+
 def mechanism(a, c):
     from pyspark.sql import functions as F
 
@@ -243,7 +328,7 @@ def run_script(a, c):
     return Script(main, dict(v.split("=", 1) for v in a.var), keep_going=a.keep_going, dry_run=a.dry_run).run(a.data)
 
 
-COMMANDS = {"synth": synth, "grid": grid, "model1d": model1d, "invert": invert, "minimum1d": minimum1d, "lcurve": lcurve, "resolution": resolution, "relocate": relocate, "mechanism": mechanism, "stress": stress, "coulomb": coulomb, "kagan": kagan, "export": export, "register": register, "config": show_config, "info": info, "run": run_script}
+COMMANDS = {"synth": synth, "grid": grid, "model1d": model1d, "invert": invert, "minimum1d": minimum1d, "lcurve": lcurve, "resolution": resolution, "relocate": relocate, "pick": pick, "tstar": tstar, "crosscorr": crosscorr, "qtomo": qtomo, "mechanism": mechanism, "stress": stress, "coulomb": coulomb, "kagan": kagan, "export": export, "register": register, "config": show_config, "info": info, "run": run_script}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -260,9 +345,9 @@ def parser() -> argparse.ArgumentParser:
             continue
         if name not in ("synth", "config", "info", "model1d"):
             s.add_argument("data")
-        if name in ("invert", "minimum1d", "lcurve", "resolution", "relocate"):
+        if name in ("invert", "minimum1d", "lcurve", "resolution", "relocate", "pick", "qtomo"):
             s.add_argument("--grid", required=True)
-        if name in ("invert", "minimum1d", "lcurve", "relocate", "model1d"):
+        if name in ("invert", "minimum1d", "lcurve", "relocate", "model1d", "pick", "qtomo"):
             s.add_argument("--model", default="ak135" if name == "model1d" else None)
         if name not in ("config", "info", "run"):
             s.add_argument("--out", required=name not in ("model1d", "resolution"))

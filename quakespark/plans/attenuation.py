@@ -35,6 +35,33 @@ def fit_tstar(samples: DataFrame, corners: list[float], *, min_samples: int = 3)
     return r.join(best, ["event", "fc"]).select("event", "fit", F.col("fc").alias("corner_hz"), (-F.col("b") / math.pi).alias("tstar"), F.col("a").alias("log_omega0"), "rss", "n")
 
 
+def window_spectra(traces: DataFrame, picks: DataFrame, *, window_s: float = 2.56, before_s: float = 0.3, min_hz: float = 1.0, max_hz: float = 30.0, min_snr: float = 3.0) -> DataFrame:
+    """(event, fit, f, s) of P windows: amplitude spectra of the vertical after each P pick, noise of a window before it taken off in power, only
+    frequencies above `min_snr` times the noise. `fit` is the station. One group is an event's vertical of one station."""
+    from quakespark.functions import signal as sg
+
+    out = "event string, fit string, f double, s double"
+
+    def run(x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        z = x[x["channel"].str.endswith("Z")] if len(x) else x
+        if not len(z) or not len(p):
+            return pd.DataFrame(columns=["event", "fit", "f", "s"])
+        r, t = z.iloc[0], float(p["time"].iloc[0])
+        y, rate = np.asarray(r["samples"], float), float(r["rate"])
+        n = int(window_s * rate)
+        i = int(round((t - before_s - r["start"]) * rate))
+        if i < n or i + n > len(y):
+            return pd.DataFrame(columns=["event", "fit", "f", "s"])
+        f, s = sg.amplitude_spectrum(y[i : i + n], rate)
+        _, noise = sg.amplitude_spectrum(y[i - n : i], rate)
+        ok = (f >= min_hz) & (f <= max_hz) & (s > min_snr * noise)
+        clean = np.sqrt(np.maximum(s**2 - noise**2, 0.01 * s**2))
+        return pd.DataFrame({"event": str(r["event"]), "fit": str(r["station"]), "f": f[ok], "s": clean[ok]})
+
+    first = picks.where("phase = 'P'").select("event", "station", "time")
+    return traces.groupBy("event", "station").cogroup(first.groupBy("event", "station")).applyInPandas(run, out)
+
+
 def flag_tstar(fits: DataFrame, *, band: DataFrame | None = None, corner_band_factor: float = 3.0, max_relative_misfit: float = 3.0) -> DataFrame:
     """Fits with `resolved` (the corner lies well below the fitted band's end) and `disabled` (far below zero, or a misfit far above the middle)."""
     mid = stats.upper_median(fits.withColumn("_m", F.sqrt(F.col("rss") / F.col("n"))), [], "_m").select(F.col("median").alias("_mid"))

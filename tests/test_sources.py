@@ -190,3 +190,41 @@ def test_streams(spark, tmp_path):
     q = pick_rates(s).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["n"] for r in spark.table("rates").collect()} == {5}
+
+
+def test_commands_end_to_end(spark, tmp_path):
+    """Synthetic data, location, picking, cross-correlation, t* and Q by the command line."""
+    from quakespark.plans import synthetic
+
+    d = tmp_path / "data"
+    assert cli.main(["synth", "--out", str(d), "--stations", "6", "--events", "8"]) == 0
+    ev = pd.read_csv(d / "events.csv")
+    ev["time"] = [f"2024-01-01T00:{10 + i:02d}:00Z" for i in range(len(ev))]
+    ev.to_csv(d / "events.csv", index=False)
+    assert cli.main(["relocate", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "loc")]) == 0
+    loc = pd.read_csv(tmp_path / "loc" / "locations.csv").merge(ev, on="id")
+    assert len(loc) == 8 and np.median(np.hypot((loc["lon_x"] - loc["lon_y"]) * 82, (loc["lat_x"] - loc["lat_y"]) * 111)) < 3
+    p = pd.read_csv(d / "picks.csv")
+    p["event"], p["station"] = p["event"].str[1:].astype(int), p["station"].str[4:].astype(int)
+    w = synthetic.waveforms(spark.createDataFrame(p.rename(columns={"travel_time_s": "time_s"})), snr=100.0).toPandas()
+    (d / "waveforms").mkdir()
+    at = {i: pd.Timestamp(t).timestamp() for i, t in zip(ev["id"].str[1:], ev["time"])}
+    for n, r in enumerate(w.itertuples()):
+        (d / "waveforms" / f"{n}.mseed").write_bytes(miniseed.encode("SY", f"S{r.station}", "", r.channel, at[r.event] + r.start, 100.0, np.asarray(r.samples)))
+    assert cli.main(["pick", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "auto.csv"), "--set", "waveforms.before_s=10", "--set", "waveforms.after_s=40"]) == 0
+    auto = pd.read_csv(tmp_path / "auto.csv")
+    true = pd.read_csv(d / "picks.csv")
+    m = auto.merge(true, on=["event", "station", "phase"])
+    error = m["time"] - m["event"].str[1:].map(at) - m["travel_time_s"]
+    assert len(m) > 60 and error.abs().median() < 0.06
+    assert cli.main(["tstar", str(d), "--out", str(d / "tstar.csv"), "--set", "waveforms.before_s=10"]) == 0
+    assert len(pd.read_csv(d / "tstar.csv")) > 20
+    assert cli.main(["crosscorr", str(d), "--out", str(tmp_path / "cc.csv"), "--set", "crosscorr.max_separation_km=60", "--set", "waveforms.before_s=10"]) == 0
+    cc = pd.read_csv(tmp_path / "cc.csv")
+    assert len(cc) > 20 and (cc["cc"] >= 0.7).all()
+    assert cli.main(["minimum1d", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "m1"), "--set", "tomography.iterations=1", "--set", "tomography.straight=true"]) == 0
+    assert cli.main(["export", str(tmp_path / "m1" / "vp.qvol"), "--out", str(tmp_path / "vp.vtk")]) == 0
+    q = pd.DataFrame({"event": true["event"], "station": true["station"], "tstar_s": true["travel_time_s"] / 200, "phase": true["phase"]})
+    q.to_csv(d / "tstar.csv", index=False)
+    assert cli.main(["qtomo", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "q"), "--set", "attenuation.turns=2"]) == 0
+    assert 150 < float(np.median(np.asarray(volume.read_volume(str(tmp_path / "q" / "qp.qvol"))[2]))) < 260
