@@ -211,24 +211,38 @@ class Garbling:
         return out
 
     def undo_single(self, text: str, threshold: float, scripts: set[str], votes: dict | None = None) -> tuple[str, list[str]]:
-        """Recode the words that another encoding makes much more usual; `scripts`: of the encodings to try."""
+        """Recode the words that another encoding makes much more usual, until none is left; `scripts`: of the encodings to try.
+
+        Every encoding pair that has two garbled sequences in the text (a Japanese one: one) is tried.
+        """
         used: list[str] = []
         wanted = {e for x in scripts for e in WRITTEN_IN[x]}
-        for _ in range(3):
+        seen = {text}
+        while True:
             votes = self.votes(text) if votes is None else votes
             found, votes = {k: n for k, n in votes.items() if k[0] in wanted}, None
             if not found:
                 break
             best = (threshold, None, text)
-            for key, n in sorted(found.items(), key=lambda kv: -kv[1])[:12]:
-                if n < 2 and key[0] not in WRITTEN_IN["japanese"]:  # one pair weighs 6 at most
+            upper = sorted({ord(c) for c in text if ord(c) > 127})
+            tried = set()
+            for key, n in sorted(found.items(), key=lambda kv: -kv[1]):
+                japanese = key[0] in WRITTEN_IN["japanese"]
+                if n < 2 and not japanese:  # one pair weighs 6 at most
                     continue
-                gain, new = (self._japanese if key[0] in WRITTEN_IN["japanese"] else self._recoded)(text, key)
-                if gain > best[0]:
+                if not japanese:
+                    # Pairs that recode all characters of the text alike give the same text and gain.
+                    same = tuple(map(self.recode[key].get, upper))
+                    if same in tried:
+                        continue
+                    tried.add(same)
+                gain, new = (self._japanese if japanese else self._recoded)(text, key)
+                if gain > best[0] and new not in seen:
                     best = (gain, key, new)
             if best[1] is None:
                 break
             text = best[2]
+            seen.add(text)
             used.append(f"{best[1][0]} as {best[1][1]}")
         return text, used
 
