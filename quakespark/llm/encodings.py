@@ -170,33 +170,56 @@ class Garbling:
     def usual(self, pair: str) -> float:
         return self.log.get(pair, self.unseen)
 
-    def undo_utf8(self, text: str) -> tuple[str, list[str]]:
-        """Replace garbled UTF-8, the encoding with most matches first, until none is left."""
+    def undo_utf8(self, text: str, threshold: float = 6.0) -> tuple[str, list[str]]:
+        """Replace garbled UTF-8, the encoding with most matches first, until none is left.
+
+        Of an encoding outside CERTAIN, only runs of matches that do not become less usual are replaced: two matches or more if they
+        gain at all, a single one if it gains more than the threshold. Where it is rejected the next encoding is tried.
+        """
         used: list[str] = []
-        for _ in range(6):
+        while True:  # every turn shortens the text
             hits = list(self.utf8.iter(text))
             votes: dict[str, int] = {}
             for _, (_, by) in hits:
                 for e in by:
                     votes[e] = votes.get(e, 0) + 1
-            if not votes:
-                break
-            best = max(votes, key=lambda e: (votes[e], -UTF8_AS.index(e)))
-            at, out, changed = 0, [], 0
-            spans = sorted((end - k + 1, -k, by[best]) for end, (k, by) in hits if best in by)
-            for start, k, c in spans:
-                if start >= at:
-                    out += [text[at:start], c]
-                    at, changed = start - k, changed + 1
-            new = "".join(out) + text[at:]
-            if best not in CERTAIN and (changed < 2 or self._gain(text, new) <= 0):
-                break
-            text = new
-            used.append(f"utf-8 as {best}")
-        return text, used
+            rejected = False
+            for e in sorted(votes, key=lambda e: (-votes[e], UTF8_AS.index(e))):
+                spans, at = [], 0
+                for start, k, c in sorted((end - k + 1, -k, by[e]) for end, (k, by) in hits if e in by):
+                    if start >= at:
+                        at = start - k
+                        spans.append((start, at, c))
+                least = threshold if e not in CERTAIN else None
+                if e in CERTAIN and not rejected or (spans := self._plausible(text, spans, least)):
+                    break
+                rejected = True
+            else:
+                return text, used
+            out, at = [], 0
+            for start, end, c in spans:
+                out += [text[at:start], c]
+                at = end
+            text = "".join(out) + text[at:]
+            used.append(f"utf-8 as {e}")
+
+    def _plausible(self, text: str, spans: list[tuple[int, int, str]], threshold: float | None) -> list[tuple[int, int, str]]:
+        """The spans that are garbled by the counts of the corpus; without a threshold, those that no count speaks against."""
+        kept, total, run = [], 0.0, []
+        for n, span in enumerate(spans):
+            run.append(span)
+            if n + 1 < len(spans) and spans[n + 1][0] == span[1]:
+                continue
+            before, after = text[max(0, run[0][0] - 1) : run[0][0]], text[span[1] : span[1] + 1]
+            gain = self._gain(before + text[run[0][0] : span[1]] + after, before + "".join(c for _, _, c in run) + after)
+            if gain >= 0 or threshold is None and any(ord(c) > 0xFFFF for _, _, c in run):  # the latter are not counted
+                kept, total = kept + run, total + gain
+            run = []
+        return kept if threshold is None or total > (0 if len(kept) > 1 else threshold) else []
 
     def _score(self, text: str) -> float:
-        return sum(self.usual(text[i : i + 2]) - self.unseen for i in range(len(text) - 1) if ord(text[i]) > 127 or ord(text[i + 1]) > 127)
+        pairs = sum(self.usual(text[i : i + 2]) - self.unseen for i in range(len(text) - 1) if ord(text[i]) > 127 or ord(text[i + 1]) > 127)
+        return pairs + sum(self.usual(c) - self.unseen for c in text if ord(c) >= _WIDE)
 
     def _gain(self, old: str, new: str) -> float:
         return self._score(new) - self._score(old)
@@ -336,7 +359,7 @@ class Garbling:
             return False, text, ""
         votes = self.votes(text)
         new, how = self.undo_single(text, threshold, {"japanese"}, votes)
-        new, how2 = self.undo_utf8(new)
+        new, how2 = self.undo_utf8(new, threshold)
         new, how3 = self.undo_single(new, threshold, {"latin", "cyrillic", "greek"}, None if how or how2 else votes)
         how += how2 + how3
         if "�" in text:

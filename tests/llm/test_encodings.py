@@ -28,3 +28,24 @@ def test_short_passage_among_many_pairs():
     assert sum(n > votes["koi8-r", "cp866"] for n in votes.values()) > 12
     assert g.repair(filler + passage) == (True, filler + meant, "koi8-r as cp866")
     assert not g.repair(filler)[0]
+
+
+def test_single_utf8_sequence_of_an_uncertain_encoding():
+    g = garbling()
+    for e in ("cp850", "koi8-r", "cp866", "cp852", "cp1253"):
+        passage = "é".encode().decode(e)
+        assert g.repair(f"Le r{passage}sidu est faible.") == (True, "Le résidu est faible.", f"utf-8 as {e}")
+
+
+CAPITALS = "ТАРИРОВКА И РУБАШКА: УБОРКА, ТАБЛИЦА, ШАБЛОН, УПОР"
+
+
+def test_chance_matches_do_not_hide_others():
+    g = Garbling(pairs([*CLEAN.values(), CAPITALS]))
+    assert len(list(g.utf8.iter(CAPITALS))) > 3 and not g.repair(CAPITALS)[0]
+    for e in ("cp1252", "cp850", "koi8-r"):
+        passage = "é".encode().decode(e)
+        assert g.repair(f"{CAPITALS} caf{passage} est") == (True, f"{CAPITALS} café est", f"utf-8 as {e}")
+    # Chance matches stay where the same encoding's garbled passage is undone.
+    meant = "Größere Lücken"
+    assert g.repair(f"{CAPITALS} {meant.encode().decode('iso8859-5')} im") == (True, f"{CAPITALS} {meant} im", "utf-8 as iso8859-5")
