@@ -1,9 +1,9 @@
 """Implausible readings of instruments: physical limits, and readings out of keeping with their source.
 
 Every reading is scored by an isolation forest of its source, on level, difference to the reading before, seasonal (part of the day)
-and run-length features, each relative to the source's median and spread. Explicit rules for physical limits apply to every reading;
-readings that the forest scores at least as unusual as its source's middle reading (`candidate_share`) are checked exactly against the source's
-normal behaviour (distance in spreads, rare flags, runs of one value).
+and run-length features, each relative to the source's median and spread. Explicit rules apply to every reading: physical limits, and the
+source's normal behaviour (distance in spreads, rare flags, runs of one value). The score ranks readings and has no say in the rules: in a
+source that is stuck most of the time the stuck readings are the usual ones.
 
 Scale. Readings are range-partitioned by (source, time), so that a source with a third of all rows lies on many tasks; runs that cross a
 partition's edge are joined from two rows a partition. Medians are mergeable sketches of bounded size (exact for sources of fewer rows
@@ -156,7 +156,7 @@ def implausible_readings(
     has spikes. `off_level`, `many_spikes`: further than `limit` spreads from the source's median of ln max_abs; more spikes than
     `limit` times one plus the source's median (impossible reports left out of both). `rare_flat`, `rare_clipped`: set where the source has it set
     in under `rare_share` of its known values. `stuck_run`: one of `stuck` or more successive reports with the same max_abs. `score`: the forest's; `candidate`:
-    at least the `candidate_share` quantile of its source's scores. `flagged`: impossible, or a candidate to which another applies.
+    at least the `candidate_share` quantile of its source's scores. `flagged`: any rule applies.
 
     Nulls and NaN are unknown, not unusual: no rule applies to them and they end a run. A report delivered several times counts once, by its
     first delivery; null keys do not count. Reports without source form one source for physical limits only. Ties in time are ordered by
@@ -239,5 +239,4 @@ def implausible_readings(
     scored = spread(judged, "s", "chunk").groupBy("s", "chunk").cogroup(spread(sample, "sample_s", "sample_chunk").groupBy("sample_s", "sample_chunk")).applyInPandas(judge, fields)
     rest = r.where(F.col("s").isNull()).select("k", F.lit(None).cast("double").alias("score"), *rules, F.lit(False).alias("candidate"))
     out = scored.unionByName(rest)
-    other = F.greatest(*[F.col(c) for c in rules[1:]])
-    return out.withColumn("flagged", F.col("impossible") | (F.col("candidate") & other)).withColumnRenamed("k", key)
+    return out.withColumn("flagged", F.greatest(*[F.col(c) for c in rules])).withColumnRenamed("k", key)
