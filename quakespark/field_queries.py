@@ -108,6 +108,32 @@ def pr4_chord_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = geo.to_cartesian("ev_lon", "ev_lat", "depth_km"), geo.to_cartesian("st_lon", "st_lat", -F.col("elevation_m") / 1000)
     box = Grid(13.0, 13.2, 42.6, 42.8, 0.0, 10.0, 2, 2, 2)
     a = a.select("event", "seq", p.alias("p"), q.alias("q"))
+    return a.groupBy("event", "seq").agg(F.bool_or(fields.chord_crosses(box, F.col("p"), F.col("q"), samples=20)).alias("crosses"))
+
+
+@query(
+    """
+with s as (select event, seq, ev_lon, ev_lat, depth_km, st_lon, st_lat, greatest(0.0, -elevation_m / 1000) as st_depth from phys),
+c as (select *, (6371 - depth_km) * cos(radians(ev_lat)) * cos(radians(ev_lon)) as ax, (6371 - depth_km) * cos(radians(ev_lat)) * sin(radians(ev_lon)) as ay, (6371 - depth_km) * sin(radians(ev_lat)) as az,
+    (6371 - st_depth) * cos(radians(st_lat)) * cos(radians(st_lon)) as bx, (6371 - st_depth) * cos(radians(st_lat)) * sin(radians(st_lon)) as by_, (6371 - st_depth) * sin(radians(st_lat)) as bz from s),
+n as (select *, cast(greatest(2, ceil(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2) / 5)) as bigint) as n from c),
+p as (select event, seq, ax + i / cast(n as double) * (bx - ax) as x, ay + i / cast(n as double) * (by_ - ay) as y, az + i / cast(n as double) * (bz - az) as z from (select *, unnest(range(1, n)) as i from n)),
+g as (
+  select event, seq, degrees(atan2(y, x)) as lon, degrees(asin(z / sqrt(x * x + y * y + z * z))) as lat, greatest(0.0, 6371 - sqrt(x * x + y * y + z * z)) as depth from p
+  union all select event, seq, ev_lon, ev_lat, depth_km from s
+  union all select event, seq, st_lon, st_lat, st_depth from s)
+select event, seq, bool_or(lon between 13.0 - 2e-10 and 13.2 + 2e-10 and lat between 42.6 - 2e-10 and 42.8 + 2e-10 and depth between -1e-8 and 10 + 1e-8) as crosses from g group by all
+""",
+    views=True,
+)
+def pr4_path_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each ray comes through a small box, sampled every half node spacing and at its ends; stations above the top sit on it."""
+    from quakespark.functions.grid import Grid
+
+    a = fx.arrivals(spark, sf_dir)
+    p, q = geo.to_cartesian("ev_lon", "ev_lat", "depth_km"), geo.to_cartesian("st_lon", "st_lat", F.greatest(F.lit(0.0), -F.col("elevation_m") / 1000))
+    box = Grid(13.0, 13.2, 42.6, 42.8, 0.0, 10.0, 2, 2, 2)
+    a = a.select("event", "seq", p.alias("p"), q.alias("q"))
     return a.groupBy("event", "seq").agg(F.bool_or(fields.chord_crosses(box, F.col("p"), F.col("q"))).alias("crosses"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakespark.functions import geo
 from quakespark.functions.geo import EARTH_KM
 from quakespark.functions.grid import Grid
 from quakespark.operators import stats
@@ -55,17 +58,38 @@ def checkerboard(grid: Grid, cell_km: float, depth_cell_km: float, percent: floa
     return percent / 100 * F.sin(pi * e / cell_km) * F.sin(pi * n / cell_km) * F.sin(pi * (F.col("depth_km") - grid.min_depth) / depth_cell_km)
 
 
-def chord_crosses(grid: Grid, a: Column, b: Column, samples: int = 20) -> Column:
-    """Whether a straight ray between Cartesian structs comes inside the grid, by samples; above the top counts as at the top."""
+def chord_crosses(grid: Grid, a: Column, b: Column, samples: int | None = None) -> Column:
+    """Whether a straight ray between Cartesian structs comes inside the grid; above the top counts as at the top.
+
+    An end inside counts, and points at most half the smallest node spacing apart between them. With `samples`: only samples - 1 points
+    between the ends, whatever the ray's length.
+    """
+
+    def point(f: Column) -> Column:
+        return F.struct(*[(a[c] + f * (b[c] - a[c])).alias(c) for c in "xyz"])
+
+    if samples is not None:
+
+        def inside(i: Column) -> Column:
+            p = geo.from_cartesian(point(i / samples))
+            return p["lon"].between(grid.min_lon, grid.max_lon) & p["lat"].between(grid.min_lat, grid.max_lat) & (p["depth_km"] <= grid.max_depth)
+
+        return F.exists(F.sequence(F.lit(1), F.lit(samples - 1)), inside)
+
+    dx, dy, dz = grid.steps
+    km = math.radians(1) * (EARTH_KM - grid.max_depth)
+    spacing = min(dz, dy * km, dx * km * min(math.cos(math.radians(x)) for x in (grid.min_lat, grid.max_lat)))
+    n = F.greatest(F.lit(2), F.ceil(geo.chord_km(a, b) / max(0.1, 0.5 * spacing)).cast("int"))
+
+    def contains(p: Column, depth: Column) -> Column:
+        return grid.contains(p["lon"], p["lat"], depth)
 
-    def inside(i: Column) -> Column:
-        f = i / samples
-        x, y, z = (a[c] + f * (b[c] - a[c]) for c in "xyz")
-        r = F.sqrt(x * x + y * y + z * z)
-        lon, lat, depth = F.degrees(F.atan2(y, x)), F.degrees(F.asin(z / r)), EARTH_KM - r
-        return lon.between(grid.min_lon, grid.max_lon) & lat.between(grid.min_lat, grid.max_lat) & (depth <= grid.max_depth)
+    def between(i: Column) -> Column:
+        p = geo.from_cartesian(point(i / n))
+        return contains(p, F.greatest(p["depth_km"], F.lit(grid.min_depth)))
 
-    return F.exists(F.sequence(F.lit(1), F.lit(samples - 1)), inside)
+    ends = [geo.from_cartesian(x) for x in (a, b)]
+    return contains(ends[0], ends[0]["depth_km"]) | contains(ends[1], ends[1]["depth_km"]) | F.exists(F.sequence(F.lit(1), n - 1), between)
 
 
 def filled(value: str, default: Column) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakespark.common import Scratch, spread
-from quakespark.functions.geo import EARTH_KM
+from quakespark.functions.geo import EARTH_KM, to_cartesian
 from quakespark.functions.grid import Grid
 from quakespark.operators import regular, stats
+from quakespark.operators.fields import chord_crosses
 from quakespark.plans.forward import kernel_rows
 from quakespark.plans.linalg import solve_rows
 
@@ -245,9 +246,11 @@ def _moved(old, x: np.ndarray, share: float, grid: Grid, phases, s: Settings, un
 
 
 def select_observations(picks: DataFrame, grid: Grid, *, min_phases: int = 4, outside: str = "exclude") -> DataFrame:
-    """Best usable picks of stations and events inside the grid (or all, with outside='include'), of events with enough phases; renumbered."""
+    """Best usable picks of stations and events inside the grid (with outside='include' also those whose straight ray comes inside it), of
+    events with enough phases; renumbered."""
     inside = grid.contains(F.col("ev_lon"), F.col("ev_lat"), F.col("depth_km")) & grid.contains(F.col("st_lon"), F.col("st_lat"), -F.col("elevation_m") / 1000)
-    p = picks.where(inside) if outside == "exclude" else picks
+    ends = to_cartesian("ev_lon", "ev_lat", "depth_km"), to_cartesian("st_lon", "st_lat", F.greatest(-F.col("elevation_m") / 1000, F.lit(grid.min_depth)))
+    p = picks.where(inside if outside == "exclude" else chord_crosses(grid, *ends))
     return p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("event"))).where(F.col("_n") >= min_phases).drop("_n")
 
 
