@@ -3,6 +3,7 @@
 Garbled sequences are computed beforehand for all encoding pairs and matched by multi-pattern automata:
 - UTF-8 read as a single-byte encoding: the sequence of every character of many scripts, which is hardly ever meant as it stands. Matches
   are replaced by their character, again and again where text was garbled twice.
+- UTF-8 read as a multi-byte encoding, where characters do not become sequences of their own: runs whose bytes are UTF-8, judged by counts.
 - A single-byte or Japanese encoding read as another single-byte one: what becomes of the character pairs that the corpus has often, where
   the garbled pair is much rarer in it. Matches only propose an encoding pair; the words around them are recoded, and counted as
   garbled where that makes their character pairs much more usual, by all counts of the corpus. Other words stay as they are.
@@ -34,6 +35,8 @@ WRITTEN_IN = {
     "japanese": ["euc_jp", "cp932"],
 }
 READ_AS = ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1253", "cp1254", "cp1250", "iso8859-5", "mac_cyrillic"]
+#: Multi-byte encodings that UTF-8 is mistaken for.
+UTF8_AS_WIDE = ["cp932", "euc_jp", "gbk"]
 #: Encodings for which one UTF-8 match in a text is enough.
 CERTAIN = {"cp1252", "latin-1", "cp437", "mac_roman", "cp1250", "cp1251"}
 #: Blocks whose characters are looked for in garbled UTF-8.
@@ -122,8 +125,7 @@ class Garbling:
         for low, high in BLOCKS:
             for o in range(low, high):
                 data = chr(o).encode()
-                # Rare blocks are looked for in the usual encodings only.
-                for e in UTF8_AS if low < 0x2400 or low in (0x3000,) else UTF8_AS[:6]:
+                for e in UTF8_AS:
                     s = read_as(data, e)
                     if s and all(ord(c) > 127 for c in s):
                         found.setdefault(s, {}).setdefault(e, chr(o))
@@ -153,7 +155,7 @@ class Garbling:
                         data = p.encode(r)
                     except UnicodeEncodeError:
                         continue
-                    for w in READ_AS[:5]:
+                    for w in READ_AS:
                         g = read_as(data, w) if len(data) > 1 else None
                         if g and (self.n.get(g, 0) + 1) * ratio <= n:
                             proposals.setdefault(g, []).append((r, w))
@@ -179,12 +181,13 @@ class Garbling:
         used: list[str] = []
         while True:  # every turn shortens the text
             hits = list(self.utf8.iter(text))
-            votes: dict[str, int] = {}
-            for _, (_, by) in hits:
+            votes: dict[str, tuple[int, int]] = {}  # matches, and their characters
+            for _, (k, by) in hits:
                 for e in by:
-                    votes[e] = votes.get(e, 0) + 1
+                    n, length = votes.get(e, (0, 0))
+                    votes[e] = n + 1, length + k
             rejected = False
-            for e in sorted(votes, key=lambda e: (-votes[e], UTF8_AS.index(e))):
+            for e in sorted(votes, key=lambda e: (-votes[e][0], -votes[e][1], UTF8_AS.index(e))):
                 spans, at = [], 0
                 for start, k, c in sorted((end - k + 1, -k, by[e]) for end, (k, by) in hits if e in by):
                     if start >= at:
@@ -212,11 +215,41 @@ class Garbling:
                 continue
             before, after = text[max(0, run[0][0] - 1) : run[0][0]], text[span[1] : span[1] + 1]
             gain = self._gain(before + text[run[0][0] : span[1]] + after, before + "".join(c for _, _, c in run) + after)
-            if gain >= 0 or threshold is None and any(ord(c) > 0xFFFF for _, _, c in run):  # the latter are not counted
+            if any(ord(c) > 0xFFFF for _, _, c in run):  # not counted, but hardly ever four characters by chance
+                gain = max(gain, 2 * (threshold or 0.0))
+            if gain >= 0:
                 kept, total = kept + run, total + gain
             run = []
         return kept if threshold is None or total > (0 if len(kept) > 1 else threshold) else []
 
+    def undo_wide(self, text: str, threshold: float = 6.0) -> tuple[str, list[str]]:
+        """Replace UTF-8 read as a multi-byte encoding: runs whose bytes are UTF-8 and that become much more usual. Of a run that lost
+        bytes, the characters that are left."""
+        used: list[str] = []
+        if max(text) < chr(_WIDE):
+            return text, used
+        for e in UTF8_AS_WIDE:
+            out, at = [], 0
+            for m in re.finditer(r"[^\x00-\x7f\ufffd]+", text):
+                s = m.group()
+                if max(s) < chr(_WIDE):  # the first byte of UTF-8 begins a wide character
+                    continue
+                try:
+                    new = s.encode(e).decode("utf-8", "replace")
+                except UnicodeEncodeError:
+                    continue
+                lost = new.count("\ufffd")
+                if 2 * lost > len(new):
+                    continue
+                before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+                if self._gain(before + s + after, before + new + after) - 4.0 * lost > threshold:
+                    out += [text[at : m.start()], new]
+                    at = m.end()
+            if out:
+                text = "".join(out) + text[at:]
+                used.append(f"utf-8 as {e}")
+        return text, used
+
     def _score(self, text: str) -> float:
         pairs = sum(self.usual(text[i : i + 2]) - self.unseen for i in range(len(text) - 1) if ord(text[i]) > 127 or ord(text[i + 1]) > 127)
         return pairs + sum(self.usual(c) - self.unseen for c in text if ord(c) >= _WIDE)
@@ -359,10 +392,12 @@ class Garbling:
             return False, text, ""
         votes = self.votes(text)
         new, how = self.undo_single(text, threshold, {"japanese"}, votes)
+        new, how1 = self.undo_wide(new, threshold)
         new, how2 = self.undo_utf8(new, threshold)
+        how2 = how1 + how2
         new, how3 = self.undo_single(new, threshold, {"latin", "cyrillic", "greek"}, None if how or how2 else votes)
         how += how2 + how3
-        if "�" in text:
+        if "�" in text or "�" in new:
             how.append("lost")
         return bool(how), new, ", ".join(how)
 

@@ -49,3 +49,35 @@ def test_chance_matches_do_not_hide_others():
     # Chance matches stay where the same encoding's garbled passage is undone.
     meant = "Größere Lücken"
     assert g.repair(f"{CAPITALS} {meant.encode().decode('iso8859-5')} im") == (True, f"{CAPITALS} {meant} im", "utf-8 as iso8859-5")
+
+
+def test_wide_characters_in_every_encoding():
+    g = garbling()
+    for meant in ("再決定", "残差 減少"):
+        for e in ("cp850", "cp866", "koi8-r", "iso8859-2"):
+            assert g.repair(f"x {meant.encode().decode(e)} y") == (True, f"x {meant} y", f"utf-8 as {e}"), e
+    assert g.repair("Fine " + "😀".encode().decode("koi8-r") + " day") == (True, "Fine 😀 day", "utf-8 as koi8-r")
+
+
+def test_utf8_read_as_a_multi_byte_encoding():
+    g = garbling()
+    for meant in (CLEAN["ja"], "再決定後", CLEAN["ru"], CLEAN["fr"]):
+        for e in ("cp932", "gbk", "euc_jp"):
+            passage = meant.encode().decode(e, "replace")
+            bad, text, how = g.repair(f"See: {passage} end")
+            if "�" not in passage:
+                assert (bad, text, how) == (True, f"See: {meant} end", f"utf-8 as {e}"), (meant, e)
+    whole = "れれ減減地地"  # no byte of it is lost in cp932
+    for meant, e in (("再決", "gbk"), ("résidu près", "cp932"), (whole, "cp932")):
+        passage = meant.encode().decode(e)
+        assert g.repair(f"See: {passage} end") == (True, f"See: {meant} end", f"utf-8 as {e}")
+    assert "utf-8 as cp932" in g.repair(CLEAN["ja"].encode().decode("cp932", "replace"))[2]
+    for t in CLEAN.values():
+        assert not g.repair(t)[0]
+
+
+def test_japanese_read_as_cyrillic():
+    g = garbling()
+    for written, read in (("euc_jp", "koi8-r"), ("cp932", "koi8-r"), ("euc_jp", "cp866"), ("cp932", "cp866")):
+        bad, text, how = g.repair("See: " + CLEAN["ja"].encode(written).decode(read))
+        assert bad and how == f"{written} as {read}" and text.endswith(CLEAN["ja"][-12:]), (written, read, text)
