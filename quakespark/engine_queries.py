@@ -200,16 +200,16 @@ def n25_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quakespark.plans.source import mechanisms
     from quakespark.source_queries import polarities
 
-    return mechanisms(polarities(spark, sf_dir), step=10.0)
+    return mechanisms(polarities(spark, sf_dir))
 
 
 @query()
 def n26_stress_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stress axes of 64 resampled sets of all mechanisms."""
+    """Stress axes of 1,000 resampled sets of all mechanisms, friction searched."""
     from quakespark.plans.source import stress_bootstrap
     from quakespark.source_queries import mechanisms
 
-    return stress_bootstrap(mechanisms(spark, sf_dir).select("strike", "dip", "rake", "weight"), realizations=64, friction=0.6)
+    return stress_bootstrap(mechanisms(spark, sf_dir).select("strike", "dip", "rake", "weight"))
 
 
 @query()

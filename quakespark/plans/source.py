@@ -89,15 +89,16 @@ def mechanisms(polarities: DataFrame, *, step: float = 5.0, error_fraction: floa
         az, to = np.radians(g["azimuth"].to_numpy(float)), np.radians(g["takeoff"].to_numpy(float))
         ray = np.stack([np.sin(to) * np.cos(az), np.sin(to) * np.sin(az), np.cos(to)], -1)
         pol, w = np.sign(g["polarity"].to_numpy(float)), g["weight"].to_numpy(float)
-        amp = 2 * (n @ ray.T) * (u @ ray.T)
-        misfit = ((np.sign(amp) != pol) * w).sum(1) / w.sum()
+        amplitude = lambda i: 2 * (n[i] @ ray.T) * (u[i] @ ray.T)
+        at_once = max(1, 1_000_000 // len(g))  # of the grid, so that memory does not grow with it times the readings
+        misfit = np.concatenate([((np.sign(amplitude(slice(k, k + at_once))) != pol) * w).sum(1) for k in range(0, len(n), at_once)]) / w.sum()
         f = min(max(error_fraction, 0.01), 0.5)
         ok = np.flatnonzero(misfit <= misfit.min() + max(1.0, math.sqrt(len(g) * f * (1 - f))) / len(g) + 1e-12)
         an, au = best_double_couple(tensors(n[ok], u[ok]).sum(0))
         best = ok[np.argmin(kagan(n[ok], u[ok], an, au))]
         angles = kagan(n[ok], u[ok], n[best], u[best])
         rms, prob = float(np.sqrt(np.mean(angles**2))), float(np.mean(angles <= 30))
-        stdr = float((w * np.abs(amp[best])).sum() / w.sum())
+        stdr = float((w * np.abs(amplitude(best))).sum() / w.sum())
         up = g["takeoff"].to_numpy(float) > 90
         azg = _gap(np.where(up, g["azimuth"] + 180, g["azimuth"]))
         folded = np.sort(np.concatenate([[0.0, 90.0], np.where(up, 180 - g["takeoff"], g["takeoff"])]))
