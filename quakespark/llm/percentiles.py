@@ -13,6 +13,7 @@ stays in DataFrames; only the number of open intervals reaches the driver.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,24 +90,51 @@ def ladder_percentiles(ladder: DataFrame, by: list[str], percentiles: list[float
     return out.join(err, cond).select(*[out[c] for c in [*by, "percentile", "n", "value"]], "error")
 
 
-def exact_percentiles(df: DataFrame, by: list[str], value: str, percentiles: list[float], *, scale: float = SCALE, steps: int = STEPS, cuts: int = CUTS, max_passes: int = 64) -> DataFrame:
+def _grouped(ladder: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
+    """The ladder of each set of keys, from that of all keys: (gs, keys..., cell, n, lo, hi). Keys outside a set are null."""
+    out = []
+    coarse = [i for i, s in enumerate(sets) if len(s) < len(keys)]
+    if coarse:
+        part = F.explode(F.array(*[_member(ladder, keys, sets, i) for i in coarse])).alias("m")
+        few = ladder.select(part, "cell", "n", "lo", "hi").select("m.*", "cell", "n", "lo", "hi")
+        out.append(few.groupBy("gs", *keys, "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    out += [ladder.select(F.lit(i).alias("gs"), *keys, "cell", "n", "lo", "hi") for i, s in enumerate(sets) if len(s) == len(keys)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _member(df: DataFrame, keys: list[str], sets: list[list[str]], i: int) -> Column:
+    return F.struct(F.lit(i).alias("gs"), *[(F.col(k) if k in sets[i] else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys])
+
+
+def exact_percentiles(
+    df: DataFrame, by: list[str], value: str, percentiles: list[float], *, groupings: list[list[str]] | None = None, scale: float = SCALE, steps: int = STEPS, cuts: int = CUTS, max_passes: int = 64
+) -> DataFrame:
     """Exact percentiles with linear interpolation between order statistics: (by..., percentile, n, value). The error is zero up to
     the rounding of the interpolation.
 
+    With `groupings`, lists of columns of `by`, there is one set of groups for each list, all from one count of the rows by all columns of
+    `by`, whose ladders are merged; the result has a column `grouping` (the list's columns, joined by commas) and null in the other columns.
+
     Null, NaN and infinite values are left out; a group without other values gives no row, as does an empty table. A null in `by` is a
     group of its own. Repeated rows count as often as they occur (take first deliveries before). Ties need no rule, as equal values are
     the same percentile. `df` is read twice; give a stored table where it is costly to compute. Other columns are ignored, whatever their names.
     """
     if not by:
         return exact_percentiles(df.withColumn("__all", F.lit(1)), ["__all"], value, percentiles, scale=scale, steps=steps, cuts=cuts, max_passes=max_passes).drop("__all")
-    if {"percentile", "n", "value"} & set(by):
-        raise ValueError("rename groups called percentile, n or value: the result has these columns")
+    if {"percentile", "n", "value"} & set(by) or (groupings and "grouping" in by):
+        raise ValueError("rename groups called percentile, n, value or grouping: the result has these columns")
+    named = [f"g{i}" for i in range(len(by))]
+    sets = [[named[by.index(c)] for c in g] for g in groupings or [by]]
     scratch = Scratch(df.sparkSession, "percentiles")
-    keys = [f"g{i}" for i in range(len(by))]
-    rows = df.where(finite(value)).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], (F.col(value).cast("double") + F.lit(0.0)).alias("x"))
+    rows = df.where(finite(value)).select(*[F.col(b).alias(k) for b, k in zip(by, named)], (F.col(value).cast("double") + F.lit(0.0)).alias("x"))
     rows = rows.withColumn("cell", _rung(F.col("x"), scale, steps))
-    ladder = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ladder = rows.groupBy(*named, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    parts = scratch.keep(ladder) if len(sets) > 1 or len(sets[0]) < len(by) else ladder
+    ladder = _grouped(parts, named, sets)
+    rows = rows.select(F.explode(F.array(*[_member(rows, named, sets, i) for i in range(len(sets))])).alias("m"), "x", "cell").select("m.*", "x", "cell")
+    keys = ["gs", *named]
     state = scratch.keep(_targets(ladder, keys, percentiles, "cell"))
+    scratch.drop(parts)
     done = [state.where("lo = hi")]
     for _ in range(max_passes):
         todo = state.where("lo < hi")
@@ -138,8 +166,10 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, percentiles: lis
         done.append(state.where("lo = hi"))
     else:
         raise RuntimeError("intervals did not close; raise max_passes")
+    scratch.drop(rows)
     ends = done[0]
     for d in done[1:]:
         ends = ends.unionByName(d)
     out = _interpolate(ends.withColumn("x", F.col("lo")), keys)
-    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "percentile", "n", "value")
+    names = F.array(*[F.lit(",".join(g)) for g in groupings or [by]])
+    return out.select(*([names[F.col("gs")].alias("grouping")] if groupings else []), *[F.col(k).alias(b) for k, b in zip(named, by)], "percentile", "n", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakespark.common import Scratch, table
+from quakespark.common import Scratch, first_delivery, table
 from quakespark.llm.components import connected_groups
 from quakespark.llm.encodings import find_garbled
 from quakespark.llm.leakage import find_leaks
@@ -78,9 +78,8 @@ NO_TSTAR = [99.0, -1.0, -999.0]
 def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First deliveries of measured residuals, as a table of (station, phase, day, residual)."""
     r = F.col("residual")
-    picks = table(spark, sf_dir, "picks").where(r.isNotNull() & ~F.isnan(r) & (F.abs(r) != float("inf")) & ~r.isin(NO_RESIDUAL))
-    # A later delivery repeats the first, so any of them gives the values.
-    picks = picks.groupBy("pick_id").agg(F.first("cid").alias("cid"), F.first("flags").alias("flags"), F.first("time").alias("time"), F.first("residual").alias("residual"))
+    picks = first_delivery(table(spark, sf_dir, "picks"), "pick_id", "loaded_at", ["cid", "flags", "time", "residual"])
+    picks = picks.where(r.isNotNull() & ~F.isnan(r) & (F.abs(r) != float("inf")) & ~r.isin(NO_RESIDUAL))
     stations = table(spark, sf_dir, "channels").select("cid", F.upper(F.concat_ws(".", "network", "station")).alias("station")).distinct()
     phase = F.element_at(F.array(F.lit("P"), F.lit("S"), F.lit("later")), (F.least(F.col("flags").bitwiseAND(15), F.lit(2)) + 1).cast("int"))
     return Scratch(spark, "residuals").keep(
@@ -88,25 +87,27 @@ def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _by_each(df: DataFrame, kinds: list[str], value: str) -> DataFrame:
-    """Each row once for each kind of group."""
-    groups = F.array(*[F.struct(F.lit(k).alias("group_kind"), F.col(k).alias("group_value")) for k in kinds])
-    return df.select(F.explode(groups).alias("g"), value).select("g.group_kind", "g.group_value", value)
+#: The parts whose ladders are stored, and the groups that are made of them.
+PARTS = ["station", "phase", "day"]
+GROUPINGS = [["station"], ["phase"], ["day"], PARTS]
 
 
 _RESIDUALS = """
 with s as (select distinct cid, upper(network || '.' || station) as station from channels),
 p as (
-  select distinct pick_id, cid, flags, time, residual from picks
-  where residual is not null and isfinite(residual) and residual not in (99.99, 9999, -999, -999000)),
+  select cid, flags, time, residual from picks where pick_id is not null
+  qualify row_number() over (partition by pick_id order by loaded_at nulls last) = 1),
 r as (
   select coalesce(station, 'unknown') as station, case least(flags & 15, 2) when 0 then 'P' when 1 then 'S' else 'later' end as phase,
     coalesce(strftime(time, '%Y-%m-%d'), 'unknown') as day, residual
-  from p left join s using (cid)),
+  from p left join s using (cid) where residual is not null and isfinite(residual) and residual not in (99.99, 9999, -999, -999000)),
+"""
+_GROUPS = """
 g as (
   select 'station' as group_kind, station as group_value, residual from r union all
   select 'phase', phase, residual from r union all
-  select 'day', day, residual from r),
+  select 'day', day, residual from r union all
+  select 'station,phase,day', station || ' ' || phase || ' ' || day, residual from r),
 q as (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) as percentile),
 n as (
   select group_kind, group_value, residual, row_number() over w - 1 as k, count(*) over (partition by group_kind, group_value) as n
@@ -123,39 +124,56 @@ group by group_kind, group_value, percentile, n
 """
 
 
-@query(_RESIDUALS + _INTERPOLATED)
+@query(_RESIDUALS + _GROUPS + _INTERPOLATED)
 def p3_residual_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _by_each(_residuals(spark, sf_dir), ["station", "phase", "day"], "residual")
-    out = exact_percentiles(rows, ["group_kind", "group_value"], "residual", PERCENTILES)
-    return out.withColumn("value", F.round("value", 9))
+    """Exact percentiles of each part (station, phase, day), and of each station, phase and day from the counts of the parts."""
+    out = exact_percentiles(_residuals(spark, sf_dir), PARTS, "residual", PERCENTILES, groupings=GROUPINGS)
+    return out.select(F.col("grouping").alias("group_kind"), F.concat_ws(" ", *PARTS).alias("group_value"), "percentile", "n", F.round("value", 9).alias("value"))
 
 
 @query(
     """
 with t as (
-  select distinct fit_id, upper(station_id) as station, tstar from spectrum_fits
-  where tstar is not null and isfinite(tstar) and tstar not in (99, -1, -999)),
+  select upper(station_id) as station, tstar from spectrum_fits where fit_id is not null
+  qualify row_number() over (partition by fit_id order by measured_at nulls last) = 1),
 q as (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) as percentile),
 n as (
   select 'station' as group_kind, station as group_value, tstar as residual, row_number() over (partition by station order by tstar) - 1 as k,
     count(*) over (partition by station) as n
-  from t)
+  from t where tstar is not null and isfinite(tstar) and tstar not in (99, -1, -999))
 """
     + _INTERPOLATED
 )
 def p3_tstar_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("tstar")
-    fits = table(spark, sf_dir, "spectrum_fits").where(t.isNotNull() & ~F.isnan(t) & ~t.isin(NO_TSTAR)).select("fit_id", F.upper("station_id").alias("group_value"), "tstar")
-    fits = Scratch(spark, "tstar").keep(fits.dropDuplicates(["fit_id"]).select(F.lit("station").alias("group_kind"), "group_value", "tstar"))
-    return exact_percentiles(fits, ["group_kind", "group_value"], "tstar", PERCENTILES).withColumn("value", F.round("value", 9))
+    fits = first_delivery(table(spark, sf_dir, "spectrum_fits"), "fit_id", "measured_at", ["station_id", "tstar"])
+    fits = fits.where(t.isNotNull() & ~F.isnan(t) & ~t.isin(NO_TSTAR)).select(F.lit("station").alias("group_kind"), F.upper("station_id").alias("group_value"), "tstar")
+    return exact_percentiles(Scratch(spark, "tstar").keep(fits), ["group_kind", "group_value"], "tstar", PERCENTILES).withColumn("value", F.round("value", 9))
 
 
-@query()
+@query(
+    _RESIDUALS
+    + """
+g as (select 'station,phase' as group_kind, station || ' ' || phase as group_value, residual from r),
+q as (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) as percentile),
+n as (
+  select group_kind, group_value, residual, row_number() over w - 1 as k, count(*) over (partition by group_kind, group_value) as n
+  from g window w as (partition by group_kind, group_value order by residual)),
+x as ("""
+    + _INTERPOLATED
+    + """)
+select group_value, percentile, n, value as exact_value, true as within_error from x
+"""
+)
 def p3_merged_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per station and phase from the stored ladders of single days, with their stated error."""
-    rows = _residuals(spark, sf_dir)
-    daily = Scratch(spark, "ladders").keep(count_ladder(rows, ["station", "phase", "day"], "residual"))
-    return ladder_percentiles(merge_ladders(daily, ["station", "phase"]), ["station", "phase"], PERCENTILES)
+    """Percentiles per station and phase from the stored ladders of single days: whether each lies within its stated error of the exact one."""
+    rows, by = _residuals(spark, sf_dir), ["station", "phase"]
+    daily = Scratch(spark, "ladders").keep(count_ladder(rows, PARTS, "residual"))
+    merged = ladder_percentiles(merge_ladders(daily, by), by, PERCENTILES)
+    exact = exact_percentiles(rows, by, "residual", PERCENTILES).withColumnRenamed("value", "exact_value").drop("n")
+    # Half a unit of the last place of the interpolation is allowed on top.
+    inside = F.abs(F.col("value") - F.col("exact_value")) <= F.col("error") + 1e-12 * (1 + F.abs("exact_value"))
+    return merged.join(exact, [*by, "percentile"]).select(F.concat_ws(" ", *by).alias("group_value"), "percentile", "n", F.round("exact_value", 9).alias("exact_value"), inside.alias("within_error"))
 
 
 # 4. Groups

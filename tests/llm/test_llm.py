@@ -245,3 +245,14 @@ def test_garbled(spark):
         assert same > 0.9, (lang, written, read, text)
     assert got[10_100]["restored"] == CLEAN["de"] and "lost" in got[10_101]["how"]
     assert find_garbled(d.limit(0), "doc_id", "text").count() == 0
+
+
+def test_grouped_percentiles(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 11 == 0 else f"s{i % 3}", i % 5, float(np.round(rng.standard_t(2), 2))) for i in range(4000)]
+    d = spark.createDataFrame(rows, "s string, d int, x double")
+    got = exact_percentiles(d, ["s", "d"], "x", [0.1, 0.5], groupings=[["s"], ["d"], ["s", "d"]]).collect()
+    for r in got:
+        x = [v for s, e, v in rows if ("s" not in r["grouping"] or s == r["s"]) and ("d" not in r["grouping"] or e == r["d"])]
+        assert r["n"] == len(x) and r["value"] == pytest.approx(np.quantile(x, r["percentile"]))
+    assert len(got) == 2 * (4 + 5 + 20) and sum(r["grouping"] == "s" and r["s"] is None for r in got) == 2
