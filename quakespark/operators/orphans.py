@@ -1,40 +1,34 @@
 """References to records that do not exist, are deleted, or arrive later than the referring record.
 
 Parents are range-partitioned by key and stored as sorted arrays, one row a range, with the first delivery and deletion of each key.
-Batches of references are probed by vectorised binary search, and only misses leave the probe. While the arrays together are below
-`broadcast_bytes` (counted before), every reader of references gets them and no reference is shuffled; beyond it references are sent
-to their range, hot ranges split over several copies of their array. Both ways give the same rows.
+References are sent to the range of their key, a hot range to several tasks that share one stored row, and probed batch by batch by
+vectorised binary search; only misses leave the probe and are added up.
+
+Scale. What reaches the driver is the smallest key of each range (one for `target_rows` parents) and the ranges with more than
+`target_rows` references. References are shuffled once, with key, record id and time only.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quakespark.common import Scratch, micros, shuffle_partitions
+from quakespark.common import Scratch, micros, shuffle_partitions, spread
 
 _NEVER = np.iinfo(np.int64).max
 
 
-class _Ranges:
-    """Sorted keys with first delivery (µs) and whether they are deleted."""
-
-    def __init__(self, keys: np.ndarray, first: np.ndarray, deleted: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.deleted = keys[order], first[order], deleted[order]
-
-    def states(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """0 no case, 1 missing, 2 deleted, 3 late, for keys that are not null."""
-        if not len(self.keys):
-            return np.ones(len(keys), np.int8)
-        k = np.searchsorted(self.keys, keys)
-        k[k == len(self.keys)] = 0
-        found = self.keys[k] == keys
-        return np.where(~found, 1, np.where(self.deleted[k], 2, np.where(self.first[k] > at, 3, 0))).astype(np.int8)
+def _states(keys: np.ndarray, at: np.ndarray, known: np.ndarray, first: np.ndarray, deleted: np.ndarray) -> np.ndarray:
+    """0 no case, 1 missing, 2 deleted, 3 late, of each key that is not null; `known` is sorted, `first` and `deleted` belong to it."""
+    if not len(known):
+        return np.ones(len(keys), np.int8)
+    k = np.searchsorted(known, keys)
+    k[k == len(known)] = 0
+    return np.where(known[k] != keys, 1, np.where(deleted[k], 2, np.where(first[k] > at, 3, 0))).astype(np.int8)
 
 
 _STATES = np.array(["", "missing", "deleted", "late"], dtype=object)
@@ -47,8 +41,22 @@ def parent_states(parents: DataFrame, key: str, loaded_at: str, deleted_at: str)
     )
 
 
+def stored_ranges(known: DataFrame, ranges: int) -> DataFrame:
+    """Parent states as sorted arrays, one row for each of about `ranges` key ranges: (low, keys, first, deleted)."""
+    kind = known.schema["key"].dataType.simpleString()
+
+    def pack(batches):
+        parts = [b for b in batches if len(b)]
+        if parts:
+            b = pd.concat(parts)
+            yield pd.DataFrame({"low": b["key"].iloc[:1], "keys": [b["key"].to_numpy()], "first": [b["first"].to_numpy()], "deleted": [b["deleted"].to_numpy()]})
+
+    sorted_ = known.repartitionByRange(ranges, "key").sortWithinPartitions("key")
+    return sorted_.mapInPandas(pack, f"low {kind}, keys array<{kind}>, first array<bigint>, deleted array<boolean>")
+
+
 def orphan_references(
-    references: DataFrame, parents: DataFrame, *, record_id: str, key: str, loaded_at: str, parent_key: str, parent_loaded_at: str, parent_deleted_at: str, broadcast_bytes: int = 16_000_000, target_rows: int = 500_000
+    references: DataFrame, parents: DataFrame, *, record_id: str, key: str, loaded_at: str, parent_key: str, parent_loaded_at: str, parent_deleted_at: str, target_rows: int = 500_000
 ) -> DataFrame:
     """(record_id, ref_state, first_loaded_at): one row a record whose reference is 'missing', 'deleted' or 'late'.
 
@@ -65,55 +73,64 @@ def orphan_references(
     text = dict(known.dtypes)["key"] == "string"
     if not text:
         known, refs = known.withColumn("key", F.col("key").cast("long")), refs.withColumn("key", F.col("key").cast("long"))
-    known = Scratch(spark, "parents").keep(known)
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("key") if text else F.lit(2)).alias("widest")).first()
-    out = "record string, state string, at long"
-    n = size["n"]
-    total = n * (4 * (size["widest"] or 0) + 9)  # bytes of the arrays: keys, first deliveries, deletions
-
-    def misses(ranges: _Ranges, b: pd.DataFrame) -> pd.DataFrame:
-        keys = b["key"].to_numpy(dtype=object if text else np.int64)
-        s = ranges.states(keys.astype(str) if text else keys, b["at"].to_numpy(np.int64))
-        hit = s > 0
-        return pd.DataFrame({"record": b["record"].to_numpy()[hit], "state": _STATES[s[hit]], "at": b["at"].to_numpy(np.int64)[hit]})
-
-    def arrays(pdf: pd.DataFrame) -> _Ranges:
-        keys = pdf["key"].to_numpy(dtype=object).astype(str) if text else pdf["key"].to_numpy(np.int64)
-        return _Ranges(keys if len(keys) else np.zeros(0, str if text else np.int64), pdf["first"].to_numpy(np.int64), pdf["deleted"].to_numpy(bool))
-
-    if total <= broadcast_bytes:
-        sorted_ = arrays(known.toPandas())
-        shared = spark.sparkContext.broadcast((sorted_.keys, sorted_.first, sorted_.deleted))
-
-        def probe(batches):
-            ranges = _Ranges(*shared.value)
-            for b in batches:
-                yield misses(ranges, b)
-
-        found = refs.mapInPandas(probe, out)
-    else:
-        # Ranges of about equal numbers of parents; a bounded sample sets the edges, every key falls into exactly one range.
-        ranges = int(min(10_000, max(shuffle_partitions(spark), -(-n // target_rows))))
-        sample = sorted(r[0] for r in known.sample(fraction=min(1.0, 20.0 * ranges / n), seed=1).select("key").limit(40 * ranges).collect())
-        edges = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-
-        @F.pandas_udf("int")
-        def range_of(keys: pd.Series) -> pd.Series:
-            if text:
-                return pd.Series([bisect.bisect_right(edges, k) for k in keys], dtype="int32")
-            return pd.Series(np.searchsorted(np.array(edges, np.int64), keys.to_numpy(np.int64), "right").astype("int32"))
-
-        refs, known = refs.withColumn("range", range_of("key")), known.withColumn("range", range_of("key"))
-        per = refs.groupBy("range").count().where(F.col("count") > 2 * target_rows).collect()  # at most one row a range
-        copies = {r["range"]: -(-r["count"] // target_rows) for r in per}
-        times = F.coalesce(F.create_map(*[F.lit(x) for kv in copies.items() for x in kv])[F.col("range")], F.lit(1)) if copies else F.lit(1)
-        refs = refs.withColumn("salt", F.pmod(F.xxhash64("record"), times).cast("int"))
-        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
-
-        def probe_range(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-            return misses(arrays(p), b) if len(b) else pd.DataFrame({"record": np.zeros(0, object), "state": np.zeros(0, object), "at": np.zeros(0, np.int64)})
-
-        found = refs.groupBy("range", "salt").cogroup(known.groupBy("range", "salt")).applyInPandas(probe_range, out)
+    n = parents.count()
+    stored = Scratch(spark, "parents").keep(stored_ranges(known, max(1, min(n, max(shuffle_partitions(spark), -(-n // target_rows))))))
+    lows = sorted(r["low"] for r in stored.select("low").collect())
+    shared = spark.sparkContext.broadcast(np.array(lows, dtype=object if text else np.int64))
+
+    def place(keys: pd.Series) -> np.ndarray:
+        code, distinct = pd.factorize(keys)
+        distinct = np.asarray(distinct, dtype=object if text else np.int64)
+        return np.maximum(np.searchsorted(shared.value, distinct, "right") - 1, 0)[code] if len(distinct) else np.zeros(0, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(place(keys).astype("int32"))
+
+    full = refs.groupBy(range_of("key").alias("range")).count().where(F.col("count") > 2 * target_rows).collect()  # at most one row for 2 x target_rows references
+    times = np.ones(max(1, len(lows)), np.int64)
+    times[[r["range"] for r in full]] = [-(-r["count"] // target_rows) for r in full]
+    copies = spark.sparkContext.broadcast(times)
+
+    @F.pandas_udf("range int, salt int")
+    def task_of(keys: pd.Series, mixed: pd.Series) -> pd.DataFrame:
+        r = place(keys)
+        return pd.DataFrame({"range": r.astype("int32"), "salt": (mixed.to_numpy(np.int64) % copies.value[r]).astype("int32")})
+
+    @F.pandas_udf("array<int>")
+    def salts_of(r: pd.Series) -> pd.Series:
+        return pd.Series([np.arange(copies.value[i], dtype="int32") for i in r])
+
+    refs = refs.withColumn("task", task_of("key", F.xxhash64("record"))).select("task.*", "key", "record", "at")
+    # New names: a co-group's two sides must not share columns.
+    ranges = stored.withColumn("stored_range", range_of("low")).withColumn("stored_salt", F.explode(salts_of("stored_range"))).drop("low")
+    out = to_arrow_schema(spark.createDataFrame([], "record string, state string, at long").schema)
+
+    def probe(b: pa.Table, p: pa.Table) -> pa.Table:
+        if not b.num_rows:
+            return out.empty_table()
+        plain = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+        if p.num_rows:
+            array = lambda c, kind: p[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+            known_ = array("keys", object if text else np.int64), array("first", np.int64), array("deleted", bool)
+        else:
+            known_ = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        at = plain(b, "at").astype(np.int64)
+        if text:  # a key is searched once for all its references
+            code = b["key"].combine_chunks().dictionary_encode()
+            distinct, back = code.dictionary.to_numpy(zero_copy_only=False), code.indices.to_numpy()
+            where = np.searchsorted(known_[0], distinct) if len(known_[0]) else np.zeros(len(distinct), np.int64)
+            # Positions stand for keys: those that are not there lie between two of them.
+            where[where == len(known_[0])] = 0
+            there = known_[0][where] == distinct if len(known_[0]) else np.zeros(len(distinct), bool)
+            s = _states(np.where(there, where, -1)[back], at, np.arange(len(known_[0])), *known_[1:])
+        else:
+            s = _states(plain(b, "key").astype(np.int64), at, *known_)
+        hit = pa.array(np.flatnonzero(s))
+        return pa.table([b["record"].combine_chunks().take(hit), pa.array(_STATES[s[s > 0]], pa.string()), pa.array(at[s > 0])], schema=out)
+
+    left, right = spread(refs, "range", "salt"), spread(ranges, "stored_range", "stored_salt")
+    found = left.groupBy("range", "salt").cogroup(right.groupBy("stored_range", "stored_salt")).applyInArrow(probe, "record string, state string, at long")
     # Only misses are shuffled. A later delivery can only lose lateness, so the first delivery of a record is among its misses.
     first = found.groupBy("record").agg(F.min(F.struct("at", "state")).alias("m"))
     return first.select("record", F.col("m.state").alias("ref_state"), F.when(F.col("m.at") < int(_NEVER), F.timestamp_micros("m.at")).alias("first_loaded_at"))

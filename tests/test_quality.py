@@ -112,26 +112,26 @@ def test_forest_sets_outliers_apart():
 
 def orphan_tables(spark):
     p = [("k1", T0, None), ("k2", T0 + dt.timedelta(days=5), None), ("k2", T0 + dt.timedelta(days=9), None), ("k3", T0, T0), ("k4", T0 + dt.timedelta(days=2), None), (None, T0, None)]
-    r = [("r1", "k1", 1), ("r2", "k2", 1), ("r2", "k2", 20), ("r3", "k3", 1), ("r4", "zz", 1), ("r5", None, 1), (None, "k1", 1), ("r6", "k4", 2), ("r7", "k4", 1), ("r8", "", 1)]
+    r = [("r1", "k1", 1), ("r2", "k2", 1), ("r2", "k2", 20), ("r3", "k3", 1), ("r4", "zz", 1), ("r5", None, 1), (None, "k1", 1), ("r6", "k4", 2), ("r7", "k4", 1), ("r8", "", 1), ("r9", "k1\0", 1), ("r10", "k\U0001f600", 1)]
     return (
         spark.createDataFrame([(a, T0 + dt.timedelta(days=d), b, 1) for a, b, d in r], "rec string, ref string, loaded_at timestamp, state int".replace("ref string, loaded_at timestamp", "loaded_at timestamp, ref string")),
         spark.createDataFrame(p, "key string, loaded_at timestamp, deleted_at timestamp"),
     )
 
 
-@pytest.mark.parametrize("limit", [16_000_000, 0])
-def test_orphans(spark, limit):
+@pytest.mark.parametrize("target", [500_000, 2])
+def test_orphans(spark, target):
     refs, parents = orphan_tables(spark)
-    got = orphan_references(refs, parents, record_id="rec", key="ref", loaded_at="loaded_at", parent_key="key", parent_loaded_at="loaded_at", parent_deleted_at="deleted_at", broadcast_bytes=limit, target_rows=2)
-    assert {(r["record"], r["ref_state"]) for r in got.collect()} == {("r2", "late"), ("r3", "deleted"), ("r4", "missing"), ("r7", "late"), ("r8", "missing")}
+    got = orphan_references(refs, parents, record_id="rec", key="ref", loaded_at="loaded_at", parent_key="key", parent_loaded_at="loaded_at", parent_deleted_at="deleted_at", target_rows=target)
+    assert {(r["record"], r["ref_state"]) for r in got.collect()} == {("r2", "late"), ("r3", "deleted"), ("r4", "missing"), ("r7", "late"), ("r8", "missing"), ("r9", "missing"), ("r10", "missing")}
     assert {r["record"]: r["first_loaded_at"] for r in got.collect()}["r2"] == T0 + dt.timedelta(days=1)
 
 
-@pytest.mark.parametrize("limit", [16_000_000, 0])
-def test_orphans_hot_key_and_empty(spark, limit):
+@pytest.mark.parametrize("target", [500_000, 100])
+def test_orphans_hot_key_and_empty(spark, target):
     refs = spark.range(3000).select(F.col("id").alias("rec"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).cast("long").alias("ref"), F.lit(T0).alias("loaded_at"))
     parents = spark.range(0, 3000, 2).select(F.col("id").alias("key"), F.lit(T0).alias("loaded_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
-    how = dict(record_id="rec", key="ref", loaded_at="loaded_at", parent_key="key", parent_loaded_at="loaded_at", parent_deleted_at="deleted_at", broadcast_bytes=limit, target_rows=100)
+    how = dict(record_id="rec", key="ref", loaded_at="loaded_at", parent_key="key", parent_loaded_at="loaded_at", parent_deleted_at="deleted_at", target_rows=target)
     got = orphan_references(refs, parents, **how)
     want = {i for i in range(3000) if i % 3 or i % 2}
     rows = got.collect()
