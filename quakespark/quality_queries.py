@@ -43,8 +43,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("rid_a"), F.col("id_b").alias("rid_b"))
 
 
-@query(
-    """
+_P5 = """
 with r as (
   select * from trace_quality where report_id is not null
   qualify row_number() over (partition by report_id order by loaded_at nulls last) = 1),
@@ -63,15 +62,26 @@ w as (
   from v window o as (partition by nslc order by start_time, report_id)),
 g as (select *, sum(new) over (partition by nslc order by start_time, report_id rows unbounded preceding) as run from w),
 h as (select *, count(*) over (partition by nslc, run) as len from g)
-select report_id from h left join m on h.nslc = m.nslc left join d on h.nslc = d.nslc
-where bad or coalesce(abs(l - ml) > 10 * md, false) or coalesce(sp > 10 * (1 + ms), false) or coalesce(flat and fs < 0.2, false)
-  or coalesce(clipped and cs < 0.2, false) or (h.nslc is not null and len >= 5 and max_abs is not null and not isnan(max_abs))
+j as (
+  select report_id, bad as impossible, coalesce(abs(l - ml) > 10 * md, false) as off_level, coalesce(sp > 10 * (1 + ms), false) as many_spikes,
+    coalesce(flat and fs < 0.2, false) as rare_flat, coalesce(clipped and cs < 0.2, false) as rare_clipped,
+    h.nslc is not null and len >= 5 and max_abs is not null and not isnan(max_abs) as stuck_run
+  from h left join m on h.nslc = m.nslc left join d on h.nslc = d.nslc)
 """
-)
+
+
+@query(_P5 + "select report_id from j where impossible or off_level or many_spikes or rare_flat or rare_clipped or stuck_run")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_readings(table(spark, sf_dir, "trace_quality")).where("flagged").select("report_id")
 
 
+@query(_P5 + "select *, impossible or off_level or many_spikes or rare_flat or rare_clipped or stuck_run as flagged, true as scored from j")
+def p5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report with the rules that apply to it, and whether its score is one."""
+    r = implausible_readings(table(spark, sf_dir, "trace_quality"))
+    return r.withColumn("scored", F.coalesce(F.col("score").between(0, 1), F.lit(False))).drop("score", "candidate")
+
+
 @query()
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every report with its score and the rules that apply."""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quakespark.operators.anomalies import RANGE, fit_forest, implausible_readings, median_of, score
+from quakespark.operators.anomalies import RANGE, fit_forest, implausible_readings, least_scores, median_of
 from quakespark.operators.nearby import pairs_within
 from quakespark.operators.orphans import orphan_references
 
@@ -106,7 +106,7 @@ def test_forest_sets_outliers_apart():
     y = x[:5].copy()
     y[0, 0], y[1, 4], y[2, 5] = 3.0, 1.5, 1.0
     f = fit_forest(x, np.random.default_rng(1), 32, 64)
-    s = score(f, np.concatenate([x, y]), 64)
+    s = f.scores(np.concatenate([x, y]))
     assert (s[300:303] > np.quantile(s[:300], 0.95)).all()
 
 
@@ -138,3 +138,13 @@ def test_orphans_hot_key_and_empty(spark, target):
     assert {int(r["record"]) for r in rows} == want and len(rows) == len(want)
     assert orphan_references(refs.limit(0), parents, **how).count() == 0
     assert orphan_references(refs, parents.limit(0), **how).count() == 3000
+
+
+def test_threshold_is_below_every_case():
+    rng = np.random.default_rng(4)
+    for k in range(20):
+        x = np.stack([*rng.standard_t(2, (4, 300)), np.log1p(rng.integers(0, 9, 300)), rng.choice([0.0, 0.9], 300), np.zeros(300)], 1)
+        f = fit_forest(x[: rng.integers(1, 300)], rng, 8, 64)
+        s, least = f.scores(x), least_scores(f, 10.0, 0.2, 5)
+        case = (np.abs(x[:, 0]) > np.log(11)) | (x[:, 3] > np.log(10)) | (x[:, 4] >= np.log(5)) | (x[:, 5] > 0.8)
+        assert case.any() and (s[case] >= least).all()
