@@ -26,6 +26,8 @@ SCALE = 1e-6
 STEPS = 128
 #: Midpoints by which an interval is cut in each later pass.
 CUTS = 1024
+#: Open intervals of all sets (some 100 bytes each) up to which they are sent to the rows, by their counted number.
+BROADCAST_INTERVALS = 20_000
 
 
 def ladder_error(scale: float = SCALE, steps: int = STEPS) -> tuple[float, float]:
@@ -68,6 +70,11 @@ def _targets(ladder: DataFrame, by: list[str], percentiles: list[float], cell: s
     )
 
 
+def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    """Equal in all columns, null being equal to null."""
+    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in columns])
+
+
 def _interpolate(ends: DataFrame, by: list[str]) -> DataFrame:
     """Percentile between the two order statistics around it."""
     v = lambda e: F.max(F.when(F.col("end") == e, F.col("x")))
@@ -83,11 +90,7 @@ def ladder_percentiles(ladder: DataFrame, by: list[str], percentiles: list[float
     ends = t.select(*by, "percentile", "end", "total", ((F.col("lo") + F.col("hi")) / 2).alias("x"), ((F.col("hi") - F.col("lo")) / 2).alias("e"))
     out = _interpolate(ends, by)
     err = ends.groupBy(*by, "percentile").agg(F.max("e").alias("error"))
-    same = [out[c].eqNullSafe(err[c]) for c in [*by, "percentile"]]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return out.join(err, cond).select(*[out[c] for c in [*by, "percentile", "n", "value"]], "error")
+    return out.join(err, _same(out, err, [*by, "percentile"])).select(*[out[c] for c in [*by, "percentile", "n", "value"]], "error")
 
 
 def _grouped(ladder: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
@@ -131,35 +134,40 @@ def exact_percentiles(
     ladder = rows.groupBy(*named, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     parts = scratch.keep(ladder) if len(sets) > 1 or len(sets[0]) < len(by) else ladder
     ladder = _grouped(parts, named, sets)
-    rows = rows.select(F.explode(F.array(*[_member(rows, named, sets, i) for i in range(len(sets))])).alias("m"), "x", "cell").select("m.*", "x", "cell")
     keys = ["gs", *named]
     state = scratch.keep(_targets(ladder, keys, percentiles, "cell"))
     scratch.drop(parts)
     done = [state.where("lo = hi")]
     for _ in range(max_passes):
         todo = state.where("lo < hi")
-        if not todo.limit(1).count():
+        open_ = {r["gs"]: r["count"] for r in todo.groupBy("gs").count().collect()}  # one row a set
+        if not open_:
             break
         # Open intervals of a group are numbered from 1; at most two a percentile.
         todo = todo.withColumn("k", F.dense_rank().over(Window.partitionBy(*keys).orderBy("cell")))
         cells = todo.select(*keys, "cell", "k", "lo", "hi").distinct()
-        on = rows["cell"] == cells["cell"]
-        for k in keys:
-            on = on & rows[k].eqNullSafe(cells[k])
         cut = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cuts), F.lit(cuts - 1)).cast("int")
-        inner = scratch.keep(rows.join(cells, on).select(*[rows[k] for k in keys], "x", (F.col("k") * cuts + cut).alias("cell")))
+        # Rows meet few intervals where they are; many intervals (sets of small groups) take a shuffle of the rows of those sets only.
+        few, total = [], 0
+        for g, n in sorted(open_.items(), key=lambda x: x[1]):
+            if (total := total + n) <= BROADCAST_INTERVALS:
+                few.append(g)
+        met = []
+        for kind in (few, [g for g in open_ if g not in few]):
+            if kind:
+                r = rows.where(F.col("gs").isin(kind)) if "gs" in rows.columns else rows.select(F.explode(F.array(*[_member(rows, named, sets, g) for g in kind])).alias("m"), "x", "cell").select("m.*", "x", "cell")
+                c = cells.where(F.col("gs").isin(kind))
+                met.append(r.join(F.broadcast(c) if kind is few else c, _same(r, c, [*keys, "cell"])).select(*[r[k] for k in keys], "x", (F.col("k") * cuts + cut).alias("cell")))
+        inner = scratch.keep(reduce(DataFrame.unionByName, met))
         scratch.drop(rows)
         rows = inner
         part = F.floor(F.col("cell") / cuts).cast("int")
         up = Window.partitionBy(*keys, "k").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("lo2"), F.max("x").alias("hi2"))
         counts = counts.withColumn("k", part).withColumn("upto", F.sum("m").over(up)).withColumnRenamed("cell", "cell2")
-        on = todo["k"] == counts["k"]
-        for k in keys:
-            on = on & todo[k].eqNullSafe(counts[k])
         inside = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m"))
         state = scratch.keep(
-            todo.join(counts, on & inside).select(
+            todo.join(counts, _same(todo, counts, [*keys, "k"]) & inside).select(
                 *[todo[k] for k in keys], "percentile", "end", "total", (F.col("rank") - (F.col("upto") - F.col("m"))).alias("rank"), F.col("cell2").alias("cell"), F.col("m").alias("n"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")
             )
         )
