@@ -61,7 +61,7 @@ w as (
   select *, case when max_abs is not null and not isnan(max_abs) and max_abs = lag(max_abs) over o then 0 else 1 end as new
   from v window o as (partition by nslc order by start_time, report_id)),
 g as (select *, sum(new) over (partition by nslc order by start_time, report_id rows unbounded preceding) as run from w),
-h as (select *, count(*) over (partition by nslc, run) as len from g)
+h as (select *, count(*) over (partition by nslc, run) as len from g),
 j as (
   select report_id, bad as impossible, coalesce(abs(l - ml) > 10 * md, false) as off_level, coalesce(sp > 10 * (1 + ms), false) as many_spikes,
     coalesce(flat and fs < 0.2, false) as rare_flat, coalesce(clipped and cs < 0.2, false) as rare_clipped,
