@@ -4,22 +4,27 @@ Both tables are co-grouped by (entity, time range). Ranges overlap: a right row
 also sent to the neighbouring range, so each left row is in exactly one range and sees every right row it can match. Inside a
 co-group, one vectorised binary search over (entity, time) finds the right neighbours of all left rows at once.
 
-Scale. A range's width is derived from the data: the fullest (entity, day) sets it, so that a hot entity (a third of all rows, say)
-is split over time until a range holds about `target_rows`. Ranges are hashed onto slots of about that size, since one Python
-call a range would cost more than the search. Each side is shuffled once, with key, time and id only.
+Scale. A range is a day of an entity, cut in halves until none holds more than `target_rows` rows of both tables, where they really lie: a
+hot entity or a burst is cut finer, others are not. A range never becomes narrower than some margins; if it is still too full there, its left rows are
+spread over several tasks, and its right rows are first reduced to one for each microsecond, which bounds them. Ranges are hashed onto slots of
+about `target_rows` rows, since one Python call a range would cost more than the search. Each side is shuffled once, with key, time and
+id only; what reaches the driver is two numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quakespark.common import micros, shuffle_partitions
+from quakespark.common import Scratch, micros, shuffle_partitions
 
 _DAY = 86_400_000_000
+#: A day is cut in halves at most so often (its microseconds can be).
+_HALVES = 13
 
 
 def _runs(code: np.ndarray, time: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,10 +36,13 @@ def _runs(code: np.ndarray, time: np.ndarray, ids: pa.Array) -> tuple[np.ndarray
     starts = np.flatnonzero(first)
     rep = order[starts]
     length = np.diff(np.append(starts, len(c)))
-    for k in np.flatnonzero(length > 1):  # repeated rows and exact ties only
-        rows = order[starts[k] : starts[k] + length[k]]
-        values = ids.take(pa.array(rows)).to_pylist()
-        rep[k] = rows[min(range(len(rows)), key=values.__getitem__)]
+    many = np.flatnonzero(length > 1)
+    if len(many):  # repeated rows and exact ties
+        group = np.repeat(many, length[many])
+        rows = order[np.repeat(starts[many], length[many]) + np.arange(len(group)) - np.repeat(np.cumsum(length[many]) - length[many], length[many])]
+        rank = pc.rank(ids.take(pa.array(rows))).to_numpy()
+        best = np.lexsort((rank, group))
+        rep[many] = rows[best[np.searchsorted(group, many)]]
     return c[starts], t[starts], rep
 
 
@@ -72,6 +80,37 @@ def _search(left: pa.Table, right: pa.Table, schema: pa.Schema) -> pa.Table:
     return out.group_by(schema.names).aggregate([]).select(schema.names)  # repeated left rows share a range
 
 
+def _cut(a: DataFrame, b: DataFrame, counts: DataFrame, unit: int, halves: int, margin: int, target_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (block, part, salt): parts of full blocks, halved until each holds `target_rows` rows or is as narrow as may be."""
+    narrow = unit >> halves
+    block = lambda t: F.floor(t / F.lit(unit))
+    cell = lambda t: F.floor(F.pmod(t, F.lit(unit)) / F.lit(narrow)).cast("int")
+    hot = scratch.keep(counts.where(F.col("count") > target_rows).select("ent", "block"))
+    place = lambda d, left: d.select("ent", block(F.col("t")).alias("block"), cell(F.col("t")).alias("cell"), F.lit(left).alias("l"))
+    fine = place(a, 1).unionAll(place(b, 0)).join(hot, ["ent", "block"], "left_semi").groupBy("ent", "block", "cell").agg(F.sum("l").alias("nl"), F.count(F.lit(1)).alias("n"))
+    fine = scratch.keep(fine)
+    part = F.expr(f"shiftright(cell, {halves} - level)")
+    levels = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(halves)))).groupBy("ent", "block", "level", part.alias("part")).agg(F.sum("n").alias("n"))
+    levels = levels.groupBy("ent", "block", "level").agg(F.max("n").alias("n")).where((F.col("n") <= target_rows) | (F.col("level") == halves))
+    levels = scratch.keep(levels.groupBy("ent", "block").agg(F.min("level").alias("level")))
+    nr = F.col("n") - F.col("nl")
+    full = fine.where((F.col("nl") > target_rows) | (nr > target_rows)).select("ent", "block", F.col("cell").alias("part"), F.ceil(F.greatest(F.col("nl"), F.lit(1)) / target_rows).cast("int").alias("salts"), (nr > target_rows).alias("dense"))
+    full = scratch.keep(full)
+
+    def parts(d: DataFrame) -> DataFrame:
+        d = d.join(levels, ["ent", "block"], "left").withColumn("part", F.when(F.col("level").isNull(), 0).otherwise(part))
+        return d.join(full, ["ent", "block", "part"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    a = parts(a.withColumn("block", block(F.col("t"))).withColumn("cell", cell(F.col("t")))).withColumn("salt", F.pmod(F.xxhash64("lid", "t"), F.col("salts")).cast("int"))
+    # A right row goes to the ranges of both ends of its margin; they are one range or two, as none is narrower than the margins.
+    ends = F.array(*[F.struct(block(e).alias("block"), cell(e).alias("cell")) for e in (F.col("t") - margin, F.col("t") + margin)])
+    b = parts(b.withColumn("end", F.explode(F.array_distinct(ends))).select("ent", "t", "rid", "end.*"))
+    dense = F.coalesce("dense", F.lit(False))
+    plain = b.where(~dense).select("ent", "block", "part", "salts", "t", "rid")
+    reduced = b.where(dense).groupBy("ent", "block", "part", "salts", "t").agg(F.min("rid").alias("rid")).select(*plain.columns)
+    return a, plain.unionAll(reduced).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
 def match_nearest(
     left: DataFrame,
     right: DataFrame,
@@ -105,16 +144,22 @@ def match_nearest(
     a = a.where(F.col("tol").isNotNull())
     b = right.where(known(rt, ids[1])).select(ent.alias("ent"), micros(rt).alias("t"), F.col(ids[1]).alias("rid"))
 
-    # One narrow pass over the right side sets the width of a range and the number of slots.
-    full = b.groupBy("ent", F.floor(F.col("t") / _DAY).alias("day")).count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
     margin = int(round(max_tolerance_s * 1e6))
-    width = max(_DAY // max(1, -(-(full["most"] or 0) // target_rows) * 4), 8 * margin, 1_000_000)
-    slots = max(shuffle_partitions(spark), -(-(full["rows"] or 0) // target_rows))
-
-    bucket = lambda t: F.floor(t / F.lit(width))
-    slot = F.pmod(F.xxhash64("ent", "b"), F.lit(slots)).cast("int").alias("slot")
-    a = a.withColumn("b", bucket(F.col("t"))).select(slot, "ent", "t", "tol", "lid")
-    b = b.withColumn("b", F.explode(F.sequence(bucket(F.col("t") - margin), bucket(F.col("t") + margin)))).select(slot, "ent", "t", "rid")
+    unit = _DAY * max(1, -(-8 * margin // _DAY))
+    halves = min(_HALVES, int(np.log2(max(1, unit // max(1, 8 * margin)))))
+    block = lambda t: F.floor(t / F.lit(unit))
+    # One narrow pass over both sides: rows of each entity and day.
+    where = a.select("ent", block(F.col("t")).alias("block")).unionAll(b.select("ent", block(F.col("t")).alias("block")))
+    counts = where.groupBy("ent", "block").count()
+    size = counts.agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    slots = max(shuffle_partitions(spark), -(-(size["rows"] or 0) // target_rows))
+    if (size["most"] or 0) > target_rows:
+        a, b = _cut(a, b, counts, unit, halves, margin, target_rows, Scratch(spark, "nearest"))
+    else:
+        a = a.withColumn("block", block(F.col("t"))).withColumn("part", F.lit(0)).withColumn("salt", F.lit(0))
+        b = b.withColumn("block", F.explode(F.sequence(block(F.col("t") - margin), block(F.col("t") + margin)))).withColumn("part", F.lit(0)).withColumn("salt", F.lit(0))
+    slot = F.pmod(F.xxhash64("ent", "block", "part", "salt"), F.lit(slots)).cast("int").alias("slot")
+    a, b = a.select(slot, "ent", "t", "tol", "lid"), b.select(slot, "ent", "t", "rid")
 
     out = f"{ids[0]} {left.schema[ids[0]].dataType.simpleString()}, {ids[1]} {right.schema[ids[1]].dataType.simpleString()}, dt_s double"
     arrow = to_arrow_schema(spark.createDataFrame([], out).schema)

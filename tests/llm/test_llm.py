@@ -50,6 +50,18 @@ def test_nearest_time(spark, target):
     assert (5000, "x0") in want and all(abs(r["dt_s"]) <= 60 for r in got)
 
 
+def test_nearest_time_burst_and_repetitions(spark):
+    """A burst far above `target_rows` within one narrowest range, on both sides, with repeated times."""
+    rng = random.Random(6)
+    left = [(i, "A", 43_200_000 + rng.randrange(0, 900)) for i in range(900)] + [(1000 + i, "B", 1000 * i) for i in range(50)]
+    right = [(f"r{i}", "A", 43_200_000 + rng.randrange(-200, 1100)) for i in range(1500)] + [(f"s{i}", "B", 1000 * i + 3) for i in range(50)]
+    ts = lambda ms: T0 + dt.timedelta(milliseconds=ms)
+    a = spark.createDataFrame([(i, e, ts(t)) for i, e, t in left], "id long, ent string, time timestamp")
+    b = spark.createDataFrame([(i, e, ts(t)) for i, e, t in right], "rid string, ent string, time timestamp")
+    got = match_nearest(a, b, by=["ent"], time="time", ids=("id", "rid"), tolerance_s=0.8, max_tolerance_s=0.8, target_rows=100).collect()
+    assert {(r["id"], r["rid"]) for r in got} == near(left, right, 800) and len(got) == 950
+
+
 def test_nearest_time_bounds_and_empty(spark):
     a = spark.createDataFrame([(1, "A", T0)], "id long, ent string, time timestamp")
     b = spark.createDataFrame([(9, "A", T0 + dt.timedelta(milliseconds=400)), (8, "A", T0 - dt.timedelta(milliseconds=401))], "rid long, ent string, time timestamp")
