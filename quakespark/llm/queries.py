@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quakespark.common import Scratch, first_delivery, table
 from quakespark.llm.components import connected_groups
 from quakespark.llm.encodings import find_garbled
-from quakespark.llm.leakage import find_leaks
+from quakespark.llm.leakage import find_leaks, remove_leaked
 from quakespark.llm.nearest_time import match_nearest
 from quakespark.llm.percentiles import count_ladder, exact_percentiles, ladder_percentiles, merge_ladders
 from quakespark.llm.tokenizer import BYTE_BPE_50K, decode_texts, encode_texts
@@ -223,18 +223,29 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIN_WORDS = 12
 
 
-@query(
-    r"""
+_LEAKS = r"""
 with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') as w from eval_items where item_text is not null),
 dg as (select doc_id, array_to_string(list_slice(w, k, k + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
-ig as (select item_id, array_to_string(list_slice(w, k, k + 11), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i))
-select distinct doc_id, item_id from dg join ig using (g)
+ig as (select item_id, array_to_string(list_slice(w, k, k + 11), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
+l as (select distinct doc_id, item_id from dg join ig using (g))
 """
-)
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text", min_words=MIN_WORDS)
+
+
+@query(_LEAKS + "select doc_id, item_id from l")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text", min_words=MIN_WORDS)
-    return leaks.select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query(_LEAKS + "select doc_id, md5(coalesce(text, '')) as digest from documents where doc_id not in (select doc_id from l)")
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without the documents that hold a passage."""
+    docs = table(spark, sf_dir, "documents")
+    return remove_leaked(docs, _leaks(spark, sf_dir), "doc_id").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
 # 9. Garbled text

@@ -11,7 +11,7 @@ pytest.importorskip("quakespark.llm")
 
 from quakespark.llm.components import connected_groups  # noqa: E402
 from quakespark.llm.encodings import find_garbled  # noqa: E402
-from quakespark.llm.leakage import find_leaks, remove_leaked, words  # noqa: E402
+from quakespark.llm.leakage import _Items, build_index, find_leaks, remove_leaked, search_index, search_shard, sort_shard, words  # noqa: E402
 from quakespark.llm.nearest_time import match_nearest  # noqa: E402
 from quakespark.llm.percentiles import count_ladder, exact_percentiles, ladder_error, ladder_percentiles, merge_ladders  # noqa: E402
 from quakespark.llm.tokenizer import BYTE_BPE_50K, ByteBpe, decode_texts, encode_texts  # noqa: E402
@@ -212,6 +212,25 @@ def test_leaks(spark, shard):
     assert not {r["doc_id"] for r in remove_leaked(d, got, "doc_id").collect()} & {x for x, _ in want}
 
 
+def test_stored_index_and_common_passage(spark, tmp_path):
+    """A stored index gives what a direct search gives, for any passage length; a passage that is in every document many times is not held at once."""
+    rng = random.Random(4)
+    base = " ".join(f"w{rng.randrange(9)}" for _ in range(40))
+    docs = [(i, " ".join([base] * 6) + f" u{i}") for i in range(60)] + [(70, None), (71, "")]
+    items = [(i, base + f" v{i}") for i in range(4)] + [(9, "nothing like it at all")]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    build_index(d, "doc_id", "text", shard_words=3000).write.parquet(str(tmp_path / "i"))
+    index, names = spark.read.parquet(str(tmp_path / "i")), dict(doc_id="doc_id", item_id="item_id", item_text="item_text")
+    for k in (5, 20, 40, 41):
+        got = {tuple(r) for r in search_index(index, t, min_words=k, **names).collect()}
+        assert got == {tuple(r) for r in find_leaks(d, t, text="text", min_words=k, **names).collect()}
+        assert got == ({(i, j, 40, 0, 0) for i in range(60) for j in range(4)} if k <= 40 else set())
+    shard = sort_shard(list(range(60)), [np.array([hash(w) % 10**9 + 1 for w in words(x)]) for _, x in docs[:60]])
+    known = _Items([(0, base)], 5)
+    known.hashes = np.array([*[hash(w) % 10**9 + 1 for w in words(base)], 0])
+    assert [z.tolist() for z in search_shard(shard, known, 5, hits_at_once=7)] == [z.tolist() for z in search_shard(shard, known, 5)]
+
+
 def test_no_leaks(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     t = spark.createDataFrame([], "item_id long, item_text string")
