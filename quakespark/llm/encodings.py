@@ -4,7 +4,7 @@ Garbled sequences are computed beforehand for all encoding pairs and matched by
 - UTF-8 read as a single-byte encoding: the sequence of every character of many scripts, which is hardly ever meant as it stands. Matches
   are replaced by their character, again and again where text was garbled twice.
 - UTF-8 read as a multi-byte encoding, where characters do not become sequences of their own: runs whose bytes are UTF-8, judged by counts.
-- A single-byte or Japanese encoding read as another single-byte one: what becomes of the character pairs that the corpus has often, where
+- A single-byte encoding, or a Japanese, Chinese or Korean one of several bytes, read as another single-byte one: what becomes of the character pairs that the corpus has often, where
   the garbled pair is much rarer in it. Matches only propose an encoding pair; the words around them are recoded, and counted as
   garbled where that makes their character pairs much more usual, by all counts of the corpus. Other words stay as they are.
 - U+FFFD, which decoders put where bytes were invalid: found, but the bytes are lost.
@@ -15,6 +15,7 @@ encodings have); a second is narrow. Texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 
@@ -32,7 +33,7 @@ WRITTEN_IN = {
     "latin": ["cp1252", "cp1254", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-15"],
     "cyrillic": ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic"],
     "greek": ["cp1253", "iso8859-7", "mac_greek"],
-    "japanese": ["euc_jp", "cp932"],
+    "wide": ["euc_jp", "cp932", "gbk", "big5", "euc_kr"],
 }
 READ_AS = ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1253", "cp1254", "cp1250", "iso8859-5", "mac_cyrillic"]
 #: Multi-byte encodings that UTF-8 is mistaken for.
@@ -150,7 +151,7 @@ class Garbling:
         proposals: dict[str, list[tuple[str, str]]] = {}
         for p, n in usual.items():
             if len(p) == 1:
-                for r in WRITTEN_IN["japanese"]:
+                for r in WRITTEN_IN["wide"]:
                     try:
                         data = p.encode(r)
                     except UnicodeEncodeError:
@@ -269,7 +270,7 @@ class Garbling:
     def undo_single(self, text: str, threshold: float, scripts: set[str], votes: dict | None = None) -> tuple[str, list[str]]:
         """Recode the words that another encoding makes much more usual, until none is left; `scripts`: of the encodings to try.
 
-        Every encoding pair that has two garbled sequences in the text (a Japanese one: one) is tried.
+        Every encoding pair that has two garbled sequences in the text (one of several bytes: one) is tried.
         """
         used: list[str] = []
         wanted = {e for x in scripts for e in WRITTEN_IN[x]}
@@ -283,16 +284,16 @@ class Garbling:
             upper = sorted({ord(c) for c in text if ord(c) > 127})
             tried = set()
             for key, n in sorted(found.items(), key=lambda kv: -kv[1]):
-                japanese = key[0] in WRITTEN_IN["japanese"]
-                if n < 2 and not japanese:  # one pair weighs 6 at most
+                wide = key[0] in WRITTEN_IN["wide"]
+                if n < 2 and not wide:  # one pair weighs 6 at most
                     continue
-                if not japanese:
+                if not wide:
                     # Pairs that recode all characters of the text alike give the same text and gain.
                     same = tuple(map(self.recode[key].get, upper))
                     if same in tried:
                         continue
                     tried.add(same)
-                gain, new = (self._japanese if japanese else self._recoded)(text, key)
+                gain, new = (self._multibyte if wide else self._recoded)(text, key)
                 if gain > best[0] and new not in seen:
                     best = (gain, key, new)
             if best[1] is None:
@@ -370,7 +371,7 @@ class Garbling:
             at = z
         return best, "".join(out) + text[at:]
 
-    def _japanese(self, text: str, key: tuple[str, str]) -> tuple[float, str]:
+    def _multibyte(self, text: str, key: tuple[str, str]) -> tuple[float, str]:
         r, w = key
         table = self.__dict__.setdefault("_tables", {}).setdefault(w, byte_table(w))
         out, at, best = [], 0, 0.0
@@ -391,7 +392,7 @@ class Garbling:
         if text.isascii():
             return False, text, ""
         votes = self.votes(text)
-        new, how = self.undo_single(text, threshold, {"japanese"}, votes)
+        new, how = self.undo_single(text, threshold, {"wide"}, votes)
         new, how1 = self.undo_wide(new, threshold)
         new, how2 = self.undo_utf8(new, threshold)
         how2 = how1 + how2
@@ -411,13 +412,14 @@ def find_garbled(df: DataFrame, key: str, text: str, *, threshold: float = 6.0,
     empty result; other columns are ignored. `pairs`: counts of `count_pairs` over another corpus of the same languages.
     """
     counts = (pairs if pairs is not None else count_pairs(df, text)).collect()  # bounded: see known_characters
-    shared = df.sparkSession.sparkContext.broadcast([(r["pair"], r["n"]) for r in counts])
+    pairs_ = sorted((r["pair"], r["n"]) for r in counts)
+    shared = df.sparkSession.sparkContext.broadcast(pairs_)
+    name = hashlib.blake2b(np.array(pairs_, np.int64).tobytes()).hexdigest()  # a reused worker keeps the automata of one corpus
     out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("restored", T.StringType()), T.StructField("how", T.StringType())])
     arrow = to_arrow_schema(out)
 
     def repair(batches):
         kept = sys.__dict__.setdefault("_quakespark_garbling", {})
-        name = (shared._jid if hasattr(shared, "_jid") else None, len(shared.value), sum(n for _, n in shared.value))
         if name not in kept:
             kept.clear()
             kept[name] = Garbling(shared.value)

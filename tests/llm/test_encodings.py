@@ -81,3 +81,18 @@ def test_japanese_read_as_cyrillic():
     for written, read in (("euc_jp", "koi8-r"), ("cp932", "koi8-r"), ("euc_jp", "cp866"), ("cp932", "cp866")):
         bad, text, how = g.repair("See: " + CLEAN["ja"].encode(written).decode(read))
         assert bad and how == f"{written} as {read}" and text.endswith(CLEAN["ja"][-12:]), (written, read, text)
+
+
+def test_chinese_and_korean_read_as_single_bytes():
+    texts = {"gbk": "地震台网记录到多次余震，需要重新定位震源深度", "big5": "地震觀測網記錄到多次餘震，需要重新定位震源深度", "euc_kr": "지진 관측망에서 여진을 여러 번 기록하여 진원 깊이를 다시 정한다"}
+    g = Garbling(pairs([*CLEAN.values(), *texts.values()]))
+    for written, meant in texts.items():
+        for read in ("latin-1", "cp1252", "koi8-r", "cp866"):
+            raw = meant.encode(written)
+            try:
+                passage = raw.decode(read)
+            except UnicodeDecodeError:
+                continue
+            bad, text, how = g.repair(f"See: {passage} end")
+            assert bad and f"{written} as" in how, (written, read, how, text)
+        assert not g.repair(meant)[0]
