@@ -5,18 +5,20 @@ also sent to the cells its partners may own. A pair is owned by one cell: that o
 within a strip. In a cell, points are swept in latitude bands of the radius's height: the active set is the band and the next one in
 longitude order, a binary search gives each point's window of it, and distances are verified in blocks.
 
-Scale. One shuffle of (cell, id, lat, lon, radius), replicated only across edges. Cells come from quantiles of the data, so that a
-cluster is cut finer; points at exactly one place are compared once a place, and pairs of places expanded by joins at the end,
-where the result itself asks for them. What reaches the driver is the number of rows and two bounded lists of quantiles.
+Scale. One shuffle of (cell, id, lat, lon, radius), replicated only across edges. Strips and sectors come from counts on a fine grid, so
+that a cluster is cut finer down to some tens of metres, and cells are looked up by binary search; points at exactly one place are compared once a
+place, and pairs of places expanded by joins at the end, where the result itself asks for them. A cell's pairs leave it block by block. What
+reaches the driver is one number for each cell of `target_rows` points.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakespark.common import Scratch, finite, shuffle_partitions
@@ -97,11 +99,88 @@ def sweep(lat: np.ndarray, lon: np.ndarray, r: np.ndarray, radius: float, block:
                     yield i[near], j[near]
 
 
-def _angle(radius: float):
-    """Column: the largest angle (degrees) between a point at geocentric radius r and one at most `radius` away."""
-    other = F.greatest(F.col("r") - radius, F.lit(0.0))
-    ratio = F.lit(radius) / (2 * F.sqrt(F.col("r") * other))
-    return F.when((other > 0) & (ratio < 1), F.degrees(2 * F.asin(ratio)) + 1e-9).otherwise(F.lit(180.0))
+#: Steps of the fine grid, of latitude over 180 degrees and of longitude over 360.
+STEPS = 1 << 20
+
+
+def _angle(r: np.ndarray, radius: float) -> np.ndarray:
+    """The largest angle (degrees) between a point at geocentric radius r and one at most `radius` away."""
+    other = np.maximum(r - radius, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = radius / (2 * np.sqrt(r * other))
+        return np.where((other > 0) & (ratio < 1), np.degrees(2 * np.arcsin(np.minimum(ratio, 1.0))) + 1e-9, 180.0)
+
+
+def _steps(x: np.ndarray, low: float, span: float) -> np.ndarray:
+    return np.clip(np.floor((x - low) * (STEPS / span)), 0, STEPS - 1).astype(np.int64)
+
+
+class Cells:
+    """Strips of latitude and their sectors of longitude, each list by its first steps in order: cells are numbered from south-west to north-east."""
+
+    def __init__(self, strips: np.ndarray, sectors: np.ndarray):
+        self.strips, self.sectors = strips, sectors  # a sector's number: strip x 2 STEPS + first step
+
+    def strip(self, lat: np.ndarray) -> np.ndarray:
+        return np.maximum(np.searchsorted(self.strips, _steps(lat, -90.0, 180.0), "right") - 1, 0)
+
+    def cell(self, strip: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.sectors, strip * (2 * STEPS) + _steps(lon, 0.0, 360.0), "right") - 1
+
+    def reached(self, lat: np.ndarray, lon: np.ndarray, r: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) of every cell that may own a pair of a point: from the lowest strip in reach to its own, and in each the sectors in reach."""
+        angle, own = _angle(r, radius), self.strip(lat)
+        low = self.strip(lat - angle)
+        point, strip = _ranges(low, own)
+        edge = np.minimum(np.abs(lat) + angle, 90.0)
+        c, sn = np.cos(np.radians(edge)), np.sin(np.radians(np.minimum(angle, 90.0)))
+        reach = np.where((c > sn) & (angle < 90), np.degrees(np.arcsin(np.minimum(1.0, sn / np.maximum(c, 1e-300)))) + 1e-7, 180.0)
+        a, z = (lon - reach)[point], (lon + reach)[point]
+        first, last = self.cell(strip, np.zeros(len(strip))), self.cell(strip, np.full(len(strip), 360.0))
+        ca, cz = self.cell(strip, np.mod(a, 360.0)), self.cell(strip, np.mod(z, 360.0))
+        wrap = (a < 0) | (z >= 360.0)
+        whole = (reach[point] >= 180.0) | (wrap & (cz >= ca))
+        begin, end = np.where(whole, first, np.where(wrap, first, ca)), np.where(whole, last, cz)
+        n, cell = _ranges(begin, end)
+        beyond = np.flatnonzero(wrap & ~whole)
+        n2, cell2 = _ranges(ca[beyond], last[beyond])
+        return np.concatenate([point[n], point[beyond[n2]]]), np.concatenate([cell, cell2])
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) for every number from begin to end (included) of each row."""
+    count = end - begin + 1
+    row = np.repeat(np.arange(len(begin)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[row]
+
+
+def cells_of(places: DataFrame, target_rows: int) -> Cells:
+    """Strips of about equal numbers of places, and sectors of the strips that are still too full."""
+    spark, rows = places.sparkSession, places.count()
+    # At least as many cells as the cluster has tasks for, while there is much to do in each.
+    strips = max(1, math.ceil(rows / target_rows), min(shuffle_partitions(spark), rows // 2000 + 1))
+    step = lambda c, low, span: F.least(F.greatest(F.floor((F.col(c) - low) * (STEPS / span)), F.lit(0)), F.lit(STEPS - 1))
+    upto = lambda w: F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
+    lat = places.groupBy(step("lat", -90.0, 180.0).alias("step")).count()  # at most STEPS rows, so one task can add them up
+    lat = lat.withColumn("strip", F.floor(upto(Window.orderBy("step")) * strips / F.lit(max(1, rows))))
+    found = lat.groupBy("strip").agg(F.min("step").alias("step"), F.sum("count").alias("n")).orderBy("step").collect()
+    edges = np.array([r["step"] for r in found] or [0], np.int64)
+    sectors = np.arange(len(edges), dtype=np.int64) * (2 * STEPS)
+    full = [k for k, r in enumerate(found) if r["n"] > 2 * target_rows]  # a strip is full where one step of latitude is
+    if full:
+        shared = spark.sparkContext.broadcast((edges, np.array(full)))
+
+        @F.pandas_udf("int")
+        def full_strip(x: pd.Series) -> pd.Series:
+            strips_, full_ = shared.value
+            k = np.maximum(np.searchsorted(strips_, _steps(x.to_numpy(np.float64), -90.0, 180.0), "right") - 1, 0)
+            return pd.Series(np.where(np.isin(k, full_), k, -1).astype("int32"))
+
+        lon = places.select(full_strip("lat").alias("strip"), step("lon", 0.0, 360.0).alias("step")).where("strip >= 0").groupBy("strip", "step").count()
+        lon = lon.withColumn("sector", F.floor(upto(Window.partitionBy("strip").orderBy("step")) / target_rows))
+        more = lon.groupBy("strip", "sector").agg(F.min("step").alias("step")).where("sector > 0").collect()
+        sectors = np.unique(np.concatenate([sectors, np.array([r["strip"] * 2 * STEPS + r["step"] for r in more], np.int64)]))
+    return Cells(edges, sectors)
 
 
 def pairs_within(points: DataFrame, radius_km: float, *, id: str, lat: str, lon: str, depth_km: str, target_rows: int = 50_000) -> DataFrame:
@@ -123,65 +202,24 @@ def pairs_within(points: DataFrame, radius_km: float, *, id: str, lat: str, lon:
     members = scratch.keep(p)
     places = scratch.keep(members.groupBy("lat", "lon", "r").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
 
-    rows = places.count()
-    strips = max(1, min(4096, math.ceil(rows / target_rows), rows))
-    # At least as many cells as the cluster has tasks for, while a strip stays far higher than the radius.
-    strips = max(strips, min(shuffle_partitions(spark), rows // 2000 + 1))
-    edges = sorted(set(places.approxQuantile("lat", [k / strips for k in range(1, strips)], 0.1 / strips))) if strips > 1 else []
-    bounds = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    # Strip of a latitude: the number of edges at or below it, by binary search over a broadcast literal.
-    strip_of = (lambda c: F.size(F.filter(bounds, lambda e: e <= c))) if edges else (lambda c: F.lit(0))
-    q = places.withColumn("strip", strip_of(F.col("lat"))).withColumn("angle", _angle(radius_km))
-    # Sectors of strips that are still too full (many points on nearly one latitude).
-    full = q.groupBy("strip").count().where(F.col("count") > 2 * target_rows).select("strip", "count").limit(4097).collect()
-    sectors = {r["strip"]: min(1024, math.ceil(r["count"] / target_rows)) for r in full}
-    cut: dict[int, list[float]] = {}
-    for strip, k in sectors.items():
-        cut[strip] = sorted(set(q.where(F.col("strip") == strip).approxQuantile("lon", [i / k for i in range(1, k)], 0.1 / k)))
-    q = q.withColumn("low_strip", strip_of(F.col("lat") - F.col("angle")))
-    q = q.withColumn("s", F.explode(F.sequence("low_strip", "strip")))
-
-    def sectors_of(pdf_iter):
-        for b in pdf_iter:
-            if not len(b):
-                continue
-            if not cut:
-                b["sector"], b["home_sector"] = 0, 0
-                yield b
-                continue
-            out = []
-            for s, g in b.groupby("s", sort=False):
-                e = np.array(cut.get(int(s), []))
-                home = np.searchsorted(e, g["lon"].to_numpy(), "right")
-                if not len(e):
-                    out.append(g.assign(sector=0, home_sector=0))
-                    continue
-                k = len(e) + 1
-                edge = np.minimum(np.abs(g["lat"]) + g["angle"], 90.0)
-                c, sn = np.cos(np.radians(edge)), np.sin(np.radians(np.minimum(g["angle"], 90.0)))
-                reach = np.where((c > sn) & (g["angle"] < 90), np.degrees(np.arcsin(np.minimum(1.0, sn / np.maximum(c, 1e-300)))) + 1e-7, 180.0)
-                a, z = g["lon"].to_numpy() - reach, g["lon"].to_numpy() + reach
-                for sec in range(k):
-                    lo, hi = (e[sec - 1] if sec else 0.0), (e[sec] if sec < k - 1 else 360.0)
-                    near = np.zeros(len(g), bool)
-                    for sh in (-360.0, 0.0, 360.0):
-                        near |= (a + sh <= hi) & (z + sh >= lo)
-                    near |= home == sec
-                    if near.any():
-                        out.append(g[near].assign(sector=sec, home_sector=home[near]))
-            yield pd.concat(out)
-
-    fields = f"id {kind}, lat double, lon double, r double, strip int, s int"
-    copies = q.select("id", "lat", "lon", "r", "strip", "s", "angle").mapInPandas(sectors_of, fields + ", angle double, sector int, home_sector int").drop("angle") if cut else q.select("id", "lat", "lon", "r", "strip", "s", F.lit(0).alias("sector"), F.lit(0).alias("home_sector"))
+    shared = spark.sparkContext.broadcast(cells_of(places, target_rows))
     r_km = float(radius_km)
 
-    def cell(g: pd.DataFrame) -> pd.DataFrame:
-        ids = g["id"].to_numpy()
+    def send(batches):
+        cells = shared.value
+        for b in batches:
+            lat_, lon_, rr = (b[c].to_numpy(np.float64) for c in ("lat", "lon", "r"))
+            point, to = cells.reached(lat_, lon_, rr, r_km)
+            strip = cells.strip(lat_)
+            yield b.iloc[point].assign(strip=strip[point].astype("int32"), cell=to.astype("int64"), home=cells.cell(strip, lon_)[point] == to)
+
+    copies = places.select("id", "lat", "lon", "r").mapInPandas(send, f"id {kind}, lat double, lon double, r double, strip int, cell long, home boolean")
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(batches))
+        ids, strip, home = g["id"].to_numpy(), g["strip"].to_numpy(), g["home"].to_numpy(bool)
         lat_, lon_, rr = (g[c].to_numpy(np.float64) for c in ("lat", "lon", "r"))
         xyz = _xyz(lat_, lon_, rr)
-        strip, here = g["strip"].to_numpy(), int(g["s"].iloc[0])
-        home = (strip == here) & (g["home_sector"].to_numpy() == g["sector"].to_numpy())
-        got = []
         for i, j in sweep(lat_, lon_, rr, r_km):
             # The owner: the cell of the point in the lower strip, or of the smaller id within a strip.
             first = np.where(strip[i] != strip[j], strip[i] < strip[j], ids[i] < ids[j]).astype(bool)
@@ -189,10 +227,9 @@ def pairs_within(points: DataFrame, radius_km: float, *, id: str, lat: str, lon:
             mine = home[owner]
             owner, other = owner[mine], other[mine]
             d = xyz[owner] - xyz[other]
-            got.append(pd.DataFrame({"a": ids[owner], "b": ids[other], "distance_km": np.sqrt((d * d).sum(1))}))
-        return pd.concat(got) if got else pd.DataFrame({"a": ids[:0], "b": ids[:0], "distance_km": np.zeros(0)})
+            yield pd.DataFrame({"a": ids[owner], "b": ids[other], "distance_km": np.sqrt((d * d).sum(1))})
 
-    found = spread_out(copies, "s", "sector").groupBy("s", "sector").applyInPandas(cell, f"a {kind}, b {kind}, distance_km double")
+    found = spread_out(copies, "cell").groupBy("cell").applyInPandas(pairs, f"a {kind}, b {kind}, distance_km double")
 
     # Back from places to ids.
     shared = places.where("n > 1")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakespark.operators.anomalies import RANGE, fit_forest, implausible_readings, least_scores, median_of
-from quakespark.operators.nearby import pairs_within
+from quakespark.operators.nearby import cells_of, pairs_within
 from quakespark.operators.orphans import orphan_references
 
 T0 = dt.datetime(2024, 1, 1)
@@ -44,6 +44,20 @@ def test_pairs_within(spark, target):
     assert set(zip(got["id_a"], got["id_b"])) == want and len(got) == len(want)
 
 
+def test_pairs_on_one_latitude(spark):
+    """Strips that cannot be cut are cut into sectors, also across the meridian where longitudes begin."""
+    rng = np.random.default_rng(9)
+    p = [(i, 50.0 + 1e-5 * float(rng.random()), float(rng.choice([0.0, 180.0, -0.05]) + rng.normal(0, 0.05)), float(rng.uniform(0, 1))) for i in range(900)]
+    d = spark.createDataFrame(p, "rid long, lat double, lon double, dep double")
+    places = d.select("lat", F.pmod("lon", F.lit(360.0)).alias("lon"))
+    c = cells_of(places, 50)
+    assert len(c.strips) < 9 and len(c.sectors) > 15
+    assert np.bincount(c.cell(c.strip(np.array([x[1] for x in p])), np.mod([x[2] for x in p], 360.0))).max() < 120
+    got = pairs_within(d, 1.0, id="rid", lat="lat", lon="lon", depth_km="dep", target_rows=50).toPandas()
+    want = brute(p, 1.0)
+    assert len(want) > 1000 and set(zip(got["id_a"], got["id_b"])) == want and len(got) == len(want)
+
+
 def test_pairs_of_nothing(spark):
     d = spark.createDataFrame([], "rid long, lat double, lon double, dep double")
     assert pairs_within(d, 1.0, id="rid", lat="lat", lon="lon", depth_km="dep").count() == 0
