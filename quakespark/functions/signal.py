@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -49,18 +50,41 @@ def butterworth(order: int, rate: float, low: float | None, high: float | None)
     return out
 
 
+#: Samples that a recursive filter takes at once.
+BLOCK = 128
+
+
+@lru_cache(maxsize=64)
+def _block(a: tuple, b: tuple, c: tuple, d: float) -> tuple[np.ndarray, ...]:
+    """A recursive filter z' = A z + b x, y = c z + d x over BLOCK samples: (response to x, response to z, z after x, z after z)."""
+    a, b, c = np.array(a), np.array(b), np.array(c)
+    powers = [np.eye(len(a))]
+    for _ in range(BLOCK):
+        powers.append(powers[-1] @ a)
+    reach = np.stack([q @ b for q in powers[:BLOCK]])  # of an input, so many samples later
+    tail = np.concatenate([[d], reach[:-1] @ c])
+    lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    return np.where(lag >= 0, tail[np.maximum(lag, 0)], 0.0), np.stack([c @ q for q in powers[:BLOCK]]), reach[::-1].T.copy(), powers[BLOCK]
+
+
+def recursive(x: np.ndarray, a, b, c, d: float, z: np.ndarray) -> np.ndarray:
+    """Output of a recursive filter with state z at the start. Blocks are matrix products; only states go from block to block."""
+    n = len(x)
+    of_x, of_z, to_z, step = _block(tuple(map(tuple, a)), tuple(b), tuple(c), float(d))
+    blocks = np.concatenate([x, np.zeros(-n % BLOCK)]).reshape(-1, BLOCK)
+    gained = blocks @ to_z.T
+    states = np.empty((len(blocks), len(z)))
+    for i, g in enumerate(gained):
+        states[i] = z
+        z = step @ z + g
+    return (blocks @ of_x.T + states @ of_z.T).ravel()[:n]
+
+
 def sections(x: np.ndarray, sos: list[tuple[float, ...]]) -> np.ndarray:
     """Causal recursive filtering."""
     y = np.asarray(x, float)
     for b0, b1, b2, a1, a2 in sos:
-        out = np.empty(len(y))
-        z1 = z2 = 0.0
-        for i, v in enumerate(y.tolist()):
-            o = b0 * v + z1
-            z1 = b1 * v - a1 * o + z2
-            z2 = b2 * v - a2 * o
-            out[i] = o
-        y = out
+        y = recursive(y, [[-a1, 1.0], [-a2, 0.0]], [b1 - a1 * b0, b2 - a2 * b0], [1.0, 0.0], b0, np.zeros(2))
     return y
 
 
@@ -81,19 +105,25 @@ def prepare(x: np.ndarray, rate: float, low: float, high: float, zero_phase: boo
     return bandpass(taper(detrend(demean(np.asarray(x, float))), 0.02), rate, low, high, 4, zero_phase)
 
 
-def resample(x: np.ndarray, rate: float, new_rate: float, lobes: int = 8) -> np.ndarray:
-    """Windowed-sinc (Lanczos) interpolation, with a low-pass before where the rate falls."""
+def resample(x: np.ndarray, rate: float, new_rate: float, lobes: int = 8, block: int = 4096) -> np.ndarray:
+    """Windowed-sinc (Lanczos) interpolation. Where the rate falls, a zero-phase low-pass of order 8 goes before, and the kernel is as
+    wide in samples of the new rate. Weights outside the trace do not count."""
     x = np.asarray(x, float)
+    if not len(x) or abs(rate - new_rate) < 1e-9 * rate:
+        return x.copy()
     if new_rate < rate:
-        x = bandpass(x, rate, None, 0.4 * new_rate, 4, True)
-    n = int((len(x) - 1) * new_rate / rate) + 1
-    at = np.arange(n) * rate / new_rate
-    first = np.floor(at).astype(int) - lobes + 1
-    k = first[:, None] + np.arange(2 * lobes)
-    d = at[:, None] - k
-    w = np.sinc(d) * np.sinc(d / lobes) * (np.abs(d) < lobes)
-    v = x[np.clip(k, 0, len(x) - 1)]
-    return (w * v).sum(1) / w.sum(1)
+        x = bandpass(x, rate, None, 0.4 * new_rate, 8, True)
+    narrow = min(1.0, new_rate / rate)
+    reach = int(np.ceil(lobes / narrow))
+    at = np.arange(int((len(x) - 1) / rate * new_rate + 1e-9) + 1) * rate / new_rate
+    out = np.empty(len(at))
+    for k in range(0, len(at), block):
+        t = at[k : k + block, None]
+        i = np.floor(t).astype(int) + np.arange(-reach, reach + 1)
+        d = (t - i) * narrow
+        w = np.sinc(d) * np.sinc(d / lobes) * ((np.abs(d) < lobes) & (i >= 0) & (i < len(x)))
+        out[k : k + block] = (w * x[np.clip(i, 0, len(x) - 1)]).sum(1) / w.sum(1)
+    return out
 
 
 def rotate(north: np.ndarray, east: np.ndarray, back_azimuth: float) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +234,9 @@ def sta_lta(x: np.ndarray, rate: float, sta_s: float = 0.5, lta_s: float = 5.0)
     e = np.asarray(x, float) ** 2
     if not len(e):
         return e
-    a, b = min(1.0, 1 / (sta_s * rate)), min(1.0, 1 / (lta_s * rate))
-    s = l = float(e[: max(1, int(rate))].mean())
-    out = np.empty(len(e))
-    for i, v in enumerate(e.tolist()):
-        s += a * (v - s)
-        l += b * (v - l)
-        out[i] = s / l if l > 1e-300 else 0.0
-    return out
+    first = np.array([e[: max(1, int(rate))].mean()])
+    short, long = (recursive(e, [[1 - k]], [k * (1 - k)], [1.0], k, first * (1 - k)) for k in (min(1.0, 1 / (t * rate)) for t in (sta_s, lta_s)))
+    return np.where(long > 1e-30, short / np.maximum(long, 1e-300), 0.0)
 
 
 def aic_onset(x: np.ndarray) -> int:
@@ -229,57 +254,81 @@ def aic_onset(x: np.ndarray) -> int:
     return int(k[np.argmin(aic)])
 
 
-def crossings(cf: np.ndarray, threshold: float, rate: float, expected: int) -> int:
-    """Upward crossing whose peak within a second reaches half of the strongest, nearest to the expected sample; -1 for none."""
+#: The least signal-to-noise ratio of each quality class, and each class's uncertainty in seconds (the last is that of all below).
+CLASS_SNR = [20.0, 10.0, 5.0]
+CLASS_UNCERTAINTY_S = [0.03, 0.06, 0.12, 0.25]
+
+
+def crossings(cf: np.ndarray, threshold: float, rate: float, low: int, high: int, expected: int | None) -> int:
+    """Upward crossing at a sample from low to high whose peak within a second reaches half of the strongest: the nearest to the
+    expected sample, the first where none is expected; -1 for none."""
     up = np.flatnonzero((cf[1:] >= threshold) & (cf[:-1] < threshold)) + 1
+    up = up[(up >= low) & (up <= high)]
     if not len(up):
         return -1
     peak = np.array([cf[i : i + max(1, int(rate))].max() for i in up])
-    up = up[peak >= peak.max() / 2]
-    return int(up[np.argmin(np.abs(up - expected))])
+    up = up[peak >= 0.5 * peak.max()]
+    return int(up[0] if expected is None else up[np.argmin(np.abs(up - expected))])
 
 
 def onset_snr(x: np.ndarray, at: int, rate: float, before_s: float = 2.0, after_s: float = 1.0) -> float:
-    a, b = max(0, at - int(before_s * rate)), min(len(x), at + int(after_s * rate))
-    if at - a < 2 or b - at < 2:
+    """Largest amplitude of the second after an onset over the RMS of the two seconds before; 0 with fewer than 5 samples of either, or no noise."""
+    noise, signal = x[max(0, at - int(before_s * rate)) : at], x[at : at + int(after_s * rate)]
+    if len(noise) < 5 or len(signal) < 5:
         return 0.0
-    return float(np.sqrt(np.mean(np.square(x[at:b]))) / max(1e-30, np.sqrt(np.mean(np.square(x[a:at])))))
+    rms = float(np.sqrt(np.mean(np.square(noise))))
+    return float(np.abs(signal).max()) / rms if rms > 0 else 0.0
 
 
 def snr_quality(snr: float) -> int:
-    return 0 if snr >= 20 else 1 if snr >= 10 else 2 if snr >= 5 else 3
+    return sum(snr < least for least in CLASS_SNR)
 
 
-def pick_phase(cf_trace: np.ndarray, rate: float, expected: int, half_width: int, *, threshold: float = 3.5, min_snr: float = 3.0, not_before: int = 0, sta_s: float = 0.5, lta_s: float = 5.0) -> dict | None:
-    """Trigger by STA/LTA around the expected sample, refine by AIC, judge by SNR."""
-    low, high = max(not_before, expected - half_width, 0), min(len(cf_trace), expected + half_width)
-    if high - low < int(rate):
+def pick_phase(
+    x: np.ndarray, rate: float, expected: int | None, half_width: int, *, phase: str = "P", threshold: float = 3.5, min_snr: float = 3.0, not_before: int | None = None, sta_s: float = 0.5, lta_s: float = 5.0
+) -> dict | None:
+    """Trigger by STA/LTA around the expected sample (anywhere if None), refine by AIC, judge by SNR. The window has two seconds at
+    least; the first `lta_s` seconds of a trace, where the long average is not settled, give no trigger."""
+    n = len(x)
+    low, high = (0, n - 1) if expected is None else (expected - half_width, expected + half_width)
+    if not_before is not None:
+        low = max(low, not_before)
+    low, high = min(max(low, 0), n - 1), min(max(high, 0), n - 1)
+    if high - low < int(2 * rate):
         return None
-    cf = sta_lta(cf_trace, rate, sta_s, lta_s)
-    t = crossings(cf[low:high], threshold, rate, expected - low)
-    if t < 0:
+    trigger = crossings(sta_lta(x, rate, sta_s, lta_s), threshold, rate, max(low, int(lta_s * rate)), high, expected)
+    if trigger < 0:
         return None
-    trigger = low + t
-    a, b = max(low, trigger - int(1.0 * rate)), min(len(cf_trace), trigger + int(0.5 * rate))
-    k = aic_onset(cf_trace[a:b])
-    onset = a + k if k >= 0 else trigger
-    snr = onset_snr(cf_trace, onset, rate)
+    first = max(0, trigger - int(max(1.0, 2 * sta_s + 1) * rate))
+    k = aic_onset(x[first : trigger + int(0.5 * rate) + 1])
+    onset = first + k if k >= 0 else trigger
+    snr = onset_snr(x, onset, rate)
     if snr < min_snr:
         return None
-    return {"trigger_index": trigger, "onset_index": onset, "snr": snr, "quality": snr_quality(snr), "uncertainty": max(2 / rate, 0.3 / snr)}
-
-
-def polarity(x: np.ndarray, at: int, rate: float, window_s: float = 0.1, factor: float = 3.0) -> int:
-    """Sign of the first clear motion after an onset, 0 where noise hides it."""
-    n0, w = max(0, at - int(rate)), max(3, int(window_s * rate))
-    noise = np.asarray(x[n0:at], float)
-    if len(noise) < 3:
-        return 0
-    mid = noise.mean()
-    limit = factor * max(noise.std(), 1e-300)
-    after = np.asarray(x[at : at + w], float) - mid
-    over = np.flatnonzero(np.abs(after) > limit)
-    return int(np.sign(after[over[0]])) if len(over) else 0
+    quality = snr_quality(snr)
+    return {"trigger_index": trigger, "onset_index": onset, "snr": snr, "quality": quality, "uncertainty": max(2 / rate, CLASS_UNCERTAINTY_S[quality] * (1.5 if phase == "S" else 1.0))}
+
+
+def polarity(x: np.ndarray, at: int, rate: float, *, uncertainty_s: float = 0.05, dip: float = -90.0, least_ratio: float = 4.0) -> tuple[int, float]:
+    """(sign, ratio) of the first motion at a P pick: the first sample, from the pick's uncertainty before it to 0.3 s after, at least
+    `least_ratio` standard deviations of the noise from its mean; the ratio is that of the swing's peak. The noise is the trace from 2 s
+    before the pick to 0.1 s or two uncertainties before. (0, 0) where that is not in the trace or no sample is clear. A dip above 0
+    (positive down) turns the sign."""
+    x = np.asarray(x, float)
+    begin, end = at - int(2 * rate), at - int(max(0.1, 2 * uncertainty_s) * rate)
+    if begin < 0 or end <= begin + 10 or at + int(0.5 * rate) >= len(x):
+        return 0, 0.0
+    noise = x[begin:end]
+    spread = float(noise.std()) or 1e-12
+    first = max(end, at - int(uncertainty_s * rate))
+    y = x[first : at + int(0.3 * rate) + 1] - noise.mean()
+    clear = np.flatnonzero(np.abs(y) >= least_ratio * spread)
+    if not len(clear):
+        return 0, 0.0
+    k = clear[0]
+    swing = y[k : k + int(0.2 * rate) + 1] * np.sign(y[k])
+    stop = np.flatnonzero(swing <= 0)
+    return int(np.sign(y[k])) * (-1 if dip > 0 else 1), float(swing[: stop[0] if len(stop) else None].max() / spread)
 
 
 def cross_correlation(a: list[np.ndarray], b: list[np.ndarray], max_lag: int) -> tuple[float, float]:

@@ -117,47 +117,56 @@ def stitch(segments: DataFrame, *, by: list[str], start: str = "start", rate: st
     return g.select(*by, start, rate, F.flatten(F.transform("_p", lambda p: p["x"])).alias(samples))
 
 
-def pick_stations(records: DataFrame, schema_out: str | None = None, **settings) -> DataFrame:
-    """Automatic P and S of each (event, station) from rows (event, station, channel, rate, start, samples, p_expected, s_expected).
+def pick_stations(records: DataFrame, **settings) -> DataFrame:
+    """Automatic P and S of each (event, station) from rows (event, station, channel, rate, start, samples, p_expected, s_expected), times in seconds.
 
-    P on the vertical; S on the root of summed squared horizontals, never before P plus max(0.5 s, half of the expected S-P). Search windows
-    widen with travel time. One group is one station's channels of one event.
+    P on the vertical (the first channel where there is none); S on the root of the summed squares of the horizontals over the time
+    that they share, on the vertical where there are none. Where there is a P pick, S comes after it by 0.5 s and half of the expected S-P at
+    least. Search windows widen with travel time, counted from `origin` if there is such a column, else from the trace's start; an arrival without
+    an expected time is sought everywhere. One group is one station's channels of one event.
     """
-    low, high = settings.get("low_hz", 2.0), settings.get("high_hz", 15.0)
+    low, high, zero_phase = settings.get("low_hz", 2.0), settings.get("high_hz", 15.0), settings.get("zero_phase", False)
     window, per_second = settings.get("window_s", 3.0), settings.get("window_per_second", 0.08)
+    rule = {"threshold": settings.get("trigger_on", 3.5), "min_snr": settings.get("min_snr", 3.0), "sta_s": settings.get("sta_s", 0.5), "lta_s": settings.get("lta_s", 5.0)}
     out = "event string, station string, phase string, time double, snr double, quality int, uncertainty double, channel string, trigger_index int, onset_index int"
+    index = lambda t, start, rate: int(round((t - start) * rate))
 
     def pick(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        z = g[g["channel"].str.endswith("Z")]
-        h = g[~g["channel"].str.endswith("Z")].sort_values("channel")
-        origin = float(g["origin"].iloc[0]) if "origin" in g else 0.0
-        p_onset = None
-
-        def add(phase, r, rate, start, channel):
-            u = r["uncertainty"] * (1.5 if phase == "S" else 1.0)
-            rows.append((str(key[0]), str(key[1]), phase, start + r["onset_index"] / rate, r["snr"], r["quality"], u, channel, r["trigger_index"], r["onset_index"]))
-
-        if len(z):
-            r0 = z.iloc[0]
-            rate, start = float(r0["rate"]), float(r0["start"])
-            x = sg.prepare(np.asarray(r0["samples"], float), rate, low, high, settings.get("zero_phase", False))
-            half = int((window + per_second * (r0["p_expected"] - origin)) * rate)
-            got = sg.pick_phase(x, rate, int((r0["p_expected"] - start) * rate), half, threshold=settings.get("trigger_on", 3.5), min_snr=settings.get("min_snr", 3.0))
-            if got:
-                p_onset = start + got["onset_index"] / rate
-                add("P", got, rate, start, r0["channel"])
-        if len(h) >= 2 and settings.get("pick_s", True):
-            r0 = h.iloc[0]
-            rate, start = float(r0["rate"]), float(r0["start"])
-            n = min(len(v) for v in h["samples"])
-            x = np.sqrt(sum(sg.prepare(np.asarray(v, float)[:n], rate, low, high, settings.get("zero_phase", False)) ** 2 for v in h["samples"]))
-            half = int((window + per_second * (r0["s_expected"] - origin)) * rate)
-            first = p_onset if p_onset is not None else r0["p_expected"]
-            not_before = int((first + max(0.5, 0.5 * (r0["s_expected"] - r0["p_expected"])) - start) * rate)
-            got = sg.pick_phase(x, rate, int((r0["s_expected"] - start) * rate), half, threshold=settings.get("trigger_on", 3.5), min_snr=settings.get("min_snr", 3.0), not_before=not_before)
-            if got:
-                add("S", got, rate, start, r0["channel"])
+        g = g[g["rate"] > 0].sort_values("channel")
+        vertical = g["channel"].str.upper().str.endswith("Z")
+        if not len(g):
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
+        z = (g[vertical] if vertical.any() else g).iloc[0]
+        h = g[~vertical & (np.abs(g["rate"] - z["rate"]) < 1e-6)]
+        rate = float(z["rate"])
+        prepared = lambda r: sg.prepare(np.asarray(r, float), rate, low, high, zero_phase)
+
+        def seek(phase, x, start, channel, wanted, not_before=None):
+            known = wanted is not None and wanted == wanted
+            travel = max(0.0, wanted - (float(z["origin"]) if "origin" in g else start)) if known else 0.0
+            r = sg.pick_phase(
+                x, rate, index(wanted, start, rate) if known else None, int(round((window + per_second * travel) * rate)), phase=phase, not_before=None if not_before is None else index(not_before, start, rate), **rule
+            )
+            if r is None:
+                return None
+            time = start + r["onset_index"] / rate
+            rows.append((str(key[0]), str(key[1]), phase, time, r["snr"], r["quality"], r["uncertainty"], channel, r["trigger_index"], r["onset_index"]))
+            return time
+
+        x, start = prepared(z["samples"]), float(z["start"])
+        p = seek("P", x, start, z["channel"], z["p_expected"])
+        channel = z["channel"]
+        if settings.get("pick_s", True):
+            if len(h):
+                shared = float(h["start"].max())
+                cut = [index(shared, s, rate) for s in h["start"]]
+                n = min(len(v) - c for v, c in zip(h["samples"], cut))
+                x = np.sqrt(sum(prepared(v)[c : c + n] ** 2 for v, c in zip(h["samples"], cut))) if n >= 10 else np.zeros(0)
+                start, channel = shared, h["channel"].iloc[0]
+            gap = 0.5 * (z["s_expected"] - z["p_expected"])
+            if len(x):
+                seek("S", x, start, channel, z["s_expected"], None if p is None else p + max(0.5, gap if gap == gap else 0.0))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
     return records.groupBy("event", "station").applyInPandas(pick, out)

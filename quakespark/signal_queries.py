@@ -189,3 +189,121 @@ def g9_multitaper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = tr.apply(traces(spark, sf_dir), top)
     return s.select("vec_id", F.round(F.col("samples")[0], 6).alias("hz"), F.round(F.col("samples")[1], 9).alias("amplitude"))
+
+
+def _kernel(spark: SparkSession, sf_dir: str, rate: float, kernel, columns: list[str]) -> DataFrame:
+    """Numbers that a kernel gives for each trace at a rate, one column each; traces for which it gives none are left out."""
+    d = tr.apply(traces(spark, sf_dir).withColumn("rate", F.lit(rate)), kernel).where(F.size("samples") > 0)
+    return d.select("vec_id", *[F.round(F.col("samples")[i], 6).alias(c) if c in ("snr", "uncertainty", "ratio") else F.col("samples")[i].cast("int").alias(c) for i, c in enumerate(columns)])
+
+
+# 6 samples a second: averages of 3 and 30 samples, no trigger before sample 30, windows of 18 samples around sample 40.
+_PICK = "with recursive " + _TR + """,
+e as (select vec_id, i, x, x * x as e, avg(x * x) filter (where i < 6) over (partition by vec_id) as e0 from t),
+r(vec_id, i, s, l) as (
+  select vec_id, cast(0 as bigint), e0 + (e - e0) / 3.0, e0 + (e - e0) / 30.0 from e where i = 0
+  union all
+  select e.vec_id, e.i, r.s + (e.e - r.s) / 3.0, r.l + (e.e - r.l) / 30.0 from r join e on e.vec_id = r.vec_id and e.i = r.i + 1),
+c as (select vec_id, i, s / l as cf from r),
+w as (select *, lag(cf) over (partition by vec_id order by i) as before, max(cf) over (partition by vec_id order by i rows between current row and 5 following) as peak from c),
+u as (select *, max(peak) over (partition by vec_id) as strongest from w where cf >= 3.5 and before < 3.5 and i between 30 and 58),
+g as (select vec_id, min_by(i, (abs(i - 40), i)) as trigger from u where peak >= 0.5 * strongest group by vec_id),
+y as (select vec_id, trigger, greatest(0, trigger - 12) as a, least(63, trigger + 3) as b from g),
+q as (select y.vec_id, trigger, a, i - a as k, b - a + 1 as m, x from y join t on t.vec_id = y.vec_id and i between a and b),
+p as (select *, sum(x) over o as s1, sum(x * x) over o as s2, sum(x) over v as t1, sum(x * x) over v as t2 from q
+  window o as (partition by vec_id order by k rows between unbounded preceding and 1 preceding), v as (partition by vec_id)),
+f as (
+  select vec_id, any_value(trigger) as trigger,
+    any_value(a) + min_by(k, (round(k * ln(greatest(s2 / k - power(s1 / k, 2), 1e-30)) + (m - k - 1) * ln(greatest((t2 - s2) / (m - k) - power((t1 - s1) / (m - k), 2), 1e-30)), 9), k)) as onset
+  from p where k >= 1 and k < m - 1 group by vec_id),
+n as (
+  select f.vec_id, trigger, onset, max(abs(x)) filter (where i >= onset) / sqrt(avg(x * x) filter (where i < onset)) as snr,
+    count(*) filter (where i < onset) as before, count(*) filter (where i >= onset) as after
+  from f join t on t.vec_id = f.vec_id and i >= onset - 12 and i < onset + 6 group by all),
+k as (select *, case when snr >= 20 then 0 when snr >= 10 then 1 when snr >= 5 then 2 else 3 end as quality from n where before >= 5 and after >= 5 and snr >= 3)
+select vec_id, cast(trigger as int) as trigger_index, cast(onset as int) as onset_index, round(snr, 6) as snr, quality,
+  round(greatest(2 / 6.0, case quality when 0 then 0.03 when 1 then 0.06 when 2 then 0.12 else 0.25 end * 1.5), 6) as uncertainty from k
+"""
+
+
+@query(_PICK)
+def g14_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S picks by trigger, AIC onset, signal-to-noise ratio and class, on unfiltered traces."""
+    names = ["trigger_index", "onset_index", "snr", "quality", "uncertainty"]
+
+    def kernel(x: np.ndarray, rate: float) -> np.ndarray:
+        r = sg.pick_phase(x, rate, 40, int(3 * rate), phase="S")
+        return np.array([r[c] for c in names] if r else [], float)
+
+    return _kernel(spark, sf_dir, 6.0, kernel, names)
+
+
+@query(
+    "with " + _TR + """,
+n as (select vec_id, max(abs(x)) filter (where i >= 40) / sqrt(avg(x * x) filter (where i < 40)) as snr from t where i >= 20 and i < 50 group by vec_id)
+select vec_id, round(snr, 6) as snr, case when snr >= 20 then 0 when snr >= 10 then 1 when snr >= 5 then 2 else 3 end as quality from n
+"""
+)
+def g13_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal-to-noise ratio at sample 40 with 10 samples a second, and its class."""
+
+    def kernel(x: np.ndarray, rate: float) -> np.ndarray:
+        snr = sg.onset_snr(x, 40, rate)
+        return np.array([snr, sg.snr_quality(snr)])
+
+    return _kernel(spark, sf_dir, 10.0, kernel, ["snr", "quality"])
+
+
+# 16 samples a second, pick at sample 40 with an uncertainty of 0.15 s: noise from 8 to 35 (not included), search from 38 to 44, swing of 3 samples.
+@query(
+    "with " + _TR + """,
+m as (select vec_id, avg(x) as mean, stddev_pop(x) as sd from t where i >= 8 and i < 36 group by vec_id),
+y as (select t.vec_id, i, x - mean as y, sd from t join m using (vec_id) where i between 38 and 44),
+f as (select vec_id, min(i) as k, any_value(sd) as sd from y where abs(y) >= 4 * sd group by vec_id),
+s as (select y.vec_id, i, k, f.sd, y * sign(first(y) over (partition by y.vec_id order by i)) as v, sign(first(y) over (partition by y.vec_id order by i)) as up
+  from y join f using (vec_id) where i between k and k + 3),
+r as (select *, min(v) over (partition by vec_id order by i rows unbounded preceding) as least from s)
+select vec_id, cast(-max(up) as int) as polarity, round(max(v) / max(sd), 6) as ratio from r where least > 0 group by vec_id
+"""
+)
+def g15_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First motion of a channel that is positive down."""
+
+    def kernel(x: np.ndarray, rate: float) -> np.ndarray:
+        p, ratio = sg.polarity(x, 40, rate, uncertainty_s=0.15, dip=90.0)
+        return np.array([p, ratio] if p else [])
+
+    return _kernel(spark, sf_dir, 16.0, kernel, ["polarity", "ratio"])
+
+
+_LANCZOS = "case when abs(d) < 1e-12 then 1 when abs(d) >= 8 then 0 else 8 * sin(pi() * d) * sin(pi() * d / 8) / (pi() * pi() * d * d) end"
+
+
+@query(
+    "with " + _TR + """,
+o as (select unnest(range(158)) as j),
+w as (select vec_id, j, x, """ + _LANCZOS + """ as w from (select vec_id, j, x, j * 100 / 250.0 - i as d from t cross join o))
+select vec_id, cast(j as int) as i, round(sum(w * x) / sum(w), 6) as y from w group by vec_id, j
+"""
+)
+def g4_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces at 2.5 times their rate."""
+    d = tr.chain(traces(spark, sf_dir), [{"kind": "resample", "rate_hz": 250.0}])
+    return tr.samples_table(d, "vec_id", "samples").select("vec_id", "i", F.round("x", 6).alias("y"))
+
+
+@query(
+    "with recursive " + _TR + """,
+k as (select sin(2 * pi() * 30 / 100.0) / 60 as a, cos(2 * pi() * 30 / 100.0) as c),
+r(vec_id, i, y, z1, z2) as (
+  select vec_id, cast(0 as bigint), x / (1 + a), -2 * c / (1 + a) * x + 2 * c / (1 + a) * x / (1 + a), x / (1 + a) - (1 - a) / (1 + a) * x / (1 + a) from t, k where i = 0
+  union all
+  select t.vec_id, t.i, t.x / (1 + a) + z1, -2 * c / (1 + a) * t.x + 2 * c / (1 + a) * (t.x / (1 + a) + z1) + z2, t.x / (1 + a) - (1 - a) / (1 + a) * (t.x / (1 + a) + z1)
+  from r join t on t.vec_id = r.vec_id and t.i = r.i + 1, k)
+select vec_id, cast(i as int) as i, round(y, 6) as y from r
+"""
+)
+def g3_notch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notch at 30 Hz, sample by sample."""
+    d = tr.chain(traces(spark, sf_dir), [{"kind": "notch", "hz": 30.0}])
+    return tr.samples_table(d, "vec_id", "samples").select("vec_id", "i", F.round("x", 6).alias("y"))

@@ -349,3 +349,54 @@ def test_eliminated_hypocentres_give_the_same_model(spark, monkeypatch):
         assert np.allclose(a.velocity[p], b.velocity[p], rtol=2e-3)
     assert np.allclose(a.events["t0"], b.events["t0"], atol=5e-3) and np.allclose(a.stations["term"], b.stations["term"], atol=5e-3)
     d.unpersist()
+
+
+def test_recursive_filters_block_by_block():
+    rng = np.random.default_rng(2)
+    for n in (1, 127, 128, 1000):
+        x = rng.normal(0, 1, n)
+        want = x
+        sos = sg.butterworth(8, 100.0, 2.0, 15.0)
+        for b0, b1, b2, a1, a2 in sos:
+            out, z1, z2 = [], 0.0, 0.0
+            for v in want:
+                out.append(b0 * v + z1)
+                z1, z2 = b1 * v - a1 * out[-1] + z2, b2 * v - a2 * out[-1]
+            want = np.array(out)
+        assert np.allclose(sg.sections(x, sos), want, atol=1e-12)
+
+
+def test_picker_rules():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.1, 2000)
+    x[1000:1300] += 3 * np.sin(np.arange(300) / 2) * np.exp(-np.arange(300) / 100)
+    p = sg.pick_phase(x, 100.0, 1010, 300)
+    assert abs(p["onset_index"] - 1000) <= 3 and p["snr"] == pytest.approx(np.abs(x[p["onset_index"] :][:100]).max() / np.sqrt(np.mean(x[p["onset_index"] - 200 : p["onset_index"]] ** 2)))
+    assert p["quality"] == 0 and p["uncertainty"] == 0.03 and sg.pick_phase(x, 100.0, 1010, 300, phase="S")["uncertainty"] == pytest.approx(0.045)
+    assert sg.pick_phase(x, 100.0, 1010, 90) is None  # a window below two seconds
+    assert sg.pick_phase(x[800:], 100.0, 210, 200) is None  # within the first five seconds
+    assert sg.pick_phase(x, 100.0, None, 0)["onset_index"] == p["onset_index"]
+    assert sg.onset_snr(x, 4, 100.0) == 0 and sg.onset_snr(np.zeros(500), 250, 100.0) == 0
+    y = rng.normal(0, 0.1, 600)
+    y[300:320] -= 2 * np.sin(np.arange(20) / 20 * np.pi)
+    assert sg.polarity(y, 300, 100.0)[0] == -1 and sg.polarity(y, 300, 100.0, dip=90.0)[0] == 1 and sg.polarity(y, 150, 100.0) == (0, 0.0)
+
+
+def test_station_picks_with_one_horizontal_or_none(spark):
+    from quakespark.operators.traces import pick_stations
+
+    rng = np.random.default_rng(4)
+
+    def trace(at, start):
+        x = rng.normal(0, 0.02, 3000)
+        for k in at:
+            i = int(round((k - start) * 100))
+            x[i : i + 400] += np.sin(np.arange(400) * 0.5) * np.exp(-np.arange(400) / 80)
+        return x.tolist()
+
+    rows = [("e", "N.A", "HHZ", 100.0, 0.0, trace([10.0], 0.0)), ("e", "N.A", "HHN", 100.0, 0.5, trace([15.0], 0.5)), ("e", "N.B", "HHZ", 100.0, 0.0, trace([10.0, 15.0], 0.0))]
+    rows += [("e", "N.C", "HHZ", 100.0, 0.0, trace([10.0], 0.0)), ("e", "N.C", "HHE", 100.0, 0.25, trace([15.0], 0.25)), ("e", "N.C", "HHN", 100.0, 0.5, trace([15.0], 0.5))]
+    d = spark.createDataFrame([(*r, 10.0, 15.0) for r in rows], "event string, station string, channel string, rate double, start double, samples array<double>, p_expected double, s_expected double")
+    got = {(r["station"], r["phase"]): r["time"] for r in pick_stations(d).collect()}
+    for s in ("N.A", "N.B", "N.C"):
+        assert got[s, "P"] == pytest.approx(10.0, abs=0.06) and got[s, "S"] == pytest.approx(15.0, abs=0.06), s
