@@ -131,6 +131,20 @@ b as (
 """
 
 
+@query(
+    """
+with m as (select * replace (case when (station + seq) % 2 = 0 then 'iv.' else 'IV.' end || cast(station % 5 as varchar) as station) from pk),
+u as (select *, count(*) filter (where origin <> 'automatic') over (partition by event) as analyst from m where disabled = 0 and quality < 4 and sigma_s > 0)
+select event, station, phase, seq, origin from u where origin <> 'automatic' or analyst < 8
+qualify row_number() over (partition by event, upper(station), phase order by case origin when 'manual' then 0 when 'catalog' then 1 else 2 end, sigma_s, travel_time_s, seq) = 1
+"""
+)
+def w1_mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best picks of stations whose codes are written in two ways."""
+    s = F.concat(F.when((F.col("station") + F.col("seq")) % 2 == 0, "iv.").otherwise("IV."), (F.col("station") % 5).cast("string"))
+    return cat.best_picks(fx.picks(spark, sf_dir).withColumn("station", s)).select("event", "station", "phase", "seq", "origin")
+
+
 @query("with " + _BEST + "select event, station, phase, seq, origin, sigma_s, travel_time_s from b")
 def w1_best_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.best_picks(fx.picks(spark, sf_dir)).select("event", "station", "phase", "seq", "origin", "sigma_s", "travel_time_s")

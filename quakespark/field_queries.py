@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quakespark.catalog_queries import GRID
 from quakespark.common import table
 from quakespark.engine_queries import _laplacian_sql, usable_arrivals
 from quakespark.functions import geo
+from quakespark.operators import catalog as cat
 from quakespark.operators import fields, regular
 from quakespark.operators import stats
 from quakespark.plans import mesh
@@ -147,23 +150,32 @@ def pr11_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 with nd as (select cast(i as int) as node, 12.8 + i % 5 * 0.2 as lon, 42.4 + i // 5 % 4 * 0.25 as lat, 3.0 + i // 20 * 5.0 as dep from (select unnest(range(60)) as i)),
 xy as (select node, (6371 - dep) * cos(radians(lat)) * cos(radians(lon)) as x, (6371 - dep) * cos(radians(lat)) * sin(radians(lon)) as y, (6371 - dep) * sin(radians(lat)) as z from nd),
-a as (select event, phase, predicted_s + noise_s as t, (6371 + elevation_m / 1000) * cos(radians(st_lat)) * cos(radians(st_lon)) as bx, (6371 + elevation_m / 1000) * cos(radians(st_lat)) * sin(radians(st_lon)) as by_, (6371 + elevation_m / 1000) * sin(radians(st_lat)) as bz
+a as (select event, seq, phase, 1 / greatest(0.01, sigma_s) as w, predicted_s + noise_s as t, (6371 + elevation_m / 1000) * cos(radians(st_lat)) * cos(radians(st_lon)) as bx, (6371 + elevation_m / 1000) * cos(radians(st_lat)) * sin(radians(st_lon)) as by_, (6371 + elevation_m / 1000) * sin(radians(st_lat)) as bz
   from ar where disabled = 0 and quality < 4 and sigma_s > 0),
-r as (select event, node, t - sqrt((bx - x) ** 2 + (by_ - y) ** 2 + (bz - z) ** 2) / case phase when 'P' then 6.0 else 3.46 end as r from a, xy),
-m as (select event, node, avg(r) as t0 from r group by all),
-s as (select event, node, round(sum(abs(r - t0)), 6) as misfit from r join m using (event, node) group by all)
-select event, min_by(node, (misfit, node)) as node, min(misfit) as misfit from s group by event
+r as (select event, node, seq, w, t - sqrt((bx - x) ** 2 + (by_ - y) ** 2 + (bz - z) ** 2) / case phase when 'P' then 6.0 else 3.46 end as r from a, xy),
+o as (select *, sum(w) over (partition by event, node order by r, seq rows unbounded preceding) as upto, sum(w) over (partition by event, node) as whole from r),
+m as (select event, node, min(r) as t0 from o where upto >= whole / 2 group by all),
+s as (select event, node, sum(w * abs(r - t0)) as misfit from r join m using (event, node) group by all)
+select event, min_by(node, (round(misfit, 6), node)) as node, round(min(misfit), 4) as misfit from s group by event
 """,
     views=True,
 )
 def j13_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best node of a coarse search grid for each event."""
-    i = F.col("id")
-    n = spark.range(60).select(i.cast("int").alias("node"), (F.lit(12.8) + i % 5 * 0.2).alias("lon"), (F.lit(42.4) + F.floor(i / 5) % 4 * 0.25).alias("lat"), (F.lit(3.0) + F.floor(i / 20) * 5.0).alias("dep"))
-    n = n.select("node", geo.to_cartesian("lon", "lat", "dep").alias("np"))
-    a = usable_arrivals(spark, sf_dir).select("event", "phase", "time_s", geo.to_cartesian("st_lon", "st_lat", -F.col("elevation_m") / 1000).alias("sp"))
-    time = geo.chord_km(F.col("np"), F.col("sp")) / F.when(F.col("phase") == "P", 6.0).otherwise(3.46)
-    return fields.search(a, n, time)
+    i = np.arange(60)
+    x, y, z = 12.8 + i % 5 * 0.2, 42.4 + i // 5 % 4 * 0.25, 3.0 + i // 20 * 5.0
+    nodes = pd.DataFrame({"node": i, "lon": x, "lat": y, "depth": z})
+
+    def cartesian(lon, lat, depth):
+        r, a, o = 6371.0 - depth, np.radians(lat), np.radians(lon)
+        return np.stack([r * np.cos(a) * np.cos(o), r * np.cos(a) * np.sin(o), r * np.sin(a)], -1)
+
+    def times(g: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
+        p, q = (cartesian(*(d[c].to_numpy(float) for c in ("lon", "lat", "depth"))) for d in (g, part))
+        return np.linalg.norm(p[:, None] - q, axis=-1) / np.where(g["phase"] == "P", 6.0, 3.46)[:, None]
+
+    a = usable_arrivals(spark, sf_dir).select("event", "phase", "time_s", cat.weight().alias("weight"), F.col("st_lon").alias("lon"), F.col("st_lat").alias("lat"), (-F.col("elevation_m") / 1000).alias("depth"))
+    return fields.search(a, nodes, times).withColumn("misfit", F.round("misfit", 4))
 
 
 @query("select event, station, 'catalog' as source, travel_time_s as dt from pk where origin = 'catalog' union all select event, station, 'manual', travel_time_s from pk where origin = 'manual'", views=True)

@@ -35,7 +35,7 @@ def origin_rank(origin: str = "origin") -> Column:
 
 
 def best_picks(picks: DataFrame, *, time: str = "travel_time_s", tie: str = "seq", automatic: str = "if_few_analyst_picks", few: int = 8, phases: list[str] | None = None) -> DataFrame:
-    """One usable pick per (event, station, phase): by trust in its origin, then uncertainty, time and `tie`.
+    """One usable pick per (event, station, phase), stations compared ignoring case: by trust in its origin, then uncertainty, time and `tie`.
 
     `automatic`: 'always', 'never', or 'if_few_analyst_picks', which drops automatic picks of events with `few` analyst picks or more
     (of all phases, counted before `phases` selects). Two windows, of which the second's shuffle key extends the first's.
@@ -48,7 +48,7 @@ def best_picks(picks: DataFrame, *, time: str = "travel_time_s", tie: str = "seq
         p = p.withColumn("_analyst", analyst).where((F.col("origin") != "automatic") | (F.col("_analyst") < few)).drop("_analyst")
     if phases:
         p = p.where(F.col("phase").isin(phases))
-    order = Window.partitionBy("event", "station", "phase").orderBy(origin_rank(), "sigma_s", time, tie)
+    order = Window.partitionBy("event", F.upper(F.col("station").cast("string")), "phase").orderBy(origin_rank(), "sigma_s", time, tie)
     return p.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakespark.common import spread
 from quakespark.functions import geo
 from quakespark.functions.geo import EARTH_KM
 from quakespark.functions.grid import Grid
@@ -97,17 +101,37 @@ def filled(value: str, default: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(value), F.col(value)), default)
 
 
-def search(arrivals: DataFrame, nodes: DataFrame, time: Column) -> DataFrame:
-    """(event, node, misfit) of the node of least summed absolute residual of each event, the origin time being the mean of what is left.
+def weighted_lower_medians(r: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each column of r: the first value, in order, at which the weights so far reach half of all; NaN does not count (0 where nothing does)."""
+    order = np.argsort(r, axis=0, kind="stable")  # NaN last
+    value = np.take_along_axis(r, order, 0)
+    upto = np.cumsum(np.where(np.isnan(value), 0.0, w[order]), axis=0)
+    at = (upto >= upto[-1] / 2).argmax(0)
+    got = value[at, np.arange(r.shape[1])]
+    return np.where(np.isnan(got), 0.0, got)
 
-    `time`: predicted travel time over the columns of both. Nodes are a generated search grid whose size is a parameter: they are
-    broadcast, and residuals are summed map-side per (event, node).
+
+def search(arrivals: DataFrame, nodes: pd.DataFrame, times: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], *, at_once: int = 4_000_000) -> DataFrame:
+    """(event, node, misfit) of the node of least weighted sum of absolute residuals of each event (event, time_s, weight, ...); the
+    origin time of a node is the weighted lower median of what its travel times leave. An arrival without a travel time at a node counts 10 s.
+
+    `nodes` is a search grid whose size is a parameter, with a column `node`; it travels with the function. `times`: travel times (arrivals x nodes) of an
+    event's arrivals to some of the nodes. One group is an event's arrivals.
     """
-    j = arrivals.crossJoin(F.broadcast(nodes)).withColumn("r", F.col("time_s") - time)
-    s = j.groupBy("event", "node").agg(F.avg("r").alias("t0"), F.collect_list("r").alias("rs"))
-    m = s.select("event", "node", F.aggregate("rs", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("t0"))).alias("misfit"))
-    best = m.groupBy("event").agg(F.min(F.struct(F.round("misfit", 6).alias("misfit"), "node")).alias("b"))
-    return best.select("event", "b.node", "b.misfit")
+    kind = arrivals.schema["event"].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        w, best = g["weight"].to_numpy(float), (np.inf, -1, np.inf)
+        step = max(1, at_once // len(g))
+        for k in range(0, len(nodes), step):
+            part = nodes.iloc[k : k + step]
+            r = g["time_s"].to_numpy(float)[:, None] - times(g, part)
+            left = np.abs(r - weighted_lower_medians(r, w))
+            misfit = (np.where(np.isnan(left), 10.0, left) * w[:, None]).sum(0)
+            best = min(best, min(zip(np.round(misfit, 6).tolist(), part["node"].tolist(), misfit.tolist())))  # of equal ones the first node
+        return pd.DataFrame({"event": g["event"].iloc[:1], "node": [best[1]], "misfit": [best[2]]})
+
+    return spread(arrivals, "event").groupBy("event").applyInPandas(run, f"event {kind}, node int, misfit double")
 
 
 def crossings(rows: DataFrame, id: str, *, threshold: float, ahead: int, expected: int) -> DataFrame:

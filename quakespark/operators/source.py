@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakespark.common import spread
 from quakespark.functions import mechanism as m
 from quakespark.operators import stats
 
@@ -17,24 +20,41 @@ def first_readings(polarities: DataFrame, *, order: str, manual: str = "manual")
     return p.withColumn("weight", F.when(F.col(manual) == 0, 0.5).otherwise(1.0)).withColumn("polarity", F.signum(F.col("polarity").cast("double")).cast("int"))
 
 
-def mechanism_grid(spark, step: float) -> DataFrame:
-    """(g, strike, dip, rake) of a search grid, numbered in scan order: strikes outermost, rakes innermost."""
-    ns, nd, nr = int(360 / step), int(90 / step) + 1, int(360 / step)
-    g = spark.range(ns * nd * nr).withColumnRenamed("id", "g")
-    return g.select("g", (F.floor(F.col("g") / (nd * nr)) * step).cast("double").alias("strike"), ((F.floor(F.col("g") / nr) % nd) * step).cast("double").alias("dip"), ((F.col("g") % nr) * step - 180).cast("double").alias("rake"))
+def mechanism_grid(step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strikes, dips, rakes) of a search grid in scan order: strikes outermost, rakes innermost; dips start at one step, as a level plane has no strike."""
+    n = round(360 / step)
+    g = np.meshgrid(np.arange(n) * step, np.arange(1, round(90 / step) + 1) * step, np.arange(n) * step - 180, indexing="ij")
+    return tuple(x.ravel().astype(float) for x in g)
+
+
+def grid_misfit(g: pd.DataFrame, normal: np.ndarray, slip: np.ndarray, at_once: int = 1_000_000) -> np.ndarray:
+    """Weighted share of an event's readings (azimuth, takeoff, polarity, weight) that each mechanism gets wrong."""
+    az, to = np.radians(g["azimuth"].to_numpy(float)), np.radians(g["takeoff"].to_numpy(float))
+    ray = np.stack([np.sin(to) * np.cos(az), np.sin(to) * np.sin(az), np.cos(to)])
+    sign, w = np.sign(g["polarity"].to_numpy(float)), g["weight"].to_numpy(float)
+    k = max(1, at_once // max(1, len(g)))  # mechanisms at once, so that memory does not grow with them times the readings
+    return np.concatenate([((np.sign((normal[i : i + k] @ ray) * (slip[i : i + k] @ ray)) != sign) * w).sum(1) for i in range(0, len(normal), k)]) / w.sum()
+
+
+def counted(polarities: DataFrame) -> DataFrame:
+    """Readings that count: a polarity other than 0 and a positive weight."""
+    return polarities.where((F.col("polarity") != 0) & (F.col("weight") > 0))
 
 
 def polarity_misfit(polarities: DataFrame, step: float = 5.0) -> DataFrame:
-    """(event, g, strike, dip, rake, misfit): weighted share of readings that each mechanism of a grid gets wrong.
+    """(event, strike, dip, rake, misfit, n): weighted share of n readings that each mechanism of a grid gets wrong.
 
-    The grid is generated (its size is a parameter and does not grow with the data) and broadcast; readings are never joined with
-    each other.
+    One group is an event's readings, of which there are a few per station; the grid is made in the task, so nothing but readings is shuffled.
     """
-    grid = F.broadcast(mechanism_grid(polarities.sparkSession, step).withColumn("n", m.normal(F.col("strike"), F.col("dip"))).withColumn("u", m.slip(F.col("strike"), F.col("dip"), F.col("rake"))))
-    r = polarities.withColumn("ray", m.direction(F.col("azimuth"), F.col("takeoff"))).crossJoin(grid)
-    wrong = F.signum(m.p_radiation(F.col("n"), F.col("u"), F.col("ray"))) != F.col("polarity")
-    s = r.groupBy("event", "g", "strike", "dip", "rake").agg(F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)).alias("bad"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("n"))
-    return s.select("event", "g", "strike", "dip", "rake", (F.col("bad") / F.col("all")).alias("misfit"), "n")
+    kind = polarities.schema["event"].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        strike, dip, rake = mechanism_grid(step)
+        misfit = grid_misfit(g, *m.vectors(strike, dip, rake))
+        return pd.DataFrame({"event": [g["event"].iloc[0]] * len(strike), "strike": strike, "dip": dip, "rake": rake, "misfit": misfit, "n": len(g)})
+
+    readings = counted(polarities).select("event", "azimuth", "takeoff", "polarity", "weight")
+    return spread(readings, "event").groupBy("event").applyInPandas(run, f"event {kind}, strike double, dip double, rake double, misfit double, n long")
 
 
 def acceptable_mechanisms(misfits: DataFrame, error_fraction: float = 0.1) -> DataFrame:

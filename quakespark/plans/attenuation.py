@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakespark.common import Scratch
@@ -62,12 +63,25 @@ def window_spectra(traces: DataFrame, picks: DataFrame, *, window_s: float = 2.5
     return traces.groupBy("event", "station").cogroup(first.groupBy("event", "station")).applyInPandas(run, out)
 
 
-def flag_tstar(fits: DataFrame, *, band: DataFrame | None = None, corner_band_factor: float = 3.0, max_relative_misfit: float = 3.0) -> DataFrame:
-    """Fits with `resolved` (the corner lies well below the fitted band's end) and `disabled` (far below zero, or a misfit far above the middle)."""
-    mid = stats.upper_median(fits.withColumn("_m", F.sqrt(F.col("rss") / F.col("n"))), [], "_m").select(F.col("median").alias("_mid"))
+def resolve_corners(fits: DataFrame, by: list[str], *, top: str = "fit_max_hz", corner: str = "corner_hz", error: str = "tstar_error", spread: str = "corner_trade_off", factor: float = 3.0, exclude: bool = False) -> DataFrame:
+    """Fits with `corner_resolved`, `error` and `disabled`: an event's corner is resolved if it lies `factor` times below the upper median of the highest
+    fitted frequencies of the event's records (`by`: event and phase); the t* change across the corner's interval is added to the uncertainty, and
+    with `exclude` records of an unresolved corner are disabled."""
+    mid = stats.upper_median(fits, by, top).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("median").alias("_mid"))
+    j = fits.join(mid, reduce(Column.__and__, [fits[c].eqNullSafe(mid[f"_{c}"]) for c in by]), "left")
+    ok = F.coalesce(F.col(corner) <= F.col("_mid") / factor, F.lit(False)) & ~F.coalesce(F.isnan(corner), F.lit(False))
+    before = F.col("disabled") if "disabled" in fits.columns else F.lit(False)
+    j = j.withColumn("corner_resolved", ok).withColumn(error, F.sqrt(F.pow(error, 2) + F.pow(F.coalesce(spread, F.lit(0.0)), 2)))
+    return j.withColumn("disabled", before | (~ok if exclude else F.lit(False))).drop("_mid", *[f"_{c}" for c in by])
+
+
+def disable_tstar(fits: DataFrame, *, error: str = "tstar_error", max_relative_misfit: float = 3.0) -> DataFrame:
+    """Fits with `disabled`: t* further below zero than twice its uncertainty, or a misfit (`rss`, `n`) far above the middle one."""
+    size = F.sqrt(F.col("rss") / F.col("n"))
+    mid = stats.upper_median(fits.withColumn("_m", size), [], "_m").select(F.col("median").alias("_mid"))
     j = fits.crossJoin(F.broadcast(mid))  # one row
-    top = F.col("f_max") if "f_max" in fits.columns else F.lit(30.0)
-    return j.withColumn("resolved", F.col("corner_hz") <= top / corner_band_factor).withColumn("disabled", F.coalesce((F.col("tstar") < -2 * F.col("tstar_error")) if "tstar_error" in fits.columns else F.lit(False), F.lit(False)) | (F.sqrt(F.col("rss") / F.col("n")) > max_relative_misfit * F.col("_mid"))).drop("_mid")
+    below = F.coalesce(F.col("tstar") < -2 * F.col(error), F.lit(False)) if error in fits.columns else F.lit(False)
+    return j.withColumn("disabled", below | (size > max_relative_misfit * F.col("_mid"))).drop("_mid")
 
 
 def reference_q(readings: DataFrame, *, q_min: float = 10.0, q_max: float = 5000.0) -> float:

@@ -10,17 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakespark.common import spread
+from quakespark.functions.mechanism import vectors
+from quakespark.operators.source import counted, grid_misfit, mechanism_grid
 
 # Geometry in numpy: north, east, down
 
 
-def vectors(strike, dip, rake) -> tuple[np.ndarray, np.ndarray]:
-    s, d, r = (np.radians(np.asarray(v, float)) for v in (strike, dip, rake))
-    n = np.stack([-np.sin(d) * np.sin(s), np.sin(d) * np.cos(s), -np.cos(d)], -1)
-    u = np.stack([np.cos(r) * np.cos(s) + np.cos(d) * np.sin(r) * np.sin(s), np.cos(r) * np.sin(s) - np.cos(d) * np.sin(r) * np.cos(s), -np.sin(d) * np.sin(r)], -1)
-    return n, u
-
-
 def plane(n: np.ndarray, u: np.ndarray) -> tuple[float, float, float]:
     """(strike, dip, rake) of normal and slip."""
     if n[2] > 0:
@@ -81,17 +76,15 @@ def mechanisms(polarities: DataFrame, *, step: float = 5.0, error_fraction: floa
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         cols = [c.split()[0] for c in MECHANISM.split(", ")]
-        if len(g) < least:
+        if len(g) < max(4, least):
             return pd.DataFrame(columns=cols)
-        s, d, r = np.meshgrid(np.arange(0, 360, step), np.arange(0, 90 + step / 2, step), np.arange(-180, 180, step), indexing="ij")
-        s, d, r = s.ravel(), d.ravel(), r.ravel()
+        s, d, r = mechanism_grid(step)
         n, u = vectors(s, d, r)
         az, to = np.radians(g["azimuth"].to_numpy(float)), np.radians(g["takeoff"].to_numpy(float))
         ray = np.stack([np.sin(to) * np.cos(az), np.sin(to) * np.sin(az), np.cos(to)], -1)
-        pol, w = np.sign(g["polarity"].to_numpy(float)), g["weight"].to_numpy(float)
+        w = g["weight"].to_numpy(float)
         amplitude = lambda i: 2 * (n[i] @ ray.T) * (u[i] @ ray.T)
-        at_once = max(1, 1_000_000 // len(g))  # of the grid, so that memory does not grow with it times the readings
-        misfit = np.concatenate([((np.sign(amplitude(slice(k, k + at_once))) != pol) * w).sum(1) for k in range(0, len(n), at_once)]) / w.sum()
+        misfit = grid_misfit(g, n, u)
         f = min(max(error_fraction, 0.01), 0.5)
         ok = np.flatnonzero(misfit <= misfit.min() + max(1.0, math.sqrt(len(g) * f * (1 - f))) / len(g) + 1e-12)
         an, au = best_double_couple(tensors(n[ok], u[ok]).sum(0))
@@ -113,7 +106,8 @@ def mechanisms(polarities: DataFrame, *, step: float = 5.0, error_fraction: floa
         second = plane(u[best], n[best])
         return pd.DataFrame([(g["event"].iloc[0], s[best], d[best], r[best], *second, len(g), bad, rms, prob, stdr, azg, tog, quality, len(ok))], columns=cols)
 
-    return spread(polarities, "event").groupBy("event").applyInPandas(run, MECHANISM)
+    kind = polarities.schema["event"].dataType.simpleString()
+    return spread(counted(polarities), "event").groupBy("event").applyInPandas(run, MECHANISM.replace("event long", f"event {kind}"))
 
 
 # Stress

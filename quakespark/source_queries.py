@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakespark.common import table
+from quakespark.common import first_delivery, table
 from quakespark.functions import mechanism as m
 from quakespark.operators import source as src
 from quakespark.operators import stats
+from quakespark.plans.attenuation import resolve_corners
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -140,17 +141,17 @@ def f20_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.round(shear, 6).alias("shear"), F.round(open_, 6).alias("unclamping"), F.round(shear + 0.4 * open_, 6).alias("coulomb"))
 
 
-_POL = "po as (select p_partkey % 20 as event, p_partkey as station, cast((p_partkey * 37) % 360 as double) as azimuth, cast(20 + (p_partkey * 17) % 140 as double) as takeoff, case when p_partkey % 3 = 0 then -1 else 1 end as polarity, case when p_partkey % 4 = 0 then 0.5 else 1.0 end as weight from part)"
+_POL = "po as (select p_partkey // 50 as event, p_partkey as station, cast((p_partkey * 37) % 360 as double) + 0.137 as azimuth, cast(20 + (p_partkey * 17) % 140 as double) + 0.071 as takeoff, case when p_partkey % 3 = 0 then -1 else 1 end as polarity, case when p_partkey % 4 = 0 then 0.5 else 1.0 end as weight from part)"
 
 
 def polarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").select((k % 20).alias("event"), k.alias("station"), ((k * 37) % 360).cast("double").alias("azimuth"), (20 + (k * 17) % 140).cast("double").alias("takeoff"), F.when(k % 3 == 0, -1).otherwise(1).alias("polarity"), F.when(k % 4 == 0, 0).otherwise(1).alias("manual"), k.alias("ordinal"))
+    p = table(spark, sf_dir, "part").select(F.floor(k / 50).alias("event"), k.alias("station"), (((k * 37) % 360).cast("double") + 0.137).alias("azimuth"), ((20 + (k * 17) % 140).cast("double") + 0.071).alias("takeoff"), F.when(k % 3 == 0, -1).otherwise(1).alias("polarity"), F.when(k % 4 == 0, 0).otherwise(1).alias("manual"), k.alias("ordinal"))
     return src.first_readings(p, order="ordinal")
 
 
 _MISFIT = _POL + """,
-gr as (select cast(s as double) as strike, cast(d as double) as dip, cast(r as double) as rake from (select unnest(range(0, 360, 30)) as s), (select unnest(range(0, 91, 30)) as d), (select unnest(range(-180, 180, 30)) as r)),
+gr as (select cast(s as double) as strike, cast(d as double) as dip, cast(r as double) as rake from (select unnest(range(0, 360, 30)) as s), (select unnest(range(30, 91, 30)) as d), (select unnest(range(-180, 180, 30)) as r)),
 gv as (select *, -sin(radians(dip)) * sin(radians(strike)) as nn, sin(radians(dip)) * cos(radians(strike)) as ne, -cos(radians(dip)) as nd,
   cos(radians(rake)) * cos(radians(strike)) + cos(radians(dip)) * sin(radians(rake)) * sin(radians(strike)) as un,
   cos(radians(rake)) * sin(radians(strike)) - cos(radians(dip)) * sin(radians(rake)) * cos(radians(strike)) as ue, -sin(radians(dip)) * sin(radians(rake)) as ud from gr),
@@ -308,15 +309,18 @@ def a23_octave_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with s as (select distinct fit_id, station_id, tstar, tstar_error, snr, corner_hz from spectrum_fits where tstar is not null and isfinite(tstar)),
-m as (select list_sort(list(corner_hz))[count(*) // 2 + 1] as mid from s where corner_hz is not null and not isnan(corner_hz))
-select fit_id, coalesce(corner_hz <= mid / 1.1, false) as resolved, coalesce(tstar < -2 * tstar_error, false) as disabled from s, m
+with s as (
+  select fit_id, event_id, corner_hz, tstar_error, list_max(freq) as top from spectrum_fits where fit_id is not null and len(freq) > 0
+  qualify row_number() over (partition by fit_id order by measured_at nulls last) = 1),
+m as (select event_id, list_sort(list(top))[count(*) // 2 + 1] as top from s group by event_id),
+r as (select fit_id, coalesce(not isnan(corner_hz) and corner_hz <= m.top / 3, false) as resolved, tstar_error from s join m on s.event_id is not distinct from m.event_id)
+select fit_id, resolved, not resolved as disabled, round(sqrt(tstar_error ** 2 + (0.5 * tstar_error) ** 2), 9) as error from r
 """
 )
 def pr12_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners well below the middle one are resolved; t* far below zero is disabled."""
-    s = table(spark, sf_dir, "spectrum_fits").where("tstar is not null and not isnan(tstar)").select("fit_id", "tstar", "tstar_error", "corner_hz").dropDuplicates(["fit_id"])
-    mid = stats.upper_median(s, [], "corner_hz").select(F.col("median").alias("mid"))
-    j = s.crossJoin(F.broadcast(mid))  # one row
-    ok = lambda c: F.coalesce(c, F.lit(False))
-    return j.select("fit_id", (ok(F.col("corner_hz") <= F.col("mid") / 1.1) & ok(~F.isnan("corner_hz"))).alias("resolved"), ok(F.col("tstar") < -2 * F.col("tstar_error")).alias("disabled"))
+    """Resolved corners of each event's spectra; half of each uncertainty stands for the change across the corner's interval."""
+    s = table(spark, sf_dir, "spectrum_fits").where(F.size("freq") > 0)
+    s = first_delivery(s, "fit_id", "measured_at", ["event_id", "corner_hz", "tstar_error", "freq"])
+    s = s.select("fit_id", "event_id", "corner_hz", "tstar_error", F.array_max("freq").alias("fit_max_hz"), (0.5 * F.col("tstar_error")).alias("corner_trade_off"))
+    r = resolve_corners(s, ["event_id"], exclude=True)
+    return r.select("fit_id", F.col("corner_resolved").alias("resolved"), "disabled", F.round("tstar_error", 9).alias("error"))

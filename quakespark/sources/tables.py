@@ -53,10 +53,12 @@ def number(c: Column, default: float | None = None, where: str = "") -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(default).cast("double")).when(F.lower(t) == "nan", F.lit(None).cast("double")).when(t.try_cast("double").isNotNull(), t.try_cast("double")).otherwise(bad)
 
 
-def timestamp(c: Column) -> Column:
-    """ISO 8601 (UTC) or seconds since 1970."""
+def timestamp(c: Column, where: str = "") -> Column:
+    """ISO 8601 (UTC) or seconds since 1970; blank is null, anything else raises an error that names it."""
     t = F.trim(c)
-    return F.when(t.rlike(r"^[+-]?\d+(\.\d+)?$"), F.timestamp_micros(F.round(t.try_cast("double") * 1e6).cast("long"))).otherwise(t.try_cast("timestamp"))
+    bad = F.raise_error(F.concat(F.lit(f"{where}: not a time: "), t)).cast("timestamp")
+    epoch, iso = t.try_cast("double"), t.try_cast("timestamp")
+    return F.when(t.isNull() | (t == ""), F.lit(None).cast("timestamp")).when(epoch.isNotNull() & ~F.isnan(epoch), F.timestamp_micros(F.round(epoch * 1e6).cast("long"))).when(iso.isNotNull(), iso).otherwise(bad)
 
 
 def flag(c: Column) -> Column:
@@ -81,7 +83,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
 def read_events(spark: SparkSession, path: str, *, check: bool = True) -> DataFrame:
     """Events; an id that occurs twice is an error."""
     d = read_table(spark, path)
-    e = d.select(F.trim(column(d, "id", True)).alias("id"), timestamp(column(d, "time", True)).alias("origin_time"), *[number(column(d, c, True), None, path).alias(c) for c in ("lon", "lat", "depth_km")], _or(d, "magnitude", None, path).alias("magnitude"), (flag(column(d, "fixed")) if column(d, "fixed") is not None else F.lit(False)).alias("fixed"))
+    e = d.select(F.trim(column(d, "id", True)).alias("id"), timestamp(column(d, "time", True), path).alias("origin_time"), *[number(column(d, c, True), None, path).alias(c) for c in ("lon", "lat", "depth_km")], _or(d, "magnitude", None, path).alias("magnitude"), (flag(column(d, "fixed")) if column(d, "fixed") is not None else F.lit(False)).alias("fixed"))
     if check and (twice := e.groupBy("id").count().where("count > 1").limit(1).collect()):
         raise ValueError(f"{path}: event {twice[0]['id']} occurs twice")
     return e
@@ -92,7 +94,7 @@ def read_picks(spark: SparkSession, path: str, events: DataFrame) -> tuple[DataF
     d = read_table(spark, path).withColumn("_seq", F.monotonically_increasing_id())
     ph = phase_of(F.trim(column(d, "phase", True)))
     tt = number(column(d, "travel_time_s"), None, path) if column(d, "travel_time_s") is not None else F.lit(None).cast("double")
-    at = timestamp(column(d, "time")) if column(d, "time") is not None else F.lit(None).cast("timestamp")
+    at = timestamp(column(d, "time"), path) if column(d, "time") is not None else F.lit(None).cast("timestamp")
     o = F.lower(F.trim(column(d, "origin"))) if column(d, "origin") is not None else F.lit("catalog")
     p = d.select(
         F.trim(column(d, "event", True)).alias("event"), F.trim(column(d, "station", True)).alias("station"), ph.alias("phase"), at.alias("_at"), tt.alias("_tt"), _or(d, "sigma_s", None, path).alias("_sigma"), _or(d, "quality", 0.0, path).cast("int").alias("quality"),
