@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quakespark.common import Scratch, micros, shuffle_partitions
+from quakespark.common import Scratch, micros, shuffle_partitions, spread
 
 _DAY = 86_400_000_000
 #: A day is cut in halves at most so often (its microseconds can be).
@@ -167,4 +167,4 @@ def match_nearest(
     def search(x: pa.Table, y: pa.Table) -> pa.Table:
         return _search(x, y, arrow)
 
-    return a.groupBy("slot").cogroup(b.groupBy("slot")).applyInArrow(search, out)
+    return spread(a, "slot").groupBy("slot").cogroup(spread(b, "slot").groupBy("slot")).applyInArrow(search, out)
