@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quakespark.functions import signal as sg
 from quakespark.functions.grid import Grid
@@ -400,3 +401,21 @@ def test_station_picks_with_one_horizontal_or_none(spark):
     got = {(r["station"], r["phase"]): r["time"] for r in pick_stations(d).collect()}
     for s in ("N.A", "N.B", "N.C"):
         assert got[s, "P"] == pytest.approx(10.0, abs=0.06) and got[s, "S"] == pytest.approx(15.0, abs=0.06), s
+
+
+@pytest.mark.parametrize("narrow", [False, True])
+def test_order_statistics_of_large_groups(spark, narrow):
+    from quakespark.operators import stats
+
+    rng = np.random.default_rng(6)
+    x = {"a": np.round(rng.standard_t(1, 60_000), 1), "b": rng.normal(0, 1, 50_001), "c": np.zeros(9000), "d": rng.integers(0, 3, 5000).astype(float), "e": np.array([5.0]), "f": rng.exponential(1, 40)}
+    d = spark.createDataFrame(pd.DataFrame({"k": np.repeat(list(x), [len(v) for v in x.values()]), "v": np.concatenate(list(x.values()))})).repartition(8)
+    for p in (0.0, 0.05, 0.5, 0.99, 1.0):
+        got = stats.order_statistics(d, ["k"], "v", p, {"a": F.floor(p * (F.col("n") - 1)), "b": F.ceil(p * (F.col("n") - 1))}, narrow=narrow).collect()
+        for r in got:
+            s = np.sort(x[r["k"]])
+            i = p * (len(s) - 1)
+            assert (r["n"], r["a"], r["b"]) == (len(s), s[int(np.floor(i))], s[int(np.ceil(i))]), (r["k"], p)
+        whole = np.sort(np.concatenate(list(x.values())))
+        one = stats.order_statistics(d, [], "v", p, {"a": F.floor(p * (F.col("n") - 1))}, narrow=narrow).first()
+        assert one["a"] == whole[int(np.floor(p * (len(whole) - 1)))]
