@@ -7,7 +7,7 @@ co-group, one vectorised binary search over (entity, time) finds the right neigh
 Scale. A range is a day of an entity, cut in halves until none holds more than `target_rows` rows of both tables, where they really lie: a
 hot entity or a burst is cut finer, others are not. A range never becomes narrower than some margins; if it is still too full there, its left rows are
 spread over several tasks, and its right rows are first reduced to one for each microsecond, which bounds them. Ranges are hashed onto slots of
-about `target_rows` rows, since one Python call a range would cost more than the search. Each side is shuffled once, with key, time and
+about a quarter of `target_rows` rows, since one Python call a range would cost more than the search. Each side is shuffled once, with key, time and
 id only; what reaches the driver is two numbers.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quakespark.common import Scratch, micros, shuffle_partitions, spread
+from quakespark.common import Scratch, micros, shuffle_partitions
 
 _DAY = 86_400_000_000
 #: A day is cut in halves at most so often (its microseconds can be).
@@ -152,7 +152,9 @@ def match_nearest(
     where = a.select("ent", block(F.col("t")).alias("block")).unionAll(b.select("ent", block(F.col("t")).alias("block")))
     counts = where.groupBy("ent", "block").count()
     size = counts.agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
-    slots = max(shuffle_partitions(spark), -(-(size["rows"] or 0) // target_rows))
+    # As many tasks as the rows need, also where the session's number of partitions is small; four slots a task even them out.
+    tasks = max(shuffle_partitions(spark), -(-(size["rows"] or 0) // target_rows))
+    slots = 4 * tasks
     if (size["most"] or 0) > target_rows:
         a, b = _cut(a, b, counts, unit, halves, margin, target_rows, Scratch(spark, "nearest"))
     else:
@@ -167,4 +169,4 @@ def match_nearest(
     def search(x: pa.Table, y: pa.Table) -> pa.Table:
         return _search(x, y, arrow)
 
-    return spread(a, "slot").groupBy("slot").cogroup(spread(b, "slot").groupBy("slot")).applyInArrow(search, out)
+    return a.repartition(tasks, "slot").groupBy("slot").cogroup(b.repartition(tasks, "slot").groupBy("slot")).applyInArrow(search, out)
