@@ -6,9 +6,13 @@ inside the bracket (a few thousandths of a large group) are ordered.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakespark.common import Scratch
+
 
 #: Groups of at most this many rows are ordered whole.
 WHOLE = 2000
@@ -94,21 +98,24 @@ def truncated_percentile(df: DataFrame, by: list[str], value: str, p: float) ->
     return order_statistics(df, by, value, p, {"value": F.floor(p * (F.col("n") - 1))}).drop("n")
 
 
-def reject_outliers(rows: DataFrame, *, residual: str, floor_s: float, mads: float = 4.0, centre_by: list[str] = (), absolute_s: float | None = None, scale: float = 1.4826) -> DataFrame:
+def reject_outliers(rows: DataFrame, *, residual: str, floor_s: float, mads: float = 4.0, centre_by: list[str] = (), absolute_s: float | None = None, scale: float = 1.4826, scratch: Scratch | None = None) -> DataFrame:
     """Rows with `rejected`: further than max(floor, mads x scaled MAD) from the centre. The groups of `centre_by` are small, such as an event's
-    readings: their medians are made by a window.
+    readings.
 
     The centre is the averaging median of all rows, or of each group in `centre_by`; the MAD is that of all distances. With
-    `absolute_s`, residuals beyond it are rejected as well. Unknown residuals (null, NaN) are rejected.
+    `absolute_s`, residuals beyond it are rejected as well. Unknown residuals (null, NaN) are rejected. With `scratch` the distances, which are
+    read several times, are stored once.
     """
     ok = F.col(residual).isNotNull() & ~F.isnan(residual)
     if centre_by:
-        r = rows.withColumn("_c", F.median(F.when(ok, F.col(residual))).over(Window.partitionBy(*centre_by)))
+        c = rows.where(ok).groupBy(*[F.col(k).alias(f"_{k}") for k in centre_by]).agg(F.median(residual).alias("_c"))
+        r = rows.join(c, reduce(Column.__and__, [rows[k].eqNullSafe(c[f"_{k}"]) for k in centre_by]), "left").drop(*[f"_{k}" for k in centre_by])
     else:
         c = median(rows.where(ok), [], residual).select(F.col("median").alias("_c"))
         r = rows.crossJoin(F.broadcast(c))  # one row
     r = r.withColumn("_d", F.when(ok, F.abs(F.col(residual) - F.col("_c"))))
-    m = median(r, [], "_d").select((scale * F.col("median")).alias("_m"))
+    far = r.select("_d")
+    m = median(scratch.keep(far) if scratch else far, [], "_d").select((scale * F.col("median")).alias("_m"))
     r = r.crossJoin(F.broadcast(m))  # one row
     bad = ~ok | (F.col("_d") > F.greatest(F.lit(floor_s), mads * F.col("_m")))
     if absolute_s is not None:

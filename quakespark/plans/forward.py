@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quakespark.common import spread
 from quakespark.functions.geo import EARTH_KM
@@ -183,6 +184,21 @@ def straight_kernels(grid: Grid, a: np.ndarray, b: np.ndarray, piece_km: float =
     return hit // grid.nodes, hit % grid.nodes, total[hit]
 
 
+def layer_kernels(grid: Grid, a: np.ndarray, b: np.ndarray, piece_km: float):
+    """Kernels of straight rays summed by layer, many at once: (ray, layer, km) arrays. A piece's length goes to the two layers around its middle."""
+    length = np.sqrt(((b - a) ** 2).sum(-1))
+    n = np.maximum(1, np.ceil(length / piece_km).astype(int))
+    ray = np.repeat(np.arange(len(a)), n)
+    f = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 0.5) / n[ray]
+    mid = a[ray] + f[:, None] * (b - a)[ray]
+    at = np.clip((EARTH_KM - np.sqrt((mid * mid).sum(-1)) - grid.min_depth) / grid.steps[2], 0, grid.nz - 1)
+    k = np.minimum(at.astype(int), max(0, grid.nz - 2))
+    km, share = (length / n)[ray], at - k
+    total = np.bincount(ray * grid.nz + k, km * (1 - share), len(a) * grid.nz) + np.bincount(ray * grid.nz + np.minimum(k + 1, grid.nz - 1), km * share, len(a) * grid.nz)
+    hit = np.flatnonzero(total >= LEAST_KM)
+    return hit // grid.nz, hit % grid.nz, total[hit]
+
+
 def coverage(arrivals: DataFrame, grid: Grid, *, piece_km: float = 1.0, rays_at_once: int = 1000) -> DataFrame:
     """(phase, node, dws, hits): summed ray length and number of rays at each node, of straight rays.
 
@@ -214,52 +230,38 @@ def coverage(arrivals: DataFrame, grid: Grid, *, piece_km: float = 1.0, rays_at_
 def kernel_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], *, straight: bool = False, layered: bool = False, carry: list[str] = (), forward: Grid | None = None, chunk_rows: int = 20_000) -> DataFrame:
     """(arrival, event, station, phase, t_calc, ge, gn, gd, nodes, km, and the columns in `carry`) of every arrival.
 
-    One table a (station, phase), made where its arrivals are; a station with many arrivals is split into chunks that each make it. Slowness
+    Straight rays are narrow. Else there is one table a (station, phase), made where its arrivals are; a station with many arrivals is split into chunks that each make it. Slowness
     (one value a node of `grid`, the model's size) travels with the function. With `layered`, lengths are summed by layer and `nodes` are
     layers: for models of one value a layer, rows are then as short as the grid is deep.
     """
     plane = grid.nx * grid.ny
     fwd = forward or grid
     fields = {p: (grid.resample(s, fwd).reshape(fwd.nz, fwd.ny, fwd.nx) if fwd is not grid else s.reshape(grid.nz, grid.ny, grid.nx)) for p, s in slowness.items()}
-    out = "arrival long, event long, station long, phase string, t_calc double, ge double, gn double, gd double, nodes array<int>, km array<double>" + "".join(f", {c} {arrivals.schema[c].dataType.simpleString()}" for c in carry)
+    kinds = {c: arrivals.schema[c].dataType.simpleString() for c in ["arrival", "event", "station", "phase", *carry]}
+    head = ["arrival", "event", "station", "phase"]
+    out = ", ".join(f"{c} {kinds[c]}" for c in head) + ", t_calc double, ge double, gn double, gd double, nodes array<int>, km array<double>" + "".join(f", {c} {kinds[c]}" for c in carry)
+    needed = [*head, "ev_lon", "ev_lat", "depth_km", "st_lon", "st_lat", "elevation_m", *carry]
+    if straight:
+        return _straight_rows(arrivals.select(*needed), grid, slowness, layered, out)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         f, s = g.iloc[0], fields[g["phase"].iloc[0]]
         source = (float(f["st_lon"]), float(f["st_lat"]), -float(f["elevation_m"]) / 1000)
         lon, lat, dep = (g[c].to_numpy(float) for c in ("ev_lon", "ev_lat", "depth_km"))
         rows = []
-        slow = slowness[f["phase"]].ravel()[:: plane if layered else 1]
-        if straight:
-            a, b = cartesian(lon, lat, dep), cartesian(*source)
-            here = grid.interpolate(slowness[f["phase"]].ravel(), lon, lat, dep)
-            away = (a - b) / np.maximum(1e-9, np.sqrt(((a - b) ** 2).sum(-1)))[:, None]
-            v = np.einsum("nij,nj->ni", local_axes(lon, lat), away) * here[:, None]
-            for k in range(0, len(g), 1000):
-                ray, node, km = straight_kernels(grid, a[k : k + 1000], np.broadcast_to(b, a[k : k + 1000].shape), 0.5 * grid.min_spacing_km)
-                if layered:
-                    m = min(1000, len(g) - k)
-                    sums = np.bincount(ray * grid.nz + node // plane, km, m * grid.nz)
-                    at = np.flatnonzero(sums)
-                    ray, node, km = at // grid.nz, at % grid.nz, sums[at]
-                cut = np.searchsorted(ray, np.arange(min(1000, len(g) - k) + 1))
-                for i in range(len(cut) - 1):
-                    nd, ln = node[cut[i] : cut[i + 1]], km[cut[i] : cut[i + 1]]
-                    rows.append((float(ln @ slow[nd]), *v[k + i], nd, ln))
-        else:
-            table = eikonal(fwd, s, source)
-            t, v = time_and_gradient(fwd, table, lon, lat, dep)
-            for i, path in enumerate(trace_rays(fwd, table, source, lon, lat, dep)):
-                nodes, km = kernel(grid, path)
-                if layered:
-                    km = np.bincount(nodes // plane, km, grid.nz)
-                    nodes = np.flatnonzero(km)
-                    km = km[nodes]
-                rows.append((t[i], *v[i], nodes, km))
+        table = eikonal(fwd, s, source)
+        t, v = time_and_gradient(fwd, table, lon, lat, dep)
+        for i, path in enumerate(trace_rays(fwd, table, source, lon, lat, dep)):
+            nodes, km = kernel(grid, path)
+            if layered:
+                km = np.bincount(nodes // plane, km, grid.nz)
+                nodes = np.flatnonzero(km)
+                km = km[nodes]
+            rows.append((t[i], *v[i], nodes, km))
         r = pd.DataFrame(rows, columns=["t_calc", "ge", "gn", "gd", "nodes", "km"])
         g = g.reset_index(drop=True)
         return pd.concat([g[["arrival", "event", "station", "phase"]], r, g[list(carry)]], axis=1)
 
-    needed = ["arrival", "event", "station", "phase", "ev_lon", "ev_lat", "depth_km", "st_lon", "st_lat", "elevation_m", *carry]
     per = arrivals.select(*needed).withColumn("chunk", F.floor(F.pmod(F.xxhash64("arrival"), F.lit(1 << 20)) / F.greatest(F.lit(1), F.ceil(F.lit(1 << 20) / F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(_by_station()) / chunk_rows))))))
     return spread(per, "station", "phase", "chunk").groupBy("station", "phase", "chunk").applyInPandas(run, out)
 
@@ -268,3 +270,37 @@ def _by_station():
     from pyspark.sql import Window
 
     return Window.partitionBy("station", "phase")
+
+
+def _straight_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], layered: bool, out: str, at_once: int = 2000) -> DataFrame:
+    """`kernel_rows` of straight rays: no table, so no grouping."""
+    arrow = to_arrow_schema(arrivals.sparkSession.createDataFrame([], out).schema)
+    plane = grid.nx * grid.ny
+    short = {p: np.asarray(s, float).ravel()[:: plane if layered else 1] for p, s in slowness.items()}
+    full = {p: np.asarray(s, float).ravel() for p, s in slowness.items()}
+    names = arrivals.columns
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, at_once):
+                batch = whole.slice(k, at_once)
+                col = lambda c, b=batch: b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float)
+                lon, lat, dep = col("ev_lon"), col("ev_lat"), col("depth_km")
+                phase = batch.column(names.index("phase")).to_numpy(zero_copy_only=False)
+                a, b = cartesian(lon, lat, dep), cartesian(col("st_lon"), col("st_lat"), -col("elevation_m") / 1000)
+                ray, node, km = (layer_kernels if layered else straight_kernels)(grid, a, b, 0.5 * grid.min_spacing_km)
+                cost, here = np.zeros(len(ray)), np.zeros(len(a))
+                for p in full:
+                    of = phase == p
+                    here[of] = grid.interpolate(full[p], lon[of], lat[of], dep[of])
+                    of = of[ray]
+                    cost[of] = km[of] * short[p][node[of]]
+                t = np.bincount(ray, cost, len(a))
+                away = (a - b) / np.maximum(1e-9, np.sqrt(((a - b) ** 2).sum(-1)))[:, None]
+                v = np.einsum("nij,nj->ni", local_axes(lon, lat), away) * here[:, None]
+                offsets = pa.array(np.searchsorted(ray, np.arange(len(a) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (node.astype(np.int32), km)]
+                made = {"t_calc": pa.array(t), "ge": pa.array(v[:, 0]), "gn": pa.array(v[:, 1]), "gd": pa.array(v[:, 2]), "nodes": lists[0], "km": lists[1]}
+                yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else batch.column(names.index(f.name)) for f in arrow], schema=arrow)
+
+    return arrivals.mapInArrow(run, out)

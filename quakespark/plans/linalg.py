@@ -139,36 +139,45 @@ def solve_rows(rows: DataFrame, n: int, damp: float = 0.0, *, tolerance: float =
         a = Csr.build(np.repeat(np.arange(t.num_rows), count), col, val, t.num_rows, n)
         return lsqr(a, np.array(t["rhs"]), damp, atol=tolerance, btol=tolerance, max_turns=max_turns)
 
-    def product(p: np.ndarray | None) -> np.ndarray:
+    def product(p: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """A'A p, or of None A'b and the sums of squares of the columns."""
+
         def run(batches):
-            total = np.zeros(n)
+            total, squares = np.zeros(n), np.zeros(n)
             for b in batches:
                 count = np.diff(b.column(0).offsets.to_numpy())
                 c, v = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
                 r = np.repeat(np.arange(b.num_rows), count)
+                if p is None:
+                    squares += np.bincount(c, v * v, n)
                 y = b.column(2).to_numpy() if p is None else np.bincount(r, v * p[c], b.num_rows)
                 total += np.bincount(c, v * y[r], n)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "v"])
-
-        got = rows.select("columns", "values", "rhs").mapInArrow(run, "c int, v double").groupBy("c").agg(F.sum("v").alias("v")).toArrow()
-        out = np.zeros(n)
-        out[np.array(got["c"], dtype=np.int64)] = np.array(got["v"])
-        return out
-
-    x, s = np.zeros(n), product(None)
+            at = np.flatnonzero((total != 0) | (squares != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(squares[at])], names=["c", "v", "q"])
+
+        got = rows.select("columns", "values", "rhs").mapInArrow(run, "c int, v double, q double").groupBy("c").agg(F.sum("v").alias("v"), F.sum("q").alias("q")).toArrow()
+        at, out, squares = np.array(got["c"], dtype=np.int64), np.zeros(n), np.zeros(n)
+        out[at], squares[at] = np.array(got["v"]), np.array(got["q"])
+        return out, squares
+
+    # Scaled to columns of one length, which takes the spread of their sizes out of the condition.
+    s, squares = product(None)
+    scale = 1 / np.sqrt(np.maximum(squares + damp * damp, 1e-300))
+    x, s = np.zeros(n), s * scale
     p, first = s.copy(), float(np.linalg.norm(s))
-    k = 0
-    for k in range(1, max_turns + 1):
-        q = product(p) + damp * damp * p
+    k, reason = 0, "zero right side"
+    while first > 0 and k < max_turns:
+        k += 1
+        q = scale * (product(scale * p)[0] + damp * damp * scale * p)
         g = float(s @ s)
         a = g / float(p @ q)
         x += a * p
         s = s - a * q
-        if float(np.linalg.norm(s)) <= tolerance * first:
+        reason = "normal equations" if float(np.linalg.norm(s)) <= tolerance * first else "turns"
+        if reason != "turns":
             break
         p = s + float(s @ s) / g * p
-    return x, {"reason": "normal equations", "turns": k}
+    return scale * x, {"reason": reason, "turns": k}
 
 
 def resolution_diagonal(solve, dot, n: int, probes: int = 20, seed: int = 1) -> np.ndarray:

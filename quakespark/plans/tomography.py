@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakespark.common import Scratch, spread
+from quakespark.common import Scratch, shuffle_partitions
 from quakespark.functions.geo import EARTH_KM, to_cartesian
 from quakespark.functions.grid import Grid
 from quakespark.operators import regular, stats
@@ -77,7 +77,7 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
         t = spark.createDataFrame(st.rename(columns={"column": "st_column"}))
         r = k.join(t, ["station", "phase"])
         r = r.withColumn("residual", F.col("time_s") - F.col("t0") - F.col("t_calc") - F.col("term"))
-        r = scratch.keep(stats.reject_outliers(r, residual="residual", floor_s=s.outlier_floor_s, mads=s.outlier_mads, centre_by=["event"], absolute_s=s.max_residual_s))
+        r = scratch.keep(stats.reject_outliers(r, residual="residual", floor_s=s.outlier_floor_s, mads=s.outlier_mads, centre_by=["event"], absolute_s=s.max_residual_s, scratch=scratch))
         ok = r.where(~F.col("rejected"))
         m = ok.agg(F.count(F.lit(1)).alias("used"), F.sqrt(F.avg(F.pow("residual", 2))).alias("rms"), F.sum(F.pow(F.col("residual") / F.greatest(F.lit(0.01), F.col("sigma_s")), 2)).alias("misfit")).first()
         if before is not None and tries < s.halvings and m["misfit"] / max(1, m["used"]) > 1.001 * before and step is not None:
@@ -90,13 +90,13 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
             break
         before = m["misfit"] / max(1, m["used"])
         old = ({p: v[p].copy() for p in phases}, ev.copy(), st.copy())
-        step = _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown)
+        step = _step(spark, scratch, ok, m["used"], grid, v, start, ev, st, phases, s, unknown)
         v, ev, st = _moved(old, step, 1.0, grid, phases, s, unknown)
         it += 1
     return Result({p: v[p].reshape(grid.nz, grid.ny, grid.nx) for p in phases}, ev.drop(columns="column"), st.drop(columns="column"), history)
 
 
-def _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown) -> np.ndarray:
+def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown) -> np.ndarray:
     """Solution of one linear step: kernels, hypocentres, station terms, damping and smoothing, in one table of rows."""
     m = unknown * len(phases)
     base_ev = m
@@ -152,7 +152,7 @@ def _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown) -> np.
             i = np.flatnonzero(st["phase"].to_numpy() == p)
             extra.append(((base_st + i).tolist(), [10.0] * len(i), float(-10.0 * st["term"].to_numpy()[i].sum())))
     if small:
-        return _eliminated(ok, n, base_ev, base_st, phases, short, len(ev), extra, s)
+        return _eliminated(ok, used, n, base_ev, base_st, phases, short, len(ev), extra, s, scratch)
     if extra:
         data = data.unionByName(spark.createDataFrame(extra, schema))
     return solve_rows(scratch.keep(data), n, tolerance=1e-6, max_turns=s.solver_turns)[0]
@@ -162,45 +162,65 @@ def _step(spark, scratch, ok, grid, v, start, ev, st, phases, s, unknown) -> np.
 SMALL = 400
 
 
-def _eliminated(ok: DataFrame, n: int, base_ev: int, base_st: int, phases, short, events: int, extra, s: Settings) -> np.ndarray:
+def _add(parts: DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """Sums of array columns over rows: within tasks first, then within a root of their number, so the driver gets few rows however many there are."""
+    fields = ", ".join(f"{c} array<double>" for c in columns)
+
+    def run(batches):
+        total = None
+        for b in batches:
+            for row in zip(*[b[c] for c in columns]):
+                total = [np.array(x, float) for x in row] if total is None else [t + x for t, x in zip(total, row)]
+        if total is not None:
+            yield pd.DataFrame({c: [t] for c, t in zip(columns, total)})
+
+    few = max(1, int(shuffle_partitions(parts.sparkSession) ** 0.5))
+    rows = parts.select(*columns).mapInPandas(run, fields).repartition(few).mapInPandas(run, fields).collect()
+    return [sum(np.array(r[c]) for r in rows) for c in columns]
+
+
+def _eliminated(ok: DataFrame, used: int, n: int, base_ev: int, base_st: int, phases, short, events: int, extra, s: Settings, scratch: Scratch, *, slot_rows: int = 20_000) -> np.ndarray:
     """The same solution as that of all rows: tasks eliminate each event's four unknowns and add up the normal equations of the model; the
-    driver solves those, and tasks solve the hypocentres for it."""
+    driver solves those, and tasks solve the hypocentres for it. One pass over the rows, in slots of events of about `slot_rows` rows."""
     width = base_ev + n - base_st
     unknown = len(short[phases[0]])
 
-    def blocks(d: pd.DataFrame):
-        """Event by event in pieces of bounded size: numbers, H (4 x 4), C (4 x model), g (4), A'A and A'r of the model."""
+    def eliminate(d: pd.DataFrame) -> pd.DataFrame:
+        """A row an event (column, z = H^-1 C, y = H^-1 g), and one row with the slot's part of the model's normal equations."""
         d = d.sort_values(["column", "station", "phase"])
+        big, right, out = np.zeros((width, width)), np.zeros(width), []
         cuts = np.flatnonzero(np.diff(d["column"].to_numpy(), prepend=-1))
-        for part in np.array_split(cuts, max(1, len(d) // 4000)) if len(cuts) else []:
+        for part in np.array_split(cuts, max(1, len(d) // 4000)):
             if not len(part):
                 continue
             after = np.searchsorted(cuts, part[-1], "right")
             e = d.iloc[part[0] : cuts[after] if after < len(cuts) else len(d)]
-            a = np.zeros((len(e), width))
-            for i, r in enumerate(e.itertuples()):
-                a[i, np.asarray(r.nodes, np.int64) + phases.index(r.phase) * unknown] = np.asarray(r.km) * short[r.phase][np.asarray(r.nodes, np.int64)]
-                if s.station_terms:
-                    a[i, base_ev + r.st_column] = 1.0
             w = 1 / np.maximum(0.01, e["sigma_s"].to_numpy(float))
+            a = np.zeros((len(e), width))
+            row = np.repeat(np.arange(len(e)), e["nodes"].map(len).to_numpy())
+            node, km = np.concatenate(e["nodes"].to_list()).astype(np.int64), np.concatenate(e["km"].to_list())
+            for q, ph in enumerate(phases):
+                k = (e["phase"] == ph).to_numpy()[row]
+                a[row[k], node[k] + q * unknown] = km[k] * short[ph][node[k]]
+            if s.station_terms:
+                a[np.arange(len(e)), base_ev + e["st_column"].to_numpy()] = 1.0
             a *= w[:, None]
             h = np.column_stack([np.ones(len(e)), e[["ge", "gn", "gd"]].to_numpy(float)]) * w[:, None]
             y = e["residual"].to_numpy(float) * w
             at = part - part[0]
             hh = np.add.reduceat(h[:, :, None] * h[:, None, :], at, 0) + s.damping_hypocentre**2 * np.eye(4)
-            yield e["column"].to_numpy()[at], hh, np.add.reduceat(h[:, :, None] * a[:, None, :], at, 0), np.add.reduceat(h * y[:, None], at, 0), a.T @ a, a.T @ y
-
-    def add_up(d: pd.DataFrame) -> pd.DataFrame:
-        big, right = np.zeros((width, width)), np.zeros(width)
-        for _, hh, c, g, aa, ay in blocks(d):
-            z = np.linalg.solve(hh, c)
-            big += aa - np.einsum("eik,eil->kl", c, z)
-            right += ay - np.einsum("eik,ei->k", z, g)
-        return pd.DataFrame({"big": [big.ravel()], "right": [right]})
-
-    slots = spread(ok.select("phase", "nodes", "km", "ge", "gn", "gd", "column", "st_column", "station", "sigma_s", "residual").withColumn("slot", F.pmod(F.xxhash64("column"), F.lit(64))), "slot")
-    sums = slots.groupBy("slot").applyInPandas(add_up, "big array<double>, right array<double>").collect()  # 64 rows of the model's size squared
-    big, right = sum(np.reshape(r["big"], (width, width)) for r in sums), sum(np.array(r["right"]) for r in sums)
+            c, g = np.add.reduceat(h[:, :, None] * a[:, None, :], at, 0), np.add.reduceat(h * y[:, None], at, 0)
+            z, own = np.linalg.solve(hh, c), np.linalg.solve(hh, g[..., None])[..., 0]
+            big += a.T @ a - np.einsum("eik,eil->kl", c, z)
+            right += a.T @ y - np.einsum("eik,ei->k", z, g)
+            out.append(pd.DataFrame({"column": e["column"].to_numpy()[at], "z": list(z.reshape(len(at), -1)), "y": list(own), "big": None, "right": None}))
+        return pd.concat([*out, pd.DataFrame({"column": [-1], "z": [None], "y": [None], "big": [big.ravel()], "right": [right]})])
+
+    slots = max(shuffle_partitions(ok.sparkSession), -(-used // slot_rows))
+    rows = ok.select("phase", "nodes", "km", "ge", "gn", "gd", "column", "st_column", "station", "sigma_s", "residual").withColumn("slot", F.pmod(F.xxhash64("column"), F.lit(slots)))
+    done = scratch.keep(rows.repartition(slots, "slot").groupBy("slot").applyInPandas(eliminate, "column long, z array<double>, y array<double>, big array<double>, right array<double>"))
+    big, right = _add(done.where("column < 0"), ["big", "right"])
+    big = big.reshape(width, width)
     place = lambda c: np.array([k if k < base_ev else base_ev + k - base_st for k in c])
     for c, v, y in extra:
         c, v = place(c), np.array(v)
@@ -208,11 +228,13 @@ def _eliminated(ok: DataFrame, n: int, base_ev: int, base_st: int, phases, short
         right[c] += v * y
     x = np.linalg.solve(big, right)
 
-    def back(d: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"column": k, "h": list(np.linalg.solve(hh, (g - c @ x)[..., None])[..., 0])}) for k, hh, c, g, _, _ in blocks(d)]
-        return pd.concat(out) if out else pd.DataFrame({"column": np.zeros(0, np.int64), "h": []})
+    def back(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"column": b["column"], "h": [y - z.reshape(4, width) @ x for z, y in zip(b["z"], b["y"])]})
 
-    got = slots.groupBy("slot").applyInPandas(back, "column long, h array<double>").toPandas()  # one row an event
+    got = done.where("column >= 0").select("column", "z", "y").mapInPandas(back, "column long, h array<double>").toPandas()  # one row an event
+    scratch.drop(done)
     full = np.zeros(n)
     full[:base_ev] = x[:base_ev]
     h = np.zeros((events, 4))
