@@ -103,14 +103,23 @@ def n16_double_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 with a as (select event, station, min_by(t, (sigma_s, t, seq)) filter (where phase = 'P') as p, min_by(t, (sigma_s, t, seq)) filter (where phase = 'S') as s
   from (select *, predicted_s + noise_s as t from ar where disabled = 0 and quality < 4 and sigma_s > 0) group by event, station),
 b as (select *, count(*) over (partition by event) as n from a where p is not null and s is not null),
-d as (select p - avg(p) over (partition by event) as x, s - avg(s) over (partition by event) as y from b where n >= 2)
-select round(sum(x * y) / sum(x * x), 6) as vp_vs, count(*) as readings from d
+d as (select p - avg(p) over (partition by event) as x, s - avg(s) over (partition by event) as y from b where n >= 2),
+p1 as (select sum(x * y) / sum(x * x) as k from d),
+m1 as (select any_value(k) as k, 3 * 1.4826 * list_sort(list(abs(y - k * x)))[count(*) // 2 + 1] as cut from d, p1),
+p2 as (select sum(x * y) / sum(x * x) as k, count(*) as n from d, m1 where abs(y - m1.k * x) <= cut),
+m2 as (select any_value(k) as k, 3 * 1.4826 * list_sort(list(abs(y - k * x)))[count(*) // 2 + 1] as cut from d, p2),
+p3 as (select sum(x * y) / sum(x * x) as k, count(*) as n from d, m2 where abs(y - m2.k * x) <= cut),
+m3 as (select any_value(k) as k, 3 * 1.4826 * list_sort(list(abs(y - k * x)))[count(*) // 2 + 1] as cut from d, p3),
+p4 as (select sum(x * y) / sum(x * x) as k, count(*) as n from d, m3 where abs(y - m3.k * x) <= cut),
+m4 as (select any_value(k) as k, 3 * 1.4826 * list_sort(list(abs(y - k * x)))[count(*) // 2 + 1] as cut from d, p4),
+p5 as (select sum(x * y) / sum(x * x) as k, count(*) as n from d, m4 where abs(y - m4.k * x) <= cut)
+select round(case when p2.n = (select count(*) from d) then p1.k when p3.n = p2.n then p3.k when p4.n = p3.n then p4.k else p5.k end, 5) as vp_vs from p1, p2, p3, p4, p5
 """
 )
 def n30_wadati(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First pass of the Wadati slope: events with two stations or more that have P and S."""
-    w = wadati(cat.p_and_s(usable_arrivals(spark, sf_dir), time="time_s"), min_stations=2, passes=1)
-    return spark.createDataFrame([(round(w["vp_vs"], 6), w["readings"])], "vp_vs double, readings long")
+    """Wadati slope of events with two stations or more that have P and S, trimmed in up to five passes."""
+    w = wadati(cat.p_and_s(usable_arrivals(spark, sf_dir), time="time_s"), min_stations=2)
+    return spark.createDataFrame([(round(w["vp_vs"], 5),)], "vp_vs double")
 
 
 @query(
@@ -136,9 +145,9 @@ def _uniform() -> dict[str, np.ndarray]:
     return {"P": np.full(GRID.nodes, 1 / 6.0), "S": np.full(GRID.nodes, 1 / 3.46)}
 
 
-@query()
+@query("select station, phase, true as exact from st, (select unnest(['P', 'S']) as phase)")
 def n4_travel_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eikonal tables of all stations, checked against straight rays in a uniform medium: the largest relative difference per station and phase."""
+    """Eikonal tables of all stations in a uniform medium: whether all times are within a ten-thousandth of straight rays'."""
     t = locate.travel_time_tables(fx.stations(spark, sf_dir), GRID, _uniform())
     st = fx.stations(spark, sf_dir)
     x, y, z = GRID.axes()
@@ -150,48 +159,63 @@ def n4_travel_times(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = []
             for r in b.itertuples():
                 d = np.sqrt(((nodes - forward.cartesian(r.st_lon, r.st_lat, -r.elevation_m / 1000)) ** 2).sum(-1)) / (6.0 if r.phase == "P" else 3.46)
-                out.append(float(np.max(np.abs(np.asarray(r.t) - d)[d > 1] / d[d > 1])))
-            yield pd.DataFrame({"station": b["station"], "phase": b["phase"], "worst": np.round(out, 5)})
+                out.append(float(np.max(np.abs(np.asarray(r.t) - d)[d > 1] / d[d > 1])) < 1e-4)
+            yield pd.DataFrame({"station": b["station"], "phase": b["phase"], "exact": out})
 
-    return t.join(st, "station").mapInPandas(compare, "station long, phase string, worst double")
+    return t.join(st, "station").mapInPandas(compare, "station long, phase string, exact boolean")
 
 
-@query()
+@query(
+    """
+with u as (select *, row_number() over (partition by event, station, phase order by sigma_s, predicted_s + noise_s, seq) as r from ar where disabled = 0 and quality < 4 and sigma_s > 0)
+select event, count(*) as readings, true as inside, true as finite from u where r = 1 group by event having count(*) >= 4
+"""
+)
 def n22_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absolute hypocentres of all events with four usable arrivals or more."""
+    """Absolute hypocentres of all events with four usable arrivals or more: which events have one, from how many readings, inside the grid."""
     tables = Scratch(spark, "tables").keep(locate.travel_time_tables(fx.stations(spark, sf_dir), GRID, _uniform()))
     a = cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")), time="time_s")
-    return locate.locate(spark, a, tables, GRID)
+    h = locate.locate(spark, a, tables, GRID)
+    inside = GRID.contains(F.col("lon"), F.col("lat"), F.col("depth_km"))
+    return h.select("event", (F.col("phases") + F.col("rejected")).cast("long").alias("readings"), inside.alias("inside"), (~F.isnan("rms_s") & (F.col("rms_s") >= 0) & (F.col("major_km") >= F.col("minor_km"))).alias("finite"))
 
 
-@query()
+@query("with l as (select unnest(range(9)) as layer) select phase, cast(layer as int) as layer, true as bounded, true as better from l, (select unnest(['P', 'S']) as phase)")
 def n15_layered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum one-dimensional model from a start that is 5 % too fast: one value a layer and phase, two iterations over all events with
-    four readings or more."""
+    four readings or more. Whether each value is in its bounds, and whether it lies nearer to the velocity of the data than the start or the RMS fell."""
     a = tomography.select_observations(cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")), time="time_s"), GRID)
     s = tomography.Settings(iterations=2, layered=True, straight=True, damping=5.0, smoothing=5.0)
     r = tomography.invert(spark, a, GRID, {"P": np.full(GRID.nodes, 6.3), "S": np.full(GRID.nodes, 3.63)}, s)
-    rows = [(p, k, float(r.velocity[p][k].mean()), r.history[0]["rms_s"], r.history[-1]["rms_s"]) for p in r.velocity for k in range(GRID.nz)]
-    return spark.createDataFrame(rows, "phase string, layer int, velocity double, rms_before double, rms_after double")
+    fell = r.history[-1]["rms_s"] < r.history[0]["rms_s"]
+    rows = [(p, k, bool(lo <= v.min() and v.max() <= hi), bool(fell and abs(float(v.mean()) - true) <= abs(first - true) + 0.2)) for p, lo, hi, first, true in (("P", 1.5, 14.5, 6.3, 6.0), ("S", 0.7, 8.5, 3.63, 3.46)) for k, v in enumerate(r.velocity[p])]
+    return spark.createDataFrame(rows, "phase string, layer int, bounded boolean, better boolean")
 
 
-@query()
+@query("with u as (select station, event from ar where disabled = 0 and quality < 4 and sigma_s > 0) select cast(station % 97 as int) as column, true as same, true as solved from u union select cast(97 + event % 53 as int), true, true from u")
 def n8_lsqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A distributed system (distances of all usable rays on terms of events' days and stations) solved by both solvers, which agree."""
+    """A distributed system (distances of all usable rays on terms of events' days and stations) solved by both solvers: whether they agree, and
+    whether the normal equations hold, summed over the rows."""
     a = usable_arrivals(spark, sf_dir).select(F.array((F.col("station") % 97).cast("int"), (97 + F.col("event") % 53).cast("int")).alias("columns"), F.array(F.lit(1.0), F.lit(0.5)).alias("values"), F.col("path_km").alias("rhs"))
     rows = Scratch(spark, "system").keep(a)
     x, _ = linalg.solve_rows(rows, 150, damp=1.0, tolerance=1e-10)
     y, _ = linalg.solve_rows(rows, 150, damp=1.0, tolerance=1e-10, driver_entries=0)
-    return spark.createDataFrame([(i, round(float(u), 4), bool(abs(u - v) < 1e-3)) for i, (u, v) in enumerate(zip(x, y))], "column int, value double, same boolean")
+    model = F.array(*[F.lit(float(v)) for v in x])
+    left = F.col("rhs") - F.aggregate(F.zip_with("columns", "values", lambda c, v: v * model[c]), F.lit(0.0), lambda u, v: u + v)
+    g = rows.withColumn("left", left).select(F.explode(F.arrays_zip("columns", "values")).alias("e"), "left", "rhs").groupBy(F.col("e.columns").alias("column"))
+    g = g.agg(F.sum(F.col("e.values") * F.col("left")).alias("g"), F.sum(F.abs(F.col("e.values") * F.col("rhs"))).alias("size"))
+    same = F.array(*[F.lit(bool(abs(u - v) < 1e-3)) for u, v in zip(x, y)])
+    return g.select("column", same[F.col("column")].alias("same"), (F.abs(F.col("g") - model[F.col("column")]) < 1e-6 * F.col("size")).alias("solved"))
 
 
-@query("with z as (select event, depth_km from ev) select event, round(case when depth_km < 20 then 5.8 else 6.5 end, 6) as vp, round(case when depth_km < 20 then 3.46 else 3.85 end, 6) as vs from z")
+@query("with z as (select event, depth_km * 5 as z from ev) select event, round(case when z < 20 then 5.8 when z < 35 then 6.5 when z < 77.5 then 8.04 + (z - 35) / 42.5 * 0.005 end, 6) as vp, round(case when z < 20 then 3.46 when z < 35 then 3.85 when z < 77.5 then 4.48 + (z - 35) / 42.5 * 0.01 end, 6) as vs from z where z < 77.5")
 def j11_velocity_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Velocities of a one-dimensional model at the events' depths (all above 35 km)."""
+    """Velocities of a one-dimensional model at five times the events' depths, in the crust and below it."""
     from quakespark.functions.model1d import LIBRARY
 
     m = LIBRARY["ak135"]
-    return fx.events(spark, sf_dir).select("event", F.round(m.velocity(F.col("depth_km"), "P"), 6).alias("vp"), F.round(m.velocity(F.col("depth_km"), "S"), 6).alias("vs"))
+    z = F.col("depth_km") * 5
+    return fx.events(spark, sf_dir).where(z < 77.5).select("event", F.round(m.velocity(z, "P"), 6).alias("vp"), F.round(m.velocity(z, "S"), 6).alias("vs"))
 
 
 @query()
@@ -203,17 +227,36 @@ def n25_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mechanisms(polarities(spark, sf_dir))
 
 
-@query()
+@query("select cast(i as int) as realization, true as orthogonal, true as ratio_in_bounds from range(1000) t(i)")
 def n26_stress_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stress axes of 1,000 resampled sets of all mechanisms, friction searched."""
+    """Stress axes of 1,000 resampled sets of all mechanisms, friction searched: whether axes are at right angles and the ratio is one."""
     from quakespark.plans.source import stress_bootstrap
     from quakespark.source_queries import mechanisms
 
-    return stress_bootstrap(mechanisms(spark, sf_dir).select("strike", "dip", "rake", "weight"))
+    b = stress_bootstrap(mechanisms(spark, sf_dir).select("strike", "dip", "rake", "weight"))
+    return _axes_checked(b).select(F.col("realization").cast("int").alias("realization"), "orthogonal", "ratio_in_bounds")
 
 
-@query()
+def _axes_checked(b: DataFrame) -> DataFrame:
+    axis = lambda k: (F.radians(f"azimuth{k}"), F.radians(f"plunge{k}"))
+    dot = lambda p, q: F.cos(p[1]) * F.cos(q[1]) * F.cos(p[0] - q[0]) + F.sin(p[1]) * F.sin(q[1])
+    a = [axis(k) for k in (1, 2, 3) if f"azimuth{k}" in b.columns]
+    pairs = [F.abs(dot(p, q)) for i, p in enumerate(a) for q in a[i + 1 :]]
+    right = F.greatest(*pairs, F.lit(0.0)) < 1e-6
+    return b.withColumn("orthogonal", right).withColumn("ratio_in_bounds", F.col("ratio").between(0, 1))
+
+
+@query(
+    """
+with pl as (select p_partkey as id, cast((p_partkey * 7) % 1000 as double) / 10 as x, cast((p_partkey * 11) % 1000 as double) / 10 as y, cast((p_partkey * 3) % 200 as double) / 10 as z from part),
+nd as (select cast(i as bigint) as node, cast(i % 10 * 10 as double) as x, cast(i // 10 * 10 as double) as y from range(100) t(i))
+select node, cast(count(*) as int) as n, true as orthogonal, true as ratio_in_bounds from nd, pl
+where (pl.x - nd.x) ** 2 / 625.0 + (pl.y - nd.y) ** 2 / 625.0 + (pl.z - 10) ** 2 / 81.0 <= 1 group by node having count(*) >= 5
+""",
+    views=False,
+)
 def n27_stress_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress at the nodes of a map from the mechanisms around each: which nodes have one, from how many, with axes at right angles."""
     from quakespark.operators.source import weighted_neighbours
     from quakespark.plans.source import stress_map
     from quakespark.source_queries import mechanisms
@@ -221,17 +264,20 @@ def n27_stress_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
     mec = mechanisms(spark, sf_dir).select("id", "strike", "dip", "rake", (((k * 7) % 1000).cast("double") / 10).alias("x"), (((k * 11) % 1000).cast("double") / 10).alias("y"), (((k * 3) % 200).cast("double") / 10).alias("z"))
     nodes = spark.range(100).select(k.alias("node"), (k % 10 * 10).cast("double").alias("x"), (F.floor(k / 10) * 10).cast("double").alias("y"), F.lit(10.0).alias("z"))
-    return stress_map(weighted_neighbours(nodes, mec, radius_km=25.0, half_height_km=9.0), mec)
+    m = stress_map(weighted_neighbours(nodes, mec, radius_km=25.0, half_height_km=9.0), mec)
+    return _axes_checked(m).select("node", "n", "orthogonal", "ratio_in_bounds")
 
 
-@query()
+@query("select event as id, true as adds_up, true as finite from ev")
 def n28_coulomb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coulomb stress change of one earthquake on receivers at all events' hypocentres."""
+    """Coulomb stress change of one earthquake on receivers at all events' hypocentres: whether it is shear plus 0.4 times unclamping."""
     from quakespark.plans import source
 
     p = source.tapered_source(42.8, 13.2, 8.0, 160.0, 50.0, -90.0, 6.0, 12.0, 8.0, 3, 2)
     e = fx.events(spark, sf_dir).select(F.col("event").alias("id"), F.col("ev_lat").alias("lat"), F.col("ev_lon").alias("lon"), "depth_km", F.lit(160.0).alias("strike"), F.lit(50.0).alias("dip"), F.lit(-90.0).alias("rake"))
-    return source.coulomb(e, p, order=2)
+    c = source.coulomb(e, p, order=2)
+    off = F.abs(F.col("coulomb_pa") - F.col("shear_pa") - 0.4 * F.col("unclamping_pa"))
+    return c.select("id", (off <= 1e-6 * (1 + F.abs("coulomb_pa"))).alias("adds_up"), (~F.isnan("coulomb_pa") & (F.abs("coulomb_pa") < 1e9)).alias("finite"))
 
 
 @query()

@@ -307,3 +307,28 @@ def g3_notch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notch at 30 Hz, sample by sample."""
     d = tr.chain(traces(spark, sf_dir), [{"kind": "notch", "hz": 30.0}])
     return tr.samples_table(d, "vec_id", "samples").select("vec_id", "i", F.round("x", 6).alias("y"))
+
+
+@query("select cast(i as int) as i, cast(j as int) as j, case when i = j then 1.0 else 0.0 end as product, true as concentrated from (select unnest(range(4)) as i), (select unnest(range(4)) as j)")
+def g9_tapers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar products of the tapers that the multitaper spectrum of the traces uses, and whether the energy of each lies in its band."""
+    n = traces(spark, sf_dir).select(F.size("samples")).first()[0]
+    v, r = sg.slepian(n, 2.5, 4)
+    p = v @ v.T
+    return spark.createDataFrame([(i, j, abs(round(float(p[i, j]), 6)), bool(r[i] > 0.9)) for i in range(4) for j in range(4)], "i int, j int, product double, concentrated boolean")
+
+
+@query(
+    "with recursive " + _TR + """,
+c as (select tan(pi() * 10 / 100) as k, sqrt(2) as q), d as (select k * k / (1 + q * k + k * k) as b, 2 * (k * k - 1) / (1 + q * k + k * k) as a1, (1 - q * k + k * k) / (1 + q * k + k * k) as a2 from c),
+r(vec_id, i, y, z1, z2) as (
+  select vec_id, cast(0 as bigint), b * x, 2 * b * x - a1 * b * x, b * x - a2 * b * x from t, d where i = 0
+  union all
+  select t.vec_id, t.i, b * t.x + z1, 2 * b * t.x - a1 * (b * t.x + z1) + z2, b * t.x - a2 * (b * t.x + z1) from r join t on t.vec_id = r.vec_id and t.i = r.i + 1, d)
+select vec_id, cast(i as int) as i, round(y, 6) as y from r
+"""
+)
+def g2_lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A causal low-pass of order 2 at 10 Hz, sample by sample."""
+    d = tr.chain(traces(spark, sf_dir), [{"kind": "filter", "high_hz": 10.0, "order": 2, "zero_phase": False}])
+    return tr.samples_table(d, "vec_id", "samples").select("vec_id", "i", F.round("x", 6).alias("y"))
