@@ -88,11 +88,23 @@ def a27_on_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.on_bounds(_fields(spark), 0.1, 0.9).withColumn("percent", F.round("percent", 6))
 
 
-@query("with " + _NODES + "select cast(node as int) as node, round(0.05 * sin(pi() * radians(i * 0.1) * 6371 * cos(radians(42.8)) / 20) * sin(pi() * radians(j * 0.1) * 6371 / 20) * sin(pi() * k * 3 / 10), 6) as dv from nd")
+@query("with " + _NODES + "select cast(node as int) as node, round(0.05 * sin(pi() * 2 * 6371 * asin(cos(radians(42.2 + j * 0.1)) * sin(radians(i * 0.1) / 2)) / 20) * sin(pi() * radians(j * 0.1) * 6371 / 20) * sin(pi() * (k * 3 + 5) / 10), 6) as dv from nd")
 def f18_checkerboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GRID.node_table(spark).select("node", F.round(fields.checkerboard(GRID, 20.0, 10.0, 5.0), 6).alias("dv"))
 
 
+@query(
+    "with " + _NODES + """,
+o as (select node, radians(12.4 + i * 0.1 - 13.1) * 6371 * cos(radians(42.8)) as e, radians(42.2 + j * 0.1 - 42.8) * 6371 as n, -2 + k * 3 - 8.0 as d from nd),
+s as (select node, e * cos(radians(40)) - n * sin(radians(40)) as a, e * sin(radians(40)) + n * cos(radians(40)) as l, d from o)
+select cast(node as int) as node, round(-0.08 * exp(-ln(2) * (power(abs(l) / 30, 6) + power(abs(a * cos(radians(60)) + d * sin(radians(60))) / 12, 6) + power(abs(d * cos(radians(60)) - a * sin(radians(60))) / 5, 6))), 6) as dv from s
+"""
+)
+def f18_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dipping plate."""
+    return GRID.node_table(spark).select("node", F.round(fields.tabular_body(13.1, 42.8, 8.0, 40.0, 60.0, 60.0, 24.0, 10.0, -8.0), 6).alias("dv"))
+
+
 @query(
     """
 with s as (select event, station, phase, seq, path_km, (6371 - depth_km) * cos(radians(ev_lat)) * cos(radians(ev_lon)) as ax, (6371 - depth_km) * cos(radians(ev_lat)) * sin(radians(ev_lon)) as ay, (6371 - depth_km) * sin(radians(ev_lat)) as az,

@@ -108,3 +108,30 @@ def local_offset(lon0: Number, lat0: Number, lon: Number, lat: Number) -> Column
     """struct(east_km, north_km) in the plane that touches the sphere at (lon0, lat0)."""
     d, a = distance_km(lon0, lat0, lon, lat), F.radians(azimuth(lon0, lat0, lon, lat))
     return F.struct((d * F.sin(a)).alias("east_km"), (d * F.cos(a)).alias("north_km"))
+
+
+def _plain(x: Column, digits: int) -> Column:
+    """A number without trailing zeros."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", x), r"\.?0+$", "")
+
+
+def format_longitude(lon: Number, digits: int = 4) -> Column:
+    """With its hemisphere: 12.3°E; 180° is east."""
+    x = normalize_longitude(lon)
+    x = F.when(x == -180, F.lit(180.0)).otherwise(x)
+    return F.concat(_plain(F.abs(x), digits), F.when(x < 0, "°W").otherwise("°E"))
+
+
+def format_latitude(lat: Number, digits: int = 4) -> Column:
+    return F.concat(_plain(F.abs(_c(lat)), digits), F.when(_c(lat) < 0, "°S").otherwise("°N"))
+
+
+def longitude_ranges(low: Number, high: Number) -> Column:
+    """One or two structs (low, high) inside -180..180 that make a range of longitudes, also one across the antimeridian."""
+    a, z = _c(low), _c(high)
+    z = F.when(z < a, z + 360 * F.ceil((a - z) / 360)).otherwise(z)
+    west = normalize_longitude(a)
+    east = west + (z - a)
+    part = lambda x, y: F.struct(x.cast("double").alias("low"), y.cast("double").alias("high"))
+    whole = F.array(part(F.lit(-180.0), F.lit(180.0)))
+    return F.when(z - a >= 360, whole).when(east <= 180, F.array(part(west, east))).otherwise(F.array(part(west, F.lit(180.0)), part(F.lit(-180.0), east - 360)))

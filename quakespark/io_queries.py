@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from quakespark import fixtures as fx
 from quakespark.catalog_queries import GRID
-from quakespark.common import Scratch, table
+from quakespark.common import Scratch, spread, table
 from quakespark.functions import geo
 from quakespark.functions import signal as sg
 from quakespark.functions.grid import Grid
+from quakespark.functions.model1d import Model1D
 from quakespark.operators import regular
 from quakespark.operators import traces as tr
-from quakespark.plans import linalg, source
+from quakespark.plans import forward, linalg, source
+from quakespark.plans.advisor import turning_depths
 from quakespark.signal_queries import _TR, traces
 from quakespark.sources import miniseed, tables, volume, xml
 
@@ -365,3 +367,87 @@ def n9_stochastic_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _system(spark, sf_dir)
     r = linalg.resolution_diagonal(lambda b: linalg.lsqr(a, b, 3.0, atol=1e-12, btol=1e-12)[0], a.dot, 40, probes=3)
     return spark.createDataFrame([(i, round(float(x), 5)) for i, x in enumerate(r)], "column int, resolution double")
+
+
+# Geography and models
+
+
+@query(
+    """
+with q as (select distinct rid, lat, lon from quakes where isfinite(lon) and isfinite(lat)),
+n as (select rid, lat, case when n = -180 then 180 else n end as n from (select rid, lat, ((lon + 180) - 360 * floor((lon + 180) / 360)) - 180 as n from q))
+select rid, regexp_replace(printf('%.2f', abs(n)), '\\.?0+$', '') || case when n < 0 then '°W' else '°E' end as lon_text, regexp_replace(printf('%.2f', abs(lat)), '\\.?0+$', '') || case when lat < 0 then '°S' else '°N' end as lat_text from n
+""",
+    views=False,
+)
+def f4_position_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "quakes").where("lon is not null and not isnan(lon) and lat is not null and not isnan(lat)").select("rid", "lat", "lon").distinct()
+    return q.select("rid", geo.format_longitude("lon", 2).alias("lon_text"), geo.format_latitude("lat", 2).alias("lat_text"))
+
+
+@query(
+    """
+with p as (select p_partkey as id, cast(p_partkey * 7 % 720 - 360 as double) as a, cast(p_partkey * 7 % 720 - 360 + p_partkey % 400 - 20 as double) as z0 from part),
+z as (select id, a, case when z0 < a then z0 + 360 * ceil((a - z0) / 360) else z0 end as z from p),
+w as (select id, z - a as span, ((a + 180) - 360 * floor((a + 180) / 360)) - 180 as west from z)
+select id, round(case when span >= 360 then -180 else west end, 6) as low, round(case when span >= 360 then 180 else least(180, west + span) end, 6) as high from w
+union all select id, -180.0, round(west + span - 360, 6) from w where span < 360 and west + span > 180
+""",
+    views=False,
+)
+def f4_longitude_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k.alias("id"), (k * 7 % 720 - 360).cast("double").alias("a"), (k * 7 % 720 - 360 + k % 400 - 20).cast("double").alias("z"))
+    return p.select("id", F.explode(geo.longitude_ranges("a", "z")).alias("r")).select("id", F.round("r.low", 6).alias("low"), F.round("r.high", 6).alias("high"))
+
+
+@query("select p_partkey as id, round(least(200, ceil((sqrt(power((p_partkey % 500 + 0.5) * 0.02 / 2, 2) + 25) - 5) / 0.02 * 10 - 1e-6) / 10), 4) as depth_km from part", views=False)
+def f9_turning_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turning depths in a model whose velocity rises evenly."""
+    m = Model1D("even", [(0.0, 5.0, 3.0), (400.0, 13.0, 7.0)])
+    z = turning_depths(m, np.arange(500) + 0.5)
+    at = F.array(*[F.lit(round(float(x), 4)) for x in z])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), at[(F.col("p_partkey") % 500).cast("int")].alias("depth_km"))
+
+
+@query("select l_orderkey as arrival, len(list(l_linenumber)) as n, least(3, len(list(l_linenumber))) as kept, min(l_linenumber) as first, max(l_linenumber) as last from lineitem group by l_orderkey order by l_orderkey limit 5000", views=False)
+def t6_stored_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5,000 rays with at most three of their points: the limit is the operator."""
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("arrival")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("points"))
+    s = forward.stored_rays(r.withColumn("n", F.size("points").cast("long")), most=5000, most_points=3)
+    return s.select("arrival", "n", F.size("points").cast("long").alias("kept"), F.element_at("points", 1).alias("first"), F.element_at("points", -1).alias("last"))
+
+
+@query(
+    """
+with b as (select min(ev_lon) - 0.7 as w, max(ev_lon) + 0.7 as e, min(ev_lat) as s, max(ev_lat) as n, max(depth_km) as d from ev),
+k as (select greatest(0, ceil((12.4 - (least(12.4, w) - 0.1)) / 0.05 - 1e-9)) as west, greatest(0, ceil(((greatest(13.9, e) + 0.1) - 13.9) / 0.05 - 1e-9)) as east from b)
+select cast(31 + west + east as int) as nx, 25 + 2 * 2 as ny, 17 as nz, true as holds from k
+"""
+)
+def n5_covering_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forward grid of twice the nodes that also holds points east and west of the model's."""
+    e = fx.events(spark, sf_dir).select(F.explode(F.array(F.col("ev_lon") - 0.7, F.col("ev_lon") + 0.7)).alias("lon"), F.col("ev_lat").alias("lat"), "depth_km")
+    g, _ = forward.covering_grid(GRID, 2, e)
+    holds = e.agg(F.bool_and(g.contains(F.col("lon"), F.col("lat"), F.col("depth_km"))).alias("h")).first()["h"]
+    return spark.createDataFrame([(g.nx, g.ny, g.nz, bool(holds))], "nx int, ny int, nz int, holds boolean")
+
+
+@query("select station, phase, true as same from st, (select unnest(['P', 'S']) as phase)")
+def n3_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of all stations in a medium that gets faster with depth and from west to east: whether sweeps and common updates agree."""
+    x, y, z = GRID.axes()
+    zz, yy, xx = np.meshgrid(z, y, x, indexing="ij")
+    v = 5.0 + 0.08 * zz + 0.3 * (xx - 12.4) + 0.2 * np.sin(yy * 20)
+
+    def compare(batches):
+        for b in batches:
+            same = []
+            for r in b.itertuples():
+                s = 1 / (v if r.phase == "P" else v / 1.73)
+                a, c = (forward.eikonal(GRID, s, (r.st_lon, r.st_lat, -r.elevation_m / 1000), sweep=k) for k in (True, False))
+                same.append(bool(np.abs(a - c).max() < 1e-4))
+            yield pd.DataFrame({"station": b["station"], "phase": b["phase"], "same": same})
+
+    st = fx.stations(spark, sf_dir).withColumn("phase", F.explode(F.array(F.lit("P"), F.lit("S"))))
+    return spread(st.select("station", "phase", "st_lon", "st_lat", "elevation_m"), "station", "phase").mapInPandas(compare, "station long, phase string, same boolean")

@@ -55,11 +55,22 @@ def on_bounds(nodes: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def checkerboard(grid: Grid, cell_km: float, depth_cell_km: float, percent: float) -> Column:
-    """Perturbation of a node from its lon, lat, depth_km."""
-    mid = F.cos(F.radians(F.lit((grid.min_lat + grid.max_lat) / 2)))
-    pi = F.pi()
-    e, n = F.radians(F.col("lon") - grid.min_lon) * EARTH_KM * mid, F.radians(F.col("lat") - grid.min_lat) * EARTH_KM
-    return percent / 100 * F.sin(pi * e / cell_km) * F.sin(pi * n / cell_km) * F.sin(pi * (F.col("depth_km") - grid.min_depth) / depth_cell_km)
+    """Perturbation of a node from its lon, lat, depth_km: sines of the distances along the surface from the western and southern edges, and of
+    depth, whose first cell begins half a cell above the top."""
+    pi, lon, lat = F.pi(), F.col("lon"), F.col("lat")
+    e, n = geo.distance_km(F.lit(grid.min_lon), lat, lon, lat), geo.distance_km(lon, F.lit(grid.min_lat), lon, lat)
+    return percent / 100 * F.sin(pi * e / cell_km) * F.sin(pi * n / cell_km) * F.sin(pi * (F.col("depth_km") - grid.min_depth + 0.5 * depth_cell_km) / depth_cell_km)
+
+
+def tabular_body(lon0: float, lat0: float, depth0: float, strike: float, dip: float, length_km: float, width_km: float, thickness_km: float, percent: float) -> Column:
+    """Perturbation of a point (lon, lat, depth_km) by a plate around a centre: whole inside, half at its faces, falling with the sixth power."""
+    km = math.radians(1) * EARTH_KM
+    s, d = math.radians(strike), math.radians(dip)
+    east, north, down = (F.col("lon") - lon0) * (km * math.cos(math.radians(lat0))), (F.col("lat") - lat0) * km, F.col("depth_km") - depth0
+    across = east * math.cos(s) - north * math.sin(s)  # to the right of the strike, where it dips
+    along = east * math.sin(s) + north * math.cos(s)
+    sides = ((along, length_km), (across * math.cos(d) + down * math.sin(d), width_km), (down * math.cos(d) - across * math.sin(d), thickness_km))
+    return percent / 100 * F.exp(-math.log(2) * sum(F.pow(F.abs(x) / (0.5 * size), 6) for x, size in sides))
 
 
 def chord_crosses(grid: Grid, a: Column, b: Column, samples: int | None = None) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakespark.functions.geo import EARTH_KM, distance_km
 from quakespark.functions.grid import Grid
+from quakespark.functions.model1d import Model1D
 from quakespark.operators import stats
 
 
@@ -43,11 +45,30 @@ def nearest_station_km(stations: DataFrame, lon: str = "st_lon", lat: str = "st_
 
 
 def nice(x: float) -> float:
-    """The nearest of 1, 2, 2.5, 5 times a power of ten."""
-    if x <= 0:
-        return x
+    """1, 2, 2.5 or 5 times a power of ten, changing half-way between them; 1 for what is no positive number."""
+    if not x > 0:
+        return 1.0
     p = 10.0 ** math.floor(math.log10(x))
-    return min((m * p for m in (1.0, 2.0, 2.5, 5.0, 10.0)), key=lambda v: abs(math.log(v / x)))
+    return p * next(v for limit, v in ((1.5, 1.0), (2.25, 2.0), (3.75, 2.5), (7.5, 5.0), (math.inf, 10.0)) if x / p < limit)
+
+
+def turning_depths(model: Model1D, distances_km, max_depth_km: float = 200.0, step_km: float = 0.1) -> np.ndarray:
+    """Shallowest depth at which a P ray from the surface turns that comes up again at each distance or beyond, in steps; at most `max_depth_km`.
+
+    The velocity is linear within a step. Rays with their lowest point at a depth have the slowness of the fastest velocity above it.
+    """
+    n = round(max_depth_km / step_km)
+    v = model.at(np.arange(n + 1) * step_km, "P")
+    top = np.maximum.accumulate(v)[1:]
+    reach = np.empty(n)
+    for k in range(n):
+        p, a, b = 1 / top[k], v[: k + 1], np.minimum(v[1 : k + 2], top[k])
+        c, d = (np.sqrt(np.maximum(0.0, 1 - (p * x) ** 2)) for x in (a, b))
+        slope = (b - a) / step_km
+        flat = np.abs(slope) <= 1e-9
+        reach[k] = 2 * np.where(flat, np.where(c > 1e-6, step_km * p * a / np.maximum(c, 1e-12), 0.0), (c - d) / (p * np.where(flat, 1.0, slope))).sum()
+    at = np.searchsorted(np.maximum.accumulate(reach), np.asarray(distances_km, float), "left")
+    return np.where(np.asarray(distances_km) <= 0, 0.0, np.minimum((at + 1) * step_km, max_depth_km))
 
 
 def advise_grid(events: DataFrame, stations: DataFrame, *, margin_km: float = 10.0, top_km: float = -2.0) -> tuple[Grid, dict]:

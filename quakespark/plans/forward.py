@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quakespark.common import spread
-from quakespark.functions.geo import EARTH_KM
+from quakespark.functions.geo import EARTH_KM, unwrap_longitude
 from quakespark.functions.grid import Grid
 
 #: Kernel entries below this length (km) are dropped.
@@ -40,11 +41,12 @@ def local_axes(lon, lat) -> np.ndarray:
     return np.stack([east, north, down], -2)
 
 
-def eikonal(grid: Grid, slowness: np.ndarray, source: tuple[float, float, float], *, tolerance: float = 1e-7, max_turns: int = 2000) -> np.ndarray:
+def eikonal(grid: Grid, slowness: np.ndarray, source: tuple[float, float, float], *, tolerance: float = 1e-7, max_turns: int = 2000, sweep: bool | None = None) -> np.ndarray:
     """First-arrival times (nz, ny, nx) from a point (lon, lat, depth).
 
     Upwind differences of the difference to the time in a uniform medium of the source's slowness, whose derivative is known exactly: so a
-    uniform medium is exact, and the source's singularity costs no accuracy. All nodes are updated together until none gets earlier.
+    uniform medium is exact, and the source's singularity costs no accuracy. Of small grids all nodes are updated together until none gets
+    earlier; larger ones are swept in the eight diagonal orders, plane by plane, which solves the same equations in a few turns.
     """
     s = slowness.reshape(grid.nz, grid.ny, grid.nx)
     x, y, z = grid.axes()
@@ -79,6 +81,8 @@ def eikonal(grid: Grid, slowness: np.ndarray, source: tuple[float, float, float]
     for a, ax in enumerate(axis):
         fix.append([t0 - neighbour(t0, ax, side, 0.0) + side * g[..., a] * h[a] for side in (-1, 1)])
     w = [1 / (v * v) for v in h]
+    if s.size > (SWEEP_NODES if sweep is None else 0 if sweep else s.size):
+        return _sweep(t, fixed, s, axis, fix, w, tolerance, max_turns)
     for _ in range(max_turns):
         best_t, best_c = [], []
         for a, ax in enumerate(axis):
@@ -113,6 +117,101 @@ def eikonal(grid: Grid, slowness: np.ndarray, source: tuple[float, float, float]
     return t
 
 
+#: Nodes above which the eikonal equation is solved by sweeps.
+SWEEP_NODES = 20_000
+
+
+@lru_cache(maxsize=4)
+def _planes(shape: tuple[int, int, int]) -> list[list[np.ndarray]]:
+    """For each of the eight orders the nodes of its diagonal planes, as places in the array padded by one on all sides."""
+    padded = np.arange(np.prod([n + 2 for n in shape])).reshape([n + 2 for n in shape])[1:-1, 1:-1, 1:-1]
+    plane = np.add.outer(np.add.outer(np.arange(shape[0]), np.arange(shape[1])), np.arange(shape[2])).ravel()
+    order = np.argsort(plane, kind="stable")
+    cuts = np.flatnonzero(np.diff(plane[order])) + 1
+    out = []
+    for a in (1, -1):
+        for b in (1, -1):
+            for c in (1, -1):
+                out.append(np.split(padded[::a, ::b, ::c].ravel()[order], cuts))
+    return out
+
+
+def _sweep(t: np.ndarray, fixed: np.ndarray, s: np.ndarray, axis: list[int], fix: list, w: list, tolerance: float, max_turns: int) -> np.ndarray:
+    pad = lambda x, v: np.pad(x, 1, constant_values=v).ravel()
+    strides = [(t.shape[1] + 2) * (t.shape[2] + 2), t.shape[2] + 2, 1]
+    near, still, slow = pad(t, np.inf), pad(fixed, True), pad(s, 1.0)
+    lows, highs, ww = ([pad(f[0], 0.0) for f in fix], [pad(f[1], 0.0) for f in fix], [pad(v, 1.0) for v in w])
+    orders = _planes(t.shape)
+    for _ in range(max_turns):
+        change = 0.0
+        for planes in orders:
+            for at in planes:
+                at = at[~still[at]]
+                if not len(at):
+                    continue
+                c = np.stack([np.minimum(near[at - strides[ax]] + lows[a][at], near[at + strides[ax]] + highs[a][at]) for a, ax in enumerate(axis)])
+                v = np.stack([ww[a][at] for a in range(3)])
+                by = np.argsort(c, 0)
+                c, v, ss = np.take_along_axis(c, by, 0), np.take_along_axis(v, by, 0), slow[at] ** 2
+                # One axis, and another as long as the time is later than its neighbour's.
+                best = c[0] + np.sqrt(ss / v[0])
+                for k in (2, 3):
+                    go = best > c[k - 1]
+                    if not go.any():
+                        break
+                    x, y = c[:k, go], v[:k, go]
+                    aa, bb, cc = y.sum(0), (y * x).sum(0), (y * x * x).sum(0) - ss[go]
+                    best[go] = (bb + np.sqrt(np.maximum(0.0, bb * bb - aa * cc))) / aa
+                old = near[at]
+                earlier = best < old
+                if earlier.any():
+                    gain = old[earlier] - best[earlier]
+                    change = max(change, float(gain.max()))
+                    near[at[earlier]] = best[earlier]
+        if change <= tolerance:
+            break
+    return near.reshape([n + 2 for n in t.shape])[1:-1, 1:-1, 1:-1].copy()
+
+
+def covering_grid(grid: Grid, refinement: int, points: DataFrame, *, lon: str = "lon", lat: str = "lat", depth: str = "depth_km", max_nodes: int = 12_000_000) -> tuple[Grid, float]:
+    """(forward grid, coarsening): the refined grid if it holds all points, else one that holds them too, with a margin of two cells, on the same
+    nodes; coarser by factors of 1.25 while it would have more than `max_nodes`. Points above the top lie on it. One row reaches the driver."""
+    fine = grid.refined(max(1, refinement))
+    x = unwrap_longitude(F.col(lon), (grid.min_lon + grid.max_lon) / 2)
+    b = points.agg(F.min(x).alias("w"), F.max(x).alias("e"), F.min(lat).alias("s"), F.max(lat).alias("n"), F.max(depth).alias("d")).first()
+    if b["w"] is None or (b["w"] >= grid.min_lon and b["e"] <= grid.max_lon and b["s"] >= grid.min_lat and b["n"] <= grid.max_lat and b["d"] <= grid.max_depth):
+        return fine, 1.0
+    steps = np.array(fine.steps)
+    west, east = min(grid.min_lon, b["w"]) - 2 * steps[0], max(grid.max_lon, b["e"]) + 2 * steps[0]
+    south, north = max(-89.0, min(grid.min_lat, b["s"]) - 2 * steps[1]), min(89.0, max(grid.max_lat, b["n"]) + 2 * steps[1])
+    bottom = b["d"] + 2 * steps[2] if b["d"] > grid.max_depth else grid.max_depth
+    if east - west >= 359:
+        raise ValueError("points outside the grid go around the globe; restrict the data")
+    span, factor = np.array([east - west, north - south, bottom - grid.min_depth]), 1.0
+    while np.prod(np.ceil(span / (steps * factor)) + 1) > max_nodes:
+        factor *= 1.25
+    steps = steps * factor
+    low = np.array([grid.min_lon, grid.min_lat, grid.min_depth])
+    before = np.ceil((low - [west, south, grid.min_depth]) / steps - 1e-9).astype(int)
+    inner = np.round((np.array([grid.max_lon, grid.max_lat, grid.max_depth]) - low) / steps).astype(int)
+    after = np.maximum(0, np.ceil((np.array([east, north, bottom]) - [grid.max_lon, grid.max_lat, grid.max_depth]) / steps - 1e-9).astype(int))
+    begin, n = low - before * steps, before + inner + after
+    end = begin + n * steps
+    return Grid(begin[0], end[0], begin[1], end[1], begin[2], end[2], *(int(k) + 1 for k in n)), factor
+
+
+def decimated(points: Column, most: int) -> Column:
+    """At most `most` points of a ray's array, the ends among them, evenly by number."""
+    n = F.size(points)
+    at = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(points, (F.bround(i * (n - 1) / (most - 1)) + 1).cast("int")))
+    return F.when(n <= most, points).otherwise(at)
+
+
+def stored_rays(rays: DataFrame, points: str = "points", *, order: str = "arrival", most: int = 50_000, most_points: int = 64) -> DataFrame:
+    """The first rays that are kept for display, each with a bounded number of points."""
+    return rays.orderBy(order).limit(most).withColumn(points, decimated(F.col(points), most_points))
+
+
 def time_and_gradient(grid: Grid, t: np.ndarray, lon, lat, depth) -> tuple[np.ndarray, np.ndarray]:
     """Times and (n, 3) gradients (east, north, down; s/km) at points, by trilinear interpolation and central differences."""
     lon, lat, depth = (np.asarray(v, float) for v in (lon, lat, depth))

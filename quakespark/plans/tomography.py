@@ -296,12 +296,14 @@ def curve_corner(residual, model) -> int:
 
 
 def checkerboard(grid: Grid, cell_km: float, cell_depth_km: float, percent: float) -> np.ndarray:
-    """Relative perturbation of each node: products of sines of the cell's size."""
+    """Relative perturbation of each node: products of sines of the distances from the western and southern edges, and of depth from half
+    a cell above the top."""
     x, y, z = grid.axes()
     zz, yy, xx = np.meshgrid(z, y, x, indexing="ij")
-    mid = np.radians((grid.min_lat + grid.max_lat) / 2)
-    ex, ny = np.radians(xx - grid.min_lon) * EARTH_KM * np.cos(mid), np.radians(yy - grid.min_lat) * EARTH_KM
-    return percent / 100 * np.sin(np.pi * ex / cell_km) * np.sin(np.pi * ny / cell_km) * np.sin(np.pi * (zz - grid.min_depth) / cell_depth_km)
+    half = np.radians(xx - grid.min_lon) / 2
+    ex = 2 * EARTH_KM * np.arcsin(np.cos(np.radians(yy)) * np.sin(half))
+    ny = np.radians(yy - grid.min_lat) * EARTH_KM
+    return percent / 100 * np.sin(np.pi * ex / cell_km) * np.sin(np.pi * ny / cell_km) * np.sin(np.pi * (zz - grid.min_depth + 0.5 * cell_depth_km) / cell_depth_km)
 
 
 def spikes(grid: Grid, centres: list[tuple[float, float, float]], radius_km: float, percent: float) -> np.ndarray:
