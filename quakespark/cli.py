@@ -32,24 +32,72 @@ def _model(grid, name: str):
     return {p: np.repeat(m.at(z, p), grid.nx * grid.ny) for p in ("P", "S")}
 
 
+def _catalogue(spark, a):
+    """(stations, events, picks) of a data folder or a project, single tables, QuakeML and StationXML files; of rows with one key the first wins.
+
+    Picks of unknown stations take the network of the only station with their code; `--hypocentres` moves events.
+    """
+    from pyspark.sql import functions as F
+
+    from quakespark.operators.catalog import first_wins, override_hypocentres, relabel_networks
+    from quakespark.sources import project, xml
+    from quakespark.sources import tables as t
+
+    st, ev, pk = [], [], []
+    d = Path(a.data) if a.data else None
+    if d is not None and ((d / "project.json").exists() or d.name == "project.json"):
+        p = project.read_project(spark, a.data, catalog_locations=a.catalog_locations)
+        st, ev, pk = [p["stations"]], [p["events"]], [p["picks"].drop("seq")] if "picks" in p else []
+        ev = [e for e in [p.get("events")] if e is not None]
+    elif d is not None and not d.is_dir():
+        raise ValueError(f"{d}: neither a folder nor a project")
+    table = lambda given, name: given or (str(d / name) if d is not None and (d / name).exists() else None)
+    if f := table(a.stations, "stations.csv"):
+        st.insert(0, t.read_stations(spark, f))
+    if f := table(a.events, "events.csv"):
+        ev.insert(0, t.read_events(spark, f))
+    for q in a.quakeml:
+        e, p = xml.read_quakeml(spark, q if "*" in q or not Path(q).is_dir() else f"{q}/*ml")
+        ev.append(e), pk.append(p)
+    for q in a.stationxml:
+        st.append(xml.station_coordinates(xml.read_stationxml(spark, q)))
+    if not st:
+        raise ValueError("no stations: give a folder, a project, --stations or --stationxml")
+    if not ev:
+        raise ValueError("no events: give a folder, a project, --events or --quakeml")
+    st, ev = first_wins(st, "id", fold=True), first_wins(ev, "id")
+    if a.hypocentres:
+        ev = override_hypocentres(ev, t.read_events(spark, a.hypocentres), ["origin_time", "lon", "lat", "depth_km"], key="id")
+    if f := table(a.picks, "picks.csv"):
+        p, left = t.read_picks(spark, f, ev)
+        for k, v in left.items():
+            if v:
+                print(f"{v} picks left out: {k.replace('_', ' ')}")
+        pk.insert(0, p)
+    if not pk:
+        raise ValueError("no picks: give a folder, a project, --picks or --quakeml")
+    o = ev.select(F.col("id").alias("event"), "origin_time")
+    parts = [p.drop("travel_time_s").join(o, "event").withColumn("travel_time_s", (F.unix_micros("time") - F.unix_micros("origin_time")) / 1e6).drop("origin_time") for p in pk]
+    for n, p in enumerate(parts):
+        parts[n] = p.withColumn("seq", (F.col("seq") if "seq" in p.columns else F.monotonically_increasing_id()).cast("long"))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    return st, ev, relabel_networks(both, st)
+
+
 def _observations(spark, a, c):
-    """Arrivals of a data folder (stations.csv, events.csv, picks.csv), best picks inside the grid."""
+    """Best picks inside the grid with their events and stations; ids as they are, stations in upper case."""
     from pyspark.sql import functions as F
 
     from quakespark.operators.catalog import best_picks
     from quakespark.plans.tomography import select_observations
-    from quakespark.sources import tables as t
 
-    d = Path(a.data)
-    st, ev = t.read_stations(spark, str(d / "stations.csv")), t.read_events(spark, str(d / "events.csv"))
-    pk, left = t.read_picks(spark, str(d / "picks.csv"), ev)
-    for k, v in left.items():
-        if v:
-            print(f"{v} picks left out: {k.replace('_', ' ')}")
-    s = st.select(F.upper("id").alias("sid"), F.xxhash64(F.upper("id")).alias("sn"), F.col("lon").alias("st_lon"), F.col("lat").alias("st_lat"), "elevation_m")
-    e = ev.select(F.col("id").alias("eid"), F.xxhash64("id").alias("en"), F.col("lon").alias("ev_lon"), F.col("lat").alias("ev_lat"), "depth_km", "magnitude")
+    st, ev, pk = _catalogue(spark, a)
+    s = st.select(F.upper("id").alias("sid"), F.col("lon").alias("st_lon"), F.col("lat").alias("st_lat"), "elevation_m")
+    e = ev.select(F.col("id").alias("eid"), "origin_time", F.col("lon").alias("ev_lon"), F.col("lat").alias("ev_lat"), "depth_km", "magnitude")
     p = best_picks(pk, automatic=c["automatic_picks"]).join(s, F.upper("station") == F.col("sid")).join(e, F.col("event") == F.col("eid"))
-    p = p.select(F.col("en").alias("event"), F.col("sn").alias("station"), "eid", "sid", "phase", F.col("travel_time_s").alias("time_s"), "sigma_s", "st_lon", "st_lat", "elevation_m", "ev_lon", "ev_lat", "depth_km")
+    p = p.select(F.col("eid").alias("event"), F.col("sid").alias("station"), "phase", F.col("travel_time_s").alias("time_s"), "sigma_s", "st_lon", "st_lat", "elevation_m", "ev_lon", "ev_lat", "depth_km", "origin_time", "magnitude")
     return select_observations(p, _grid(a), min_phases=c["min_phases_per_event"], outside=c["outside_data"])
 
 
@@ -76,9 +124,14 @@ def synth(a, c):
 def grid(a, c):
     from pyspark.sql import functions as F
 
+    from quakespark.functions.grid import Grid
     from quakespark.plans.advisor import advise_grid
     from quakespark.sources import tables as t
 
+    if a.bounds:
+        v = [float(x) for x in a.bounds.split(",")]
+        Path(a.out).write_text(Grid.from_spacing(*v).to_json())
+        return
     spark, d = _spark(a), Path(a.data)
     st = t.read_stations(spark, str(d / "stations.csv")).select(F.col("id").alias("station"), F.col("lon").alias("st_lon"), F.col("lat").alias("st_lat"))
     ev = t.read_events(spark, str(d / "events.csv")).select(F.col("lon").alias("ev_lon"), F.col("lat").alias("ev_lat"), "depth_km")
@@ -88,27 +141,80 @@ def grid(a, c):
 
 
 def model1d(a, c):
-    from quakespark.functions.model1d import LIBRARY, Model1D
+    from quakespark.functions.model1d import LIBRARY, Model1D, choose
 
+    if a.list or a.area:
+        box = [float(x) for x in a.area.split(",")] if a.area else None
+        for m in choose(list(LIBRARY.values()), *box) if box else LIBRARY.values():
+            print(f"{m.name}: {m.reference}")
+        return
     m = LIBRARY.get(a.model) or Model1D.parse(Path(a.model).read_text())
     (Path(a.out).write_text(m.to_text()) if a.out else print(m.to_text()))
 
 
-def _save(out: str, r, g, formats):
+def _save(out: str, r, g, c, obs=None, settings=None):
+    """A run's folder: volumes (also as tables or VTK), tables of residuals, hypocentres, relocated events and stations, iterations and a summary."""
+    from dataclasses import asdict
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from quakespark.functions.geo import azimuth, distance_km
+    from quakespark.plans.mesh import save
+    from quakespark.sources.tables import write_table
     from quakespark.sources.volume import to_csv, to_vtk, write_volume
 
     o = Path(out)
     o.mkdir(parents=True, exist_ok=True)
-    for p, v in r.velocity.items():
-        f = str(o / f"v{p.lower()}.qvol")
-        write_volume(f, g, v, Quantity=f"V{p.lower()}", Units="km/s")
-        if "csv" in formats:
+    written = []
+
+    def volume(name, quantity, units, values):
+        f = str(o / f"{name}.qvol")
+        write_volume(f, g, values, Name=f"{o.name} {quantity}", Quantity=quantity, Units=units, Source=o.name)
+        written.append({"file": f, "name": f"{o.name} {quantity}", "quantity": quantity, "units": units})
+        if "csv" in c["output_formats"]:
             to_csv(f, f[:-5] + ".csv")
-        if "vtk" in formats:
+        if "vtk" in c["output_formats"]:
             to_vtk(f, f[:-5] + ".vtk")
-    r.events.to_csv(o / "hypocentres.csv", index=False)
+
+    for p, v in r.velocity.items():
+        volume(f"v{p.lower()}", f"V{p.lower()}", "km/s", v)
+        volume(f"dv{p.lower()}", f"dV{p.lower()}", "%", 100 * (v / r.start[p] - 1))
+        if p in r.dws:
+            volume(f"dws_{p.lower()}", f"DWS_{p}", "km", r.dws[p])
+            volume(f"hits_{p.lower()}", f"Hits_{p}", "rays", r.hits[p])
+    if {"P", "S"} <= set(r.velocity):
+        ratio = r.velocity["P"] / r.velocity["S"]
+        volume("vpvs", "VpVs", "", ratio)
+        volume("dvpvs", "dVpVs", "%", 100 * (ratio / (r.start["P"] / r.start["S"]) - 1))
+    if r.mesh is not None:
+        save(r.mesh, g, str(o / "mesh.json"))
+        volume("cell_size", "CellSize", "nodes", np.cbrt(np.bincount(r.mesh.of_node))[r.mesh.of_node])
     r.stations.to_csv(o / "station_terms.csv", index=False)
+    if obs is not None:
+        far, az = distance_km("ev_lon", "ev_lat", "st_lon", "st_lat"), azimuth("ev_lon", "ev_lat", "st_lon", "st_lat")
+        at = obs.select("event", "station", "phase", F.round(far, 3).alias("distance_km"), F.round(az, 1).alias("azimuth_deg"), F.col("depth_km").alias("event_depth_km"))
+        left = r.residuals.join(at, ["event", "station", "phase"]).withColumn("reason", F.when(F.col("rejected"), "residual far from the event's others").otherwise(""))
+        left = left.select("event", "station", "phase", "distance_km", "azimuth_deg", "event_depth_km", "sigma_s", F.col("time_s").alias("observed_s"), "initial_residual_s", F.col("residual").alias("final_residual_s"), F.col("rejected").cast("int").alias("rejected"), "reason")
+        write_table(left, str(o / "residuals"), order=["event", "station", "phase"])
+        ok = ~F.col("rejected") & F.col("residual").isNotNull()
+        per = r.residuals.groupBy("event").agg(F.sqrt(F.avg(F.when(ok, F.pow("residual", 2)))).alias("rms_s"), F.count(F.when(ok, 1)).alias("phases")).toPandas()
+        first = obs.select("event", "origin_time", F.col("ev_lon").alias("catalog_lon"), F.col("ev_lat").alias("catalog_lat"), F.col("depth_km").alias("catalog_depth_km"), "magnitude").distinct().toPandas()
+        h = r.events.rename(columns={"ev_lon": "lon", "ev_lat": "lat"}).merge(first, on="event").merge(per, on="event").sort_values("event")
+        km = 111.195 * np.hypot((h["lon"] - h["catalog_lon"]) * np.cos(np.radians(h["lat"])), h["lat"] - h["catalog_lat"])
+        moved = h.assign(origin_shift_s=h["t0"], horizontal_shift_km=km, depth_shift_km=h["depth_km"] - h["catalog_depth_km"], fixed=0)
+        moved[["event", "catalog_lon", "catalog_lat", "catalog_depth_km", "lon", "lat", "depth_km", "origin_shift_s", "horizontal_shift_km", "depth_shift_km", "fixed"]].to_csv(o / "hypocentres.csv", index=False)
+        time = (h["origin_time"] + pd.to_timedelta(h["t0"], unit="s")).dt.strftime("%Y-%m-%dT%H:%M:%S.%f").str[:-3] + "Z"
+        h.assign(id=h["event"], time=time, fixed=0)[["id", "time", "lon", "lat", "depth_km", "magnitude", "rms_s", "phases", "fixed"]].to_csv(o / "events_relocated.csv", index=False)
+        mean = lambda p: F.avg(F.when(ok & (F.col("phase") == p), F.col("residual"))).alias(f"mean_residual_{p.lower()}_s")
+        n = lambda p: F.count(F.when(ok & (F.col("phase") == p), 1)).alias(f"n_{p.lower()}")
+        s = r.residuals.groupBy("station").agg(n("P"), n("S"), mean("P"), mean("S")).join(obs.select("station", F.col("st_lon").alias("lon"), F.col("st_lat").alias("lat"), "elevation_m").distinct(), "station")
+        s.toPandas().sort_values("station").to_csv(o / "stations.csv", index=False)
+    else:
+        r.events.to_csv(o / "hypocentres.csv", index=False)
+    pd.DataFrame(r.history).to_csv(o / "iterations.csv", index=False)
     (o / "iterations.json").write_text(json.dumps(r.history, indent=1))
+    (o / "summary.json").write_text(json.dumps({"run": o.name, "settings": asdict(settings) if settings else {}, "iterations": r.history, "volumes": written}, indent=1))
     print(json.dumps(r.history[-1]))
 
 
@@ -118,7 +224,8 @@ def invert(a, c, **over):
 
     spark, g = _spark(a), _grid(a)
     model = "ak135" if a.model in (None, "auto") else a.model
-    _save(a.out, run(spark, _observations(spark, a, c), g, _model(g, model), Settings(**{**c["tomography"], **over})), g, c["output_formats"])
+    settings, obs = Settings(**{**c["tomography"], **over}), _observations(spark, a, c).persist()
+    _save(a.out, run(spark, obs, g, _model(g, model), settings), g, c, obs, settings)
 
 
 def minimum1d(a, c):
@@ -158,16 +265,33 @@ def resolution(a, c):
 
 
 def relocate(a, c):
+    """Absolute hypocentres, or with `--method dd` relative ones by double differences (and cross-correlation times of `--cc`)."""
     from pyspark.sql import functions as F
 
-    from quakespark.plans.locate import locate, travel_time_tables
+    from quakespark.operators.nearby import pairs_within
+    from quakespark.plans.locate import locate, relocate_pairs, travel_time_tables
+    from quakespark.sources.tables import read_cc_times
 
     spark, g = _spark(a), _grid(a)
-    obs = _observations(spark, a, c)
+    obs = _observations(spark, a, c).persist()
     slow = {p: 1 / v for p, v in _model(g, a.model if a.model not in (None, "auto") else "ak135").items()}
-    t = travel_time_tables(obs.select("station", "st_lon", "st_lat", "elevation_m").distinct(), g, slow).persist()
-    out = locate(spark, obs, t, g, **c["locator"]).join(obs.select("event", F.col("eid").alias("id")).distinct(), "event").drop("event")
     Path(a.out).mkdir(parents=True, exist_ok=True)
+    if a.method == "dd":
+        k = c["double_differences"]
+        e = obs.select("event", "ev_lon", "ev_lat", "depth_km", "origin_time").distinct()
+        pairs = pairs_within(e, k["max_separation_km"], id="event", lat="ev_lat", lon="ev_lon", depth_km="depth_km").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("distance_km").alias("km"))
+        cc = None
+        if a.cc:
+            o = e.select("event", (F.unix_micros("origin_time") / 1e6).alias("o"))
+            m = read_cc_times(spark, a.cc).select(F.trim("event_a").alias("a"), F.trim("event_b").alias("b"), F.upper("station").alias("station"), "phase", "arrival_difference_s", "cc")
+            m = m.join(o.withColumnsRenamed({"event": "a", "o": "oa"}), "a").join(o.withColumnsRenamed({"event": "b", "o": "ob"}), "b")
+            # Differences of arrival times, less those of origin times, are differences of travel times.
+            cc = m.select("a", "b", "station", "phase", (F.col("arrival_difference_s") - (F.col("oa") - F.col("ob"))).alias("dt_s"), "cc")
+        out = relocate_pairs(spark, obs, pairs, g, slow, iterations=k["iterations"], max_separation_km=k["max_separation_km"], cutoff_s=k["cutoff_s"], damping=k["damping"], cc=cc)
+        out.rename(columns={"event": "id", "ev_lon": "lon", "ev_lat": "lat", "t0": "origin_shift_s"}).sort_values("id").to_csv(Path(a.out) / "locations.csv", index=False)
+        return
+    t = travel_time_tables(obs.select("station", "st_lon", "st_lat", "elevation_m").distinct(), g, slow).persist()
+    out = locate(spark, obs, t, g, **c["locator"]).withColumnRenamed("event", "id")
     out.toPandas().sort_values("id").to_csv(Path(a.out) / "locations.csv", index=False)
 
 
@@ -307,9 +431,13 @@ def export(a, c):
 
 
 def register(a, c):
+    """Enter the run folder `--out` into the project `data`."""
     from quakespark.sources.project import register_run
+    from quakespark.sources.volume import read_header
 
-    register_run(a.data, Path(a.out).name, [p.name for p in Path(a.out).glob("*.qvol")])
+    volumes = [(str(p), read_header(str(p))[0]) for p in sorted(Path(a.out).glob("*.qvol"))]
+    n = register_run(a.data, a.out, [{"file": f, "name": h.get("Name") or Path(f).stem, "quantity": h.get("Quantity", ""), "units": h.get("Units", "")} for f, h in volumes])
+    print(f"{n} volumes")
 
 
 def show_config(a, c):
@@ -343,8 +471,24 @@ def parser() -> argparse.ArgumentParser:
         if name == "kagan":
             s.add_argument("angles", nargs=6)
             continue
-        if name not in ("synth", "config", "info", "model1d"):
+        if name in ("invert", "minimum1d", "lcurve", "resolution", "relocate"):
+            s.add_argument("data", nargs="?")
+            for o in ("stations", "events", "picks", "hypocentres"):
+                s.add_argument(f"--{o}")
+            s.add_argument("--quakeml", action="append", default=[])
+            s.add_argument("--stationxml", action="append", default=[])
+            s.add_argument("--catalog-locations", action="store_true")
+        elif name not in ("synth", "config", "info", "model1d", "grid"):
             s.add_argument("data")
+        if name == "grid":
+            s.add_argument("data", nargs="?")
+            s.add_argument("--bounds", help="min_lon,max_lon,min_lat,max_lat,min_depth,max_depth,horizontal_km,vertical_km")
+        if name == "relocate":
+            s.add_argument("--method", choices=["absolute", "dd"], default="absolute")
+            s.add_argument("--cc")
+        if name == "model1d":
+            s.add_argument("--list", action="store_true")
+            s.add_argument("--area", help="min_lon,max_lon,min_lat,max_lat")
         if name in ("invert", "minimum1d", "lcurve", "resolution", "relocate", "pick", "qtomo"):
             s.add_argument("--grid", required=True)
         if name in ("invert", "minimum1d", "lcurve", "relocate", "model1d", "pick", "qtomo"):

@@ -29,7 +29,8 @@ def travel_time_tables(stations: DataFrame, grid: Grid, slowness: dict[str, np.n
                     out.append((r.station, p, eikonal(grid, s, (r.st_lon, r.st_lat, -r.elevation_m / 1000)).ravel().astype(np.float32)))
             yield pd.DataFrame(out, columns=["station", "phase", "t"])
 
-    return spread(stations.select("station", "st_lon", "st_lat", "elevation_m"), "station").mapInPandas(make, "station long, phase string, t array<float>")
+    kind = stations.schema["station"].dataType.simpleString()
+    return spread(stations.select("station", "st_lon", "st_lat", "elevation_m"), "station").mapInPandas(make, f"station {kind}, phase string, t array<float>")
 
 
 def locate_event(times: np.ndarray, sigma: np.ndarray, tables: list[np.ndarray], grid: Grid, *, coarse: int = 8000, turns: int = 20, outlier_mads: float = 4.0, outlier_floor: float = 0.5, rounds: int = 3, fixed_depth: float | None = None) -> dict | None:
@@ -149,7 +150,8 @@ def locate(spark: SparkSession, arrivals: DataFrame, tables: DataFrame, grid: Gr
 
     groups = max(shuffle_partitions(spark), arrivals.select("event").distinct().count() // events_per_task)
     a = arrivals.select("event", "station", "phase", time, "sigma_s", F.pmod(F.xxhash64("event"), F.lit(groups)).alias("slot"))
-    return spread(a, "slot").groupBy("slot").applyInPandas(run, LOCATION)
+    kind = arrivals.schema["event"].dataType.simpleString()
+    return spread(a, "slot").groupBy("slot").applyInPandas(run, LOCATION.replace("event long", f"event {kind}"))
 
 
 def double_differences(pairs: DataFrame, readings: DataFrame, *, residual: str, max_separation_km: float, cutoff_s: float, weight_p: float = 1.0, weight_s: float = 0.5, least: float = 1e-3) -> DataFrame:
@@ -167,10 +169,23 @@ def double_differences(pairs: DataFrame, readings: DataFrame, *, residual: str,
     return j.select("a", "b", "station", "phase", "dd", (F.col("prior") / F.sqrt(F.pow("sa", 2) + F.pow("sb", 2))).alias("weight"))
 
 
-def relocate_pairs(spark: SparkSession, arrivals: DataFrame, pairs: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], *, iterations: int = 3, max_separation_km: float = 10.0, cutoff_s: float = 1.0, damping: float = 1.0, straight: bool = False) -> pd.DataFrame:
+def cc_differences(pairs: DataFrame, cc: DataFrame, readings: DataFrame, *, max_separation_km: float, cutoff_s: float, sigma_s: float = 0.01, weight_p: float = 1.0, weight_s: float = 0.5, least: float = 1e-3) -> DataFrame:
+    """(a, b, station, phase, dd, weight) of differences measured by cross-correlation (a, b, station, phase, dt_s, cc): what the model's times and
+    origin shifts (`r` and `time_s` of the readings) leave of them."""
+    one = cc.where(F.col("cc") > 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "station", "phase", F.when(F.col("a") < F.col("b"), F.col("dt_s")).otherwise(-F.col("dt_s")).alias("dt_s"), "cc")
+    k = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "km").distinct()
+    model = readings.select("event", "station", "phase", (F.col("time_s") - F.col("r")).alias("t"))  # time of the model and origin shift
+    j = one.join(k, ["a", "b"]).join(model.withColumnsRenamed({"event": "a", "t": "ta"}), ["a", "station", "phase"]).join(model.withColumnsRenamed({"event": "b", "t": "tb"}), ["b", "station", "phase"])
+    j = j.withColumn("dd", F.col("dt_s") - (F.col("ta") - F.col("tb")))
+    prior = F.when(F.col("phase") == "P", weight_p).otherwise(weight_s) * F.col("cc") * tricube(F.col("km"), max_separation_km) * tricube(F.col("dd"), cutoff_s)
+    return j.withColumn("prior", prior).where(F.col("prior") >= least).select("a", "b", "station", "phase", "dd", (F.col("prior") / sigma_s).alias("weight"))
+
+
+def relocate_pairs(spark: SparkSession, arrivals: DataFrame, pairs: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], *, iterations: int = 3, max_separation_km: float = 10.0, cutoff_s: float = 1.0, damping: float = 1.0, straight: bool = False, cc: DataFrame | None = None, cc_sigma_s: float = 0.01) -> pd.DataFrame:
     """Relative hypocentres by double differences: (event, ev_lon, ev_lat, depth_km, t0) after some iterations.
 
-    Arrivals (event, station, phase, time_s, sigma_s and coordinates), pairs (a, b, km). Differences of residuals of common readings are fitted by
+    Arrivals (event, station, phase, time_s, sigma_s and coordinates), pairs (a, b, km). `cc`: differences of travel times by cross-correlation
+    (a, b, station, phase, dt_s, cc) of pairs in either order, weighted by coefficient over `cc_sigma_s`, beside those of the readings. Differences of residuals of common readings are fitted by
     changes of both hypocentres, with the kernels' gradients; the centre of all moves stays. Rows are distributed; the driver holds one row an
     event and the solution.
     """
@@ -188,6 +203,8 @@ def relocate_pairs(spark: SparkSession, arrivals: DataFrame, pairs: DataFrame, g
         k = kernel_rows(fixed.join(e, "event"), grid, slowness, straight=straight).drop("nodes", "km")
         r = scratch.keep(k.join(fixed.select("arrival", "time_s", "sigma_s"), "arrival").join(e.select("event", "t0", "column"), "event").withColumn("r", F.col("time_s") - F.col("t0") - F.col("t_calc")))
         d = double_differences(pairs, r, residual="r", max_separation_km=max_separation_km, cutoff_s=cutoff_s)
+        if cc is not None:
+            d = d.unionByName(cc_differences(pairs, cc, r, max_separation_km=max_separation_km, cutoff_s=cutoff_s, sigma_s=cc_sigma_s))
         g = r.select("event", "station", "phase", "ge", "gn", "gd", "column")
         x = g.withColumnsRenamed({"event": "a", **{c: f"{c}_a" for c in ("ge", "gn", "gd", "column")}})
         y = g.withColumnsRenamed({"event": "b", **{c: f"{c}_b" for c in ("ge", "gn", "gd", "column")}})

@@ -16,6 +16,7 @@ from quakespark.operators import regular, stats
 from quakespark.operators.fields import chord_crosses
 from quakespark.plans.forward import kernel_rows
 from quakespark.plans.linalg import solve_rows
+from quakespark.plans.mesh import Mesh, octree, to_nodes
 
 
 @dataclass
@@ -38,6 +39,10 @@ class Settings:
     vs: tuple[float, float] = (0.7, 8.5)
     solver_turns: int = 400
     halvings: int = 3
+    adaptive: bool = False
+    cell_nodes: int = 8
+    cell_depth_nodes: int = 4
+    cell_hits: float = 10.0
 
 
 @dataclass
@@ -46,20 +51,28 @@ class Result:
     events: pd.DataFrame
     stations: pd.DataFrame
     history: list[dict] = field(default_factory=list)
+    start: dict[str, np.ndarray] = field(default_factory=dict)
+    #: Sums of ray lengths and numbers of rays at the nodes, by phase.
+    dws: dict[str, np.ndarray] = field(default_factory=dict)
+    hits: dict[str, np.ndarray] = field(default_factory=dict)
+    #: (event, station, phase, time_s, sigma_s, initial_residual_s, residual, rejected) of every arrival.
+    residuals: DataFrame | None = None
+    mesh: Mesh | None = None
 
 
 def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], settings: Settings | None = None) -> Result:
     """Model from arrivals (event, station, phase, time_s, sigma_s, ev_lon, ev_lat, depth_km, st_lon, st_lat, elevation_m).
 
     Arrivals, kernels and equations stay distributed; the driver holds the model, one row an event and one a station, and the solution.
-    Columns of the system: fractional slowness of P and S nodes (or layers), four of each hypocentre, one a station and phase.
+    Columns of the system: fractional slowness of P and S nodes (or layers, or with `adaptive` octree cells that follow the starting rays), four of
+    each hypocentre, one a station and phase.
     """
     s = settings or Settings()
     scratch = Scratch(spark, "tomography")
     phases = [p for p in ("P", "S") if p in velocity]
     v = {p: np.asarray(velocity[p], float).ravel().copy() for p in phases}
     start = {p: 1 / v[p] for p in phases}
-    unknown = grid.nz if s.layered else grid.nodes
+    unknown, mesh = grid.nz if s.layered else grid.nodes, None
     a = arrivals.select("event", "station", "phase", "time_s", "sigma_s", "ev_lon", "ev_lat", "depth_km", "st_lon", "st_lat", "elevation_m").where(F.col("phase").isin(phases))
     a = scratch.keep(a.withColumn("arrival", F.monotonically_increasing_id()))
     ev = a.groupBy("event").agg(F.first("ev_lon").alias("ev_lon"), F.first("ev_lat").alias("ev_lat"), F.first("depth_km").alias("depth_km")).toPandas().sort_values("event").reset_index(drop=True)
@@ -67,22 +80,26 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
     st = a.select("station", "phase").distinct().toPandas().sort_values(["station", "phase"]).reset_index(drop=True)
     st["term"], st["column"] = 0.0, np.arange(len(st))
     fixed = a.drop("ev_lon", "ev_lat", "depth_km")
-    history, old, before = [], None, None
+    history, old, before, first = [], None, None, None
     step, tries = None, 0
     it = 0
     while True:
         e = spark.createDataFrame(ev)
         now = fixed.join(e, "event")
         k = scratch.keep(kernel_rows(now, grid, {p: 1 / v[p] for p in phases}, straight=s.straight, layered=s.layered, carry=["time_s", "sigma_s", "t0", "column"]))
+        if s.adaptive and not s.layered and mesh is None:
+            mesh = octree(grid, sum(_coverage(k, grid)[1].values()), largest=s.cell_nodes, largest_depth=s.cell_depth_nodes, threshold=s.cell_hits)
+            unknown = mesh.n
         t = spark.createDataFrame(st.rename(columns={"column": "st_column"}))
         r = k.join(t, ["station", "phase"])
         r = r.withColumn("residual", F.col("time_s") - F.col("t0") - F.col("t_calc") - F.col("term"))
         r = scratch.keep(stats.reject_outliers(r, residual="residual", floor_s=s.outlier_floor_s, mads=s.outlier_mads, centre_by=["event"], absolute_s=s.max_residual_s, scratch=scratch))
+        first = first if first is not None else r.select("arrival", F.col("residual").alias("initial_residual_s"))
         ok = r.where(~F.col("rejected"))
         m = ok.agg(F.count(F.lit(1)).alias("used"), F.sqrt(F.avg(F.pow("residual", 2))).alias("rms"), F.sum(F.pow(F.col("residual") / F.greatest(F.lit(0.01), F.col("sigma_s")), 2)).alias("misfit")).first()
         if before is not None and tries < s.halvings and m["misfit"] / max(1, m["used"]) > 1.001 * before and step is not None:
             tries += 1  # the step made it worse: half of it from the state before
-            v, ev, st = _moved(old, step, 0.5**tries, grid, phases, s, unknown)
+            v, ev, st = _moved(old, step, 0.5**tries, grid, phases, s, unknown, mesh)
             continue
         history.append({"iteration": it, "used": m["used"], "rms_s": m["rms"], "halvings": tries})
         tries = 0
@@ -90,13 +107,28 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
             break
         before = m["misfit"] / max(1, m["used"])
         old = ({p: v[p].copy() for p in phases}, ev.copy(), st.copy())
-        step = _step(spark, scratch, ok, m["used"], grid, v, start, ev, st, phases, s, unknown)
-        v, ev, st = _moved(old, step, 1.0, grid, phases, s, unknown)
+        step = _step(spark, scratch, ok, m["used"], grid, v, start, ev, st, phases, s, unknown, mesh)
+        v, ev, st = _moved(old, step, 1.0, grid, phases, s, unknown, mesh)
         it += 1
-    return Result({p: v[p].reshape(grid.nz, grid.ny, grid.nx) for p in phases}, ev.drop(columns="column"), st.drop(columns="column"), history)
+    shape = lambda x: x.reshape(grid.nz, grid.ny, grid.nx)
+    dws, hits = ({}, {}) if s.layered else _coverage(k, grid)
+    left = r.join(first, "arrival").select("event", "station", "phase", "time_s", "sigma_s", "initial_residual_s", "residual", "rejected")
+    return Result(
+        {p: shape(v[p]) for p in phases}, ev.drop(columns="column"), st.drop(columns="column"), history, {p: shape(1 / start[p]) for p in phases}, {p: shape(x) for p, x in dws.items()}, {p: shape(x) for p, x in hits.items()}, left, mesh
+    )
 
 
-def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown) -> np.ndarray:
+def _coverage(k: DataFrame, grid: Grid) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(ray lengths, numbers of rays) at the nodes by phase, of kernel rows; of the model's size."""
+    rows = k.select("phase", F.explode(F.arrays_zip("nodes", "km")).alias("e")).groupBy("phase", F.col("e.nodes").alias("node")).agg(F.sum("e.km").alias("km"), F.count(F.lit(1)).alias("n")).toPandas()
+    out = {}, {}
+    for p, g in rows.groupby("phase"):
+        for x, c in zip(out, ("km", "n")):
+            x[p] = np.bincount(g["node"], g[c], grid.nodes)
+    return out
+
+
+def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown, mesh=None) -> np.ndarray:
     """Solution of one linear step: kernels, hypocentres, station terms, damping and smoothing, in one table of rows."""
     m = unknown * len(phases)
     base_ev = m
@@ -106,13 +138,14 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown)
     plane = grid.nx * grid.ny
     short = {p: slow[p][:: plane if s.layered else 1] for p in phases}
     w = lambda sigma: 1 / np.maximum(0.01, sigma)
+    cell = mesh.of_node if mesh is not None else None
 
     def rows(batches):
         for b in batches:
             cols, vals, rhs = [], [], []
             for r in b.itertuples():
                 nodes, km = np.asarray(r.nodes, np.int64), np.asarray(r.km, float)
-                c, x = nodes + phases.index(r.phase) * unknown, km * short[r.phase][nodes]
+                c, x = (nodes if cell is None else cell[nodes]) + phases.index(r.phase) * unknown, km * short[r.phase][nodes]
                 if s.joint_hypocentres:
                     c, x = np.concatenate([c, base_ev + 4 * r.column + np.arange(4)]), np.concatenate([x, [1.0, r.ge, r.gn, r.gd]])
                 if s.station_terms:
@@ -139,11 +172,14 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown)
         else:
             # Smoothing acts on the whole deviation, damping on the step.
             lap = regular.laplacian_rows(spark, grid, s.smoothing, s.vertical_smoothing)
-            model = spark.createDataFrame(pd.DataFrame({"node": np.arange(unknown, dtype=np.int32), "x": m_now}))
-            lap = lap.join(model, "node").groupBy("row").agg(F.collect_list((F.col("node") + q * unknown).cast("int")).alias("columns"), F.collect_list("value").alias("values"), F.sum(-F.col("value") * F.col("x")).alias("rhs"))
+            place = np.arange(grid.nodes) if cell is None else cell
+            model = spark.createDataFrame(pd.DataFrame({"node": np.arange(grid.nodes, dtype=np.int32), "cell": place.astype(np.int32), "x": m_now}))
+            # On cells the rows of nodes are added up by cell, and those inside one cell vanish.
+            lap = lap.join(model, "node").groupBy("row", "cell").agg(F.sum("value").alias("value"), F.sum(-F.col("value") * F.col("x")).alias("y"))
+            lap = lap.groupBy("row").agg(F.collect_list((F.col("cell") + q * unknown).cast("int")).alias("columns"), F.collect_list("value").alias("values"), F.sum("y").alias("rhs"))
             data = data.unionByName(lap.select("columns", "values", "rhs"))
-            damp = spark.range(unknown).select(F.array((F.col("id") + q * unknown).cast("int")).alias("columns"), F.array(F.lit(float(s.damping))).alias("values"), F.lit(0.0).alias("rhs"))
-            data = data.unionByName(damp)
+            damp = spark.createDataFrame(pd.DataFrame({"c": (np.arange(unknown) + q * unknown).astype(np.int32), "v": s.damping * np.sqrt(np.bincount(place, minlength=unknown))}))
+            data = data.unionByName(damp.select(F.array("c").alias("columns"), F.array("v").alias("values"), F.lit(0.0).alias("rhs")))
     if s.joint_hypocentres and not small:
         data = data.unionByName(spark.range(4 * len(ev)).select(F.array((F.col("id") + base_ev).cast("int")).alias("columns"), F.array(F.lit(float(s.damping_hypocentre))).alias("values"), F.lit(0.0).alias("rhs")))
     if s.station_terms:
@@ -245,12 +281,12 @@ def _eliminated(ok: DataFrame, used: int, n: int, base_ev: int, base_st: int, ph
     return full
 
 
-def _moved(old, x: np.ndarray, share: float, grid: Grid, phases, s: Settings, unknown: int):
+def _moved(old, x: np.ndarray, share: float, grid: Grid, phases, s: Settings, unknown: int, mesh: Mesh | None = None):
     """The state after a share of a step: slowness changes are capped, velocities stay in their bounds, hypocentres in the grid."""
     v, ev, st = {p: old[0][p].copy() for p in phases}, old[1].copy(), old[2].copy()
     for q, p in enumerate(phases):
         d = x[q * unknown : (q + 1) * unknown] * share
-        d = np.repeat(d, grid.nx * grid.ny) if s.layered else d
+        d = np.repeat(d, grid.nx * grid.ny) if s.layered else d if mesh is None else to_nodes(mesh, d)
         v[p] = np.clip(v[p] / (1 + np.clip(d, -s.max_step, s.max_step)), *(s.vp if p == "P" else s.vs))
     at = unknown * len(phases)
     if s.joint_hypocentres:

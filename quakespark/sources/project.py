@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import shutil
 import sqlite3
+import uuid
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,11 +81,28 @@ def read_project(spark: SparkSession, path: str, *, catalog_locations: bool = Fa
     return out
 
 
-def register_run(path: str, name: str, volumes: list[str]) -> None:
-    """Append a run to the project's manifest; a run of the same name is replaced."""
-    f = project_folder(path) / "runs.json"
-    runs = json.loads(f.read_text()) if f.exists() else []
-    runs = [r for r in runs if r["name"] != name] + [{"name": name, "volumes": sorted(volumes)}]
-    tmp = f.with_suffix(".tmp")
-    tmp.write_text(json.dumps(runs, indent=1))
-    tmp.replace(f)
+def register_run(path: str, run: str, volumes: list[dict], *, group: str = "") -> int:
+    """Copy a run's folder into a project and enter its volumes in the project's list; entries of the same file are replaced.
+
+    `volumes`: dicts with file, name, quantity and units. The files go to the project's volumes folder, the rest of the run to runs/NAME. The former
+    project.json is kept beside it as .bak. Gives the number of volumes.
+    """
+    folder, source = project_folder(path), Path(run)
+    settings = folder / "project.json"
+    root = read_settings(path)
+    files = {Path(v["file"]).resolve() for v in volumes}
+    shutil.copytree(source, folder / "runs" / source.name, dirs_exist_ok=True, ignore=lambda d, names: [n for n in names if (Path(d) / n).resolve() in files or n == "volumes"])
+    (folder / "volumes").mkdir(exist_ok=True)
+    key = next((k for k in root if k.lower() == "volumes"), "Volumes")
+    known = root[key] if isinstance(root.get(key), list) else []
+    new = []
+    for v in volumes:
+        shutil.copy2(v["file"], folder / "volumes" / Path(v["file"]).name)
+        new.append({"Id": uuid.uuid4().hex, "Name": v["name"], "File": f"volumes/{Path(v['file']).name}", "Quantity": v["quantity"], "Units": v["units"], "CreatedUtc": datetime.now(timezone.utc).isoformat(), "Source": source.name, "Group": group})
+    taken = {v["File"] for v in new}
+    root[key] = [v for v in known if not (isinstance(v, dict) and v.get("File") in taken)] + new
+    part = settings.with_suffix(".tmp")
+    part.write_text(json.dumps(root, indent=2), encoding="utf-8")
+    shutil.copy2(settings, settings.with_suffix(".json.bak"))
+    part.replace(settings)
+    return len(new)

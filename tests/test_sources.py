@@ -135,8 +135,14 @@ def test_project(spark, tmp_path):
     assert len(p) == 1 and p[0]["phase"] == "S" and p[0]["quality"] == 2 and p[0]["origin"] == "manual" and p[0]["disabled"] == 1 and str(p[0]["time"]) == "2024-01-01 00:00:05"
     assert d["events"].first()["depth_km"] == 6 and project.read_project(spark, str(tmp_path), catalog_locations=True)["events"].first()["depth_km"] == 5
     assert d["tstar"].first()["sigma_s"] == 0.005 and project.read_settings(str(tmp_path))["Name"] == "x"
-    project.register_run(str(tmp_path), "r1", ["b", "a"])
-    assert json.loads((tmp_path / "runs.json").read_text()) == [{"name": "r1", "volumes": ["a", "b"]}]
+    run = tmp_path / "elsewhere" / "r1"
+    run.mkdir(parents=True)
+    (run / "summary.json").write_text("{}")
+    volume.write_volume(str(run / "vp.qvol"), GRID, np.ones(GRID.nodes), Quantity="Vp", Units="km/s")
+    for _ in range(2):  # a run registered twice has its volumes once
+        assert project.register_run(str(tmp_path), str(run), [{"file": str(run / "vp.qvol"), "name": "r1 Vp", "quantity": "Vp", "units": "km/s"}]) == 1
+    listed = json.loads((tmp_path / "project.json").read_text())["Volumes"]
+    assert [v["File"] for v in listed] == ["volumes/vp.qvol"] and (tmp_path / "volumes" / "vp.qvol").exists() and (tmp_path / "runs" / "r1" / "summary.json").exists() and (tmp_path / "project.json.bak").exists()
 
 
 def test_settings(tmp_path):
@@ -204,6 +210,18 @@ def test_commands_end_to_end(spark, tmp_path):
     assert cli.main(["relocate", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "loc")]) == 0
     loc = pd.read_csv(tmp_path / "loc" / "locations.csv").merge(ev, on="id")
     assert len(loc) == 8 and np.median(np.hypot((loc["lon_x"] - loc["lon_y"]) * 82, (loc["lat_x"] - loc["lat_y"]) * 111)) < 3
+    cc = pd.read_csv(d / "picks.csv").merge(ev.rename(columns={"id": "event"})[["event", "time"]], on="event")
+    cc["at"] = pd.to_datetime(cc["time"]).map(lambda t: t.timestamp()) + cc["travel_time_s"]
+    cc = cc.merge(cc, on=["station", "phase"])
+    cc = cc[cc["event_x"] > cc["event_y"]]
+    pd.DataFrame({"event_a": cc["event_x"], "event_b": cc["event_y"], "station": cc["station"], "phase": cc["phase"], "arrival_difference_s": cc["at_x"] - cc["at_y"], "lag_s": 0.0, "cc": 0.9}).to_csv(tmp_path / "cc_in.csv", index=False)
+    dd = ["relocate", str(d), "--grid", str(d / "grid.json"), "--method", "dd", "--set", "double_differences.max_separation_km=60", "--set", "double_differences.cutoff_s=3"]
+    assert cli.main([*dd, "--out", str(tmp_path / "dd")]) == 0 and cli.main([*dd, "--cc", str(tmp_path / "cc_in.csv"), "--out", str(tmp_path / "ddcc")]) == 0
+    assert len(pd.read_csv(tmp_path / "dd" / "locations.csv")) == 8 == len(pd.read_csv(tmp_path / "ddcc" / "locations.csv"))
+    assert cli.main(["invert", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "run"), "--set", "tomography.iterations=1", "--set", "tomography.straight=true", "--set", "tomography.adaptive=true"]) == 0
+    summary = json.loads((tmp_path / "run" / "summary.json").read_text())
+    assert {"Vp", "dVp", "DWS_P", "Hits_P", "Vs", "VpVs", "dVpVs", "CellSize"} <= {v["quantity"] for v in summary["volumes"]} and (tmp_path / "run" / "mesh.json").exists()
+    assert len(pd.read_csv(tmp_path / "run" / "events_relocated.csv")) == 8 and {"initial_residual_s", "final_residual_s", "reason"} <= set(spark.read.option("header", True).csv(str(tmp_path / "run" / "residuals")).columns)
     p = pd.read_csv(d / "picks.csv")
     p["event"], p["station"] = p["event"].str[1:].astype(int), p["station"].str[4:].astype(int)
     w = synthetic.waveforms(spark.createDataFrame(p.rename(columns={"travel_time_s": "time_s"})), snr=100.0).toPandas()
