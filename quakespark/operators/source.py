@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.common import spread
+from quakespark.common import Scratch, shuffle_partitions, spread
 from quakespark.functions import mechanism as m
 from quakespark.operators import stats
 
@@ -136,14 +137,29 @@ def curve_corner(points: DataFrame, by: list[str], order: str, x: str, y: str) -
 def magnitude_windows(events: DataFrame, *, min_window: int = 5) -> DataFrame:
     """(magnitude, event, fraction): share of resolved corners in windows of max(5, n/6) events in order of magnitude.
 
-    One row an event, so the order over all of them is small beside the readings.
+    Events are range-partitioned; running numbers and sums of a partition begin where the partitions before it end (one row a partition on the
+    driver), and a window is the difference of two sums, met by a join on the running number.
     """
-    n = events.count()
+    kind = events.schema["event"].dataType.simpleString()
+
+    def number(batches):
+        part, n, total = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            x = b["resolved"].fillna(False).astype(bool).to_numpy().cumsum() + total
+            yield b.assign(part=part, r=n + np.arange(1, len(b) + 1), upto=x)
+            if len(b):
+                n, total = n + len(b), int(x[-1])
+
+    s = events.select(F.col("magnitude").cast("double"), "event", F.col("resolved").cast("boolean")).repartitionByRange(shuffle_partitions(events.sparkSession), "magnitude", "event").sortWithinPartitions("magnitude", "event")
+    s = Scratch(events.sparkSession, "windows").keep(s.mapInPandas(number, f"magnitude double, event {kind}, resolved boolean, part int, r long, upto long"))
+    parts = s.groupBy("part").agg(F.max("r").alias("r"), F.max("upto").alias("upto")).orderBy("part").collect()
+    n = sum(p["r"] for p in parts)
     k = max(min_window, n // 6)
-    w = Window.orderBy("magnitude", "event")
-    r = events.withColumn("_r", F.row_number().over(w))
-    f = F.avg(F.col("resolved").cast("int")).over(w.rowsBetween(0, k - 1))
-    return r.withColumn("fraction", f).where(F.col("_r") <= n - k + 1).select("magnitude", "event", "fraction")
+    before = {p["part"]: (sum(q["r"] for q in parts[:i]), sum(q["upto"] for q in parts[:i])) for i, p in enumerate(parts)}
+    at = lambda i: F.create_map(*[F.lit(x) for p, v in before.items() for x in (p, v[i])])[F.col("part")] if before else F.lit(0)
+    s = s.select("magnitude", "event", (F.col("r") + at(0)).alias("r"), (F.col("upto") + at(1)).alias("upto"), F.coalesce(F.col("resolved").cast("int"), F.lit(0)).alias("own"))
+    end = s.select((F.col("r") - (k - 1)).alias("r"), F.col("upto").alias("last"))
+    return s.join(end, "r").select("magnitude", "event", ((F.col("last") - F.col("upto") + F.col("own")) / k).alias("fraction"))
 
 
 def corner_interval(grid: DataFrame, by: str, order: str, rss: str, parameters: int, data: str) -> DataFrame:

@@ -200,8 +200,3 @@ def formal_resolution(a: Csr, damp_rows: Csr, *, max_unknowns: int = 20_000) ->
     inv = np.linalg.inv(ata + l.T @ l)
     r = inv @ ata
     return {"resolution": np.diag(r).copy(), "sigma": np.sqrt(np.maximum(0.0, np.diag(inv @ ata @ inv))), "spread": np.sqrt((r**2).sum(1) - np.diag(r) ** 2)}
-
-
-def schur_reduce(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """a - b c^-1 b': the normal matrix of the model after the block c (a hypocentre) is eliminated."""
-    return a - b @ np.linalg.solve(c, b.T)

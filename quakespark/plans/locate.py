@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakespark.common import shuffle_partitions, spread
+from quakespark.common import Scratch, shuffle_partitions, spread
 from quakespark.functions.geo import EARTH_KM
 from quakespark.functions.grid import Grid
 from quakespark.functions.mechanism import tricube
 from quakespark.plans.forward import eikonal
 
-#: Bytes of tables that are broadcast at most.
+#: Bytes of tables that are broadcast at a time.
 TABLE_BYTES = 256_000_000
 
 
@@ -124,15 +126,40 @@ def locate_event(times: np.ndarray, sigma: np.ndarray, tables: list[np.ndarray],
 LOCATION = "event long, lon double, lat double, depth_km double, origin_shift_s double, rms_s double, phases int, rejected int, major_km double, minor_km double, azimuth_deg double, depth_error_km double, time_error_s double"
 
 
-def locate(spark: SparkSession, arrivals: DataFrame, tables: DataFrame, grid: Grid, *, time: str = "time_s", events_per_task: int = 256, **settings) -> DataFrame:
+def locate(spark: SparkSession, arrivals: DataFrame, tables: DataFrame, grid: Grid, *, time: str = "time_s", events_per_task: int = 256, table_bytes: int = TABLE_BYTES, **settings) -> DataFrame:
     """Hypocentres of all events with four arrivals or more: (event, lon, lat, depth_km, ...).
 
-    Tables of all stations are broadcast while they are below TABLE_BYTES (counted before): stations x phases x nodes x 4 bytes. Events are
-    hashed onto groups of about `events_per_task`, so that one call locates many; no event is larger than its number of stations.
+    Tables are broadcast, at most `table_bytes` of them at a time (counted before: stations x phases x nodes x 4 bytes). More are used in passes:
+    events are grouped by the station that they reach first, groups that use the same stations share a pass, and a pass sends the tables of its stations
+    only. Events are hashed onto groups of about `events_per_task`, so that one call locates many; no event is larger than its number of stations.
     """
+    spark_, kind = arrivals.sparkSession, arrivals.schema["event"].dataType.simpleString()
     n = tables.count()
-    if n * grid.nodes * 4 > TABLE_BYTES:
-        raise ValueError(f"{n} tables of {grid.nodes} nodes are too large to broadcast; use a coarser grid for the location or fewer stations")
+    if n * grid.nodes * 4 <= table_bytes:
+        return _locate_with(arrivals, tables, grid, time, events_per_task, kind, settings)
+    scratch = Scratch(spark_, "locations")
+    first = scratch.keep(arrivals.groupBy("event").agg(F.min_by(F.col("station"), F.struct(time, "station")).alias("first_station")))
+    used = scratch.keep(arrivals.join(first, "event").select("first_station", "station", "phase").distinct())
+    groups: dict = {}
+    for r in used.collect():  # stations x the stations that events near them reach
+        groups.setdefault(r["first_station"], set()).add((r["station"], r["phase"]))
+    parts, most = [], max(1, table_bytes // (4 * grid.nodes))
+    for g in sorted(groups, key=lambda g: (sorted(map(str, groups[g])), str(g))):
+        if parts and len(parts[-1][1] | groups[g]) <= most:
+            parts[-1][0].append(g)
+            parts[-1][1].update(groups[g])
+        else:
+            parts.append(([g], set(groups[g])))
+    found = []
+    for members, _ in parts:
+        of = first.where(F.col("first_station").isin(members)).select("event")
+        need = used.where(F.col("first_station").isin(members)).select("station", "phase").distinct()
+        found.append(scratch.keep(_locate_with(arrivals.join(of, "event", "left_semi"), tables.join(need, ["station", "phase"], "left_semi"), grid, time, events_per_task, kind, settings)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _locate_with(arrivals: DataFrame, tables: DataFrame, grid: Grid, time: str, events_per_task: int, kind: str, settings: dict) -> DataFrame:
+    spark = arrivals.sparkSession
     shared = spark.sparkContext.broadcast({(r["station"], r["phase"]): np.array(r["t"], np.float32) for r in tables.toLocalIterator()})
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +177,6 @@ def locate(spark: SparkSession, arrivals: DataFrame, tables: DataFrame, grid: Gr
 
     groups = max(shuffle_partitions(spark), arrivals.select("event").distinct().count() // events_per_task)
     a = arrivals.select("event", "station", "phase", time, "sigma_s", F.pmod(F.xxhash64("event"), F.lit(groups)).alias("slot"))
-    kind = arrivals.schema["event"].dataType.simpleString()
     return spread(a, "slot").groupBy("slot").applyInPandas(run, LOCATION.replace("event long", f"event {kind}"))
 
 
@@ -189,7 +215,6 @@ def relocate_pairs(spark: SparkSession, arrivals: DataFrame, pairs: DataFrame, g
     changes of both hypocentres, with the kernels' gradients; the centre of all moves stays. Rows are distributed; the driver holds one row an
     event and the solution.
     """
-    from quakespark.common import Scratch
     from quakespark.plans.forward import kernel_rows
     from quakespark.plans.linalg import solve_rows
 

@@ -312,11 +312,6 @@ def select_observations(picks: DataFrame, grid: Grid, *, min_phases: int = 4, ou
     return p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("event"))).where(F.col("_n") >= min_phases).drop("_n")
 
 
-def trade_off(run, dampings: list[float], smoothings: list[float]) -> pd.DataFrame:
-    """(damping, smoothing, residual_norm, model_norm, roughness) of every pair; `run` makes one of them."""
-    return pd.DataFrame([{"damping": d, "smoothing": m, **run(d, m)} for m in smoothings for d in dampings])
-
-
 def curve_corner(residual, model) -> int:
     """The most regularised of the points farthest from the chord of the normalised log-log curve."""
     x, y = (np.log(np.maximum(1e-300, np.asarray(v, float))) for v in (residual, model))

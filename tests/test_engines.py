@@ -238,6 +238,8 @@ def test_location(spark):
     d, truth, _ = synthetic.dataset(spark, GRID, stations=12, events=12, percent=0.0, noise=(0.01, 0.02), seed=99)
     d = d.persist()
     t = locate.travel_time_tables(d.select("station", "st_lon", "st_lat", "elevation_m").distinct(), GRID, {p: 1 / v for p, v in truth.items()})
+    few = locate.locate(spark, d, t, GRID, table_bytes=8 * 4 * GRID.nodes).toPandas().sort_values("event", ignore_index=True)
+    assert few.equals(locate.locate(spark, d, t, GRID).toPandas().sort_values("event", ignore_index=True))  # in passes with few tables each
     r = locate.locate(spark, d, t, GRID).toPandas().merge(d.select("event", "ev_lon", "ev_lat", "depth_km").distinct().toPandas(), on="event", suffixes=("", "_true"))
     off = np.hypot((r["lon"] - r["ev_lon"]) * 82, (r["lat"] - r["ev_lat"]) * 111)
     assert len(r) == 12 and np.median(off) < 0.8 and r["rms_s"].median() < 0.05
@@ -419,3 +421,11 @@ def test_order_statistics_of_large_groups(spark, narrow):
         whole = np.sort(np.concatenate(list(x.values())))
         one = stats.order_statistics(d, [], "v", p, {"a": F.floor(p * (F.col("n") - 1))}, narrow=narrow).first()
         assert one["a"] == whole[int(np.floor(p * (len(whole) - 1)))]
+
+
+def test_damping_rows_and_cell_mapping(spark):
+    d = regular.damping_rows(spark, GRID, 2.0).collect()
+    assert len(d) == GRID.nodes and all(r["row"] == r["node"] and r["value"] == 2.0 for r in d)
+    m = mesh.octree(GRID, np.where(np.arange(GRID.nodes) % 3 == 0, 50.0, 0.0), threshold=10.0, covered=0.3)
+    p = mesh.project(regular.damping_rows(spark, GRID, 2.0), mesh.mapping(spark, m)).groupBy("column").agg(F.sum("value").alias("v")).collect()
+    assert len(p) == m.n and sum(r["v"] for r in p) == pytest.approx(2.0 * GRID.nodes)

@@ -246,3 +246,42 @@ def test_commands_end_to_end(spark, tmp_path):
     q.to_csv(d / "tstar.csv", index=False)
     assert cli.main(["qtomo", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "q"), "--set", "attenuation.turns=2"]) == 0
     assert 150 < float(np.median(np.asarray(volume.read_volume(str(tmp_path / "q" / "qp.qvol"))[2]))) < 260
+
+
+def test_catalogue_from_xml_and_tables(spark, tmp_path):
+    """Stations from StationXML, events and picks from QuakeML, moved by a table of hypocentres; a table wins over a file of the same key."""
+    from types import SimpleNamespace
+
+    (tmp_path / "q.xml").write_text(QUAKE)
+    (tmp_path / "s.xml").write_text(STATIONS)
+    (tmp_path / "h.csv").write_text("id,time,lon,lat,depth_km\n1,2024-01-01T00:00:10Z,13.5,42.5,9\n")
+    a = dict(data=None, stations=None, events=None, picks=None, hypocentres=None, quakeml=[str(tmp_path / "q.xml")], stationxml=[str(tmp_path / "s.xml")], catalog_locations=False)
+    st, ev, pk = cli._catalogue(spark, SimpleNamespace(**a))
+    assert st.first()["elevation_m"] == 200 and ev.first()["depth_km"] == 7 and pk.first()["travel_time_s"] == pytest.approx(5.5)
+    _, ev, _ = cli._catalogue(spark, SimpleNamespace(**{**a, "hypocentres": str(tmp_path / "h.csv")}))
+    assert ev.first()["depth_km"] == 9
+    (tmp_path / "stations.csv").write_text("id,lon,lat,elevation_m\nsy.s1,1,2,3\n")
+    assert cli._catalogue(spark, SimpleNamespace(**{**a, "stations": str(tmp_path / "stations.csv")}))[0].select("lon", "elevation_m").collect() == [(1.0, 3.0)]
+    with pytest.raises(ValueError, match="no stations"):
+        cli._catalogue(spark, SimpleNamespace(**{**a, "stationxml": []}))
+    (tmp_path / "e.csv").write_text("id,time,lon,lat,depth_km\ne1,yesterday,1,1,1\n")
+    with pytest.raises(Exception, match="not a time: yesterday"):
+        tables.read_events(spark, str(tmp_path / "e.csv"), check=False).collect()
+
+
+def test_matrix_file_and_matched_streams(spark, tmp_path):
+    from quakespark.plans.linalg import Csr
+    from quakespark.streaming.state import arrivals_with_events
+
+    a = Csr.build([0, 0, 2], [1, 3, 0], [1.5, -2.0, 4.0], 3, 4)
+    volume.write_matrix(str(tmp_path / "g.qcsr"), a)
+    raw = (tmp_path / "g.qcsr").read_bytes()
+    assert raw[:4] == b"QCSR" and np.frombuffer(raw, "<i4", 3, 4).tolist() == [3, 4, 3] and np.frombuffer(raw, "<f4", 3, len(raw) - 12).tolist() == [1.5, -2.0, 4.0]
+    t = pd.date_range("2024-01-01", periods=4, freq="10min")
+    spark.createDataFrame(pd.DataFrame({"rid": [1, 2, 3, 4], "origin_time": t})).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame(pd.DataFrame({"event_rid": [1, 2, 9], "station": "S", "phase": "P", "time": t[:3] + pd.Timedelta("30s")})).write.parquet(str(tmp_path / "p"))
+    read = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
+    q = arrivals_with_events(read("p"), read("e")).writeStream.format("memory").queryName("matched").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r["event_rid"] for r in spark.table("matched").collect()} == {1, 2}
+
