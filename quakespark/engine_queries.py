@@ -192,6 +192,18 @@ def n15_layered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "phase string, layer int, bounded boolean, better boolean")
 
 
+@query("select phase, 1872 as nodes, true as fewer_cells, true as bounded, true as better from (select unnest(['P', 'S']) as phase)", views=False)
+def n14_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vp, Vs and hypocentres on cells that follow the rays, from a start that is 5 % too fast: whether cells are fewer than nodes, velocities
+    in their bounds, and the RMS lower after an iteration."""
+    a = tomography.select_observations(cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")), time="time_s"), GRID)
+    s = tomography.Settings(iterations=1, adaptive=True, straight=True, damping=5.0, smoothing=5.0, cell_hits=200.0, solver_turns=100)
+    r = tomography.invert(spark, a, GRID, {"P": np.full(GRID.nodes, 6.3), "S": np.full(GRID.nodes, 3.63)}, s)
+    fell = r.history[-1]["rms_s"] < r.history[0]["rms_s"]
+    rows = [(p, int(r.velocity[p].size), bool(r.mesh.n < GRID.nodes), bool(lo <= r.velocity[p].min() and r.velocity[p].max() <= hi), bool(fell)) for p, lo, hi in (("P", 1.5, 14.5), ("S", 0.7, 8.5))]
+    return spark.createDataFrame(rows, "phase string, nodes int, fewer_cells boolean, bounded boolean, better boolean")
+
+
 @query("with u as (select station, event from ar where disabled = 0 and quality < 4 and sigma_s > 0) select cast(station % 97 as int) as column, true as same, true as solved from u union select cast(97 + event % 53 as int), true, true from u")
 def n8_lsqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A distributed system (distances of all usable rays on terms of events' days and stations) solved by both solvers: whether they agree, and
