@@ -116,6 +116,16 @@ def synth(a, c):
     one(d.select(F.concat(F.lit("SY.S"), F.col("station")).alias("id"), F.col("st_lon").alias("lon"), F.col("st_lat").alias("lat"), "elevation_m").distinct(), "stations.csv")
     one(d.select(F.concat(F.lit("e"), F.col("event")).alias("id"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("event") % 60).cast("string"), 2, "0"), F.lit("Z")).alias("time"), F.col("ev_lon").alias("lon"), F.col("ev_lat").alias("lat"), "depth_km", "magnitude").distinct(), "events.csv")
     one(d.select(F.concat(F.lit("e"), F.col("event")).alias("event"), F.concat(F.lit("SY.S"), F.col("station")).alias("station"), "phase", F.col("time_s").alias("travel_time_s"), "sigma_s"), "picks.csv")
+    q = d.where("phase = 'P'").select(F.concat(F.lit("e"), F.col("event")).alias("event"), F.concat(F.lit("SY.S"), F.col("station")).alias("station"), "phase", (F.col("time_s") / a.q).alias("tstar_s"), F.lit(0.002).alias("sigma_s"))
+    one(q, "tstar.csv")
+    if a.waveforms:
+        from quakespark.plans.synthetic import waveforms
+        from quakespark.sources.miniseed import write_miniseed
+
+        # Origin times are whole seconds of one minute, as in events.csv.
+        w = waveforms(d.select("event", "station", "phase", "time_s")).withColumn("start", F.col("start") + F.lit(1704067200.0) + F.col("event") % 60)
+        w = w.select(F.lit("SY").alias("network"), F.concat(F.lit("S"), F.col("station")).alias("station"), F.lpad(F.col("event").cast("string"), 2, "0").alias("location"), "channel", "start", "rate", F.col("samples").cast("array<float>").alias("samples"))
+        write_miniseed(w, str(out / "waveforms")).count()
     (out / "grid.json").write_text(g.to_json())
     for p, v in truth.items():
         write_volume(str(out / f"true_v{p.lower()}.qvol"), g, v, Quantity=f"V{p.lower()}", Units="km/s")
@@ -261,6 +271,13 @@ def resolution(a, c):
 
     spark, g, r = _spark(a), _grid(a), c["resolution"]
     out = resolution_test(spark, _observations(spark, a, c).drop("time_s"), g, _model(g, "ak135"), checkerboard(g, r["cell_km"], r["cell_depth_km"], r["amplitude_percent"]), Settings(**c["tomography"]), noise={"P": r["noise_p"], "S": r["noise_s"]}, seed=r["seed"])
+    if a.out:
+        from quakespark.sources.volume import write_volume
+
+        Path(a.out).mkdir(parents=True, exist_ok=True)
+        start = _model(g, "ak135")["P"]
+        write_volume(str(Path(a.out) / "pattern.qvol"), g, 100 * checkerboard(g, r["cell_km"], r["cell_depth_km"], r["amplitude_percent"]), Quantity="dVp", Units="%")
+        write_volume(str(Path(a.out) / "recovered.qvol"), g, 100 * (np.asarray(out["recovered"]).ravel() / start - 1), Quantity="dVp", Units="%")
     print(json.dumps({k: out[k] for k in ("correlation", "nodes")}))
 
 
@@ -376,6 +393,7 @@ def qtomo(a, c):
     r = r.select(F.col("en").alias("event"), F.col("sn").alias("station"), F.col("tstar_s").alias("tstar"), "sigma_s", "st_lon", "st_lat", "elevation_m", "ev_lon", "ev_lat", "depth_km")
     q = invert_q(spark, r, g, 1 / _model(g, a.model if a.model not in (None, "auto") else "ak135")["P"], **c["attenuation"])
     write_volume(str(Path(a.out) / "qp.qvol"), g, q["q"], Quantity="Qp")
+    write_volume(str(Path(a.out) / "qp_inverse.qvol"), g, 1000 / np.asarray(q["q"]), Quantity="1000/Qp")
     q["stations"].to_csv(Path(a.out) / "station_terms.csv", index=False)
     print(json.dumps({"q0": q["q0"], "rms": q["rms"][-1]}))
 
@@ -412,8 +430,10 @@ def coulomb(a, c):
     spark = _spark(a)
     v = json.loads(Path(a.data).read_text())
     p = s.tapered_source(**v["source"])
-    r = v["receivers"]
-    s.coulomb(s.receiver_plane(spark, **r), p, friction=v.get("friction", 0.4)).toPandas().to_csv(a.out, index=False)
+    from quakespark.sources.tables import read_receivers
+
+    r = read_receivers(spark, a.receivers) if a.receivers else s.receiver_plane(spark, **v["receivers"])
+    s.coulomb(r, p, friction=v.get("friction", 0.4)).toPandas().to_csv(a.out, index=False)
 
 
 def kagan(a, c):
@@ -441,6 +461,24 @@ def register(a, c):
 
 
 def show_config(a, c):
+    """The settings in force; with `--update FILE` that file's settings with those of `--set`, written back to it."""
+    if a.update:
+        f = Path(a.update)
+        values = json.loads(f.read_text(encoding="utf-8")) if f.exists() else {}
+        for s in a.set:
+            name, _, text = s.partition("=")
+            *path, last = name.strip().split(".")
+            at = values
+            for k in path:
+                at = at.setdefault(k, {})
+            whole = config.set_value(config.DEFAULTS, name.strip(), text.strip())
+            for k in path:
+                whole = whole[k]
+            at[last] = whole[last]
+        part = f.with_suffix(".tmp")
+        part.write_text(json.dumps(values, indent=2), encoding="utf-8")
+        part.replace(f)
+        return
     print(json.dumps(c, indent=2))
 
 
@@ -498,6 +536,13 @@ def parser() -> argparse.ArgumentParser:
         if name == "synth":
             for o, d, k in (("stations", 25, int), ("events", 150, int), ("seed", 12345, int), ("location-error", 0.0, float)):
                 s.add_argument(f"--{o}", type=k, default=d)
+        if name == "synth":
+            s.add_argument("--q", type=float, default=200.0)
+            s.add_argument("--waveforms", action="store_true")
+        if name == "coulomb":
+            s.add_argument("--receivers")
+        if name == "config":
+            s.add_argument("--update")
         if name == "run":
             s.add_argument("--var", action="append", default=[])
             s.add_argument("--keep-going", action="store_true")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quakespark.common import Scratch
 from quakespark.operators.catalog import phase_of
 
 
@@ -90,25 +91,28 @@ def parse_quakeml(data: bytes) -> tuple[list[dict], list[dict]]:
     return events, picks
 
 
-def _scan(spark: SparkSession, path: str, kind: int, schema: str, names: list[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_quakeml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, picks) of all files at a path (a folder or pattern): one file is one unit of work, parsed once. Times as timestamps, phases as P or S."""
+    fields = [
+        "id string, lon double, lat double, depth_km double, magnitude double, time string".split(", "),
+        "event string, station string, label string, time string, sigma_s double, quality int, origin string".split(", "),
+    ]
+    schema = list(dict.fromkeys(fields[0] + fields[1]))
+    names = [f.split()[0] for f in schema]
 
     def run(batches):
         for b in batches:
             for f, c in zip(b["path"], b["content"]):
-                rows = parse_quakeml(c)[kind]
-                yield pd.DataFrame([{**r, "file": f, "ordinal": i} for i, r in enumerate(rows)], columns=[*names, "file", "ordinal"])
-
-    return files.mapInPandas(run, schema + ", file string, ordinal int")
+                for kind, rows in enumerate(parse_quakeml(c)):
+                    if rows:
+                        yield pd.DataFrame({"kind": kind, "file": f, "ordinal": range(len(rows)), **{c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names}})
 
-
-def read_quakeml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, picks) of all files at a path (a folder or pattern): one file is one unit of work. Times as timestamps, phases as P or S."""
-    e = _scan(spark, path, 0, "id string, time string, lon double, lat double, depth_km double, magnitude double", ["id", "time", "lon", "lat", "depth_km", "magnitude"])
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    both = Scratch(spark, "quakeml").keep(files.mapInPandas(run, "kind int, file string, ordinal int, " + ", ".join(schema)))
+    e = both.where("kind = 0").select("id", "time", "lon", "lat", "depth_km", "magnitude", "file", "ordinal")
     w = Window.partitionBy("id").orderBy("file", "ordinal")
     e = e.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", F.col("time").try_cast("timestamp").alias("origin_time"), "lon", "lat", "depth_km", "magnitude")
-    p = _scan(spark, path, 1, "event string, station string, label string, time string, sigma_s double, quality int, origin string", ["event", "station", "label", "time", "sigma_s", "quality", "origin"])
-    p = p.withColumn("phase", phase_of("label")).where(F.col("phase").isNotNull())
+    p = both.where("kind = 1").withColumn("phase", phase_of("label")).where(F.col("phase").isNotNull())
     sigma = F.coalesce("sigma_s", F.when(F.col("phase") == "P", 0.1).otherwise(0.2))
     return e, p.select("event", "station", "phase", F.col("time").try_cast("timestamp").alias("time"), sigma.alias("sigma_s"), "quality", "origin", F.lit(0).alias("disabled"), F.col("ordinal").alias("seq"))
 

@@ -172,6 +172,9 @@ def test_scripts(tmp_path, monkeypatch):
 def test_command_line(capsys, tmp_path):
     assert cli.main(["kagan", "160", "80", "-10", "160", "80", "-10"]) == 0 and capsys.readouterr().out.strip() == "0.00"
     assert cli.main(["nonsense"]) == 2 and cli.main(["config", "--set", "nonsense=1"]) == 2 and cli.main(["export", str(tmp_path / "no"), "--out", "x.csv"]) == 1
+    assert cli.main(["model1d", "--list"]) == 0 and "prem" in capsys.readouterr().out
+    assert cli.main(["config", "--update", str(tmp_path / "u.json"), "--set", "tomography.damping=3"]) == 0 and json.loads((tmp_path / "u.json").read_text()) == {"tomography": {"damping": 3}}
+    assert cli.main(["grid", "--bounds", "13,13.6,42.6,43.1,-2,24,4,2", "--out", str(tmp_path / "g.json")]) == 0 and Grid.from_json((tmp_path / "g.json").read_text()).min_lat == 42.6
     assert cli.main(["model1d", "--out", str(tmp_path / "m.txt")]) == 0 and (tmp_path / "m.txt").read_text().startswith("0 5.8 3.46")
 
 
@@ -240,6 +243,7 @@ def test_commands_end_to_end(spark, tmp_path):
     assert cli.main(["crosscorr", str(d), "--out", str(tmp_path / "cc.csv"), "--set", "crosscorr.max_separation_km=60", "--set", "waveforms.before_s=10"]) == 0
     cc = pd.read_csv(tmp_path / "cc.csv")
     assert len(cc) > 20 and (cc["cc"] >= 0.7).all()
+    assert cli.main(["resolution", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "res"), "--set", "tomography.iterations=1", "--set", "tomography.straight=true"]) == 0 and (tmp_path / "res" / "recovered.qvol").exists()
     assert cli.main(["minimum1d", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "m1"), "--set", "tomography.iterations=1", "--set", "tomography.straight=true"]) == 0
     assert cli.main(["export", str(tmp_path / "m1" / "vp.qvol"), "--out", str(tmp_path / "vp.vtk")]) == 0
     q = pd.DataFrame({"event": true["event"], "station": true["station"], "tstar_s": true["travel_time_s"] / 200, "phase": true["phase"]})
