@@ -6,8 +6,6 @@ inside the bracket (a few thousandths of a large group) are ordered.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,19 +101,18 @@ def reject_outliers(rows: DataFrame, *, residual: str, floor_s: float, mads: flo
     readings.
 
     The centre is the averaging median of all rows, or of each group in `centre_by`; the MAD is that of all distances. With
-    `absolute_s`, residuals beyond it are rejected as well. Unknown residuals (null, NaN) are rejected. With `scratch` the distances, which are
-    read several times, are stored once.
+    `absolute_s`, residuals beyond it are rejected as well. Unknown residuals (null, NaN) are rejected. The distances, which are read several times, are
+    stored once.
     """
     ok = F.col(residual).isNotNull() & ~F.isnan(residual)
     if centre_by:
-        c = rows.where(ok).groupBy(*[F.col(k).alias(f"_{k}") for k in centre_by]).agg(F.median(residual).alias("_c"))
-        r = rows.join(c, reduce(Column.__and__, [rows[k].eqNullSafe(c[f"_{k}"]) for k in centre_by]), "left").drop(*[f"_{k}" for k in centre_by])
+        r = rows.withColumn("_c", F.median(F.when(ok, F.col(residual))).over(Window.partitionBy(*centre_by)))
     else:
         c = median(rows.where(ok), [], residual).select(F.col("median").alias("_c"))
         r = rows.crossJoin(F.broadcast(c))  # one row
     r = r.withColumn("_d", F.when(ok, F.abs(F.col(residual) - F.col("_c"))))
-    far = r.select("_d")
-    m = median(scratch.keep(far) if scratch else far, [], "_d").select((scale * F.col("median")).alias("_m"))
+    far = (scratch or Scratch(rows.sparkSession, "outliers")).keep(r.select("_d"))
+    m = median(far, [], "_d").select((scale * F.col("median")).alias("_m"))
     r = r.crossJoin(F.broadcast(m))  # one row
     bad = ~ok | (F.col("_d") > F.greatest(F.lit(floor_s), mads * F.col("_m")))
     if absolute_s is not None:
@@ -132,8 +129,9 @@ def runs(rows: DataFrame, by: list[str], order: str, same: Column) -> DataFrame:
 def trimmed_slope(rows: DataFrame, x: str, y: str, *, factor: float = 3.0, passes: int = 5) -> tuple[float, int, int]:
     """(slope, rows kept, rows): least-squares line through the origin, rows trimmed at `factor` x 1.4826 x upper median of |residual|.
 
-    A bounded number of passes; each collects one row of sums.
+    A bounded number of passes over the two columns, which are stored once; each collects one row of sums.
     """
+    rows = Scratch(rows.sparkSession, "slope").keep(rows.select(x, y))
     kept, total, n = rows, rows.count(), None
     slope = float("nan")
     for _ in range(passes):
