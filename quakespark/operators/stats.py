@@ -105,13 +105,15 @@ def reject_outliers(rows: DataFrame, *, residual: str, floor_s: float, mads: flo
     stored once.
     """
     ok = F.col(residual).isNotNull() & ~F.isnan(residual)
+    scratch = scratch or Scratch(rows.sparkSession, "outliers")
+    distance = lambda d: d.withColumn("_d", F.when(ok, F.abs(F.col(residual) - F.col("_c"))))
     if centre_by:
-        r = rows.withColumn("_c", F.median(F.when(ok, F.col(residual))).over(Window.partitionBy(*centre_by)))
+        r = distance(rows.withColumn("_c", F.median(F.when(ok, F.col(residual))).over(Window.partitionBy(*centre_by))))
+        far = scratch.keep(r.select("_d"))
     else:
-        c = median(rows.where(ok), [], residual).select(F.col("median").alias("_c"))
-        r = rows.crossJoin(F.broadcast(c))  # one row
-    r = r.withColumn("_d", F.when(ok, F.abs(F.col(residual) - F.col("_c"))))
-    far = (scratch or Scratch(rows.sparkSession, "outliers")).keep(r.select("_d"))
+        x = scratch.keep(rows.where(ok).select(residual))
+        c = F.broadcast(scratch.keep(median(x, [], residual).select(F.col("median").alias("_c"))))  # one row
+        r, far = distance(rows.crossJoin(c)), distance(x.crossJoin(c)).select("_d")
     m = median(far, [], "_d").select((scale * F.col("median")).alias("_m"))
     r = r.crossJoin(F.broadcast(m))  # one row
     bad = ~ok | (F.col("_d") > F.greatest(F.lit(floor_s), mads * F.col("_m")))
