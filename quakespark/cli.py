@@ -235,7 +235,15 @@ def invert(a, c, **over):
     spark, g = _spark(a), _grid(a)
     model = "ak135" if a.model in (None, "auto") else a.model
     settings, obs = Settings(**{**c["tomography"], **over}), _observations(spark, a, c).persist()
-    _save(a.out, run(spark, obs, g, _model(g, model), settings), g, c, obs, settings)
+    pairs = None
+    if a.double_differences:
+        from pyspark.sql import functions as F
+
+        from quakespark.operators.nearby import pairs_within
+
+        e = obs.select("event", "ev_lon", "ev_lat", "depth_km").distinct()
+        pairs = pairs_within(e, settings.max_separation_km, id="event", lat="ev_lat", lon="ev_lon", depth_km="depth_km").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("distance_km").alias("km"))
+    _save(a.out, run(spark, obs, g, _model(g, model), settings, pairs=pairs), g, c, obs, settings)
 
 
 def minimum1d(a, c):
@@ -386,11 +394,11 @@ def qtomo(a, c):
 
     spark, g, d = _spark(a), _grid(a), Path(a.data)
     st, ev = t.read_stations(spark, str(d / "stations.csv")), t.read_events(spark, str(d / "events.csv"))
-    s = st.select(F.upper("id").alias("sid"), F.xxhash64(F.upper("id")).alias("sn"), F.col("lon").alias("st_lon"), F.col("lat").alias("st_lat"), "elevation_m")
-    e = ev.select(F.col("id").alias("eid"), F.xxhash64("id").alias("en"), F.col("lon").alias("ev_lon"), F.col("lat").alias("ev_lat"), "depth_km")
+    s = st.select(F.upper("id").alias("sid"), F.col("lon").alias("st_lon"), F.col("lat").alias("st_lat"), "elevation_m")
+    e = ev.select(F.col("id").alias("eid"), F.col("lon").alias("ev_lon"), F.col("lat").alias("ev_lat"), "depth_km")
     r = t.read_tstar(spark, str(d / "tstar.csv")).where("phase = 'P' and not disabled and tstar_s is not null")
     r = r.join(s, F.upper("station") == F.col("sid")).join(e, F.col("event") == F.col("eid"))
-    r = r.select(F.col("en").alias("event"), F.col("sn").alias("station"), F.col("tstar_s").alias("tstar"), "sigma_s", "st_lon", "st_lat", "elevation_m", "ev_lon", "ev_lat", "depth_km")
+    r = r.select(F.col("eid").alias("event"), F.col("sid").alias("station"), F.col("tstar_s").alias("tstar"), "sigma_s", "st_lon", "st_lat", "elevation_m", "ev_lon", "ev_lat", "depth_km")
     q = invert_q(spark, r, g, 1 / _model(g, a.model if a.model not in (None, "auto") else "ak135")["P"], **c["attenuation"])
     write_volume(str(Path(a.out) / "qp.qvol"), g, q["q"], Quantity="Qp")
     write_volume(str(Path(a.out) / "qp_inverse.qvol"), g, 1000 / np.asarray(q["q"]), Quantity="1000/Qp")
@@ -399,15 +407,12 @@ def qtomo(a, c):
 
 
 def mechanism(a, c):
-    from pyspark.sql import functions as F
-
     from quakespark.operators.source import first_readings
     from quakespark.plans.source import mechanisms
     from quakespark.sources import tables as t
 
     spark = _spark(a)
-    p = first_readings(t.read_polarities(spark, a.data), order="ordinal")
-    m = mechanisms(p.withColumn("event", F.xxhash64("event")), **c["mechanism"]).join(p.select(F.col("event").alias("id"), F.xxhash64("event").alias("event")).distinct(), "event").drop("event")
+    m = mechanisms(first_readings(t.read_polarities(spark, a.data), order="ordinal"), **c["mechanism"]).withColumnRenamed("event", "id")
     m.toPandas().sort_values("id").to_csv(a.out, index=False)
 
 
@@ -521,6 +526,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "grid":
             s.add_argument("data", nargs="?")
             s.add_argument("--bounds", help="min_lon,max_lon,min_lat,max_lat,min_depth,max_depth,horizontal_km,vertical_km")
+        if name in ("invert", "minimum1d"):
+            s.add_argument("--double-differences", action="store_true")
         if name == "relocate":
             s.add_argument("--method", choices=["absolute", "dd"], default="absolute")
             s.add_argument("--cc")

@@ -16,6 +16,7 @@ from quakespark.operators import regular, stats
 from quakespark.operators.fields import chord_crosses
 from quakespark.plans.forward import kernel_rows
 from quakespark.plans.linalg import solve_rows
+from quakespark.plans.locate import double_differences
 from quakespark.plans.mesh import Mesh, octree, to_nodes
 
 
@@ -43,6 +44,10 @@ class Settings:
     cell_nodes: int = 8
     cell_depth_nodes: int = 4
     cell_hits: float = 10.0
+    ratio: bool = False  # Vp/Vs instead of Vs
+    double_difference_weight: float = 1.0
+    max_separation_km: float = 10.0
+    cutoff_s: float = 1.0
 
 
 @dataclass
@@ -60,12 +65,14 @@ class Result:
     mesh: Mesh | None = None
 
 
-def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], settings: Settings | None = None) -> Result:
+def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], settings: Settings | None = None, *, pairs: DataFrame | None = None) -> Result:
     """Model from arrivals (event, station, phase, time_s, sigma_s, ev_lon, ev_lat, depth_km, st_lon, st_lat, elevation_m).
 
     Arrivals, kernels and equations stay distributed; the driver holds the model, one row an event and one a station, and the solution.
     Columns of the system: fractional slowness of P and S nodes (or layers, or with `adaptive` octree cells that follow the starting rays), four of
-    each hypocentre, one a station and phase.
+    each hypocentre, one a station and phase. With `ratio` the second set of nodes is the fractional Vp/Vs, on which, like on P, S times depend: it is
+    smoothed and damped in place of S. With `pairs` of events (a, b, km) there is also a row for each difference of two events' residuals at one
+    station, in which what their rays share cancels.
     """
     s = settings or Settings()
     scratch = Scratch(spark, "tomography")
@@ -107,7 +114,7 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
             break
         before = m["misfit"] / max(1, m["used"])
         old = ({p: v[p].copy() for p in phases}, ev.copy(), st.copy())
-        step = _step(spark, scratch, ok, m["used"], grid, v, start, ev, st, phases, s, unknown, mesh)
+        step = _step(spark, scratch, ok, m["used"], grid, v, start, ev, st, phases, s, unknown, mesh, pairs)
         v, ev, st = _moved(old, step, 1.0, grid, phases, s, unknown, mesh)
         it += 1
     shape = lambda x: x.reshape(grid.nz, grid.ny, grid.nx)
@@ -128,7 +135,7 @@ def _coverage(k: DataFrame, grid: Grid) -> tuple[dict[str, np.ndarray], dict[str
     return out
 
 
-def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown, mesh=None) -> np.ndarray:
+def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown, mesh=None, pairs=None) -> np.ndarray:
     """Solution of one linear step: kernels, hypocentres, station terms, damping and smoothing, in one table of rows."""
     m = unknown * len(phases)
     base_ev = m
@@ -139,6 +146,7 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
     short = {p: slow[p][:: plane if s.layered else 1] for p in phases}
     w = lambda sigma: 1 / np.maximum(0.01, sigma)
     cell = mesh.of_node if mesh is not None else None
+    ratio = s.ratio and len(phases) == 2
 
     def rows(batches):
         for b in batches:
@@ -146,6 +154,8 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
             for r in b.itertuples():
                 nodes, km = np.asarray(r.nodes, np.int64), np.asarray(r.km, float)
                 c, x = (nodes if cell is None else cell[nodes]) + phases.index(r.phase) * unknown, km * short[r.phase][nodes]
+                if ratio and r.phase == "S":
+                    c, x = np.concatenate([c - unknown, c]), np.concatenate([x, x])
                 if s.joint_hypocentres:
                     c, x = np.concatenate([c, base_ev + 4 * r.column + np.arange(4)]), np.concatenate([x, [1.0, r.ge, r.gn, r.gd]])
                 if s.station_terms:
@@ -156,12 +166,17 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
 
     data = ok.select("phase", "nodes", "km", "ge", "gn", "gd", "column", "st_column", "sigma_s", "residual").mapInPandas(rows, "columns array<int>, values array<double>, rhs double")
     schema = data.schema
+    if pairs is not None and s.joint_hypocentres:
+        data = data.unionByName(_difference_rows(ok, pairs, {p: (unknown * phases.index(p), short[p]) for p in phases}, cell, ratio, unknown, base_ev, s))
     extra = []
     # A small model is solved after each event's hypocentre is eliminated where its readings are, so no system of all events is made.
-    small = s.layered and s.joint_hypocentres and m + (len(st) if s.station_terms else 0) <= SMALL
+    small = s.layered and s.joint_hypocentres and pairs is None and m + (len(st) if s.station_terms else 0) <= SMALL
     scale = plane**0.5 if s.layered else 1.0
     for q, p in enumerate(phases):
         m_now = (slow[p] - start[p]) / slow[p]
+        if ratio and p == "S":
+            now, then = slow["S"] / slow["P"], start["S"] / start["P"]
+            m_now = (now - then) / now
         if s.layered:
             m_now = m_now.reshape(grid.nz, plane).mean(1)
             wz = scale * s.smoothing * s.vertical_smoothing
@@ -194,6 +209,33 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
     return solve_rows(scratch.keep(data), n, tolerance=1e-6, max_turns=s.solver_turns)[0]
 
 
+def _difference_rows(ok: DataFrame, pairs: DataFrame, columns: dict, cell, ratio: bool, unknown: int, base_ev: int, s: Settings) -> DataFrame:
+    """A row for each difference of two events' residuals at a station and phase: the one's kernel and hypocentre less the other's."""
+    d = double_differences(pairs, ok, residual="residual", max_separation_km=s.max_separation_km, cutoff_s=s.cutoff_s)
+    k = ok.select("event", "station", "phase", "nodes", "km", "ge", "gn", "gd", "column")
+    side = lambda x: k.withColumnsRenamed({"event": x, **{c: f"{c}_{x}" for c in ("nodes", "km", "ge", "gn", "gd", "column")}})
+    j = d.join(side("a"), ["a", "station", "phase"]).join(side("b"), ["b", "station", "phase"])
+
+    def rows(batches):
+        for b in batches:
+            cols, vals = [], []
+            for r in b.to_dict("records"):
+                first, slow = columns[r["phase"]]
+                c, x = [], []
+                for e, sign in (("a", 1.0), ("b", -1.0)):
+                    nodes = np.asarray(r[f"nodes_{e}"], np.int64)
+                    at, v = (nodes if cell is None else cell[nodes]) + first, sign * np.asarray(r[f"km_{e}"], float) * slow[nodes]
+                    c += [at - unknown, at] if ratio and r["phase"] == "S" else [at]
+                    x += [v, v] if ratio and r["phase"] == "S" else [v]
+                    c.append(base_ev + 4 * r[f"column_{e}"] + np.arange(4))
+                    x.append(sign * np.array([1.0, r[f"ge_{e}"], r[f"gn_{e}"], r[f"gd_{e}"]]))
+                w = s.double_difference_weight * r["weight"]
+                cols.append(np.concatenate(c).astype(np.int32)), vals.append(w * np.concatenate(x))
+            yield pd.DataFrame({"columns": cols, "values": vals, "rhs": s.double_difference_weight * b["weight"] * b["dd"]})
+
+    return j.mapInPandas(rows, "columns array<int>, values array<double>, rhs double")
+
+
 #: Unknowns of a model whose normal equations are made in tasks.
 SMALL = 400
 
@@ -238,6 +280,8 @@ def _eliminated(ok: DataFrame, used: int, n: int, base_ev: int, base_st: int, ph
             for q, ph in enumerate(phases):
                 k = (e["phase"] == ph).to_numpy()[row]
                 a[row[k], node[k] + q * unknown] = km[k] * short[ph][node[k]]
+                if s.ratio and len(phases) == 2 and ph == "S":
+                    a[row[k], node[k]] = km[k] * short[ph][node[k]]
             if s.station_terms:
                 a[np.arange(len(e)), base_ev + e["st_column"].to_numpy()] = 1.0
             a *= w[:, None]
@@ -286,6 +330,8 @@ def _moved(old, x: np.ndarray, share: float, grid: Grid, phases, s: Settings, un
     v, ev, st = {p: old[0][p].copy() for p in phases}, old[1].copy(), old[2].copy()
     for q, p in enumerate(phases):
         d = x[q * unknown : (q + 1) * unknown] * share
+        if s.ratio and p == "S" and len(phases) == 2:
+            d = d + x[:unknown] * share
         d = np.repeat(d, grid.nx * grid.ny) if s.layered else d if mesh is None else to_nodes(mesh, d)
         v[p] = np.clip(v[p] / (1 + np.clip(d, -s.max_step, s.max_step)), *(s.vp if p == "P" else s.vs))
     at = unknown * len(phases)

@@ -405,6 +405,25 @@ def test_station_picks_with_one_horizontal_or_none(spark):
         assert got[s, "P"] == pytest.approx(10.0, abs=0.06) and got[s, "S"] == pytest.approx(15.0, abs=0.06), s
 
 
+def test_ratio_and_double_differences_in_the_inversion(spark):
+    d, truth, start = synthetic.dataset(spark, GRID, stations=12, events=20, cell_km=16.0, percent=4.0, noise=(0.01, 0.02), straight=True, seed=7)
+    d = d.persist()
+    how = dict(iterations=2, straight=True, damping=5.0, smoothing=5.0)
+    e = d.select("event", "ev_lon", "ev_lat", "depth_km").distinct()
+    from quakespark.operators.nearby import pairs_within
+
+    pairs = pairs_within(e, 30.0, id="event", lat="ev_lat", lon="ev_lon", depth_km="depth_km").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("distance_km").alias("km"))
+    plain = tomography.invert(spark, d, GRID, start, tomography.Settings(**how))
+    ratio = tomography.invert(spark, d, GRID, start, tomography.Settings(**how, ratio=True))
+    both = tomography.invert(spark, d, GRID, start, tomography.Settings(**how, ratio=True, max_separation_km=30.0, cutoff_s=3.0), pairs=pairs)
+    for r in (plain, ratio, both):
+        assert r.history[-1]["rms_s"] < 0.7 * r.history[0]["rms_s"]
+    spread = lambda r: np.std(r.velocity["P"] / r.velocity["S"])  # noqa: E731 - the true ratio is nearly even
+    assert spread(ratio) < spread(plain)
+    assert not np.allclose(both.velocity["P"], ratio.velocity["P"])
+    d.unpersist()
+
+
 @pytest.mark.parametrize("narrow", [False, True])
 def test_order_statistics_of_large_groups(spark, narrow):
     from quakespark.operators import stats
