@@ -275,17 +275,26 @@ def lcurve(a, c):
 
 
 def resolution(a, c):
-    from quakespark.plans.tomography import Settings, checkerboard, resolution_test
+    from quakespark.plans.tomography import Settings, bodies, checkerboard, resolution_test, spikes
 
     spark, g, r = _spark(a), _grid(a), c["resolution"]
-    out = resolution_test(spark, _observations(spark, a, c).drop("time_s"), g, _model(g, "ak135"), checkerboard(g, r["cell_km"], r["cell_depth_km"], r["amplitude_percent"]), Settings(**c["tomography"]), noise={"P": r["noise_p"], "S": r["noise_s"]}, seed=r["seed"])
+    # Spikes are lists (lon, lat, depth_km, radius_km, percent), bodies as in `bodies`.
+    made = {
+        "checkerboard": lambda: checkerboard(g, r["cell_km"], r["cell_depth_km"], r["amplitude_percent"]), "spikes": lambda: sum(spikes(g, [tuple(x[:3])], x[3], x[4]) for x in r["spikes"]), "bodies": lambda: bodies(g, r["bodies"]),
+    }
+    if r["pattern"] not in made:
+        raise config.ConfigError(f"resolution.pattern is one of {', '.join(made)}")
+    pattern = np.asarray(made[r["pattern"]](), float)
+    out = resolution_test(spark, _observations(spark, a, c).drop("time_s"), g, _model(g, "ak135"), pattern, Settings(**c["tomography"]), phase=r["phase"], ratio=r["ratio"], noise={"P": r["noise_p"], "S": r["noise_s"]}, seed=r["seed"])
     if a.out:
         from quakespark.sources.volume import write_volume
 
         Path(a.out).mkdir(parents=True, exist_ok=True)
-        start = _model(g, "ak135")["P"]
-        write_volume(str(Path(a.out) / "pattern.qvol"), g, 100 * checkerboard(g, r["cell_km"], r["cell_depth_km"], r["amplitude_percent"]), Quantity="dVp", Units="%")
-        write_volume(str(Path(a.out) / "recovered.qvol"), g, 100 * (np.asarray(out["recovered"]).ravel() / start - 1), Quantity="dVp", Units="%")
+        phase = "S" if r["ratio"] else r["phase"]
+        got = np.asarray(out["recovered"]).ravel() / _model(g, "ak135")[phase]
+        name = "dVpVs" if r["ratio"] else f"dV{phase.lower()}"
+        write_volume(str(Path(a.out) / "pattern.qvol"), g, 100 * pattern, Quantity=name, Units="%")
+        write_volume(str(Path(a.out) / "recovered.qvol"), g, 100 * ((1 / got if r["ratio"] else got) - 1), Quantity=name, Units="%")
     print(json.dumps({k: out[k] for k in ("correlation", "nodes")}))
 
 

@@ -45,6 +45,8 @@ class Settings:
     cell_depth_nodes: int = 4
     cell_hits: float = 10.0
     ratio: bool = False  # Vp/Vs instead of Vs
+    regularisation: str = "laplacian"  # or 'gradient', 'variation' (total variation), 'edges'
+    edge_scale: float = 1.0
     double_difference_weight: float = 1.0
     max_separation_km: float = 10.0
     cutoff_s: float = 1.0
@@ -186,9 +188,15 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
             extra += [([q * unknown + i], [scale * s.damping], 0.0) for i in range(unknown)]
         else:
             # Smoothing acts on the whole deviation, damping on the step.
-            lap = regular.laplacian_rows(spark, grid, s.smoothing, s.vertical_smoothing)
+            make = regular.laplacian_rows if s.regularisation == "laplacian" else regular.gradient_rows
+            lap = make(spark, grid, s.smoothing, s.vertical_smoothing)
             place = np.arange(grid.nodes) if cell is None else cell
             model = spark.createDataFrame(pd.DataFrame({"node": np.arange(grid.nodes, dtype=np.int32), "cell": place.astype(np.int32), "x": m_now}))
+            if s.regularisation in ("variation", "edges"):
+                # Rows with large differences in the present model weigh less, so that edges stay.
+                y = lap.join(model, "node").groupBy("row").agg(F.sum(F.col("value") * F.col("x")).alias("y")).toPandas()  # three rows a node at most
+                y["w"] = regular.reweight(y["y"].to_numpy(), s.edge_scale, s.regularisation == "edges")
+                lap = lap.join(spark.createDataFrame(y[["row", "w"]]), "row").select("row", "node", (F.col("value") * F.col("w")).alias("value"))
             # On cells the rows of nodes are added up by cell, and those inside one cell vanish.
             lap = lap.join(model, "node").groupBy("row", "cell").agg(F.sum("value").alias("value"), F.sum(-F.col("value") * F.col("x")).alias("y"))
             lap = lap.groupBy("row").agg(F.collect_list((F.col("cell") + q * unknown).cast("int")).alias("columns"), F.collect_list("value").alias("values"), F.sum("y").alias("rhs"))
@@ -383,6 +391,20 @@ def checkerboard(grid: Grid, cell_km: float, cell_depth_km: float, percent: floa
     return percent / 100 * np.sin(np.pi * ex / cell_km) * np.sin(np.pi * ny / cell_km) * np.sin(np.pi * (zz - grid.min_depth + 0.5 * cell_depth_km) / cell_depth_km)
 
 
+def bodies(grid: Grid, plates: list[dict]) -> np.ndarray:
+    """Tabular bodies: dicts with lon, lat, depth_km, strike, dip, length_km, width_km, thickness_km and percent."""
+    x, y, z = grid.axes()
+    zz, yy, xx = np.meshgrid(z, y, x, indexing="ij")
+    total = np.zeros(zz.shape)
+    for b in plates:
+        s, d, km = np.radians(b["strike"]), np.radians(b["dip"]), np.radians(1) * EARTH_KM
+        east, north, down = (xx - b["lon"]) * km * np.cos(np.radians(b["lat"])), (yy - b["lat"]) * km, zz - b["depth_km"]
+        across = east * np.cos(s) - north * np.sin(s)
+        sides = ((east * np.sin(s) + north * np.cos(s), b["length_km"]), (across * np.cos(d) + down * np.sin(d), b["width_km"]), (down * np.cos(d) - across * np.sin(d), b["thickness_km"]))
+        total += b["percent"] / 100 * np.exp(-np.log(2) * sum((np.abs(u) / (0.5 * size)) ** 6 for u, size in sides))
+    return total
+
+
 def spikes(grid: Grid, centres: list[tuple[float, float, float]], radius_km: float, percent: float) -> np.ndarray:
     """Gaussian bodies around points."""
     from quakespark.plans.forward import cartesian
@@ -393,8 +415,13 @@ def spikes(grid: Grid, centres: list[tuple[float, float, float]], radius_km: flo
     return percent / 100 * sum(np.exp(-((p - cartesian(*c)) ** 2).sum(-1) / (2 * radius_km**2)) for c in centres)
 
 
-def resolution_test(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], pattern: np.ndarray, settings: Settings, *, phase: str = "P", noise: dict[str, float] | None = None, seed: int = 1) -> dict:
-    """Recovery of a pattern: times of the perturbed model with noise are inverted from the unperturbed one; correlation over sampled nodes."""
+def resolution_test(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], pattern: np.ndarray, settings: Settings, *, phase: str = "P", ratio: bool = False, noise: dict[str, float] | None = None, seed: int = 1) -> dict:
+    """Recovery of a pattern: times of the perturbed model with noise are inverted from the unperturbed one; correlation over sampled nodes.
+
+    The pattern perturbs the velocity of `phase`, or with `ratio` Vp/Vs (Vs falls where it rises), which is then what is compared.
+    """
+    if ratio:
+        phase, pattern = "S", 1 / (1 + pattern) - 1
     truth = {p: np.asarray(v, float).ravel() * (1 + pattern.ravel() if p == phase else 1.0) for p, v in velocity.items()}
     a = arrivals.withColumn("arrival", F.monotonically_increasing_id())
     k = Scratch(spark, "pattern").keep(kernel_rows(a, grid, {p: 1 / v for p, v in truth.items()}, straight=settings.straight))

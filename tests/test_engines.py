@@ -418,6 +418,9 @@ def test_ratio_and_double_differences_in_the_inversion(spark):
     both = tomography.invert(spark, d, GRID, start, tomography.Settings(**how, ratio=True, max_separation_km=30.0, cutoff_s=3.0), pairs=pairs)
     for r in (plain, ratio, both):
         assert r.history[-1]["rms_s"] < 0.7 * r.history[0]["rms_s"]
+    for kind in ("gradient", "variation", "edges"):
+        r = tomography.invert(spark, d, GRID, start, tomography.Settings(**how, regularisation=kind))
+        assert r.history[-1]["rms_s"] < 0.75 * r.history[0]["rms_s"], kind
     spread = lambda r: np.std(r.velocity["P"] / r.velocity["S"])  # noqa: E731 - the true ratio is nearly even
     assert spread(ratio) < spread(plain)
     assert not np.allclose(both.velocity["P"], ratio.velocity["P"])

@@ -243,6 +243,8 @@ def test_commands_end_to_end(spark, tmp_path):
     assert cli.main(["crosscorr", str(d), "--out", str(tmp_path / "cc.csv"), "--set", "crosscorr.max_separation_km=60", "--set", "waveforms.before_s=10"]) == 0
     cc = pd.read_csv(tmp_path / "cc.csv")
     assert len(cc) > 20 and (cc["cc"] >= 0.7).all()
+    body = '[{"lon":13.3,"lat":42.85,"depth_km":8,"strike":30,"dip":60,"length_km":40,"width_km":16,"thickness_km":8,"percent":5}]'
+    assert cli.main(["resolution", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "res2"), "--set", "tomography.iterations=1", "--set", "tomography.straight=true", "--set", "resolution.pattern=bodies", "--set", f"resolution.bodies={body}", "--set", "resolution.ratio=true"]) == 0
     assert cli.main(["resolution", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "res"), "--set", "tomography.iterations=1", "--set", "tomography.straight=true"]) == 0 and (tmp_path / "res" / "recovered.qvol").exists()
     assert cli.main(["minimum1d", str(d), "--grid", str(d / "grid.json"), "--out", str(tmp_path / "m1"), "--set", "tomography.iterations=1", "--set", "tomography.straight=true"]) == 0
     assert cli.main(["export", str(tmp_path / "m1" / "vp.qvol"), "--out", str(tmp_path / "vp.vtk")]) == 0
