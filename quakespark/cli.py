@@ -222,6 +222,10 @@ def _save(out: str, r, g, c, obs=None, settings=None):
         s.toPandas().sort_values("station").to_csv(o / "stations.csv", index=False)
     else:
         r.events.to_csv(o / "hypocentres.csv", index=False)
+    if r.formal is not None:
+        res, sigma = r.formal
+        rows = [(p, float(z), res[q * g.nz + k], sigma[q * g.nz + k]) for q, p in enumerate(r.velocity) for k, z in enumerate(g.axes()[2])]
+        pd.DataFrame(rows, columns=["phase", "depth_km", "resolution", "sigma"]).to_csv(o / "resolution.csv", index=False)
     pd.DataFrame(r.history).to_csv(o / "iterations.csv", index=False)
     (o / "iterations.json").write_text(json.dumps(r.history, indent=1))
     (o / "summary.json").write_text(json.dumps({"run": o.name, "settings": asdict(settings) if settings else {}, "iterations": r.history, "volumes": written}, indent=1))

@@ -65,6 +65,8 @@ class Result:
     #: (event, station, phase, time_s, sigma_s, initial_residual_s, residual, rejected) of every arrival.
     residuals: DataFrame | None = None
     mesh: Mesh | None = None
+    #: (resolution, standard error) of each unknown of the model, hypocentres eliminated: of layered models.
+    formal: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], settings: Settings | None = None, *, pairs: DataFrame | None = None) -> Result:
@@ -89,7 +91,7 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
     st = a.select("station", "phase").distinct().toPandas().sort_values(["station", "phase"]).reset_index(drop=True)
     st["term"], st["column"] = 0.0, np.arange(len(st))
     fixed = a.drop("ev_lon", "ev_lat", "depth_km")
-    history, old, before, first = [], None, None, None
+    history, old, before, first, formal = [], None, None, None, {}
     step, tries = None, 0
     it = 0
     while True:
@@ -116,14 +118,14 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
             break
         before = m["misfit"] / max(1, m["used"])
         old = ({p: v[p].copy() for p in phases}, ev.copy(), st.copy())
-        step = _step(spark, scratch, ok, m["used"], grid, v, start, ev, st, phases, s, unknown, mesh, pairs)
+        step = _step(spark, scratch, ok, m["used"], grid, v, start, ev, st, phases, s, unknown, mesh, pairs, formal)
         v, ev, st = _moved(old, step, 1.0, grid, phases, s, unknown, mesh)
         it += 1
     shape = lambda x: x.reshape(grid.nz, grid.ny, grid.nx)
     dws, hits = ({}, {}) if s.layered else _coverage(k, grid)
     left = r.join(first, "arrival").select("event", "station", "phase", "time_s", "sigma_s", "initial_residual_s", "residual", "rejected")
     return Result(
-        {p: shape(v[p]) for p in phases}, ev.drop(columns="column"), st.drop(columns="column"), history, {p: shape(1 / start[p]) for p in phases}, {p: shape(x) for p, x in dws.items()}, {p: shape(x) for p, x in hits.items()}, left, mesh
+        {p: shape(v[p]) for p in phases}, ev.drop(columns="column"), st.drop(columns="column"), history, {p: shape(1 / start[p]) for p in phases}, {p: shape(x) for p, x in dws.items()}, {p: shape(x) for p, x in hits.items()}, left, mesh, formal.get("model")
     )
 
 
@@ -137,7 +139,7 @@ def _coverage(k: DataFrame, grid: Grid) -> tuple[dict[str, np.ndarray], dict[str
     return out
 
 
-def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown, mesh=None, pairs=None) -> np.ndarray:
+def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown, mesh=None, pairs=None, formal=None) -> np.ndarray:
     """Solution of one linear step: kernels, hypocentres, station terms, damping and smoothing, in one table of rows."""
     m = unknown * len(phases)
     base_ev = m
@@ -211,7 +213,7 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
             i = np.flatnonzero(st["phase"].to_numpy() == p)
             extra.append(((base_st + i).tolist(), [10.0] * len(i), float(-10.0 * st["term"].to_numpy()[i].sum())))
     if small:
-        return _eliminated(ok, used, n, base_ev, base_st, phases, short, len(ev), extra, s, scratch)
+        return _eliminated(ok, used, n, base_ev, base_st, phases, short, len(ev), extra, s, scratch, formal)
     if extra:
         data = data.unionByName(spark.createDataFrame(extra, schema))
     return solve_rows(scratch.keep(data), n, tolerance=1e-6, max_turns=s.solver_turns)[0]
@@ -265,7 +267,7 @@ def _add(parts: DataFrame, columns: list[str]) -> list[np.ndarray]:
     return [sum(np.array(r[c]) for r in rows) for c in columns]
 
 
-def _eliminated(ok: DataFrame, used: int, n: int, base_ev: int, base_st: int, phases, short, events: int, extra, s: Settings, scratch: Scratch, *, slot_rows: int = 20_000) -> np.ndarray:
+def _eliminated(ok: DataFrame, used: int, n: int, base_ev: int, base_st: int, phases, short, events: int, extra, s: Settings, scratch: Scratch, formal: dict | None = None, *, slot_rows: int = 20_000) -> np.ndarray:
     """The same solution as that of all rows: tasks eliminate each event's four unknowns and add up the normal equations of the model; the
     driver solves those, and tasks solve the hypocentres for it. One pass over the rows, in slots of events of about `slot_rows` rows."""
     width = base_ev + n - base_st
@@ -309,12 +311,17 @@ def _eliminated(ok: DataFrame, used: int, n: int, base_ev: int, base_st: int, ph
     done = scratch.keep(rows.repartition(slots, "slot").groupBy("slot").applyInPandas(eliminate, "column long, z array<double>, y array<double>, big array<double>, right array<double>"))
     big, right = _add(done.where("column < 0"), ["big", "right"])
     big = big.reshape(width, width)
+    data = big.copy()
     place = lambda c: np.array([k if k < base_ev else base_ev + k - base_st for k in c])
     for c, v, y in extra:
         c, v = place(c), np.array(v)
         big[np.ix_(c, c)] += np.outer(v, v)
         right[c] += v * y
     x = np.linalg.solve(big, right)
+    if formal is not None:
+        # By the factor of the whole normal matrix: R = (A'A + D)^-1 A'A, and the covariance of unit-weight data R (A'A + D)^-1.
+        r = np.linalg.solve(big, data)
+        formal["model"] = np.diag(r).copy(), np.sqrt(np.maximum(0.0, np.diag(np.linalg.solve(big, r.T))))
 
     def back(batches):
         for b in batches:

@@ -350,6 +350,8 @@ def test_eliminated_hypocentres_give_the_same_model(spark, monkeypatch):
     b = tomography.invert(spark, d, GRID, fast, s)
     for p in "PS":
         assert np.allclose(a.velocity[p], b.velocity[p], rtol=2e-3)
+    r, sigma = next(x.formal for x in (a, b) if x.formal is not None)
+    assert ((r > -1e-9) & (r < 1)).all() and r.max() > 0.5 and (sigma > 0).all()
     assert np.allclose(a.events["t0"], b.events["t0"], atol=5e-3) and np.allclose(a.stations["term"], b.stations["term"], atol=5e-3)
     d.unpersist()
 
