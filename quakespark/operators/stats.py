@@ -51,8 +51,11 @@ def order_statistics(df: DataFrame, by: list[str], value: str, p: float, picks:
         b = cut.select(*by, "n", F.when(~whole, at(first)).alias("_lo"), F.when(~whole, at(last)).alias("_hi"))
         r = with_(rows, b)
         below = count_below(r)
-    inside = inside_(r).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    inside = inside.withColumn("_k", F.sum("_c").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("_v")))
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_v")
+    if narrow:
+        inside = inside_(r).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_k", F.sum("_c").over(order))
+    else:
+        inside = inside_(r).select(*by, "_v", F.lit(1).alias("_c")).withColumn("_k", F.row_number().over(order))
     j = with_(inside, below)
     upto = F.col("_k") + F.col("_below")
     return j.groupBy(*by).agg(*[F.max(F.when((rank < upto) & (rank >= upto - F.col("_c")), F.col("_v"))).alias(name) for name, rank in picks.items()], F.max("n").alias("n"))
@@ -71,8 +74,10 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def scaled_mad(df: DataFrame, by: list[str], value: str, scale: float = 1.4826) -> DataFrame:
     """(by..., median, mad): averaging median, and the averaging median of distances from it, scaled."""
-    m = median(df, by, value)
-    j = df.select(*by, value).join(m.drop("n"), by) if by else df.select(value).crossJoin(F.broadcast(m.drop("n")))  # one row
+    scratch = Scratch(df.sparkSession, "mad")  # what is read several times is stored once
+    df = scratch.keep(df.select(*by, value))
+    m = scratch.keep(median(df, by, value).drop("n"))
+    j = df.join(m, by) if by else df.crossJoin(F.broadcast(m))  # one row
     d = order_statistics(j.withColumn("_d", F.abs(F.col(value) - F.col("median"))), [*by, "median"], "_d", 0.5, {"_a": F.floor((F.col("n") - 1) / 2), "_b": F.floor(F.col("n") / 2)})
     return d.select(*by, "median", (scale * (F.col("_a") + F.col("_b")) / 2).alias("mad"))
 
