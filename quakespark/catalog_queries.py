@@ -11,7 +11,7 @@ from quakespark.functions import geo
 from quakespark.functions.grid import Grid
 from quakespark.operators import catalog as cat
 from quakespark.operators import stats
-from quakespark.operators.nearby import pairs_within
+from quakespark.operators.nearby import common_readings, nearest_within, pairs_within
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -252,10 +252,16 @@ pr as (
 """
 #: Kilometres between events of a pair.
 PAIR_KM = 2.0
+_AT = {"id": "event", "lat": "ev_lat", "lon": "ev_lon", "depth_km": "depth_km"}
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_within(fx.events(spark, sf_dir), PAIR_KM, id="event", lat="ev_lat", lon="ev_lon", depth_km="depth_km")
+    return pairs_within(fx.events(spark, sf_dir), PAIR_KM, **_AT)
+
+
+def _common(spark: SparkSession, sf_dir: str, readings: DataFrame, values: list[str]) -> DataFrame:
+    """(a, b, station, phase, values of both, km) of the pairs' common readings."""
+    return common_readings(readings, fx.events(spark, sf_dir), PAIR_KM, values, **_AT)
 
 
 @query("with " + _PAIRS + "select a, b, round(km, 6) as km from pr where km <= 2.0")
