@@ -539,9 +539,7 @@ select event, other, links from c where strong_before < 3
 )
 def w5_strong_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in order of distance until three strong ones (two common readings) are met; weaker ones on the way stay."""
-    p = _pairs(spark, sf_dir).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance_km")
-    t = cat.best_picks(fx.picks(spark, sf_dir)).select("event", "station", "phase")
-    links = p.join(t.withColumnRenamed("event", "a"), "a").join(t.withColumnRenamed("event", "b"), ["b", "station", "phase"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("links"), F.max("distance_km").alias("km"))
+    links = _common(spark, sf_dir, cat.best_picks(fx.picks(spark, sf_dir)), []).groupBy("a", "b").agg(F.count(F.lit(1)).alias("links"), F.max("km").alias("km"))
     s = links.select(F.col("a").alias("event"), F.col("b").alias("other"), "links", "km").unionAll(links.select("b", "a", "links", "km"))
     w = Window.partitionBy("event").orderBy(F.round("km", 9), "other").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.when(F.col("links") >= 2, 1).otherwise(0)).over(w), F.lit(0))
