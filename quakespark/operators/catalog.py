@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakespark.common import Scratch, micros, shuffle_partitions
+
 #: Labels read as first arrivals; case matters.
 P_LABELS = ["P", "Pg", "Pn", "Pb", "P*", "Pp", "PG", "PN", "p"]
 S_LABELS = ["S", "Sg", "Sn", "Sb", "S*", "SG", "SN", "s"]
@@ -102,12 +107,86 @@ def p_and_s(picks: DataFrame, time: str = "travel_time_s", tie: str = "seq") ->
     return g.where("p_time is not null and s_time is not null")
 
 
-def epoch_of(rows: DataFrame, epochs: DataFrame, *, on: str, time: str, start: str = "start", end: str = "end", order: str = "ordinal", key: str = "key") -> DataFrame:
-    """Each row with the first epoch (by `order`) that holds its time, else the last epoch; rows without epochs have nulls.
-
-    An equi-join on the channel; epochs of one channel are few.
+def _covering(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(breaks, epoch, last) of one channel's epochs (start, end, order, number; null or NaN start: never inside, end: open): the first epoch by
+    order at each break and in the gap before it, and after all (-1: none), and the last epoch by order."""
+    g = g.sort_values(["order", "number"], kind="stable")
+    number, start, end = g["number"].to_numpy(), g["start"].to_numpy(float), g["end"].to_numpy(float)
+    breaks = np.unique(np.concatenate([start[~np.isnan(start)], end[~np.isnan(end)]]))
+    first = np.where(np.isnan(start), 2 * len(breaks) + 1, 2 * np.searchsorted(breaks, start) + 1)
+    upto = np.where(np.isnan(end), 2 * len(breaks), 2 * np.searchsorted(breaks, end) + 1)
+    epoch, open_, k = np.full(2 * len(breaks) + 1, -1, np.int64), [], 0
+    by = np.argsort(first, kind="stable")
+    for at in range(len(epoch)):
+        while k < len(by) and first[by[k]] <= at:
+            heapq.heappush(open_, int(by[k]))
+            k += 1
+        while open_ and upto[open_[0]] < at:
+            heapq.heappop(open_)
+        if open_:
+            epoch[at] = number[open_[0]]
+    return breaks, epoch, int(number[-1])
+
+
+def _looked_up(t: np.ndarray, breaks: np.ndarray, epoch: np.ndarray, last: int) -> np.ndarray:
+    at = np.searchsorted(breaks, t)
+    same = at < len(breaks)
+    same[same] = breaks[at[same]] == t[same]
+    found = epoch[2 * at + same]
+    return np.where(np.isnan(t) | (found < 0), last, found)
+
+
+def epoch_of(rows: DataFrame, epochs: DataFrame, *, on: str, time: str, start: str = "start", end: str = "end", order: str = "ordinal", key: str = "key", breaks: int = 4_000_000) -> DataFrame:
+    """Each row with the first epoch (by `order`) that holds its time, else the last epoch; rows without epochs have nulls. Times are numbers or
+    timestamps; a null or NaN time lies in no epoch.
+
+    Each channel's epochs become breaks with the epoch that holds from each on, in which a row's time is searched: the work does not
+    grow with the epochs of a channel. Up to `breaks` of them are broadcast; more are sent to the distinct times of their channel, which are spread.
     """
-    j = rows.join(epochs.withColumnRenamed(on, "_on"), rows[on] == F.col("_on"), "left").drop("_on")
+    spark, kind = rows.sparkSession, epochs.schema[on].dataType.simpleString()
+    scratch = Scratch(spark, "epochs")
+    number = lambda d, c: (micros(c) if "timestamp" in d.schema[c].dataType.simpleString() else F.col(c)).cast("double")
+    e = scratch.keep(epochs.withColumn("_epoch", F.monotonically_increasing_id()))
+    spans = e.where(F.col(on).isNotNull()).select(F.col(on).alias("_on"), number(epochs, start).alias("start"), number(epochs, end).alias("end"), F.col(order).alias("order"), F.col("_epoch").alias("number"))
+
+    def made(g: pd.DataFrame) -> pd.DataFrame:
+        b, n, last = _covering(g)
+        return pd.DataFrame({"_on": g["_on"].iloc[:1], "breaks": [b], "epoch": [n], "last": [last]})
+
+    held = scratch.keep(spans.groupBy("_on").applyInPandas(made, f"_on {kind}, breaks array<double>, epoch array<long>, last long"))
+    t = number(rows, time)
+    if (held.agg(F.sum(F.size("breaks"))).first()[0] or 0) <= breaks:
+        shared = spark.sparkContext.broadcast({r["_on"]: (np.array(r["breaks"], float), np.array(r["epoch"], np.int64), r["last"]) for r in held.toLocalIterator()})
+
+        @F.pandas_udf("long")
+        def epoch(c: pd.Series, x: pd.Series) -> pd.Series:
+            out, x = np.full(len(c), -1, np.int64), x.to_numpy(float)
+            code, known = pd.factorize(c)
+            for k, v in enumerate(known):
+                if v in shared.value:
+                    of = code == k
+                    out[of] = _looked_up(x[of], *shared.value[v])
+            return pd.Series(out)
+
+        j = rows.withColumn("_epoch", epoch(on, t))
+    else:
+        salts = shuffle_partitions(spark)
+        x = rows.select(F.col(on).cast(kind).alias("_on"), t.alias("_t")).where("_on is not null").distinct().withColumn("_salt", F.pmod(F.xxhash64("_t"), F.lit(salts)))
+
+        def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame(columns=["_on", "_t", "_epoch"])
+            r = b.iloc[0]
+            return a[["_on", "_t"]].assign(_epoch=_looked_up(a["_t"].to_numpy(float), np.asarray(r["breaks"], float), np.asarray(r["epoch"]), int(r["last"])))
+
+        sent = held.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        known = x.groupBy("_on", "_salt").cogroup(sent.groupBy("_on", "_salt")).applyInPandas(search, f"_on {kind}, _t double, _epoch long")
+        # Null times come back from pandas as NaN; both lie in no epoch.
+        nan = F.lit(float("nan"))
+        known = known.select("_on", F.coalesce("_t", nan).alias("_t"), "_epoch").dropDuplicates(["_on", "_t"])
+        j = rows.withColumn("_time", F.coalesce(t, nan))
+        j = j.join(known, (F.col(on).cast(kind) == F.col("_on")) & (F.col("_time") == F.col("_t")), "left").drop("_on", "_t", "_time")
+    j = j.join(e.drop(on), "_epoch", "left").drop("_epoch")
     inside = F.coalesce((F.col(start) <= F.col(time)) & (F.col(end).isNull() | (F.col(time) <= F.col(end))), F.lit(False))
     w = Window.partitionBy(key).orderBy(inside.desc(), F.when(inside, F.col(order)).otherwise(-F.col(order)))
     return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
