@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakespark import fixtures as fx
-from quakespark.catalog_queries import _PAIRS, GRID, PAIR_KM, _pairs
+from quakespark.catalog_queries import _PAIRS, GRID, PAIR_KM
 from quakespark.common import Scratch, table
 from quakespark.operators import catalog as cat
 from quakespark.operators import regular
@@ -92,9 +92,8 @@ select a, b, station, phase, round(dd, 6) as dd, round(prior / sqrt(sa * sa + sb
 """
 )
 def n16_double_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("distance_km").alias("km"))
     u = cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")))
-    d = locate.double_differences(p, u, residual="noise_s", max_separation_km=PAIR_KM, cutoff_s=0.5)
+    d = locate.near_differences(u, fx.events(spark, sf_dir), residual="noise_s", max_separation_km=PAIR_KM, cutoff_s=0.5)
     return d.withColumns({"dd": F.round("dd", 6), "weight": F.round("weight", 6)})
 
 

@@ -13,6 +13,7 @@ from quakespark.common import Scratch, shuffle_partitions, spread
 from quakespark.functions.geo import EARTH_KM
 from quakespark.functions.grid import Grid
 from quakespark.functions.mechanism import tricube
+from quakespark.operators.nearby import common_readings
 from quakespark.plans.forward import eikonal
 
 #: Bytes of tables that are broadcast at a time.
@@ -189,6 +190,18 @@ def double_differences(pairs: DataFrame, readings: DataFrame, *, residual: str,
     x = r.withColumnsRenamed({"event": "a", "r": "ra", "sigma_s": "sa"})
     y = r.withColumnsRenamed({"event": "b", "r": "rb", "sigma_s": "sb"})
     j = pairs.select("a", "b", "km").join(x, "a").join(y, ["b", "station", "phase"])
+    return _weighted(j, max_separation_km, cutoff_s, weight_p, weight_s, least)
+
+
+def near_differences(readings: DataFrame, events: DataFrame, *, residual: str, max_separation_km: float, cutoff_s: float, weight_p: float = 1.0, weight_s: float = 0.5, least: float = 1e-3, id: str = "event", lat: str = "ev_lat", lon: str = "ev_lon", depth_km: str = "depth_km") -> DataFrame:
+    """`double_differences` of all events (id, lat, lon, depth_km) at most `max_separation_km` apart. Readings meet by station, phase and place, so
+    that pairs without common readings, nearly all of large catalogues, are not made."""
+    r = readings.withColumns({"r": F.col(residual), "s": F.col("sigma_s")})
+    j = common_readings(r, events, max_separation_km, ["r", "s"], id=id, lat=lat, lon=lon, depth_km=depth_km)
+    return _weighted(j.withColumnsRenamed({"r_a": "ra", "r_b": "rb", "s_a": "sa", "s_b": "sb"}), max_separation_km, cutoff_s, weight_p, weight_s, least)
+
+
+def _weighted(j: DataFrame, max_separation_km: float, cutoff_s: float, weight_p: float, weight_s: float, least: float) -> DataFrame:
     j = j.withColumn("dd", F.col("ra") - F.col("rb"))
     prior = F.when(F.col("phase") == "P", weight_p).otherwise(weight_s) * tricube(F.col("km"), max_separation_km) * tricube(F.col("dd"), cutoff_s)
     j = j.withColumn("prior", prior).where(F.col("prior") >= least)
