@@ -523,10 +523,7 @@ select event, other, rank from (select event, other, row_number() over (partitio
 )
 def w4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest events within the pair distance."""
-    p = _pairs(spark, sf_dir)
-    s = p.select(F.col("id_a").alias("event"), F.col("id_b").alias("other"), "distance_km").unionAll(p.select("id_b", "id_a", "distance_km"))
-    w = Window.partitionBy("event").orderBy(F.round("distance_km", 9), "other")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("event", "other", "rank")
+    return nearest_within(fx.events(spark, sf_dir), PAIR_KM, 5, **_AT).withColumnRenamed("id", "event")
 
 
 @query(
