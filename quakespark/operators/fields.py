@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -113,12 +113,14 @@ def filled(value: str, default: Column) -> Column:
 
 
 def weighted_lower_medians(r: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Of each column of r: the first value, in order, at which the weights so far reach half of all; NaN does not count (0 where nothing does)."""
-    order = np.argsort(r, axis=0, kind="stable")  # NaN last
-    value = np.take_along_axis(r, order, 0)
-    upto = np.cumsum(np.where(np.isnan(value), 0.0, w[order]), axis=0)
-    at = (upto >= upto[-1] / 2).argmax(0)
-    got = value[at, np.arange(r.shape[1])]
+    """Of each column of r (..., n, columns): the first value, in order, at which the weights w (..., n) so far reach half of all; NaN does not
+    count (0 where nothing does)."""
+    order = np.argsort(r, axis=-2, kind="stable")  # NaN last
+    value = np.take_along_axis(r, order, -2)
+    weight = np.take_along_axis(np.broadcast_to(w[..., None], r.shape), order, -2)
+    upto = np.cumsum(np.where(np.isnan(value), 0.0, weight), axis=-2)
+    at = (upto >= upto[..., -1:, :] / 2).argmax(-2)
+    got = np.take_along_axis(value, at[..., None, :], -2)[..., 0, :]
     return np.where(np.isnan(got), 0.0, got)
 
 
@@ -126,23 +128,59 @@ def search(arrivals: DataFrame, nodes: pd.DataFrame, times: Callable[[pd.DataFra
     """(event, node, misfit) of the node of least weighted sum of absolute residuals of each event (event, time_s, weight, ...); the
     origin time of a node is the weighted lower median of what its travel times leave. An arrival without a travel time at a node counts 10 s.
 
-    `nodes` is a search grid whose size is a parameter, with a column `node`; it travels with the function. `times`: travel times (arrivals x nodes) of an
-    event's arrivals to some of the nodes. One group is an event's arrivals.
+    `nodes` is a search grid whose size is a parameter, with a column `node`; it travels with the function. `times`: travel times (arrivals x nodes) of
+    some events' arrivals to some of the nodes. Many events are searched at once, those with equally many arrivals together.
     """
     kind = arrivals.schema["event"].dataType.simpleString()
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        w, best = g["weight"].to_numpy(float), (np.inf, -1, np.inf)
+    nodes = nodes.sort_values("node", kind="stable").reset_index(drop=True)
+    node = nodes["node"].to_numpy()
+    rows_at_once = max(1, at_once // max(1, len(nodes)))
+
+    def best_nodes(g: pd.DataFrame) -> pd.DataFrame:
+        """Of whole events, whose rows are together."""
+        event = g["event"].to_numpy()
+        begin = np.flatnonzero(np.append(True, event[1:] != event[:-1]))
+        size, w_all, t_all = np.diff(np.append(begin, len(g))), g["weight"].to_numpy(float), g["time_s"].to_numpy(float)
+        best, least, at = np.full(len(begin), np.inf), np.full(len(begin), np.inf), np.zeros(len(begin), np.int64)
         step = max(1, at_once // len(g))
         for k in range(0, len(nodes), step):
             part = nodes.iloc[k : k + step]
-            r = g["time_s"].to_numpy(float)[:, None] - times(g, part)
-            left = np.abs(r - weighted_lower_medians(r, w))
-            misfit = (np.where(np.isnan(left), 10.0, left) * w[:, None]).sum(0)
-            best = min(best, min(zip(np.round(misfit, 6).tolist(), part["node"].tolist(), misfit.tolist())))  # of equal ones the first node
-        return pd.DataFrame({"event": g["event"].iloc[:1], "node": [best[1]], "misfit": [best[2]]})
-
-    return spread(arrivals, "event").groupBy("event").applyInPandas(run, f"event {kind}, node int, misfit double")
+            left = t_all[:, None] - times(g, part)
+            for n in np.unique(size):
+                of = np.flatnonzero(size == n)
+                rows = begin[of][:, None] + np.arange(n)
+                r, w = left[rows], w_all[rows]
+                d = np.abs(r - weighted_lower_medians(r, w)[:, None, :])
+                misfit = (np.where(np.isnan(d), 10.0, d) * w[..., None]).sum(1)
+                rounded = np.round(misfit, 6)
+                first = rounded.argmin(1)  # of equal ones the first node
+                every = np.arange(len(of))
+                better = rounded[every, first] < best[of]
+                to = of[better]
+                best[to], least[to], at[to] = rounded[every, first][better], misfit[every, first][better], node[k + first[better]]
+        return pd.DataFrame({"event": event[begin], "node": at, "misfit": least})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n < rows_at_once:
+                continue
+            g = pd.concat(held, ignore_index=True)
+            whole = np.flatnonzero(g["event"].to_numpy() != g["event"].iloc[-1])
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield best_nodes(g.iloc[:cut])
+            # Where one event is larger, it is read on, twice as far each time.
+            held, n = [g.iloc[cut:]], len(g) - cut if cut else rows_at_once - len(g)
+        g = pd.concat(held, ignore_index=True) if held else []
+        if len(g):
+            yield best_nodes(g)
+
+    a = spread(arrivals, "event").sortWithinPartitions("event")
+    return a.mapInPandas(run, f"event {kind}, node int, misfit double")
 
 
 def crossings(rows: DataFrame, id: str, *, threshold: float, ahead: int, expected: int) -> DataFrame:
