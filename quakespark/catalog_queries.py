@@ -553,10 +553,8 @@ select a, b, station, phase from o where rank <= 2 and n >= 1
 )
 def w6_pair_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each pair the two nearest common readings (by their summed times)."""
-    p = _pairs(spark, sf_dir).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    t = cat.best_picks(fx.picks(spark, sf_dir)).select("event", "station", "phase", "travel_time_s")
-    j = p.join(t.withColumnsRenamed({"event": "a", "travel_time_s": "ta"}), "a").join(t.withColumnsRenamed({"event": "b", "travel_time_s": "tb"}), ["b", "station", "phase"])
-    w = Window.partitionBy("a", "b").orderBy(F.col("ta") + F.col("tb"), "station", "phase")
+    j = _common(spark, sf_dir, cat.best_picks(fx.picks(spark, sf_dir)), ["travel_time_s"])
+    w = Window.partitionBy("a", "b").orderBy(F.col("travel_time_s_a") + F.col("travel_time_s_b"), "station", "phase")
     return j.withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("a", "b", "station", "phase")
 
 
