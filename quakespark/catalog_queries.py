@@ -276,10 +276,8 @@ join b x on x.event = pr.a join b y on y.event = pr.b and x.station = y.station
 """
 )
 def j7_common_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    t = cat.best_picks(fx.picks(spark, sf_dir)).select("event", "station", "phase", "travel_time_s")
-    x, y = t.withColumnsRenamed({"event": "a", "travel_time_s": "ta"}), t.withColumnsRenamed({"event": "b", "travel_time_s": "tb"})
-    return p.join(x, "a").join(y, ["b", "station", "phase"]).select("a", "b", "station", "phase", F.round(F.col("ta") - F.col("tb"), 6).alias("difference_s"))
+    j = _common(spark, sf_dir, cat.best_picks(fx.picks(spark, sf_dir)), ["travel_time_s"])
+    return j.select("a", "b", "station", "phase", F.round(F.col("travel_time_s_a") - F.col("travel_time_s_b"), 6).alias("difference_s"))
 
 
 @query(
