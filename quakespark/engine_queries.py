@@ -35,6 +35,11 @@ def usable_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("time_s", F.col("predicted_s") + F.col("noise_s"))
 
 
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best usable picks, brought together by event once, for all steps that follow."""
+    return cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")).repartition("event"), time="time_s")
+
+
 @query(
     """
 with u as (
@@ -183,7 +188,7 @@ def n22_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n15_layered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum one-dimensional model from a start that is 5 % too fast: one value a layer and phase, two iterations over all events with
     four readings or more. Whether each value is in its bounds, and whether it lies nearer to the velocity of the data than the start or the RMS fell."""
-    a = tomography.select_observations(cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")), time="time_s"), GRID)
+    a = tomography.select_observations(observations(spark, sf_dir), GRID)
     s = tomography.Settings(iterations=2, layered=True, straight=True, damping=5.0, smoothing=5.0)
     r = tomography.invert(spark, a, GRID, {"P": np.full(GRID.nodes, 6.3), "S": np.full(GRID.nodes, 3.63)}, s)
     fell = r.history[-1]["rms_s"] < r.history[0]["rms_s"]
@@ -195,7 +200,7 @@ def n15_layered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n14_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vp, Vs and hypocentres on cells that follow the rays, from a start that is 5 % too fast: whether cells are fewer than nodes, velocities
     in their bounds, and the RMS lower after an iteration."""
-    a = tomography.select_observations(cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")), time="time_s"), GRID)
+    a = tomography.select_observations(observations(spark, sf_dir), GRID)
     s = tomography.Settings(iterations=1, adaptive=True, straight=True, damping=5.0, smoothing=5.0, cell_hits=200.0, solver_turns=100)
     r = tomography.invert(spark, a, GRID, {"P": np.full(GRID.nodes, 6.3), "S": np.full(GRID.nodes, 3.63)}, s)
     fell = r.history[-1]["rms_s"] < r.history[0]["rms_s"]

@@ -371,6 +371,21 @@ def _by_station():
     return Window.partitionBy("station", "phase")
 
 
+def straight_geometry(grid: Grid, full: dict[str, np.ndarray], short: dict[str, np.ndarray], layered: bool, phase, lon, lat, depth, st_lon, st_lat, elevation_m):
+    """(ray, node, km, t, v) of straight rays: kernel entries, times, and derivatives of the times by the events' places (east, north, down).
+    `full` is slowness by node, `short` by node or layer."""
+    a, b = cartesian(lon, lat, depth), cartesian(st_lon, st_lat, -elevation_m / 1000)
+    ray, node, km = (layer_kernels if layered else straight_kernels)(grid, a, b, 0.5 * grid.min_spacing_km)
+    cost, here = np.zeros(len(ray)), np.zeros(len(a))
+    for p in full:
+        of = phase == p
+        here[of] = grid.interpolate(full[p], lon[of], lat[of], depth[of])
+        of = of[ray]
+        cost[of] = km[of] * short[p][node[of]]
+    away = (a - b) / np.maximum(1e-9, np.sqrt(((a - b) ** 2).sum(-1)))[:, None]
+    return ray, node, km, np.bincount(ray, cost, len(a)), np.einsum("nij,nj->ni", local_axes(lon, lat), away) * here[:, None]
+
+
 def _straight_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarray], layered: bool, out: str, at_once: int = 2000) -> DataFrame:
     """`kernel_rows` of straight rays: no table, so no grouping."""
     arrow = to_arrow_schema(arrivals.sparkSession.createDataFrame([], out).schema)
@@ -384,20 +399,9 @@ def _straight_rows(arrivals: DataFrame, grid: Grid, slowness: dict[str, np.ndarr
             for k in range(0, whole.num_rows, at_once):
                 batch = whole.slice(k, at_once)
                 col = lambda c, b=batch: b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float)
-                lon, lat, dep = col("ev_lon"), col("ev_lat"), col("depth_km")
                 phase = batch.column(names.index("phase")).to_numpy(zero_copy_only=False)
-                a, b = cartesian(lon, lat, dep), cartesian(col("st_lon"), col("st_lat"), -col("elevation_m") / 1000)
-                ray, node, km = (layer_kernels if layered else straight_kernels)(grid, a, b, 0.5 * grid.min_spacing_km)
-                cost, here = np.zeros(len(ray)), np.zeros(len(a))
-                for p in full:
-                    of = phase == p
-                    here[of] = grid.interpolate(full[p], lon[of], lat[of], dep[of])
-                    of = of[ray]
-                    cost[of] = km[of] * short[p][node[of]]
-                t = np.bincount(ray, cost, len(a))
-                away = (a - b) / np.maximum(1e-9, np.sqrt(((a - b) ** 2).sum(-1)))[:, None]
-                v = np.einsum("nij,nj->ni", local_axes(lon, lat), away) * here[:, None]
-                offsets = pa.array(np.searchsorted(ray, np.arange(len(a) + 1)).astype(np.int32))
+                ray, node, km, t, v = straight_geometry(grid, full, short, layered, phase, *[col(c) for c in ("ev_lon", "ev_lat", "depth_km", "st_lon", "st_lat", "elevation_m")])
+                offsets = pa.array(np.searchsorted(ray, np.arange(batch.num_rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (node.astype(np.int32), km)]
                 made = {"t_calc": pa.array(t), "ge": pa.array(v[:, 0]), "gn": pa.array(v[:, 1]), "gd": pa.array(v[:, 2]), "nodes": lists[0], "km": lists[1]}
                 yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else batch.column(names.index(f.name)) for f in arrow], schema=arrow)

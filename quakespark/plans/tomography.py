@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,8 @@ from quakespark.functions.geo import EARTH_KM, to_cartesian
 from quakespark.functions.grid import Grid
 from quakespark.operators import regular, stats
 from quakespark.operators.fields import chord_crosses
-from quakespark.plans.forward import kernel_rows
+from quakespark.plans import joint
+from quakespark.plans.forward import coverage, kernel_rows
 from quakespark.plans.linalg import solve_rows
 from quakespark.plans.locate import double_differences
 from quakespark.plans.mesh import Mesh, octree, to_nodes
@@ -55,24 +58,43 @@ class Settings:
 @dataclass
 class Result:
     velocity: dict[str, np.ndarray]
-    events: pd.DataFrame
+    #: (event, ev_lon, ev_lat, depth_km, t0), one row an event.
+    hypocentres: DataFrame
     stations: pd.DataFrame
     history: list[dict] = field(default_factory=list)
     start: dict[str, np.ndarray] = field(default_factory=dict)
-    #: Sums of ray lengths and numbers of rays at the nodes, by phase.
-    dws: dict[str, np.ndarray] = field(default_factory=dict)
-    hits: dict[str, np.ndarray] = field(default_factory=dict)
+    #: Gives sums of ray lengths and numbers of rays at the nodes, by phase.
+    cover: Callable[[], tuple[dict, dict]] = lambda: ({}, {})
     #: (event, station, phase, time_s, sigma_s, initial_residual_s, residual, rejected) of every arrival.
     residuals: DataFrame | None = None
     mesh: Mesh | None = None
     #: (resolution, standard error) of each unknown of the model, hypocentres eliminated: of layered models.
     formal: tuple[np.ndarray, np.ndarray] | None = None
 
+    @cached_property
+    def events(self) -> pd.DataFrame:
+        """The hypocentres on the driver."""
+        return self.hypocentres.toPandas().sort_values("event").reset_index(drop=True)
+
+    @cached_property
+    def _covered(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        return self.cover()
+
+    @property
+    def dws(self) -> dict[str, np.ndarray]:
+        return self._covered[0]
+
+    @property
+    def hits(self) -> dict[str, np.ndarray]:
+        return self._covered[1]
+
 
 def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], settings: Settings | None = None, *, pairs: DataFrame | None = None) -> Result:
     """Model from arrivals (event, station, phase, time_s, sigma_s, ev_lon, ev_lat, depth_km, st_lon, st_lat, elevation_m).
 
-    Arrivals, kernels and equations stay distributed; the driver holds the model, one row an event and one a station, and the solution.
+    Arrivals, kernels and equations stay distributed; the driver holds the model and one row a station. With straight rays, no `pairs` and a model
+    whose normal equations fit the driver (`SMALL` unknowns of layers, `DENSE` of nodes or cells), events stay distributed too, hypocentres are eliminated
+    where their readings are, and the model is solved exactly; else the driver also holds one row an event, and the solution.
     Columns of the system: fractional slowness of P and S nodes (or layers, or with `adaptive` octree cells that follow the starting rays), four of
     each hypocentre, one a station and phase. With `ratio` the second set of nodes is the fractional Vp/Vs, on which, like on P, S times depend: it is
     smoothed and damped in place of S. With `pairs` of events (a, b, km) there is also a row for each difference of two events' residuals at one
@@ -81,6 +103,8 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
     s = settings or Settings()
     scratch = Scratch(spark, "tomography")
     phases = [p for p in ("P", "S") if p in velocity]
+    if s.straight and pairs is None and (found := _by_event(spark, arrivals.where(F.col("phase").isin(phases)), grid, velocity, phases, s)):
+        return found
     v = {p: np.asarray(velocity[p], float).ravel().copy() for p in phases}
     start = {p: 1 / v[p] for p in phases}
     unknown, mesh = grid.nz if s.layered else grid.nodes, None
@@ -122,11 +146,102 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
         v, ev, st = _moved(old, step, 1.0, grid, phases, s, unknown, mesh)
         it += 1
     shape = lambda x: x.reshape(grid.nz, grid.ny, grid.nx)
-    dws, hits = ({}, {}) if s.layered else _coverage(k, grid)
+    cover = lambda: ({}, {}) if s.layered else tuple({p: shape(x) for p, x in c.items()} for c in _coverage(k, grid))
     left = r.join(first, "arrival").select("event", "station", "phase", "time_s", "sigma_s", "initial_residual_s", "residual", "rejected")
-    return Result(
-        {p: shape(v[p]) for p in phases}, ev.drop(columns="column"), st.drop(columns="column"), history, {p: shape(1 / start[p]) for p in phases}, {p: shape(x) for p, x in dws.items()}, {p: shape(x) for p, x in hits.items()}, left, mesh, formal.get("model")
-    )
+    hypocentres = spark.createDataFrame(ev.drop(columns="column"))
+    return Result({p: shape(v[p]) for p in phases}, hypocentres, st.drop(columns="column"), history, {p: shape(1 / start[p]) for p in phases}, cover, left, mesh, formal.get("model"))
+
+
+#: Unknowns of a model of nodes or cells whose normal equations are made in tasks and solved on the driver (134 MB).
+DENSE = 4096
+
+
+def _by_event(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[str, np.ndarray], phases: list[str], s: Settings) -> Result | None:
+    """`invert` over one row an event with its readings: straight rays, no pairs. None where the model is too wide."""
+    least, most = (grid.nz, SMALL) if s.layered else (1 if s.adaptive else grid.nodes, DENSE)
+    if least * len(phases) > most:
+        return None
+    scratch = Scratch(spark, "events")
+    v = {p: np.asarray(velocity[p], float).ravel().copy() for p in phases}
+    start, first = {p: 1 / v[p] for p in phases}, {p: v[p].copy() for p in phases}
+    shape = lambda x: x.reshape(grid.nz, grid.ny, grid.nx)
+    e = scratch.keep(joint.gather(arrivals))
+    unknown, mesh = grid.nz if s.layered else grid.nodes, None
+    if s.adaptive and not s.layered:
+        mesh = octree(grid, sum(_covered(e, grid)[1].values()), largest=s.cell_nodes, largest_depth=s.cell_depth_nodes, threshold=s.cell_hits)
+        unknown = mesh.n
+    st = e.select(F.explode(F.arrays_zip("station", "phase")).alias("r")).select("r.station", "r.phase").distinct().toPandas().sort_values(["station", "phase"]).reset_index(drop=True)
+    st["term"], st["column"] = 0.0, np.arange(len(st))
+    if unknown * len(phases) + (len(st) if s.station_terms else 0) > most:
+        scratch.drop(e)
+        return None
+    none = pd.DataFrame({c: np.zeros(0) for c in (*joint.PLACE, "t0")})
+    make = lambda v, st: joint.Pass(grid, v, st, s, unknown, None if mesh is None else mesh.of_node)
+    begin = make(first, st)
+    history, old, before, formal = [], None, None, None
+    it = tries = 0
+    while True:
+        now = make(v, st)
+        far = scratch.keep(joint.measure(e, now))
+        mad = stats.median(far, [], "far").first()
+        limit = max(s.outlier_floor_s, s.outlier_mads * 1.4826 * mad["median"]) if mad else s.outlier_floor_s
+        ok = far.where(~F.isnan("far") & (F.col("far") <= limit) & (F.abs("residual") <= s.max_residual_s))
+        m = ok.agg(F.count(F.lit(1)).alias("used"), F.sqrt(F.avg(F.pow("residual", 2))).alias("rms"), F.sum(F.pow(F.col("residual") / F.greatest(F.lit(0.01), F.col("sigma")), 2)).alias("misfit")).first()
+        scratch.drop(far)
+        if before is not None and tries < s.halvings and m["misfit"] / max(1, m["used"]) > 1.001 * before:
+            tries += 1  # the step made it worse: half of it from the state before
+            scratch.drop(e)
+            e = scratch.keep(joint.moved(old[0], make(*old[1:3]), old[3], step, 0.5**tries))
+            v, _, st = _moved((old[1], none, old[2]), step, 0.5**tries, grid, phases, s, unknown, mesh)
+            continue
+        history.append({"iteration": it, "used": m["used"], "rms_s": m["rms"], "halvings": tries})
+        tries = 0
+        scratch.drop(old and old[0])
+        if it == s.iterations:
+            break
+        before = m["misfit"] / max(1, m["used"])
+        old = (e, v, st, limit)
+        step, formal = _reduced(spark, e, now, limit, grid, v, start, st, phases, s, unknown, mesh)
+        e = scratch.keep(joint.moved(e, now, limit, step, 1.0))
+        v, _, st = _moved((v, none, st), step, 1.0, grid, phases, s, unknown, mesh)
+        it += 1
+    cover = lambda: ({}, {}) if s.layered else tuple({p: shape(x) for p, x in c.items()} for c in _covered(e, grid))
+    hypocentres = e.select("event", *joint.PLACE, "t0")
+    return Result({p: shape(v[p]) for p in phases}, hypocentres, st.drop(columns="column"), history, {p: shape(first[p]) for p in phases}, cover, joint.residuals(e, now, limit, begin), mesh, formal)
+
+
+def _covered(events: DataFrame, grid: Grid) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """`_coverage` of the straight rays of all readings, which tasks add up without storing kernels."""
+    rows = coverage(joint.single(events), grid, piece_km=0.5 * grid.min_spacing_km).toPandas()
+    out = {}, {}
+    for p, g in rows.groupby("phase"):
+        for x, c in zip(out, ("dws", "hits")):
+            x[p] = np.bincount(g["node"], g[c], grid.nodes)
+    return out
+
+
+def _reduced(spark, events, now, limit, grid, v, start, st, phases, s, unknown, mesh) -> tuple[np.ndarray, tuple | None]:
+    """(the model's and stations' part of a step, and of layered models with hypocentres the formal resolution and errors)."""
+    big, right = joint.normal(events, now, limit)
+    data = big.copy() if s.layered else None
+    extra, tables = _regularisation(spark, grid, v, start, st, phases, s, unknown, mesh, unknown * len(phases))
+    for t in tables:
+        extra += [(r["columns"], r["values"], r["rhs"]) for r in t.collect()]  # three rows a node at most
+    for c, x, y in extra:
+        c, x = np.asarray(c), np.asarray(x, float)
+        big[np.ix_(c, c)] += np.outer(x, x)
+        right[c] += x * y
+    try:
+        x = np.linalg.solve(big, right)
+    except np.linalg.LinAlgError:  # without damping, parts that no ray reaches: the shortest solution
+        x = np.linalg.lstsq(big, right)[0]
+    return x, _formal(big, data) if s.layered and s.joint_hypocentres else None
+
+
+def _formal(big: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By the factor of the whole normal matrix: R = (A'A + D)^-1 A'A, and the covariance of unit-weight data R (A'A + D)^-1."""
+    r = np.linalg.solve(big, data)
+    return np.diag(r).copy(), np.sqrt(np.maximum(0.0, np.diag(np.linalg.solve(big, r.T))))
 
 
 def _coverage(k: DataFrame, grid: Grid) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -172,9 +287,27 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
     schema = data.schema
     if pairs is not None and s.joint_hypocentres:
         data = data.unionByName(_difference_rows(ok, pairs, {p: (unknown * phases.index(p), short[p]) for p in phases}, cell, ratio, unknown, base_ev, s))
-    extra = []
     # A small model is solved after each event's hypocentre is eliminated where its readings are, so no system of all events is made.
     small = s.layered and s.joint_hypocentres and pairs is None and m + (len(st) if s.station_terms else 0) <= SMALL
+    extra, tables = _regularisation(spark, grid, v, start, st, phases, s, unknown, mesh, base_st)
+    for t in tables:
+        data = data.unionByName(t)
+    if s.joint_hypocentres and not small:
+        data = data.unionByName(spark.range(4 * len(ev)).select(F.array((F.col("id") + base_ev).cast("int")).alias("columns"), F.array(F.lit(float(s.damping_hypocentre))).alias("values"), F.lit(0.0).alias("rhs")))
+    if small:
+        return _eliminated(ok, used, n, base_ev, base_st, phases, short, len(ev), extra, s, scratch, formal)
+    if extra:
+        data = data.unionByName(spark.createDataFrame(extra, schema))
+    return solve_rows(scratch.keep(data), n, tolerance=1e-6, max_turns=s.solver_turns)[0]
+
+
+def _regularisation(spark, grid, v, start, st, phases, s: Settings, unknown: int, mesh, base_st: int) -> tuple[list, list[DataFrame]]:
+    """Rows (columns, values, rhs) of damping, smoothing and the sums of station terms: on the driver, and in tables where the model is of nodes."""
+    extra, tables = [], []
+    slow = {p: 1 / v[p] for p in phases}
+    plane = grid.nx * grid.ny
+    cell = mesh.of_node if mesh is not None else None
+    ratio = s.ratio and len(phases) == 2
     scale = plane**0.5 if s.layered else 1.0
     for q, p in enumerate(phases):
         m_now = (slow[p] - start[p]) / slow[p]
@@ -202,21 +335,15 @@ def _step(spark, scratch, ok, used, grid, v, start, ev, st, phases, s, unknown,
             # On cells the rows of nodes are added up by cell, and those inside one cell vanish.
             lap = lap.join(model, "node").groupBy("row", "cell").agg(F.sum("value").alias("value"), F.sum(-F.col("value") * F.col("x")).alias("y"))
             lap = lap.groupBy("row").agg(F.collect_list((F.col("cell") + q * unknown).cast("int")).alias("columns"), F.collect_list("value").alias("values"), F.sum("y").alias("rhs"))
-            data = data.unionByName(lap.select("columns", "values", "rhs"))
+            tables.append(lap.select("columns", "values", "rhs"))
             damp = spark.createDataFrame(pd.DataFrame({"c": (np.arange(unknown) + q * unknown).astype(np.int32), "v": s.damping * np.sqrt(np.bincount(place, minlength=unknown))}))
-            data = data.unionByName(damp.select(F.array("c").alias("columns"), F.array("v").alias("values"), F.lit(0.0).alias("rhs")))
-    if s.joint_hypocentres and not small:
-        data = data.unionByName(spark.range(4 * len(ev)).select(F.array((F.col("id") + base_ev).cast("int")).alias("columns"), F.array(F.lit(float(s.damping_hypocentre))).alias("values"), F.lit(0.0).alias("rhs")))
+            tables.append(damp.select(F.array("c").alias("columns"), F.array("v").alias("values"), F.lit(0.0).alias("rhs")))
     if s.station_terms:
         extra += [([base_st + i], [float(s.damping_station)], 0.0) for i in range(len(st))]
         for p in phases:
             i = np.flatnonzero(st["phase"].to_numpy() == p)
             extra.append(((base_st + i).tolist(), [10.0] * len(i), float(-10.0 * st["term"].to_numpy()[i].sum())))
-    if small:
-        return _eliminated(ok, used, n, base_ev, base_st, phases, short, len(ev), extra, s, scratch, formal)
-    if extra:
-        data = data.unionByName(spark.createDataFrame(extra, schema))
-    return solve_rows(scratch.keep(data), n, tolerance=1e-6, max_turns=s.solver_turns)[0]
+    return extra, tables
 
 
 def _difference_rows(ok: DataFrame, pairs: DataFrame, columns: dict, cell, ratio: bool, unknown: int, base_ev: int, s: Settings) -> DataFrame:
@@ -319,9 +446,7 @@ def _eliminated(ok: DataFrame, used: int, n: int, base_ev: int, base_st: int, ph
         right[c] += v * y
     x = np.linalg.solve(big, right)
     if formal is not None:
-        # By the factor of the whole normal matrix: R = (A'A + D)^-1 A'A, and the covariance of unit-weight data R (A'A + D)^-1.
-        r = np.linalg.solve(big, data)
-        formal["model"] = np.diag(r).copy(), np.sqrt(np.maximum(0.0, np.diag(np.linalg.solve(big, r.T))))
+        formal["model"] = _formal(big, data)
 
     def back(batches):
         for b in batches:
