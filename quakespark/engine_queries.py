@@ -177,8 +177,10 @@ select event, count(*) as readings, true as inside, true as finite from u where
 )
 def n22_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absolute hypocentres of all events with four usable arrivals or more: which events have one, from how many readings, inside the grid."""
-    tables = Scratch(spark, "tables").keep(locate.travel_time_tables(fx.stations(spark, sf_dir), GRID, _uniform()))
-    a = cat.best_picks(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")), time="time_s")
+    scratch = Scratch(spark, "tables")
+    places = fx.stations(spark, sf_dir).select(locate.place().alias("station"), "st_lon", "st_lat", "elevation_m").distinct()
+    tables = scratch.keep(locate.travel_time_tables(places, GRID, _uniform()))
+    a = scratch.keep(observations(spark, sf_dir).select("event", "station", locate.place().alias("place"), "phase", "time_s", "sigma_s"))
     h = locate.locate(spark, a, tables, GRID)
     inside = GRID.contains(F.col("lon"), F.col("lat"), F.col("depth_km"))
     return h.select("event", (F.col("phases") + F.col("rejected")).cast("long").alias("readings"), inside.alias("inside"), (~F.isnan("rms_s") & (F.col("rms_s") >= 0) & (F.col("major_km") >= F.col("minor_km"))).alias("finite"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakespark.common import Scratch, shuffle_partitions, spread
@@ -130,55 +130,66 @@ LOCATION = "event long, lon double, lat double, depth_km double, origin_shift_s
 def locate(spark: SparkSession, arrivals: DataFrame, tables: DataFrame, grid: Grid, *, time: str = "time_s", events_per_task: int = 256, table_bytes: int = TABLE_BYTES, **settings) -> DataFrame:
     """Hypocentres of all events with four arrivals or more: (event, lon, lat, depth_km, ...).
 
+    A `place` of the arrivals, where there is one, names their table in place of the station, so that stations at one place share it (`place`).
     Tables are broadcast, at most `table_bytes` of them at a time (counted before: stations x phases x nodes x 4 bytes). More are used in passes:
     events are grouped by the station that they reach first, groups that use the same stations share a pass, and a pass sends the tables of its stations
-    only. Events are hashed onto groups of about `events_per_task`, so that one call locates many; no event is larger than its number of stations.
+    only; of a group that alone reaches more, all. The driver reads the groups' tables one group after the other and keeps a number a first station. Events
+    are hashed onto groups of about `events_per_task`, so that one call locates many; no event is larger than its number of stations.
     """
     spark_, kind = arrivals.sparkSession, arrivals.schema["event"].dataType.simpleString()
+    key = "place" if "place" in arrivals.columns else "station"
+    arrivals = arrivals.select("event", "station", F.col(key).alias("place"), "phase", time, "sigma_s")
     n = tables.count()
     if n * grid.nodes * 4 <= table_bytes:
-        return _locate_with(arrivals, tables, grid, time, events_per_task, kind, settings)
+        return _locate_with(arrivals, tables, grid, time, events_per_task, kind, settings)[0]
     scratch = Scratch(spark_, "locations")
-    first = scratch.keep(arrivals.groupBy("event").agg(F.min_by(F.col("station"), F.struct(time, "station")).alias("first_station")))
-    used = scratch.keep(arrivals.join(first, "event").select("first_station", "station", "phase").distinct())
-    groups: dict = {}
-    for r in used.collect():  # stations x the stations that events near them reach
-        groups.setdefault(r["first_station"], set()).add((r["station"], r["phase"]))
-    parts, most = [], max(1, table_bytes // (4 * grid.nodes))
-    for g in sorted(groups, key=lambda g: (sorted(map(str, groups[g])), str(g))):
-        if parts and len(parts[-1][1] | groups[g]) <= most:
-            parts[-1][0].append(g)
-            parts[-1][1].update(groups[g])
-        else:
-            parts.append(([g], set(groups[g])))
+    first = arrivals.groupBy("event").agg(F.min_by(F.col("place"), F.struct(time, "place")).alias("first_station"))
+    a = scratch.keep(arrivals.join(first, "event"))
+    used = scratch.keep(a.groupBy("first_station").agg(F.sort_array(F.collect_set(F.struct("place", "phase"))).alias("tables")))
+    numbers, held, most = [], None, max(1, table_bytes // (4 * grid.nodes))
+    for r in used.orderBy("tables", "first_station").toLocalIterator():
+        own = {tuple(t) for t in r["tables"]}
+        if held is None or len(held | own) > most:
+            held, part = set(), numbers[-1][1] + 1 if numbers else 0
+        held |= own
+        numbers.append((r["first_station"], part))
+    if not numbers:
+        return _locate_with(arrivals, tables.limit(0), grid, time, events_per_task, kind, settings)[0]
+    number = spark_.createDataFrame(numbers, f"first_station {a.schema['first_station'].dataType.simpleString()}, part int")
+    a, need = scratch.keep(a.join(number, "first_station")), scratch.keep(used.join(number, "first_station").select("part", F.explode("tables").alias("t")).select("part", F.col("t.place").alias("station"), "t.phase").distinct())
     found = []
-    for members, _ in parts:
-        of = first.where(F.col("first_station").isin(members)).select("event")
-        need = used.where(F.col("first_station").isin(members)).select("station", "phase").distinct()
-        found.append(scratch.keep(_locate_with(arrivals.join(of, "event", "left_semi"), tables.join(need, ["station", "phase"], "left_semi"), grid, time, events_per_task, kind, settings)))
+    for k in range(numbers[-1][1] + 1):
+        d, shared = _locate_with(a.where(F.col("part") == k), tables.join(need.where(F.col("part") == k), ["station", "phase"], "left_semi"), grid, time, events_per_task, kind, settings)
+        found.append(scratch.keep(d))
+        shared.destroy()
     return reduce(DataFrame.unionByName, found)
 
 
-def _locate_with(arrivals: DataFrame, tables: DataFrame, grid: Grid, time: str, events_per_task: int, kind: str, settings: dict) -> DataFrame:
+def place() -> Column:
+    """A name of the place of a station (st_lon, st_lat, elevation_m): exact, as numbers are written so that they read back the same."""
+    return F.concat_ws(" ", "st_lon", "st_lat", "elevation_m")
+
+
+def _locate_with(arrivals: DataFrame, tables: DataFrame, grid: Grid, time: str, events_per_task: int, kind: str, settings: dict):
+    """(hypocentres, the tables' broadcast)."""
     spark = arrivals.sparkSession
     shared = spark.sparkContext.broadcast({(r["station"], r["phase"]): np.array(r["t"], np.float32) for r in tables.toLocalIterator()})
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         known, out = shared.value, []
-        for e, d in g.groupby("event", sort=True):
-            d = d.sort_values(["station", "phase"])
-            keys = [k for k in zip(d["station"], d["phase"])]
-            ok = np.array([k in known for k in keys])
-            if ok.sum() < 4:
-                continue
-            r = locate_event(d[time].to_numpy(float)[ok], d["sigma_s"].to_numpy(float)[ok], [known[k] for k, o in zip(keys, ok) if o], grid, **settings)
+        g = g.sort_values(["event", "station", "phase"])
+        g = g[[k in known for k in zip(g["place"], g["phase"])]]
+        events, times, sigma, keys = g["event"].to_numpy(), g[time].to_numpy(float), g["sigma_s"].to_numpy(float), list(zip(g["place"], g["phase"]))
+        cuts = [0, *(np.flatnonzero(events[1:] != events[:-1]) + 1), len(g)]
+        for i, j in zip(cuts, cuts[1:]):
+            r = locate_event(times[i:j], sigma[i:j], [known[k] for k in keys[i:j]], grid, **settings) if j - i >= 4 else None
             if r:
-                out.append({"event": e, **r})
+                out.append({"event": events[i], **r})
         return pd.DataFrame(out, columns=[c.split()[0] for c in LOCATION.split(", ")])
 
     groups = max(shuffle_partitions(spark), arrivals.select("event").distinct().count() // events_per_task)
-    a = arrivals.select("event", "station", "phase", time, "sigma_s", F.pmod(F.xxhash64("event"), F.lit(groups)).alias("slot"))
-    return spread(a, "slot").groupBy("slot").applyInPandas(run, LOCATION.replace("event long", f"event {kind}"))
+    a = arrivals.select("event", "station", "place", "phase", time, "sigma_s", F.pmod(F.xxhash64("event"), F.lit(groups)).alias("slot"))
+    return spread(a, "slot").groupBy("slot").applyInPandas(run, LOCATION.replace("event long", f"event {kind}")), shared
 
 
 def double_differences(pairs: DataFrame, readings: DataFrame, *, residual: str, max_separation_km: float, cutoff_s: float, weight_p: float = 1.0, weight_s: float = 0.5, least: float = 1e-3) -> DataFrame:
