@@ -127,13 +127,17 @@ class Grid:
             a = np.minimum(np.floor(c), n - 2).astype(np.int64)
             at.append(a)
             part.append(c - a)
-        nodes, ws = [], []
-        for k in (0, 1):
-            for j in (0, 1):
-                for i in (0, 1):
-                    nodes.append(((at[2] + k) * self.ny + at[1] + j) * self.nx + at[0] + i)
-                    ws.append((part[0] if i else 1 - part[0]) * (part[1] if j else 1 - part[1]) * (part[2] if k else 1 - part[2]))
-        return np.stack(nodes, 1), np.stack(ws, 1)
+        first = (at[2] * self.ny + at[1]) * self.nx + at[0]
+        (x, y, z) = ((1 - p, p) for p in part)
+        nodes, ws = np.empty((len(first), 8), np.int64), np.empty((len(first), 8))
+        for j in (0, 1):
+            for i in (0, 1):
+                xy = x[i] * y[j]
+                for k in (0, 1):
+                    c = 4 * k + 2 * j + i
+                    np.add(first, (k * self.ny + j) * self.nx + i, out=nodes[:, c])
+                    np.multiply(xy, z[k], out=ws[:, c])
+        return nodes, ws
 
     def interpolate(self, values: np.ndarray, lon: np.ndarray, lat: np.ndarray, depth: np.ndarray) -> np.ndarray:
         """Values at points; nodes without data (NaN) are left out where the others weigh more than half."""

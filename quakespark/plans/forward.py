@@ -270,17 +270,31 @@ def kernel(grid: Grid, points: np.ndarray, piece_km: float | None = None) -> tup
     return at, out[at]
 
 
+#: Rays whose kernels are made at once: their lengths at all nodes stay in the cache.
+RAYS = 200
+
+
 def straight_kernels(grid: Grid, a: np.ndarray, b: np.ndarray, piece_km: float = 1.0):
     """Kernels of straight rays, many at once: (ray, node, km) arrays."""
-    length = np.sqrt(((b - a) ** 2).sum(-1))
+    out = [_straight_kernels(grid, a[k : k + RAYS], b[k : k + RAYS], piece_km) for k in range(0, max(1, len(a)), RAYS)]
+    return np.concatenate([r + k * RAYS for k, (r, _, _) in enumerate(out)]), np.concatenate([n for _, n, _ in out]), np.concatenate([km for _, _, km in out])
+
+
+def _straight_kernels(grid: Grid, a: np.ndarray, b: np.ndarray, piece_km: float):
+    d = b - a
+    length = np.sqrt((d**2).sum(-1))
     n = np.maximum(1, np.ceil(length / piece_km).astype(int))
     ray = np.repeat(np.arange(len(a)), n)
     f = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 0.5) / n[ray]
-    nodes, w = grid.weights(*geographic(a[ray] + f[:, None] * (b - a)[ray]))
-    code = (ray[:, None] * grid.nodes + nodes).ravel()
-    total = np.bincount(code, (w * (length / n)[ray][:, None]).ravel(), len(a) * grid.nodes)
+    x, y, z = (a[:, c][ray] + f * d[:, c][ray] for c in range(3))
+    r = np.sqrt(x * x + y * y + z * z)
+    code, w = grid.weights(np.degrees(np.arctan2(y, x)), np.degrees(np.arcsin(z / r)), EARTH_KM - r)
+    code += (ray * grid.nodes)[:, None]
+    w *= (length / n)[ray][:, None]
+    total = np.bincount(code.ravel(), w.ravel(), len(a) * grid.nodes)
     hit = np.flatnonzero(total >= LEAST_KM)
-    return hit // grid.nodes, hit % grid.nodes, total[hit]
+    of = hit // grid.nodes
+    return of, hit - of * grid.nodes, total[hit]
 
 
 def layer_kernels(grid: Grid, a: np.ndarray, b: np.ndarray, piece_km: float):

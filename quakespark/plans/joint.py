@@ -102,13 +102,13 @@ class Pass:
         ray, node, km = d["ray"][k], d["node"][k], d["km"][k]
         w = 1 / np.maximum(0.01, d["sigma"][used])
         row, col, val = number[ray], node if self.cell is None else self.cell[node], np.zeros(len(ray))
-        phase, shift = d["phase"][ray], np.zeros(len(ray), np.int64)
+        shift = np.zeros(len(ray), np.int64)
         for q, p in enumerate(self.phases):
-            of = phase == p
+            of = (d["phase"] == p)[ray]
             val[of], shift[of] = km[of] * self.short[p][node[of]], q * self.unknown
         col, val = col + shift, val * w[row]
         if self.s.ratio and len(self.phases) == 2:
-            of = phase == "S"
+            of = (d["phase"] == "S")[ray]
             row, col, val = np.concatenate([row, row[of]]), np.concatenate([col, col[of] - self.unknown]), np.concatenate([val, val[of]])
         if self.stations is not None:
             row, col, val = np.concatenate([row, np.arange(len(w))]), np.concatenate([col, self.unknown * len(self.phases) + d["st"][used]]), np.concatenate([val, w])
@@ -130,8 +130,9 @@ def measure(events: DataFrame, p: Pass) -> DataFrame:
     return events.mapInArrow(run, "residual double, far double, sigma double")
 
 
-def normal(events: DataFrame, p: Pass, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Normal equations of the model after the elimination of each event's hypocentre: (matrix, right side)."""
+def solved(events: DataFrame, p: Pass, limit: float, extra: list, formal=None) -> tuple[np.ndarray, tuple | None]:
+    """(the model's part of a step, what `formal` makes of the matrix with and without `extra`): the normal equations of the model, after the elimination of each
+    event's hypocentre, and of the rows `extra` (columns, values, right side). They are added up and solved in tasks; the driver gets vectors of the model's length."""
     width = p.width
 
     def run(batches):
@@ -156,7 +157,7 @@ def normal(events: DataFrame, p: Pass, limit: float) -> tuple[np.ndarray, np.nda
             row, col, val = row[o], col[o], val[o]
             ends = np.append(at, len(y))
             cuts = np.searchsorted(row, ends)
-            seen = np.zeros(width, np.int64)
+            seen, flat = np.zeros(width, np.int64), big.reshape(-1)
             for e in range(len(at)):
                 i, j = ends[e], ends[e + 1]
                 r, c, x, m = row[cuts[e] : cuts[e + 1]] - i, col[cuts[e] : cuts[e + 1]], val[cuts[e] : cuts[e + 1]], j - i
@@ -167,7 +168,10 @@ def normal(events: DataFrame, p: Pass, limit: float) -> tuple[np.ndarray, np.nda
                 a = np.bincount(r * len(cols) + seen[c], x, m * len(cols)).reshape(m, len(cols))
                 he = h[i:j]
                 qa = a - he @ (turn[e] @ (he.T @ a))
-                big[cols[:, None], cols] += a.T @ qa
+                # What lies below the diagonal isn't read, so the second half of the rows needs no first half of the columns.
+                own, half = a.T @ qa, -(-len(cols) // 2)
+                for k, to in ((0, half), (half, len(cols))):
+                    np.add.at(flat, ((cols[k:to] * width)[:, None] + cols[k:]).ravel(), own[k:to, k:].ravel())
                 right[cols] += qa.T @ y[i:j]
         for k in range(0, width, 64):
             i = range(k, min(width, k + 64))
@@ -183,19 +187,36 @@ def normal(events: DataFrame, p: Pass, limit: float) -> tuple[np.ndarray, np.nda
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["i", "v"])
 
-    spark = events.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    parts = events.coalesce(max(cores, SUM_BYTES // (4 * width * width))).mapInArrow(run, "i int, v array<double>")
-    got = parts.repartition(cores, "i").mapInArrow(add, "i int, v array<double>").toArrow()
-    big, right = np.zeros((width, width)), np.zeros(width)
-    for i, v in zip(got["i"].to_pylist(), got["v"]):
-        v = v.values.to_numpy()
-        if i < 0:
-            right += v
-        else:
-            big[i, i:] += v
+    def solve(batches):
+        big, right = np.zeros((width, width)), np.zeros(width)
+        for b in batches:
+            for i, v in zip(b.column(0).to_numpy(), b.column(1)):
+                v = v.values.to_numpy()
+                if i < 0:
+                    right += v
+                else:
+                    big[i, i:] += v
+        for i in range(width):
             big[i + 1 :, i] = big[i, i + 1 :]
-    return big, right
+        data = None if formal is None else big.copy()
+        for c, x, y in extra:
+            c, x = np.asarray(c), np.asarray(x, float)
+            big[np.ix_(c, c)] += np.outer(x, x)
+            right[c] += x * y
+        try:
+            out = [np.linalg.solve(big, right)]
+        except np.linalg.LinAlgError:  # without damping, parts that no ray reaches: the shortest solution
+            out = [np.linalg.lstsq(big, right)[0]]
+        if formal is not None:
+            out += formal(big, data)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=["i", "v"])
+
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    kind = "i int, v array<double>"
+    parts = events.coalesce(max(cores, SUM_BYTES // (4 * width * width))).mapInArrow(run, kind)
+    got = parts.repartition(cores, "i").mapInArrow(add, kind).repartition(1).mapInArrow(solve, kind).toArrow()
+    out = {i: np.array(v) for i, v in zip(got["i"].to_pylist(), got["v"].to_pylist())}
+    return out[0], None if formal is None else (out[1], out[2])
 
 
 def moved(events: DataFrame, p: Pass, limit: float, x: np.ndarray, share: float) -> DataFrame:

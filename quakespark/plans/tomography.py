@@ -93,7 +93,7 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
     """Model from arrivals (event, station, phase, time_s, sigma_s, ev_lon, ev_lat, depth_km, st_lon, st_lat, elevation_m).
 
     Arrivals, kernels and equations stay distributed; the driver holds the model and one row a station. With straight rays, no `pairs` and a model
-    whose normal equations fit the driver (`SMALL` unknowns of layers, `DENSE` of nodes or cells), events stay distributed too, hypocentres are eliminated
+    whose normal equations fit a task (`SMALL` unknowns of layers, `DENSE` of nodes or cells), events stay distributed too, hypocentres are eliminated
     where their readings are, and the model is solved exactly; else the driver also holds one row an event, and the solution.
     Columns of the system: fractional slowness of P and S nodes (or layers, or with `adaptive` octree cells that follow the starting rays), four of
     each hypocentre, one a station and phase. With `ratio` the second set of nodes is the fractional Vp/Vs, on which, like on P, S times depend: it is
@@ -152,7 +152,7 @@ def invert(spark: SparkSession, arrivals: DataFrame, grid: Grid, velocity: dict[
     return Result({p: shape(v[p]) for p in phases}, hypocentres, st.drop(columns="column"), history, {p: shape(1 / start[p]) for p in phases}, cover, left, mesh, formal.get("model"))
 
 
-#: Unknowns of a model of nodes or cells whose normal equations are made in tasks and solved on the driver (134 MB).
+#: Unknowns of a model of nodes or cells whose normal equations are made in tasks and solved in one of them (134 MB, and a copy).
 DENSE = 4096
 
 
@@ -222,20 +222,10 @@ def _covered(events: DataFrame, grid: Grid) -> tuple[dict[str, np.ndarray], dict
 
 def _reduced(spark, events, now, limit, grid, v, start, st, phases, s, unknown, mesh) -> tuple[np.ndarray, tuple | None]:
     """(the model's and stations' part of a step, and of layered models with hypocentres the formal resolution and errors)."""
-    big, right = joint.normal(events, now, limit)
-    data = big.copy() if s.layered else None
     extra, tables = _regularisation(spark, grid, v, start, st, phases, s, unknown, mesh, unknown * len(phases))
     for t in tables:
         extra += [(r["columns"], r["values"], r["rhs"]) for r in t.collect()]  # three rows a node at most
-    for c, x, y in extra:
-        c, x = np.asarray(c), np.asarray(x, float)
-        big[np.ix_(c, c)] += np.outer(x, x)
-        right[c] += x * y
-    try:
-        x = np.linalg.solve(big, right)
-    except np.linalg.LinAlgError:  # without damping, parts that no ray reaches: the shortest solution
-        x = np.linalg.lstsq(big, right)[0]
-    return x, _formal(big, data) if s.layered and s.joint_hypocentres else None
+    return joint.solved(events, now, limit, extra, _formal if s.layered and s.joint_hypocentres else None)
 
 
 def _formal(big: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
