@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quakespark import fixtures as fx
 from quakespark.catalog_queries import _PAIRS, GRID, PAIR_KM
-from quakespark.common import Scratch, table
+from quakespark.common import Scratch, spread, table
 from quakespark.operators import catalog as cat
 from quakespark.operators import regular
 from quakespark.plans import attenuation, forward, linalg, locate, tomography
@@ -180,8 +180,8 @@ def n22_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tables")
     places = fx.stations(spark, sf_dir).select(locate.place().alias("station"), "st_lon", "st_lat", "elevation_m").distinct()
     tables = scratch.keep(locate.travel_time_tables(places, GRID, _uniform()))
-    a = scratch.keep(observations(spark, sf_dir).select("event", "station", locate.place().alias("place"), "phase", "time_s", "sigma_s"))
-    h = locate.locate(spark, a, tables, GRID)
+    a = cat.best_picks(spread(usable_arrivals(spark, sf_dir).withColumn("origin", F.lit("manual")), "event"), time="time_s").withColumn("place", locate.place())
+    h = locate.locate(spark, a, tables, GRID, spread_out=False)
     inside = GRID.contains(F.col("lon"), F.col("lat"), F.col("depth_km"))
     return h.select("event", (F.col("phases") + F.col("rejected")).cast("long").alias("readings"), inside.alias("inside"), (~F.isnan("rms_s") & (F.col("rms_s") >= 0) & (F.col("major_km") >= F.col("minor_km"))).alias("finite"))
 

@@ -83,31 +83,27 @@ def eikonal(grid: Grid, slowness: np.ndarray, source: tuple[float, float, float]
     w = [1 / (v * v) for v in h]
     if s.size > (SWEEP_NODES if sweep is None else 0 if sweep else s.size):
         return _sweep(t, fixed, s, axis, fix, w, tolerance, max_turns)
+    uses, s2 = [(use, sum(w[a] for a in use)) for use in ((0, 1, 2), (0, 1), (0, 2), (1, 2), (0,), (1,), (2,))], s * s
     for _ in range(max_turns):
-        best_t, best_c = [], []
+        known, best_c = [], []
         for a, ax in enumerate(axis):
             lo, hi = neighbour(t, ax, -1, inf), neighbour(t, ax, 1, inf)
-            c_lo, c_hi = lo + fix[a][0], hi + fix[a][1]
-            best_t.append(np.minimum(lo, hi))
-            best_c.append(np.minimum(c_lo, c_hi))
+            known.append(np.isfinite(np.minimum(lo, hi)))
+            best_c.append(np.minimum(lo + fix[a][0], hi + fix[a][1]))
         new = np.full(s.shape, inf)
-        # The solution with all three axes, with pairs, and with one; the earliest that is later than its neighbours.
-        for use in ((0, 1, 2), (0, 1), (0, 2), (1, 2), (0,), (1,), (2,)):
-            ok = np.isfinite(best_t[use[0]])
-            for a in use[1:]:
-                ok = ok & np.isfinite(best_t[a])
-            if not ok.any():
-                continue
-            with np.errstate(invalid="ignore", over="ignore"):
-                aa = sum(w[a] for a in use)
-                bb = sum(w[a] * best_c[a] for a in use)
-                cc = sum(w[a] * best_c[a] ** 2 for a in use) - s * s
-                disc = bb * bb - aa * cc
+        with np.errstate(invalid="ignore", over="ignore"):
+            b1, b2, late = [w[a] * c for a, c in enumerate(best_c)], [w[a] * c**2 for a, c in enumerate(best_c)], [c - 1e-12 for c in best_c]
+            # The solution with all three axes, with pairs, and with one; the earliest that is later than its neighbours.
+            for use, aa in uses:
+                bb, cc = b1[use[0]], b2[use[0]]
+                for a in use[1:]:
+                    bb, cc = bb + b1[a], cc + b2[a]
+                disc = bb * bb - aa * (cc - s2)
                 v = (bb + np.sqrt(np.maximum(disc, 0))) / aa
-                ok = ok & (disc >= 0)
+                ok = (disc >= 0) & (v < new)
                 for a in use:
-                    ok = ok & (v >= best_c[a] - 1e-12)
-            new = np.where(ok & (v < new), v, new)
+                    ok &= known[a] & (v >= late[a])
+                np.copyto(new, v, where=ok)
         new = np.where(fixed, t, np.minimum(t, new))
         with np.errstate(invalid="ignore"):
             change = np.where(np.isfinite(new), np.where(np.isfinite(t), t - new, inf), 0.0).max()
