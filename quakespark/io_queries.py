@@ -325,11 +325,11 @@ select id, round(iso / (abs(iso) + big), 6) as iso, round((log10(sqrt((w[1] ** 2
 )
 def f13_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotropic share and magnitude of diagonal moment tensors."""
-    k = F.col("p_partkey")
+    k, decompose = F.col("p_partkey"), source.decompose  # the function alone: a module would travel with what it holds, sessions of scratch tables too
 
     def run(batches):
         for b in batches:
-            r = [source.decompose(np.diag([float(i % 7), i % 5 - 2.0, i % 3 - 4.0])) for i in b["id"]]
+            r = [decompose(np.diag([float(i % 7), i % 5 - 2.0, i % 3 - 4.0])) for i in b["id"]]
             yield pd.DataFrame({"id": b["id"], "iso": [x["iso"] for x in r], "mw": [x["mw"] for x in r]})
 
     d = table(spark, sf_dir, "part").select(k.alias("id")).mapInPandas(run, "id long, iso double, mw double")

@@ -279,3 +279,12 @@ def test_events_are_located_together(spark, monkeypatch):
         assert locate.locate(spark, a.coalesce(1).sortWithinPartitions("event"), t, grid, spread_out=False).toPandas().sort_values("event", ignore_index=True).equals(whole)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_decomposition_after_scratch_tables(spark, sf):
+    """f13_decomposition: its function travels without the sessions that scratch tables of the process belong to."""
+    from __spark_entry__ import queries
+    from quakespark.common import Scratch
+
+    Scratch(spark, "before").keep(spark.range(3))
+    assert queries()["f13_decomposition"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
